@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, tokens
+from . import decontaminate, repeats, tokens
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,16 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.report(_t(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(_t(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_tokens, op9_decontaminate)}
+    return {f.__name__: f for f in (op6_tokens, op8_repeats, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
