@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, repeats, tokens
+from . import decontaminate, neardup, repeats, tokens
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(_t(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_tokens, op8_repeats, op9_decontaminate)}
+    return {f.__name__: f for f in (op6_tokens, op8_repeats, op9_decontaminate, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
