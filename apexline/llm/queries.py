@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, neardup, repeats, tokens
+from . import decontaminate, language, mixing, neardup, repeats, tokens, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(_t(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.report(_t(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op4_language, op6_tokens, op8_repeats, op9_decontaminate, op10_neardup)}
+    return {f.__name__: f for f in (op2_mixing, op4_language, op5_toxicity, op6_tokens, op8_repeats, op9_decontaminate, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
