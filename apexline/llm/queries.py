@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, neardup, repeats, tokens, toxicity
+from . import decontaminate, language, mixing, neardup, repeats, tokens, topk, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(_t(spark, sf_dir, "embeddings"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_t(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op4_language, op5_toxicity, op6_tokens, op8_repeats, op9_decontaminate, op10_neardup)}
+    return {f.__name__: f for f in (op1_topk, op2_mixing, op4_language, op5_toxicity, op6_tokens, op8_repeats, op9_decontaminate, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
