@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, neardup, repeats, tokens, topk, toxicity
+from . import decontaminate, language, licences, mixing, neardup, repeats, surrogates, tokens, topk, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_t(spark, sf_dir, "documents"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(_t(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(_t(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.report(_t(spark, sf_dir, "documents"))
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.report(_t(spark, sf_dir, "documents"))
+
+
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(_t(spark, sf_dir, "documents"))
 
@@ -46,8 +54,8 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_mixing, op4_language, op5_toxicity, op6_tokens, op8_repeats, op9_decontaminate, op10_neardup)}
+    return {f.__name__: f for f in (op1_topk, op2_mixing, op3_licences, op4_language, op5_toxicity, op6_tokens, op7_surrogates, op8_repeats, op9_decontaminate, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_licences": licences.sql()}
