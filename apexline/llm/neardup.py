@@ -12,16 +12,17 @@ components of links are classes, named by their smallest ``doc_id``.
     and a register of two sets agrees with about the probability of their
     similarity.  ``BANDS`` bands of ``ROWS`` registers give the buckets: at a
     similarity of 0.85 a pair shares no bucket with a probability of 4e-7.
-3.  Pairs of a bucket are tested in rounds.  First each member with the
-    bucket's smallest.  Then whoever isn't yet in the component of most of the
-    bucket meets the members of its own cell (about ``CELL`` of them, by hash),
-    then those of the cells 1, 2-3, 4-7, ... away, until all is one component
-    or every pair of different components has met.  So no pair that could join
-    two components is left out, pairs of one component are not compared, and
-    no task gathers a bucket.
-4.  A pair is first judged by the sizes (exact), then by the likelihood of the
-    similarity given its registers and sizes (pruned if 0.85 is e**14
-    times less likely than the best), then by its full sets (exact).
+3.  Pairs of a bucket are tested in rounds.  First each member with one that a
+    hash picks, another in each bucket.  Then whoever isn't yet in the component
+    of most of the bucket meets the members of its own cell (about ``CELL`` of
+    them, by hash), then those of the cells 1-7, 8-63, ... away, until all is
+    one component or every pair of different components has met.  So no pair
+    that could join two components is left out, pairs of one component are
+    not compared, and no task gathers a bucket: cells meet as blocks.
+4.  A pair is first judged by its sizes (exact), then by parity bits of the
+    sets, whose difference can't be larger than that of the sets (exact), then by
+    the likelihood of the similarity given its registers and sizes (pruned if
+    0.85 is e**14 times less likely than the best), then by its full sets (exact).
 
 Defined results: a null, empty or wordless text has no set, is linked with
 nothing and kept; a text with fewer words than a shingle is one shingle;
@@ -51,7 +52,9 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Base and rate of SetSketch; registers are 16 bits wide.
 BASE, RATE = 1.001, 20.0
-CELL = 16
+CELL = 128
+#: Bins of the parity bits of a set.
+BINS = 2048
 MARGIN = 14.0
 
 
@@ -106,6 +109,20 @@ def registers(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.clip(k, 0, 65535).astype("<u2").reshape(n, REGISTERS)
 
 
+def parities(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of BINS bits for each set: whether an odd number of its elements fall in a bin."""
+    n = len(first) - 1
+    at = np.repeat(np.arange(n), np.diff(first)) * BINS + (W.mix(values) % np.uint64(BINS)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * BINS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, BINS), axis=1)
+
+
+def _split(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Registers, and parity bits as 64-bit words."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    return np.ascontiguousarray(rows[:, : 2 * REGISTERS]).view("<u2"), np.ascontiguousarray(rows[:, 2 * REGISTERS :]).view(np.uint64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, to, data, offsets in W.chunks(batch.column(1), lower=True):
@@ -113,13 +130,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, first = shingle_sets(w)
             rows = registers(values, first)
             nodes = [int.from_bytes(hashlib.blake2b(w.text(a, b), digest_size=8).digest(), "little", signed=True) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-            columns = [batch.column(i).slice(lo, to - lo) for i in (0, 2, 3)] + [pa.array(nodes, pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())]
+            # One value holds the registers and, after them, the parity bits.
+            sketches = [a.tobytes() + b.tobytes() for a, b in zip(rows, parities(values, first), strict=True)]
+            columns = [batch.column(i).slice(lo, to - lo) for i in (0, 2, 3)] + [pa.array(nodes, pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "node", "n", "sketch"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, BANDS, ROWS).astype(np.uint64)
+        rows = _split(batch.column(1).to_pylist())[0].reshape(-1, BANDS, ROWS).astype(np.uint64)
         key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2])
         for j in range(ROWS):
             key = W.mix(key * np.uint64(65537) + rows[:, :, j] + np.uint64(1))
@@ -144,12 +163,51 @@ def similar(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, leas
     return (top >= least - 1e-9) & (near >= best - MARGIN)
 
 
+def likely(n_a, n_b, a, b, percent: int) -> np.ndarray:
+    """Which pairs may be links, by sizes, parities and registers; a and b are what :func:`_split` gives."""
+    keep = np.flatnonzero(100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+    out = np.zeros(len(n_a), bool)
+    differ = np.bitwise_count(a[1][keep] ^ b[1][keep]).sum(axis=1, dtype=np.int64)
+    # 100 * both >= percent * union leaves this much for the difference of the sets.
+    keep = keep[(100 + percent) * differ <= (100 - percent) * (n_a[keep] + n_b[keep])]
+    out[keep] = similar(n_a[keep], n_b[keep], a[0][keep], b[0][keep], percent / 100)
+    return out
+
+
 def _likely(percent: int):
+    """Over rows (a, b, na, nb, sa, sb)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (4, 5))
-            yield batch.select([0, 1]).filter(pa.array(similar(n_a, n_b, a, b, percent / 100)))
+            a, b = (_split(batch.column(i).to_pylist()) for i in (4, 5))
+            yield batch.select([0, 1]).filter(pa.array(likely(n_a, n_b, a, b, percent)))
+
+    return run
+
+
+def _meet(percent: int):
+    """Over pairs of cells (same, main, left, right): pairs of nodes of different components that may be links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                main, left, right = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(2)[i].values
+                (u, lu, nu), (v, lv, nv) = ([np.asarray(side.field(c)) for c in ("node", "label", "n")] for side in (left, right))
+                x, y = np.nonzero((lu[:, None] != lv[None, :]) & (lu != main)[:, None])
+                if not len(x):
+                    continue
+                a, b = _split(left.field("sketch").to_pylist()), _split(right.field("sketch").to_pylist())
+                for at in range(0, len(x), 1 << 15):
+                    p, q = x[at : at + (1 << 15)], y[at : at + (1 << 15)]
+                    # Parities first: they are cheap, and leave few.
+                    keep = 100 * np.minimum(nu[p], nv[q]) >= percent * np.maximum(nu[p], nv[q])
+                    p, q = p[keep], q[keep]
+                    ok = likely(nu[p], nv[q], (a[0][p], a[1][p]), (b[0][q], b[1][q]), percent)
+                    found.append((np.minimum(u[p[ok]], v[q[ok]]), np.maximum(u[p[ok]], v[q[ok]])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -201,22 +259,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     sketches = kept(rows.mapInArrow(_sketch, "doc_id long, k1 long, k2 int, node long, n long, sketch binary"), "sketches")
     nodes = kept(sketches.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     bands = nodes.select("node", "sketch").mapInArrow(_bands, "node long, bucket long")
-    buckets = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
-    members = kept(bands.join(buckets, "bucket").select("bucket", "node", "size", "least"), "members")
+    buckets = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", "bucket")).alias("centre")).where("size > 1")
+    members = kept(bands.join(buckets, "bucket").select("bucket", "node", "size", "centre"), "members")
     # The texts of the nodes that share a bucket: of equal texts the first row's.
     wanted = members.select("node").distinct().join(sketches, "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.*")
     texts = rows.where("text is not null").select("k1", "k2", "text").mapInArrow(_compress, "k1 long, k2 int, z binary")
     texts = kept(texts.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "z"), "texts")
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links."""
-        pairs = pairs.join(nodes.toDF("a", "na", "sa"), "a").join(nodes.toDF("b", "nb", "sb"), "b")
-        pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(percent), "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.toDF("a", "za"), "a").join(texts.toDF("b", "zb"), "b").select("a", "b", "za", "zb")
         return kept(pairs.mapInArrow(_verify(percent), "a long, b long"), "links")
 
+    stars = members.where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    stars = stars.join(nodes.toDF("a", "na", "sa"), "a").join(nodes.toDF("b", "nb", "sb"), "b")
+    stars = stars.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
     labels = docs.sparkSession.createDataFrame([], "node long, label long")
-    labels = relabel(labels, tested(members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()))
+    labels = relabel(labels, verified(stars.mapInArrow(_likely(percent), "a long, b long")))
     cells = F.ceil(F.col("size") / CELL).cast("int")
     crowd = members.where("size > 2").select("bucket", "node", cells.alias("cells"), F.pmod(F.xxhash64("node"), cells).cast("int").alias("cell"))
     lo, hi = 0, 0  # cells at these distances meet
@@ -227,12 +285,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         widest = now.agg(F.max("cells")).first()[0]
         if widest is None or lo > widest // 2:
             break
+        one = now.where(f"cells >= {2 * lo}").join(nodes, "node").groupBy("bucket", "cell").agg(F.first("cells").alias("cells"), F.first("main").alias("main"), F.bool_or(F.col("label") != F.col("main")).alias("open"), F.collect_list(F.struct("node", "label", "n", "sketch")).alias("cell_nodes"))
         steps = F.flatten(F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda d: F.array(F.col("cell") + d, F.col("cell") - d)))
-        outside = now.where(f"label != main and cells >= {2 * lo}").select("bucket", F.col("node").alias("u"), F.col("label").alias("own"), F.explode(F.array_distinct(F.transform(steps, lambda c: F.pmod(c, F.col("cells"))))).alias("cell"))
-        pairs = outside.join(now.select("bucket", "cell", "node", "label"), ["bucket", "cell"]).where("own != label")
-        labels = relabel(labels, tested(pairs.select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct()))
+        left = one.where("open").select("bucket", "main", F.col("cell_nodes").alias("left"), F.explode(F.array_distinct(F.transform(steps, lambda c: F.pmod(c, F.col("cells"))))).alias("cell"))
+        met = left.join(one.select("bucket", "cell", F.col("cell_nodes").alias("right")), ["bucket", "cell"]).select("main", "left", "right")
+        labels = relabel(labels, verified(met.mapInArrow(_meet(percent), "a long, b long").distinct()))
         crowd = now.select("bucket", "node", "cells", "cell")
-        lo, hi = hi + 1, 2 * hi + 1
+        lo, hi = hi + 1, 8 * hi + 7
     found = sketches.join(labels, "node", "left").select("doc_id", "k1", "k2", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
     names = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component"))
     named = found.join(names, "label", "left")

@@ -45,7 +45,7 @@ BLOCK = 1024
 PERCENTILE = 99
 #: Ids at which a segment ends after the document it is in.
 SEGMENT_IDS = 1 << 19
-#: Words whose ids a task remembers; then it forgets them all.
+#: Words whose ids a task remembers, at least; twice as many at most.
 REMEMBERED = 400_000
 FILE = "part int, segment int, first long, doc_ids array<bigint>, n_tokens array<bigint>, n_ids long, payload binary"
 
@@ -54,6 +54,30 @@ def _bit_lengths(x: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.int64)
 
 
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of BLOCK values below 2**width as rows of BLOCK * width / 8 bytes, lowest bits first."""
+    eights = values.reshape(-1, 8).astype(np.uint64)
+    out = np.zeros((len(eights), width), np.uint8)
+    for i in range(8):
+        at, shift = divmod(i * width, 8)
+        x = eights[:, i] << np.uint64(shift)
+        for j in range((shift + width + 7) // 8):
+            out[:, at + j] |= ((x >> np.uint64(8 * j)) & np.uint64(255)).astype(np.uint8)
+    return out.reshape(len(values), -1)
+
+
+def _unpack(data: np.ndarray, width: int) -> np.ndarray:
+    eights = data.reshape(-1, width).astype(np.uint64)
+    out = np.empty((len(eights), 8), np.uint64)
+    for i in range(8):
+        at, shift = divmod(i * width, 8)
+        x = np.zeros(len(eights), np.uint64)
+        for j in range((shift + width + 7) // 8):
+            x |= eights[:, at + j] << np.uint64(8 * j)
+        out[:, i] = (x >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+    return out.reshape(len(data), BLOCK).astype(np.uint32)
+
+
 def encode(ids: np.ndarray) -> bytes:
     """A payload of these ids, each below 2**32."""
     n_blocks = -(-len(ids) // BLOCK)
@@ -64,21 +88,22 @@ def encode(ids: np.ndarray) -> bytes:
     blocks = filled.reshape(n_blocks, BLOCK)
     low = blocks.min(axis=1, initial=0xFFFFFFFF)
     offsets = blocks - low[:, None]
-    edge = np.sort(offsets, axis=1)[:, (BLOCK - 1) * PERCENTILE // 100] if n_blocks else low
-    width = _bit_lengths(edge)
+    at = (BLOCK - 1) * PERCENTILE // 100
+    width = _bit_lengths(np.partition(offsets, at, axis=1)[:, at]) if n_blocks else low.astype(np.int64)
     packed: list[bytes] = [b""] * n_blocks
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        bits = ((offsets[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-        data = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        data = _pack(offsets[rows] & np.uint32((1 << w) - 1), w)
         for i, row in enumerate(rows.tolist()):
             packed[row] = data[i].tobytes()
     high = offsets.astype(np.uint64) >> width[:, None].astype(np.uint64)
+    row, place = np.nonzero(high)
+    high, edge = high[row, place].astype("<u4"), np.searchsorted(row, np.arange(n_blocks + 1)).tolist()
+    place = place.astype("<u2")
     parts = []
-    for i in range(n_blocks):
-        at = np.flatnonzero(high[i])
-        head = int(low[i]).to_bytes(4, "little") + int(width[i]).to_bytes(1, "little") + len(at).to_bytes(2, "little")
-        parts.append(head + packed[i] + at.astype("<u2").tobytes() + high[i][at].astype("<u4").tobytes())
+    for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+        head = int(low[i]).to_bytes(4, "little") + int(width[i]).to_bytes(1, "little") + (b - a).to_bytes(2, "little")
+        parts.append(head + packed[i] + place[a:b].tobytes() + high[a:b].tobytes())
     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("<u4")
     return n_blocks.to_bytes(4, "little") + starts.tobytes() + b"".join(parts)
 
@@ -104,11 +129,8 @@ def decode(payload: bytes, n_ids: int, lo: int = 0, hi: int | None = None) -> np
             patches.append((i - first, w, np.frombuffer(payload, "<u2", n, at), np.frombuffer(payload, "<u4", n, at + 2 * n)))
     for w, rows in by_width.items():
         if w:
-            data = np.frombuffer(b"".join([payload[at : at + BLOCK * w // 8] for _, at in rows]), np.uint8).reshape(len(rows), -1)
-            bits = np.unpackbits(data, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            whole = np.zeros((len(rows), BLOCK, 32), np.uint8)
-            whole[:, :, :w] = bits
-            out[[r for r, _ in rows]] += np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
+            data = np.frombuffer(b"".join([payload[at : at + BLOCK * w // 8] for _, at in rows]), np.uint8)
+            out[[r for r, _ in rows]] += _unpack(data.reshape(len(rows), -1), w)
     for i, w, at, high in patches:
         out[i, at] += high << np.uint32(w)
     return out.reshape(-1)[lo - first * BLOCK : hi - first * BLOCK]
@@ -127,6 +149,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Recent(dict):
+    """What ``make`` gives for a key, remembered while it is among the last ``size`` to 2 * ``size`` keys asked for."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of UTF-8 texts as little-endian u32, equal to the library's ``encode(text, add_special_tokens=False)``.
 
@@ -144,38 +184,32 @@ class Encoder:
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = _Recent(self._word, REMEMBERED)
+        self.pieces = _Recent(self._piece, REMEMBERED // 2)
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in piece.encode()]))]
-            got = self.pieces[piece] = np.array(ids, "<u4").tobytes()
-        return got
-
-    def _learn(self, missing: set[bytes]) -> None:
-        odd = []
-        for m in missing:
-            word = m.decode()
-            if _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-                self.words[m] = b"".join([self._piece(p) for p in _PIECES.findall(word.lower())])
-            else:
-                odd.append((m, word))
-        for (m, _), e in zip(odd, self.library.encode_batch_fast([w for _, w in odd], add_special_tokens=False), strict=True):
-            self.words[m] = np.array(e.ids, "<u4").tobytes()
+        if not piece.isascii():
+            piece = "".join([self.letters[b] for b in piece.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return b"".join([self.pieces[p] for p in _PIECES.findall(text.lower())])
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            if len(self.pieces) > REMEMBERED:
-                self.pieces.clear()
-            self._learn(set(words) - self.words.keys())
-            return b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, so that a task profits from what earlier ones remember."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -183,7 +217,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, do
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
         segment, before, doc_ids, held = 0, 0, [], []
 
         def row() -> pa.RecordBatch:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import corners, delta, driving, laps, library, pace
 from ..operators import trace as tr
 from ..sources import fixtures
+from ..sources.tables import materialised
 from .session import Session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -305,13 +306,13 @@ def corner_spreads(spark, d):
 @query
 def straights_report(spark, d):
     s = session(spark, d)
-    return corners.straights(s.valid_samples, corners.segments(s.valid_samples, s.corners, s.lengths))
+    return corners.straights(s.lap_facts, corners.segments(s.lap_facts, s.corners, s.lengths))
 
 
 @query
 def phase_matrix(spark, d):
     s = session(spark, d)
-    return corners.phase_matrix(corners.phases(s.valid_samples, s.corners, s.lengths), s.best)
+    return corners.phase_matrix(corners.phases(s.lap_facts, s.corners, s.lengths), s.best)
 
 
 @query
@@ -375,7 +376,7 @@ def rainbow_buckets(spark, d):
 @query
 def brake_consistency(spark, d):
     s = session(spark, d)
-    events = driving.brake_events(driving.smoothed_g(s.g_trace), s.thresholds)
+    events = materialised(driving.brake_events(driving.smoothed_g(s.g_trace), s.thresholds), "brakes")
     starts = laps.lap_at(events.withColumnRenamed("t0", "t"), s.laps).where("lap_id is not null")
     # Onsets in metres from the lap's line.
     origin = s.lap_m

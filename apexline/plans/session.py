@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corners, delta, driving, laps, pace
 from ..operators import trace as tr
+from ..sources.tables import materialised
 
 
 @dataclass
@@ -17,7 +18,8 @@ class Session:
     """Lazy frames over all recordings of ``trace`` (rec, seq, t, v, odo, dop, fix, x, y, lap_no).
 
     Nothing is computed until a frame is used; each is keyed by ``rec``, so any
-    number of recordings is one plan.
+    number of recordings is one plan.  What the corner reports read many times
+    is written as a table once.
     """
 
     trace: DataFrame
@@ -52,6 +54,11 @@ class Session:
     def valid_samples(self) -> DataFrame:
         return self.samples.join(self.valid.select("rec", "lap_id"), ["rec", "lap_id"], "left_semi")
 
+    @cached_property
+    def lap_facts(self) -> DataFrame:
+        """``valid_samples`` as a table: the facts that corners are made from."""
+        return materialised(self.valid_samples, "lap-facts")
+
     @cached_property
     def grid(self) -> DataFrame:
         return laps.fraction_grid(self.valid_samples)
@@ -59,19 +66,20 @@ class Session:
     @cached_property
     def lengths(self) -> DataFrame:
         """(rec, length): the best lap's distance."""
-        return self.laps.join(self.best.select("rec", "lap_id"), ["rec", "lap_id"], "left_semi").select("rec", F.col("dist_m").alias("length"))
+        found = self.laps.join(self.best.select("rec", "lap_id"), ["rec", "lap_id"], "left_semi").select("rec", F.col("dist_m").alias("length"))
+        return materialised(found, "lengths")
 
     @cached_property
     def profile(self) -> DataFrame:
-        return corners.pooled(corners.curvature(self.valid_samples), self.lengths)
+        return materialised(corners.pooled(corners.curvature(self.lap_facts), self.lengths), "profile")
 
     @cached_property
     def corners(self) -> DataFrame:
-        return corners.detect(self.profile, corners.otsu(self.profile))
+        return materialised(corners.detect(self.profile, corners.otsu(self.profile)), "corners")
 
     @cached_property
     def corner_stats(self) -> DataFrame:
-        return corners.stats(self.valid_samples, self.corners, self.lengths)
+        return materialised(corners.stats(self.lap_facts, self.corners, self.lengths), "corner-stats")
 
     @cached_property
     def g_trace(self) -> DataFrame:
@@ -88,5 +96,5 @@ class Session:
         return pace.pace(self.valid)
 
     def coaching(self) -> DataFrame:
-        phases = corners.phases(self.valid_samples, self.corners, self.lengths)
+        phases = corners.phases(self.lap_facts, self.corners, self.lengths)
         return corners.opportunities(self.corner_stats, phases, self.best)
