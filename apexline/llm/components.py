@@ -12,30 +12,30 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, label) after links (a, b) have joined what they link; a kept table.
 
     ``label`` is the smallest node of a component and stays so.  Nodes that
-    ``labels`` lacks are their own label.  Each round maps the links to the
-    labels of their ends and points each label at its smallest neighbour,
-    then at that one's target, until no link joins two labels; the links
-    left shrink with every round.  Sums and minima are combined before they are
-    shuffled, so a node with very many links is a row for each task.
+    ``labels`` lacks are their own label.  Links are mapped to labels once; each
+    round then points each label at its smallest neighbour, and at that one's
+    target, and maps labels and links by these pointers, until no link joins two
+    labels.  The links left shrink with every round.  Minima are combined before
+    they are shuffled, so a node with very many links is a row for each task.
     """
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    old = labels
-    labels = kept(old.join(ends, "node", "full").select("node", F.coalesce("label", "node").alias("label")), "labels")
-    edges = links
-    while True:
-        a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        crossing = edges.join(a, "a").join(b, "b").where("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-        crossing = kept(crossing, "crossing")
-        if crossing.isEmpty():
-            drop_kept(crossing)
-            return labels
-        both = crossing.union(crossing.select("b", "a"))
-        down = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("label"), "to")
-        further = down.select(F.col("label").alias("to"), F.col("to").alias("then"))
-        down = down.join(further, "to", "left").select("label", F.coalesce("then", "to").alias("to"))
-        new = kept(labels.join(down, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        if edges is not links:
-            drop_kept(edges)
-        drop_kept(labels)
-        labels, edges = new, crossing
-        # The ends of crossing links are labels; each is a node with itself, or by now another, as its label.
+    labels = kept(labels.join(ends, "node", "full").select("node", F.coalesce("label", "node").alias("label")), "labels")
+
+    def mapped(edges: DataFrame, by: DataFrame) -> DataFrame:
+        """Distinct edges between what ``by`` (from, to) makes of the ends."""
+        a, b = by.toDF("a", "ta"), by.toDF("b", "tb")
+        crossing = edges.join(a, "a").join(b, "b").where("ta != tb")
+        return kept(crossing.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+
+    edges = mapped(links, labels)
+    while not edges.isEmpty():
+        near = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("label"), F.least("a", "b").alias("to"))
+        near = kept(near, "pointers")
+        further = kept(near.join(near.toDF("to", "then"), "to").select("label", F.col("then").alias("to")), "pointers")
+        new = kept(labels.join(further, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        left = mapped(edges, further)
+        for old in (labels, edges, near, further):
+            drop_kept(old)
+        labels, edges = new, left
+    drop_kept(edges)
+    return labels

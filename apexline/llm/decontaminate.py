@@ -209,14 +209,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         made.append(with_struct(docs, name, RESULT, _matcher(shared, docs.columns.index(text))))
     if groups == 1:
         return made[0], name
-    key = [F.xxhash64(*docs.columns).alias("k1"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("k2")]
-    hit = made[0].where("false").select(*key, name)
+    k1, k2, hits, ids = (fresh(docs, c) for c in ("k1", "k2", "hits", "ids"))
+    key = {k1: F.xxhash64(*docs.columns), k2: F.sha2(F.coalesce(text, F.lit("")), 256)}
+    hit = None
     for df in made:
-        hit = hit.unionByName(df.where(F.size(f"{name}.hits") > 0).select(*key, name))
-    hit = hit.groupBy("k1", "k2").agg(F.max(f"{name}.n_words").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(f"{name}.hits")))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(f"{name}.items")))).alias("i"))
-    empty = made[0].select(*docs.columns, name, *key).withColumn(name, F.struct(F.col(f"{name}.n_words").alias("n_words"))).join(hit, ["k1", "k2"], "left")
-    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
-    return empty.select(*docs.columns, F.struct(F.col(f"{name}.n_words").alias("n_words"), none("h", "array<bigint>").alias("hits"), none("i", "array<string>").alias("items")).alias(name)), name
+        own = df.where(F.size(f"{name}.hits") > 0).withColumns(key).select(k1, k2, F.col(f"{name}.hits").alias(hits), F.col(f"{name}.items").alias(ids))
+        hit = own if hit is None else hit.unionByName(own)
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    hit = hit.groupBy(k1, k2).agg(merged(hits), merged(ids))
+    all_ = made[0].withColumns(key).join(hit, [k1, k2], "left")
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
+    both = F.struct(F.col(f"{name}.n_words").alias("n_words"), none(hits, "array<bigint>").alias("hits"), none(ids, "array<string>").alias("items"))
+    return all_.select(*docs.columns, both.alias(name)), name
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

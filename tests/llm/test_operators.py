@@ -1,0 +1,290 @@
+"""Each operator against a brute-force version on small tables with odd rows."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from apexline.llm import components, decontaminate, language, licences, mixing, neardup, repeats, surrogates, tokens, topk, toxicity
+from apexline.llm import words as W
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(n, seed, size=400):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(size)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = words(200, 1)
+    near = base.split()
+    near[50] = "changed"
+    rows = [
+        (0, base), (1, base), (2, " ".join(near)), (3, None), (4, ""), (5, " \t\n "), (6, "one two"), (7, "one  TWO"), (8, words(300, 2)), (8, words(300, 2)),
+        (9, "a b " * 100), (10, words(20_000, 3, 10**6)), (None, "no id here"), (11, words(40, 4) + "\n" + base), (12, "été ÑANDÚ straße 日本 " * 30), (13, "x" * 5000),
+    ]
+    return spark.createDataFrame([(i, t, "en" if k % 2 else None, [None, "a", "b"][k % 3], 0) for k, (i, t) in enumerate(rows)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def pairs(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def got(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_words_are_those_of_the_pattern():
+    import re
+
+    texts = ["", "a  b\tc", " x ", "é b c\x0bd", "last"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    w = W.find(np.frombuffer(data, np.uint8), offsets)
+    for d, t in enumerate(texts):
+        assert w.text(w.first[d], w.first[d + 1]).decode().split(" ") == (re.findall(r"[^\x20\x09-\x0D]+", t) or [""])
+    h = w.hashes()
+    assert len(set(h.tolist())) == len({w.text(i, i + 1) for i in range(len(h))})
+
+
+def test_decontaminate(spark, docs, pairs, empty):
+    base = pairs[0][1].split()
+    items = [(1, " ".join(base[20:45])), (2, "one TWO"), (3, None), (4, ""), (5, "!!"), (6, " ".join(base[20:45])), (7, "日本 été"), (8, "absent words only")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert got(decontaminate.report(docs, bench)) == sorted(decontaminate.brute_force(pairs, items), key=str)
+    assert decontaminate.report(empty, bench).count() == 0
+    assert decontaminate.report(docs, bench.where("false")).where("contaminated").count() == 0
+    assert decontaminate.clean(docs, bench).columns == docs.columns
+    # In groups of a small benchmark, and with columns of the names used inside.
+    odd = docs.withColumns({"found": F.lit(1), "k1": F.lit(2)})
+    found, name = decontaminate.decontaminate(odd, bench, group_bytes=150)
+    want = {(d, n, h, k) for d, n, h, k, *_ in decontaminate.brute_force(pairs, items)}
+    assert {(r.doc_id, r[name].n_words, len(r[name].hits), len(r[name].items)) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("many", [1 << 15, 1])
+def test_repeats(docs, pairs, empty, monkeypatch, many):
+    monkeypatch.setattr(repeats, "MANY", many)
+    assert got(repeats.report(docs)) == sorted(repeats.brute_force(pairs), key=str)
+    assert repeats.report(empty).count() == 0
+
+
+def test_repeats_keeps_columns(docs):
+    found, name = repeats.remove_repeats(docs.withColumn("repeats", F.lit(1)), keep_text=True)
+    assert set(found.columns) == {"doc_id", "lang", "source", "n_chars", "repeats", name}
+    assert found.where("doc_id = 6").select(f"{name}.kept_text").first()[0] == "one two"
+
+
+def test_neardup(spark, docs, pairs, empty):
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    r = random.Random(5)
+    group = []
+    for i in range(60):  # a group of near copies, some of which aren't near enough
+        w = words(150, 9).split()
+        for _ in range(r.randrange(5)):
+            w[r.randrange(150)] = f"z{r.randrange(10**6)}"
+        group.append((100 + i, " ".join(w), None, None, None))
+    all_ = named.unionByName(spark.createDataFrame(group, DOCS))
+    rows = [(x.doc_id, x.text) for x in all_.collect()]
+    want = neardup.brute_force(rows)
+    assert got(neardup.report(all_)) == sorted(want, key=str)
+    assert neardup.report(docs).count() == docs.count()
+    assert neardup.report(empty).count() == 0
+    kept = neardup.keep_one(all_.withColumn("k1", F.lit(0)))
+    assert {x.doc_id for x in kept.collect()} == {d for d, *_, k in want if k}
+
+
+def test_registers_agree_as_often_as_sets(spark):
+    r = np.random.default_rng(1)
+    a = r.integers(0, 2**63, 3000).astype(np.uint64)
+    b = np.concatenate([a[:2700], r.integers(0, 2**63, 300).astype(np.uint64)])
+    x = neardup.registers(np.concatenate([np.sort(a), np.sort(b), np.sort(a)]), np.array([0, 3000, 6000, 9000]))
+    assert (x[0] == x[2]).all()
+    assert (x[0] == x[1]).mean() == pytest.approx(2700 / 3300, abs=0.12)
+    both = neardup.registers(np.unique(np.concatenate([a, b])), np.array([0, 3300]))
+    assert (both[0] == np.maximum(x[0], x[1])).all()  # mergeable
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(20)] + [(100, 101), (102, 101)]
+    r = components.relabel(spark.createDataFrame([], "node long, label long"), spark.createDataFrame(chain, "a long, b long"))
+    assert dict(map(tuple, r.collect())) == {**{i: 0 for i in range(21)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_payloads():
+    r = np.random.default_rng(2)
+    for a in (np.arange(0), np.arange(5000) % 700, r.zipf(1.3, 30_001) % 2**32, np.full(1024, 7), np.array([0, 2**32 - 1, 5])):
+        a = a.astype(np.uint32)
+        p = tokens.encode(a)
+        assert (tokens.decode(p, len(a)) == a).all()
+        assert (tokens.decode(p, len(a), 1000, 2100) == a[1000:2100]).all()
+
+
+def test_tokens(docs, pairs, empty):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    e = tokens.Encoder(tokens.default_tokenizer())
+    for x in ["It's <|endoftext|>x <|startoftext|> don'T 12a3 É̀ Ÿ ﬁ Straße b\x1cc ǅ İx 'Re\tΣΑΣ", "日本 İ ŉ ß ſ K Å", " \n"]:
+        assert np.frombuffer(e(x.encode()), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    at, want = 0, []
+    for d, x in sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, p[1] is not None, p[1] or "")):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got(tokens.report(docs)) == sorted(want, key=str)
+    assert tokens.report(empty).count() == 0
+
+
+def test_mixing(spark, docs, empty):
+    rows = mixing.report(docs).collect()
+    assert len(rows) == docs.count() and all(r.taken <= 2 * r.size for r in rows)
+    again = mixing.report(docs.repartition(7))
+    assert got(mixing.report(docs)) == got(again)
+    total = sum(r.size for r in rows)
+    assert sum({r.source_size: r.target for r in rows}.values()) == pytest.approx(1.5 * total)
+    assert mixing.report(empty).count() == 0
+    many = spark.createDataFrame([(i, "w " * (i % 50), None, ["x", "y", None][i % 3], None) for i in range(3000)], DOCS)
+    by = {}
+    for r in mixing.report(many).collect():
+        by.setdefault(r.target, []).append(r.taken)
+    for target, taken in by.items():
+        assert sum(taken) == pytest.approx(target, abs=50)
+    assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_mixing_tree_gives_what_one_bucket_gives_in_sum(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 8)
+    monkeypatch.setattr(mixing, "FAN", 4)
+    many = spark.createDataFrame([(i, "w " * (1 + i % 9), None, "x" if i % 3 else "y", None) for i in range(900)], DOCS)
+    by = {}
+    for r in mixing.report(many).collect():
+        by.setdefault(r.target, []).append(r.taken)
+    for target, taken in by.items():
+        assert sum(taken) == pytest.approx(target, abs=10)
+
+
+def test_language(spark, docs, empty):
+    en, fr = "the and of to in that with for", "le la les des dans pour avec une"
+    train = [(i, " ".join(random.Random(i).choices((en if i % 2 else fr).split(), k=12)), "en" if i % 2 else "fr", None, None) for i in range(100)]
+    all_ = docs.unionByName(spark.createDataFrame([(1000 + i, *r) for i, *r in train], DOCS))
+    rows = language.report(all_).collect()
+    assert len(rows) == all_.count()
+    assert all(r.lang_pred == train[r.doc_id - 1000][2] for r in rows if (r.doc_id or 0) >= 1000)
+    assert {r.doc_id for r in rows if r.lang_pred == "und"} == {3, 4, 5}
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert language.report(empty).count() == 0
+    unlabelled = language.report(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
+
+
+def test_toxicity(spark, docs, empty):
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(600):
+        w = words(60, i, 300).split()
+        bad = i % 5 == 0
+        if bad:
+            for _ in range(4):
+                w[r.randrange(60)] = r.choice(["hateful", "wretched", "despised", "vermin"])
+        rows.append((2000 + i, " ".join(w), None, None, None))
+        labels.append((2000 + i, 1, int(bad)))
+    labels += [(3, 0, 1), (99_999, 0, 1), (None, 0, None)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {x.doc_id: x for x in toxicity.report(docs.unionByName(spark.createDataFrame(rows, DOCS)), table).collect()}
+    held = [x for x in found.values() if x.held_out and (x.doc_id or 0) >= 2000]
+    assert np.mean([x.predicted == int(x.doc_id % 5 == 0) for x in held]) > 0.95
+    assert found[3].predicted == 0
+    assert toxicity.report(empty, table).count() == 0
+    assert {x.score for x in toxicity.report(docs, table.where("false")).collect()} == {0.0}
+
+
+def test_licences(spark, docs, empty):
+    texts = ["x\nLICENSED!! under the Apache License, version 2.0\ny", "Released under the MIT License.\nAll rights reserved.", "All rights reserved", "rights reserved for nobody at all", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licences.report(d).collect()}
+    assert [rows[i].licences for i in range(6)] == ["Apache-2.0", "MIT,reserved", "reserved", "", "", ""]
+    assert rows[2].best_dice == 1.0 and rows[4].best_dice == 0.0
+    assert licences.report(empty).count() == 0 and licences.report(docs).count() == docs.count()
+    found, name = licences.scan(docs.withColumn("licences", F.lit(1)), templates={})
+    assert found.where(F.size(name) > 0).count() == 0
+
+
+def test_licences_against_sql(docs):
+    import duckdb
+
+    c = duckdb.connect()
+    c.register("documents", docs.where("doc_id is not null").dropDuplicates(["doc_id"]).toPandas())
+    want = c.sql(licences.sql()).select("doc_id, n_matches, licences, best_dice").fetchall()
+    assert got(licences.report(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))) == sorted(want, key=str)
+
+
+def test_surrogates(spark, docs, empty):
+    texts = ["Write to Ann.B@Mail.example.org, ann.b@mail.example.org or +1 (017) 555-7713.", "ann.b@mail.example.org 10.2.33.255 4111 1111 1111 1111", "Mrs. Anna Berg and Mr Тест Иванов", "no data v1.2", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in surrogates.report(d).collect()}
+    assert [rows[i].n_entities for i in range(6)] == [3, 3, 2, 0, 0, 0]
+    assert [rows[i].text for i in (3, 4, 5)] == texts[3:]
+    import re
+
+    one = re.findall(r"\S+@\S+\.org", rows[0].text)
+    assert one[0].lower() == one[1] and one[1] in rows[1].text and one[0][0].isupper() and one[1] != "ann.b@mail.example.org"
+    assert re.search(r"\d{2}\.\d\.\d{2}\.\d{3} \d{4} \d{4} \d{4} \d{4}", rows[1].text) and "4111" not in rows[1].text
+    assert re.fullmatch(r"Mrs\. \w+na \w+na and Mr [а-я]+н [а-я]+н", rows[2].text, re.I)
+    assert surrogates.report(empty).count() == 0 and surrogates.report(docs).count() == docs.count()
+    assert got(surrogates.report(d)) == got(surrogates.report(d.repartition(3)))
+
+
+def test_surrogates_stay_distinct(spark):
+    """Two-digit octets leave few surrogates, so draws collide."""
+    ips = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(1, 10)]
+    table = surrogates.assign(spark.createDataFrame([("ip", "-", i) for i in ips], "kind string, gender string, canon string"), "k").collect()
+    assert len({r.surrogate for r in table}) == len(ips) and not {r.surrogate for r in table} & set(ips)
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_topk(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    r = np.random.default_rng(4)
+    rows = [(i, (r.normal(size=16) * r.choice([0.1, 1, 3])).tolist()) for i in range(300)]
+    rows += [(300 + i, rows[7][1]) for i in range(40)]  # ties
+    rows += [(400, None), (450, [1.0] * 15 + [None]), (500, [1.0] * 15 + [float("nan")]), (550, [1.0, 2.0]), (551, [2.0, 1.0]), (600, []), (650, [1.0] * 3), (None, [1.0] * 16)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fine = [(i, np.floor(256 * np.array(x)).astype(np.int64)) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
+    want = []
+    for q, x in fine:
+        if q % 50 == 0:
+            others = sorted((-int(y @ x), i) for i, y in fine if i != q and len(y) == len(x))[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(others)]
+    assert got(topk.report(v)) == sorted(want, key=str)
+    assert topk.report(v.where("false")).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(i, words(50, i) if i != 7 else words(50, 6), "en", "a" if i % 2 else "b", 0) for i in range(40)] + [(50, None, None, None, 0)], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(words(50, 3).split()[5:20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = docs
+    seen = []
+    for _, stage in pipeline.STAGES:
+        out = stage(spark, out, str(tmp_path))
+        seen.append(sorted(r.doc_id for r in out.collect()))
+    everything = list(range(40))
+    assert seen[0] == everything
+    assert seen[1] == [i for i in everything if i != 7]
+    assert seen[2] == [i for i in everything if i not in (3, 7)]
+    assert seen[3] == seen[4] and set(seen[3]) <= set(seen[2])
+    assert sorted(r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()) == seen[4]
