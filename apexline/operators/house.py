@@ -13,6 +13,17 @@ def along(keys: Keys, *order: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def united(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a`` and ``b`` as one frame.
+
+    Spark 4.1 takes a union of frames with one partitioning as so partitioned;
+    where an exchange below is reused, rows then miss their partner (a join
+    after such a union lost all its rows).  So unions are dealt out anew here.
+    """
+    a.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return a.unionByName(b)
+
+
 def interp_join(samples: DataFrame, grid: DataFrame, keys: Keys, x: str, ys: list[str]) -> DataFrame:
     """``grid`` with ``ys`` of ``samples`` interpolated at ``x``, clamped at both ends.
 
@@ -24,7 +35,7 @@ def interp_join(samples: DataFrame, grid: DataFrame, keys: Keys, x: str, ys: lis
     known = samples.where(F.col(x).isNotNull()).select(*keys, x, *[F.lit(None).cast(grid.schema[c].dataType).alias(c) for c in extra], F.lit(0).alias("_g"), point.alias("_p"))
     asked = grid.select(*keys, x, *extra, F.lit(1).alias("_g"), F.lit(None).cast(known.schema["_p"].dataType).alias("_p"))
     w = along(keys, x, "_g")
-    both = known.unionByName(asked)
+    both = united(known, asked)
     both = both.withColumn("_a", F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     both = both.withColumn("_b", F.first("_p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_g = 1")
     share = (F.col(x) - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x"))

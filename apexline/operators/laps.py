@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import CONFIG
 from ..functions.scalars import crosses
-from .house import along, interp_join
+from .house import along, interp_join, united
 
 REC, LAP = ["rec"], ["rec", "lap_id"]
 
@@ -69,11 +69,11 @@ def lap_samples(trace: DataFrame, crossings: DataFrame) -> DataFrame:
     share = (F.col("t_cross") - F.col("t0")) / (F.col("t") - F.col("t0"))
     at = lambda c: F.col(c + "0") + (F.col(c) - F.col(c + "0")) * share
     cuts = joined.select("rec", "seq", F.col("t_cross").alias("t"), *[at(c).alias(c) for c in cols[1:]], F.lit(0).alias("kind"), "lap_id")
-    all_ = fixes.unionByName(cuts)
+    all_ = united(fixes, cuts)
     all_ = all_.withColumn("lap", F.last("lap_id", ignorenulls=True).over(before))
     ends = cuts.where("lap_id > 0").withColumn("lap", F.col("lap_id") - 1).withColumn("kind", F.lit(2))
     closed = Window.partitionBy("rec", "lap")
-    both = all_.where("lap is not null").unionByName(ends).withColumn("_done", F.count_if(F.col("kind") == 2).over(closed)).where("_done > 0")
+    both = united(all_.where("lap is not null"), ends).withColumn("_done", F.count_if(F.col("kind") == 2).over(closed)).where("_done > 0")
     first = along(["rec", "lap"], "t", "kind")
     run = first.rowsBetween(Window.unboundedPreceding, 0)
     return both.select(
@@ -132,7 +132,7 @@ def lap_at(times: DataFrame, laps_: DataFrame) -> DataFrame:
     w = along(REC, "t", "_k")
     starts = valid(laps_).select("rec", F.col("t_start").alias("t"), F.lit(0).alias("_k"), F.struct("lap_id", "t_finish").alias("_l"))
     extra = [c for c in times.columns if c not in ("rec", "t")]
-    both = starts.select("rec", "t", "_k", "_l", *[F.lit(None).cast(times.schema[c].dataType).alias(c) for c in extra]).unionByName(times.select("rec", "t", F.lit(1).alias("_k"), F.lit(None).cast(starts.schema["_l"].dataType).alias("_l"), *extra))
+    both = united(starts.select("rec", "t", "_k", "_l", *[F.lit(None).cast(times.schema[c].dataType).alias(c) for c in extra]), times.select("rec", "t", F.lit(1).alias("_k"), F.lit(None).cast(starts.schema["_l"].dataType).alias("_l"), *extra))
     both = both.withColumn("_l", F.last("_l", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_k = 1")
     return both.select("rec", "t", *extra, F.when(F.col("t") < F.col("_l.t_finish"), F.col("_l.lap_id")).alias("lap_id"))
 
