@@ -46,7 +46,7 @@ PERCENTILE = 99
 #: Ids at which a segment ends after the document it is in.
 SEGMENT_IDS = 1 << 19
 #: Words whose ids a task remembers, at least; twice as many at most.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 FILE = "part int, segment int, first long, doc_ids array<bigint>, n_tokens array<bigint>, n_ids long, payload binary"
 
 
