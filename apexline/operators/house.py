@@ -31,18 +31,18 @@ def interp_join(samples: DataFrame, grid: DataFrame, keys: Keys, x: str, ys: lis
     a sort of each key's rows; a grid row of a key without samples gets nulls.
     """
     extra = [c for c in grid.columns if c not in (*keys, x)]
-    point = F.struct(F.col(x).alias("x"), *[F.col(y).alias(y) for y in ys])
+    point = F.struct(F.col(x).alias("_at"), *[F.col(y).alias(y) for y in ys])
     known = samples.where(F.col(x).isNotNull()).select(*keys, x, *[F.lit(None).cast(grid.schema[c].dataType).alias(c) for c in extra], F.lit(0).alias("_g"), point.alias("_p"))
     asked = grid.select(*keys, x, *extra, F.lit(1).alias("_g"), F.lit(None).cast(known.schema["_p"].dataType).alias("_p"))
     w = along(keys, x, "_g")
     both = united(known, asked)
     both = both.withColumn("_a", F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     both = both.withColumn("_b", F.first("_p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_g = 1")
-    share = (F.col(x) - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x"))
+    share = (F.col(x) - F.col("_a._at")) / (F.col("_b._at") - F.col("_a._at"))
 
     def value(y: str) -> Column:
         a, b = F.col(f"_a.{y}"), F.col(f"_b.{y}")
-        return F.when(F.col("_a").isNull(), b).when(F.col("_b").isNull() | (F.col("_b.x") == F.col("_a.x")), a).otherwise(a + (b - a) * share)
+        return F.when(F.col("_a").isNull(), b).when(F.col("_b").isNull() | (F.col("_b._at") == F.col("_a._at")), a).otherwise(a + (b - a) * share)
 
     return both.select(*keys, x, *extra, *[value(y).alias(y) for y in ys])
 
@@ -72,7 +72,10 @@ def smooth(value: str, keys: Keys, order: str, width: int) -> Column:
 
 
 def moving_median(value: str, keys: Keys, order: str, width: int = 5) -> Column:
-    return F.median(value).over(along(keys, order).rowsBetween(-(width // 2), width // 2))
+    """Median of ``width`` samples around each, of those there are at the ends; of the few, as an array."""
+    near = F.array_sort(F.collect_list(value).over(along(keys, order).rowsBetween(-(width // 2), width // 2)))
+    n = F.size(near)
+    return (F.get(near, F.floor((n - 1) / 2).cast("int")) + F.get(near, F.floor(n / 2).cast("int"))) / 2
 
 
 def gradient(y: str, x: str, keys: Keys, order: str) -> Column:

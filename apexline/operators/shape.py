@@ -78,10 +78,8 @@ def hermite(p0: Column, p1: Column, p2: Column, p3: Column, t: Column) -> Column
 def filled(trace: DataFrame) -> DataFrame:
     """(rec, seq, j, t, x, y, measured, fill): a trace with its gaps drawn.
 
-    A short gap is a cubic through its mouths.  A longer one takes the way that
-    the trace itself takes at the same distance in the lap most often: the mean
-    of measured points in cells of lap distance (``lap_no``, ``odo``), pinned to
-    both mouths; the cubic again where no lap has been there.
+    Gaps are cubics through their mouths; those of more than PLAIN fixes are
+    marked, for :func:`from_donors` to draw as other laps went.
     """
     w = along(REC, "seq")
     cols = ["x", "y"]
@@ -97,7 +95,7 @@ def filled(trace: DataFrame) -> DataFrame:
 
 
 def from_donors(drawn: DataFrame, samples: DataFrame, cell: float = 2.0) -> DataFrame:
-    """:func:`filled`'s long gaps, where other laps have been there: their mean way, shifted to meet both mouths.
+    """:func:`filled`'s long gaps, where other laps have been there: their mean way.
 
     ``drawn`` needs ``dist`` (metres into the lap); ``samples`` (rec, lap_id, dist, x, y) are measured.
     """

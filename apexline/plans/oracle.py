@@ -144,19 +144,19 @@ ORACLE: dict[str, str] = {
     "session_totals": f"with {TRACE} select rec, count(*) as fixes, round(max(t) - min(t), 3) as duration_s, round(max(odo) - min(odo), 3) as driven_m, max(v) as vmax_mps from trace group by rec",
     "lap_speed_stats": f"with {LAPS} select rec, lap_id, round(v_max * 3.6::double, 3) as vmax_kmh, round(v_min * 3.6::double, 3) as vmin_kmh, round(dist_m / lap_s * 3.6::double, 3) as mean_kmh from valid",
     "sector_spreads": f"with {SPLITS}, a as (select rec, cast(sector as integer) as sector, count(*) as n, stddev_samp(split_s) as s, median(split_s) as m, min(split_s) as b from splits group by all having count(*) > 1), o as (select rec, sector, n, round(s, 4) as sigma_s, round(m, 4) as median_s, round(m - b, 4) as loss_s, round(s * (m - b), 6) as score from a) select *, cast(row_number() over (partition by rec order by score desc, sector) as integer) as rank from o",
-    "delta_grid": f"with {GRID}, b as (select g.rec, g.i, g.elapsed as e from grid g join best on g.rec = best.rec and g.lap_id = best.lap_id) select g.rec, g.lap_id, cast(g.i as integer) as i, round(g.elapsed - b.e, 4) as delta_s from grid g join b on g.rec = b.rec and g.i = b.i",
+    "delta_grid": f"with {GRID}, b as (select g.rec, g.i, g.elapsed as e from grid g join best on g.rec = best.rec and g.lap_id = best.lap_id) select g.rec, g.lap_id, cast(g.i as integer) as i, round(g.elapsed - b.e, 4) + 0.0::double as delta_s from grid g join b on g.rec = b.rec and g.i = b.i",
     "ideal_envelope": f"with {IDEAL} select rec, cast(i as integer) as i, round(ideal_s, 4) as ideal_s from ideal",
-    "delta_to_ideal": f"with {IDEAL} select g.rec, g.lap_id, cast(g.i as integer) as i, round(g.elapsed - d.ideal_s, 4) as delta_s from grid g join ideal d on g.rec = d.rec and g.i = d.i",
-    "delta_between": f"with {GRID} select a.rec, cast(a.i as integer) as i, round(a.elapsed - b.elapsed, 4) as delta_s from grid a join grid b on a.rec = b.rec and a.i = b.i where a.lap_id = 0 and b.lap_id = 1",
+    "delta_to_ideal": f"with {IDEAL} select g.rec, g.lap_id, cast(g.i as integer) as i, round(g.elapsed - d.ideal_s, 4) + 0.0::double as delta_s from grid g join ideal d on g.rec = d.rec and g.i = d.i",
+    "delta_between": f"with {GRID} select a.rec, cast(a.i as integer) as i, round(a.elapsed - b.elapsed, 4) + 0.0::double as delta_s from grid a join grid b on a.rec = b.rec and a.i = b.i where a.lap_id = 0 and b.lap_id = 1",
     "ideal_total": f"with {IDEAL} select rec, round(ideal_s, 4) as ideal_s from ideal where i = 399",
-    "reference_lap_delta": f"with {GRID}, b as (select g.i, g.elapsed as e from grid g join best on g.rec = best.rec and g.lap_id = best.lap_id where g.rec = 0) select g.rec, g.lap_id, cast(g.i as integer) as i, round(g.elapsed - b.e, 4) as delta_s from grid g join b on g.i = b.i where g.rec = 1",
+    "reference_lap_delta": f"with {GRID}, b as (select g.i, g.elapsed as e from grid g join best on g.rec = best.rec and g.lap_id = best.lap_id where g.rec = 0) select g.rec, g.lap_id, cast(g.i as integer) as i, round(g.elapsed - b.e, 4) + 0.0::double as delta_s from grid g join b on g.i = b.i where g.rec = 1",
     "otsu_threshold": f"""with {TRACE}, q as (select rec, log10(greatest(abs(v / 1000), 0.0001)) as q from trace), bx as (select rec, min(q) as lo, max(q) as hi from q group by rec),
       pl as (select q.rec, least(floor((q - lo) / case when hi > lo then hi - lo else 1.0 end * 128), 127)::integer as b from q join bx on q.rec = bx.rec),
       ct as (select rec, b, count(*) as n from pl group by all), hs as (select bx.rec, u.b, coalesce(n, 0) as n, lo + (hi - lo) * (u.b + 0.5::double) / 128 as m from bx cross join (select unnest(range(0, 128))::integer as b) u left join ct on ct.rec = bx.rec and ct.b = u.b),
       c as (select *, sum(n) over w as w0, sum(n * m) over w as s0, sum(n) over (partition by rec) as w, sum(n * m) over (partition by rec) as s from hs window w as (partition by rec order by b)),
       v as (select rec, b, m, round(w0::double * (w - w0)::double * (s0 / w0 - (s - s0) / (w - w0)) ** 2, 6) as v from c where w0 > 0 and w - w0 > 0)
       select rec, b as bin, round(10.0::double ** m, 8) as threshold from (select *, row_number() over (partition by rec order by v desc, b) as r from v) where r = 1""",
-    "long_g": f"with {LONG_G} select rec, seq, round(long_g, 5) as long_g from gs",
+    "long_g": f"with {LONG_G} select rec, seq, round(long_g, 5) + 0.0::double as long_g from gs",
     "brake_threshold": f"with {LONG_G} select rec, theta from theta",
     "brake_islands": f"""with {LONG_G}, g as (select gs.*, theta from gs join theta on gs.rec = theta.rec),
       i as {islands('g', 'long_g < -0.35::double * theta')}
@@ -174,8 +174,9 @@ ORACLE: dict[str, str] = {
     "library_upsert": f"with {HISTORY}, u as (select fingerprint, track, date, best, 0 as nw from hist where fingerprint % 4 <> 1 union all select fingerprint, track, date, round(best - 1, 2), 1 from hist where fingerprint % 3 = 0) select fingerprint, track, best from (select *, row_number() over (partition by fingerprint order by nw desc, date desc, best desc) as q from u) where q = 1",
     "fingerprint": f"""with {HISTORY}, n as (select fingerprint, printf('/card/DCIM/g%s%02d%04d.mp4', case fingerprint % 3 when 0 then 'X' when 1 then 'H' else 'q' end, fingerprint % 7, fingerprint % 10000) as name from hist), u as (select *, upper(regexp_replace(name, '^.*/', '')) as up from n)
       select fingerprint, name, case when regexp_matches(up, '^G[XHLP][0-9]{{6}}\\.MP4$') then regexp_replace(up, '^(G[XHLP])[0-9]{{2}}([0-9]{{4}})\\.MP4$', '\\1\\2') else regexp_replace(up, '\\.[^.]*$', '') end as print from u""",
-    "track_match": f"""with {PLACES}, d as (select place, track, round(2 * 6371000.0::double * asin(sqrt(sin((radians(k_lat) - radians(lat)) / 2) ** 2 + cos(radians(lat)) * cos(radians(k_lat)) * sin(radians(k_lon - lon) / 2) ** 2)), 3) as distance_m, round(greatest(diag, k_diag) / least(diag, k_diag), 6) as ratio from places, tracks)
+    "track_match": f"""with {PLACES}, d as (select place, track, round(2 * 6371000.0::double * asin(sqrt(sin((radians(k_lat) - radians(lat)) / 2) ** 2 + cos(radians(lat)) * cos(radians(k_lat)) * sin(radians(k_lon - lon) / 2) ** 2)), 3) as distance_m, round(greatest(diag, k_diag) / least(diag, k_diag), 10) as ratio from places, tracks)
       select * from d where distance_m <= 750 and ratio <= 2""",
     "track_detect": f"""with {PLACES}, d as (select place, track, round(6371000.0::double * sqrt((radians(k_lon - lon) * cos(radians((lat + k_lat) / 2))) ** 2 + radians(k_lat - lat) ** 2), 3) as distance_m from places, tracks)
       select place, track, distance_m from (select *, row_number() over (partition by place order by distance_m, track desc) as q from d where distance_m <= 1500) where q = 1""",
+    "index_at_time": f"with {TRACE} select a.rec, a.seq as asked, coalesce((select min(b.seq) from trace b where b.rec = a.rec and b.t >= a.t + 0.05::double), (select max(c.seq) from trace c where c.rec = a.rec)) as seq from trace a where a.seq % 40 = 3",
 }

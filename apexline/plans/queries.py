@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corners, delta, driving, laps, library, pace
+from ..operators import coaching, corners, delta, driving, imu, laps, library, lines, pace, shape
 from ..operators import trace as tr
 from ..sources import fixtures
 from ..sources.tables import materialised
@@ -440,3 +440,83 @@ def track_match(spark, d):
 @query
 def track_detect(spark, d):
     return library.detect(_places(spark, d), _tracks(spark, d))
+
+
+# Lines, reports, kernels
+
+
+@query
+def peak_start_line(spark, d):
+    t = fixtures.trace(spark, d)
+    return lines.peak_line(t).select("rec", *[F.round(f"line.{c}", 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def fitted_start_line(spark, d):
+    t = materialised(fixtures.trace(spark, d), "trace")
+    return lines.fitted_line(t, lines.peak_line(t)).select("rec", "factor", "laps", *[F.round(f"line.{c}", 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def index_at_time(spark, d):
+    t = fixtures.trace(spark, d)
+    times = t.where("seq % 40 = 3").select("rec", (F.col("t") + 0.05).alias("t"), F.col("seq").alias("asked"))
+    return lines.index_at(times, t).select("rec", "asked", "seq")
+
+
+@query
+def corner_report(spark, d):
+    return coaching.corner_report(session(spark, d).corner_stats)
+
+
+@query
+def corner_projection(spark, d):
+    s = session(spark, d)
+    return lines.projected(s.corners, s.lap_facts, s.best, s.lengths).select("rec", "lap_id", "cid", "edge", F.round("dist", 3).alias("dist"))
+
+
+def _in_laps(s: Session, events: DataFrame) -> DataFrame:
+    """Events (rec, t0, t1, d0) with their lap, and distances from its line."""
+    at = laps.lap_at(events.withColumnRenamed("t0", "t"), s.laps).where("lap_id is not null")
+    return at.select("rec", "lap_id", F.pmod(F.col("d0") - s.line_m, F.lit(s.lap_m)).alias("d0"), (F.col("t1") - F.col("t")).alias("seconds"))
+
+
+@query
+def reasons(spark, d):
+    s = session(spark, d)
+    brakes = _in_laps(s, driving.brake_events(driving.smoothed_g(s.g_trace), s.thresholds).select("rec", "t0", "t1", "d0"))
+    spans = driving.coasting(driving.smoothed_g(s.g_trace, 5), s.thresholds)
+    starts = spans.join(s.trace.select("rec", F.round("t", 3).alias("t0"), F.col("odo").alias("d0")), ["rec", "t0"]).select("rec", "t0", "t1", "d0")
+    return coaching.attributed(s.corner_stats, materialised(brakes, "brakes"), materialised(_in_laps(s, starts), "coasts"), s.best)
+
+
+@query
+def loop_fit(spark, d):
+    """The best lap of each recording on the best lap of recording 0."""
+    s = session(spark, d)
+    own = s.lap_facts.join(s.best.select("rec", "lap_id"), ["rec", "lap_id"], "left_semi")
+    loops = materialised(shape.loop(own, ["rec"], "t", 128), "loops")
+    return shape.fit_loops(loops, loops.where("rec = 0").select("i", "x", "y"), 128).select("rec", "shift", "way", "mirror", F.round("scale", 4).alias("scale"), F.round("rms", 3).alias("rms"))
+
+
+@query
+def gap_reconstruct(spark, d):
+    t = tr.gated(fixtures.trace(spark, d))
+    return shape.filled(t).where("not measured").select("rec", "seq", "j", F.round("t", 3).alias("t"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "fill")
+
+
+@query
+def gg_hull(spark, d):
+    g = _lateral(session(spark, d)).select("rec", F.round("lat_g", 4).alias("x"), F.round("long_g", 4).alias("y"))
+    return shape.hull(g)
+
+
+@query
+def gps_forces(spark, d):
+    g = imu.gps_g(fixtures.trace(spark, d))
+    return g.select("rec", "seq", F.round("lat_g", 5).alias("lat_g"), F.round("long_g", 5).alias("long_g"))
+
+
+@query
+def trace_jitter(spark, d):
+    return shape.jitter(fixtures.trace(spark, d)).select("rec", F.round("across_m", 4).alias("across_m"), F.round("heading_deg", 3).alias("heading_deg"))
