@@ -111,10 +111,13 @@ def registers(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def parities(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A row of BINS bits for each set: whether an odd number of its elements fall in a bin."""
-    n = len(first) - 1
-    at = np.repeat(np.arange(n), np.diff(first)) * BINS + (W.mix(values) % np.uint64(BINS)).astype(np.int64)
-    odd = np.bincount(at, minlength=n * BINS).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(n, BINS), axis=1)
+    n, parts = len(first) - 1, [np.empty((0, BINS // 8), np.uint8)]
+    for lo in range(0, n, 256):  # few sets at a time, since their bins are counted in 64 bits
+        own = first[lo : lo + 257]
+        at = np.repeat(np.arange(len(own) - 1), np.diff(own)) * BINS + (W.mix(values[own[0] : own[-1]]) % np.uint64(BINS)).astype(np.int64)
+        odd = (np.bincount(at, minlength=(len(own) - 1) * BINS) & 1).astype(np.uint8)
+        parts.append(np.packbits(odd.reshape(-1, BINS), axis=1))
+    return np.concatenate(parts)
 
 
 def _split(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
