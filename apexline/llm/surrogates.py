@@ -12,25 +12,31 @@ gender.
 Collisions are looked for over all distinct entities: where two entities of a
 type share a surrogate, or a surrogate is an entity that occurs, all but the
 first are drawn again, until none is left; a draw depends on the entity, the
-key and its number alone.  Distinct entities so stay distinct.
+key and its number alone.  After ``DRAWS`` rounds, what still collides in a form
+that is over a quarter full gets the form's free values, listed and dealt by
+rank; a form without any is widened (more letters or digits in front, more
+syllables, any octet).  Distinct entities so stay distinct, whatever their number.
 
 Only documents with entities are shuffled, by a key of their row; an entity that
 very many documents share is joined, not gathered.
 
 Defined results: a null text stays null, an empty one empty; texts without
 entities stay as they are; repeated rows get equal texts; an entity whose
-form leaves no unused surrogate keeps its last draw after ``DRAWS``; columns of
-the documents are kept.
+form leaves no unused surrogate gets a longer one; columns of the documents are
+kept.  More IP addresses than leave a free one in all of IPv4 are an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import fresh, kept
 
 DRAWS = 12
+#: Values of a form that a row lists at once.
+CHUNK = 65_536
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora"), "m": ("Mr", "Herr", "Monsieur", "Señor")}
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -61,65 +67,165 @@ def _canonical(m: str, kind: str):
     return F.when(F.col(kind) == "ip", F.col(m)).when(F.col(kind) == "person", F.regexp_replace(F.lower(m), r"^\S+ ", "")).when(F.col(kind) == "email", F.lower(m)).otherwise(bare)
 
 
-def _draw(canon: str, kind: str, gender: str, draw: str, key: str):
-    """A surrogate of a canonical form, of the same length but for names and octets."""
+def _syllables(word: Column) -> list[tuple[Column | None, str, str, str, str]]:
+    """(test, consonants, vowels, female ending, male ending) of each script of names."""
+    return [(word.rlike(r"\p{IsCyrillic}"), "бвгдзклмнпрстф", "аеиоу", "на", "н"), (word.rlike(r"\p{IsGreek}"), "βγδκλμνπρστ", "αειου", "να", "ν"), (None, "bdfghjklmnprstvz", "aeiou", "na", "n")]
+
+
+def _letters(c: Column, kind: str) -> list[tuple[Column, str]]:
+    """What a character of a form with letters and digits may become: (test, alphabet)."""
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    return [(c.rlike("[0-9]"), "0123456789"), ((F.col(kind) == "secret") & c.rlike("[a-f]"), "abcdef"), (c.rlike("[a-z]"), latin), (c.rlike(r"\p{IsCyrillic}"), CYRILLIC), (c.rlike(r"\p{IsGreek}"), GREEK), (c.rlike(r"\p{L}"), latin)]
+
+
+def _ending(canon: str):
+    return F.length(F.regexp_extract(canon, r"\.([A-Za-z]+)$", 1))
+
+
+def _first(cases: list[tuple[Column, Column]], other):
+    """The value of the first case that holds."""
+    out = other
+    for test, value in reversed(cases):
+        out = F.when(test, value).otherwise(out)
+    return out
+
+
+def _draw(canon: str, kind: str, gender: str, draw: str, key: str, wide: str = "wide", slots: str | None = None):
+    """A surrogate of a canonical form, of the same length but for names and octets, and ``wide`` characters or syllables more.
+
+    Its letters, octets and syllables are drawn by hash or, with ``slots``, read from that array of numbers.
+    """
     hashed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, F.col(draw).cast("string")), 512)
-    part = lambda i: F.conv(F.substr(hashed, (i * 2) % 126 + 1, F.lit(2)), 16, 10).cast("int")
+    part = (lambda i: F.element_at(slots, i)) if slots else lambda i: F.conv(F.substr(hashed, (i * 2) % 126 + 1, F.lit(2)), 16, 10).cast("int")
     pick = lambda letters, v: F.substr(F.lit(letters), v % len(letters) + 1, F.lit(1))
-    ending = F.length(F.regexp_extract(canon, r"\.([A-Za-z]+)$", 1))
+    w = F.col(wide)
 
     def letter(i):
-        c, v = F.substr(canon, i, F.lit(1)), part(i)
-        fresh_ = (
-            F.when(c.rlike("[0-9]"), pick("0123456789", v)).when((F.col(kind) == "secret") & c.rlike("[a-f]"), pick("abcdef", v)).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", v))
-            .when(c.rlike(r"\p{IsCyrillic}"), pick(CYRILLIC, v)).when(c.rlike(r"\p{IsGreek}"), pick(GREEK, v)).when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz", v)).otherwise(c)
-        )
-        return F.when((F.col(kind) == "email") & (i > F.length(canon) - ending), c).otherwise(fresh_)
+        c, v = F.substr(canon, i, F.lit(1)), part(i + w)
+        fresh_ = _first([(test, pick(letters, v)) for test, letters in _letters(c, kind)], c)
+        return F.when((F.col(kind) == "email") & (i > F.length(canon) - _ending(canon)), c).otherwise(fresh_)
 
     plain = F.array_join(F.transform(F.sequence(F.lit(1), F.length(canon)), letter), "")
+    front = lambda i: F.when(F.col(kind) == "email", pick("abcdefghijklmnopqrstuvwxyz", part(i))).otherwise(pick("0123456789", part(i)))
+    plain = F.when(w > 0, F.concat(F.array_join(F.transform(F.sequence(F.lit(1), w), front), ""), plain)).otherwise(plain)
     octets = F.split(canon, r"\.")
-    octet = lambda o, i: F.when(F.length(o) == 3, 100 + part(i + 1) % 156).when(F.length(o) == 2, 10 + part(i + 1) % 90).otherwise(part(i + 1) % 10).cast("string")
+    octet = lambda o, i: F.when(w > 0, part(i + 1) % 256).when(F.length(o) == 3, 100 + part(i + 1) % 156).when(F.length(o) == 2, 10 + part(i + 1) % 90).otherwise(part(i + 1) % 10).cast("string")
 
-    def name(word):
+    def name(word, at):
         own = F.sha2(F.concat_ws("|", F.lit(key), F.col(gender), word, F.col(draw).cast("string")), 256)
-        v = lambda i: F.conv(F.substr(own, F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("int")
-        latin = F.concat(*[F.concat(pick("bdfghjklmnprstvz", v(2 * i)), pick("aeiou", v(2 * i + 1))) for i in range(3)])
-        cyrillic = F.concat(*[F.concat(pick("бвгдзклмнпрстф", v(2 * i)), pick("аеиоу", v(2 * i + 1))) for i in range(3)])
-        greek = F.concat(*[F.concat(pick("βγδκλμνπρστ", v(2 * i)), pick("αειου", v(2 * i + 1))) for i in range(3)])
-        ends = lambda stem, f, m: F.concat(stem, F.when(F.col(gender) == "f", f).otherwise(m))
-        return F.when(word.rlike(r"\p{IsCyrillic}"), ends(cyrillic, "на", "н")).when(word.rlike(r"\p{IsGreek}"), ends(greek, "να", "ν")).otherwise(ends(latin, "na", "n"))
+        v = (lambda i: F.element_at(slots, at * (6 + 2 * w) + i + 1)) if slots else lambda i: F.conv(F.substr(own, (2 * i) % 64 + 1, F.lit(2)), 16, 10).cast("int")
+
+        def spelled(consonants, vowels, f, m):
+            syllable = lambda i: F.concat(pick(consonants, v(2 * i)), pick(vowels, v(2 * i + 1)))
+            more = F.when(w > 0, F.array_join(F.transform(F.sequence(F.lit(3), w + 2), syllable), "")).otherwise("")
+            return F.concat(*[syllable(F.lit(i)) for i in range(3)], more, F.when(F.col(gender) == "f", f).otherwise(m))
+
+        *some, (_, *rest) = _syllables(word)
+        return _first([(test, spelled(*how)) for test, *how in some], spelled(*rest))
 
     names = F.array_join(F.transform(F.split(canon, " "), name), " ")
     return F.when(F.col(kind) == "ip", F.array_join(F.transform(octets, octet), ".")).when(F.col(kind) == "person", names).otherwise(plain)
 
 
+def _form(canon: str, kind: str, gender: str, wide: str):
+    """A string that entities share whose surrogates are drawn from the same values."""
+    classes = [("[0-9]", "0"), ("[a-z]", "a"), (r"\p{IsCyrillic}", "б"), (r"\p{IsGreek}", "β")]
+
+    def classed(c):
+        c = F.when(F.col(kind) == "secret", F.regexp_replace(c, "[a-f]", "ä")).otherwise(c)
+        for pattern, sign in classes:
+            c = F.regexp_replace(c, pattern, sign)
+        return c
+
+    cut = F.length(canon) - F.when(F.col(kind) == "email", _ending(canon)).otherwise(0)
+    plain = F.concat(classed(F.substr(canon, F.lit(1), cut)), F.substr(canon, cut + 1))
+    words = F.array_join(F.transform(F.split(canon, " "), lambda word: _first([(test, F.lit(v)) for test, _, v, *_ in _syllables(word)[:-1]], F.lit("a"))), " ")
+    body = F.when((F.col(kind) == "ip") & (F.col(wide) > 0), "").when(F.col(kind) == "person", words).otherwise(plain)
+    return F.concat_ws("|", kind, gender, F.col(wide).cast("string"), body)
+
+
+def _sizes(canon: str, kind: str, wide: str):
+    """How many values each part of a surrogate has, in the order of ``_draw``'s slots."""
+    w = F.col(wide)
+
+    def letter(i):
+        c = F.substr(canon, i, F.lit(1))
+        size = _first([(test, F.lit(len(letters))) for test, letters in _letters(c, kind)], F.lit(1))
+        return F.when((F.col(kind) == "email") & (i > F.length(canon) - _ending(canon)), 1).otherwise(size)
+
+    plain = F.concat(F.array_repeat(F.when(F.col(kind) == "email", 26).otherwise(10), w), F.transform(F.sequence(F.lit(1), F.length(canon)), letter))
+    octets = F.transform(F.split(canon, r"\."), lambda o: F.when(w > 0, 256).when(F.length(o) == 3, 156).when(F.length(o) == 2, 90).otherwise(10))
+
+    def name(word):
+        *some, (_, consonants, vowels, *_) = _syllables(word)
+        return F.flatten(F.array_repeat(_first([(test, F.array(F.lit(len(c)), F.lit(len(v)))) for test, c, v, *_ in some], F.array(F.lit(len(consonants)), F.lit(len(vowels)))), w + 3))
+
+    return F.when(F.col(kind) == "ip", octets).when(F.col(kind) == "person", F.flatten(F.transform(F.split(canon, " "), name))).otherwise(plain)
+
+
 def _render(m: str, kind: str, surrogate: str):
     """The surrogate, written as the mention is."""
     bare = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
 
-    def letter(i):
-        c = F.substr(m, i, F.lit(1))
-        new = F.substr(bare(F.col(surrogate)), F.length(bare(F.substr(m, F.lit(1), i))), F.lit(1))
-        return F.when(~c.rlike(r"[\p{L}\p{N}]"), c).when(c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
+    def written(chars):
+        more = F.length(chars) - F.length(bare(F.col(m)))  # characters in front of a widened form
+
+        def letter(i):
+            c = F.substr(m, i, F.lit(1))
+            new = F.substr(chars, more + F.length(bare(F.substr(m, F.lit(1), i))), F.lit(1))
+            return F.when(~c.rlike(r"[\p{L}\p{N}]"), c).when(c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
 
-    plain = F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), letter), "")
+        return F.concat(F.substr(chars, F.lit(1), more), F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), letter), ""))
+
+    plain = F.transform(F.array(bare(F.col(surrogate))), written)[0]  # the array's only there to work it out once
     return F.when(F.col(kind) == "ip", F.col(surrogate)).when(F.col(kind) == "person", F.concat(F.regexp_extract(m, r"^\S+ ", 0), F.initcap(surrogate))).otherwise(plain)
 
 
+def _dealt(now: DataFrame, real: DataFrame, key: str) -> DataFrame:
+    """``now`` with ``free``, for those to be drawn ``anew`` in a crowded form: an unused value of the form, if any is left; and whether their form is ``crowded``."""
+    now = now.withColumn("form", _form("canon", "kind", "gender", "wide"))
+    one = F.min_by(F.struct("kind", "gender", "canon", "wide", "draw"), F.struct("canon", "draw")).alias("e")
+    forms = now.groupBy("form").agg(F.count("*").alias("n"), F.max("anew").alias("any"), one).where("any").select("form", "n", "e.*")
+    forms = forms.withColumn("sizes", _sizes("canon", "kind", "wide")).withColumn("space", F.aggregate("sizes", F.lit(1.0), lambda p, x: p * x))
+    forms = forms.where("space <= 4.0 * n").withColumn("space", F.col("space").cast("long"))
+    below = F.transform("sizes", lambda x, i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(1).cast("long"), lambda p, y: p * y))
+    forms = kept(forms.withColumn("below", below), "forms")
+    chunks = forms.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(space - 1) div {CHUNK}")))).repartition("form", "chunk")
+    values = chunks.withColumn("v", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("space"), (F.col("chunk") + 1) * CHUNK) - 1)))
+    values = values.withColumn("slots", F.expr("zip_with(sizes, below, (x, b) -> cast((v div b) % x as int))"))
+    values = values.select("form", "kind", _draw("canon", "kind", "gender", "draw", key, slots="slots").alias("surrogate"))
+    used = now.where("not anew").select("kind", "surrogate").unionByName(real.select("kind", "surrogate"))
+    rank = lambda df, by: df.withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy(F.xxhash64(F.lit(key), by), by)))
+    free = rank(values.join(used, ["kind", "surrogate"], "left_anti"), "surrogate").select("form", "rank", F.col("surrogate").alias("free"))
+    asks = rank(now.where("anew"), "canon").join(forms.select("form", F.lit(True).alias("crowded")), "form", "left").join(free, ["form", "rank"], "left")
+    return now.where("not anew").withColumns({"free": F.lit(None).cast("string"), "crowded": F.lit(False)}).drop("form").unionByName(asks.withColumn("crowded", F.coalesce("crowded", F.lit(False))).drop("form", "rank"))
+
+
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, gender, canon, surrogate) of distinct (kind, gender, canon), after collision checks; a kept table."""
-    drawn = lambda df: df.withColumn("surrogate", _draw("canon", "kind", "gender", "draw", key))
-    now = kept(drawn(entities.withColumn("draw", F.lit(0))), "surrogates")
-    for _ in range(DRAWS):
+    drawn = _draw("canon", "kind", "gender", "draw", key)
+    now = kept(entities.withColumns({"draw": F.lit(0), "wide": F.lit(0)}).withColumn("surrogate", drawn), "surrogates")
+    real = entities.select("kind", F.col("canon").alias("surrogate")).distinct().withColumn("real", F.lit(True))
+    turn = 0
+    while True:
         taken = now.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("canon", "gender")).alias("first"))
-        real = entities.select("kind", F.col("canon").alias("surrogate")).distinct().withColumn("real", F.lit(True))
         bad = taken.join(real, ["kind", "surrogate"], "left").where("n > 1 or real").select("kind", "surrogate", "first", F.coalesce("real", F.lit(False)).alias("real"))
         bad = kept(bad, "collisions")
         if bad.isEmpty():
-            break
-        again = now.join(bad, ["kind", "surrogate"], "left").withColumn("draw", F.col("draw") + F.when(F.col("real") | (F.col("first") != F.struct("canon", "gender")), 1).otherwise(0))
-        now = kept(drawn(again.select("kind", "gender", "canon", "draw")), "surrogates")
-    return now.select("kind", "gender", "canon", "surrogate")
+            return now.select("kind", "gender", "canon", "surrogate")
+        anew = F.coalesce(F.col("real") | (F.col("first") != F.struct("canon", "gender")), F.lit(False))
+        now = now.join(bad, ["kind", "surrogate"], "left").withColumn("anew", anew).drop("first", "real")
+        if turn < DRAWS:
+            again = now.withColumns({"free": F.lit(None).cast("string"), "crowded": F.lit(False)})
+        else:
+            again = kept(_dealt(kept(now, "colliding"), real, key), "dealt")
+            if not again.where("crowded and free is null and kind = 'ip' and wide > 0").isEmpty():
+                raise ValueError("no IP address is left for a surrogate")
+        draws = F.col("anew") & F.col("free").isNull()
+        again = again.withColumns({"draw": F.col("draw") + F.when(draws, 1).otherwise(0), "wide": F.col("wide") + F.when(draws & F.col("crowded"), 1).otherwise(0), "old": F.col("surrogate")})
+        new = F.when(F.col("anew"), F.coalesce("free", drawn)).otherwise(F.col("old"))
+        now = kept(again.withColumn("surrogate", new).select("kind", "gender", "canon", "draw", "wide", "surrogate"), "surrogates")
+        turn += 1
 
 
 def replace(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = "apexline", count: str = "n_entities") -> tuple[DataFrame, str]:

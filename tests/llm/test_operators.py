@@ -253,6 +253,23 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.surrogate for r in table}) == len(ips) and not {r.surrogate for r in table} & set(ips)
 
 
+def test_surrogates_stay_distinct_in_full_forms(spark):
+    """4,500 of the 10,000 addresses d.d.d.d leave few surrogates free, 4,200 of the 6,760 a@b.co none."""
+    ips = [f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}" for i in range(4500)]
+    mails = [f"{chr(97 + i // 260)}@{chr(97 + i // 10 % 26)}{i % 10}.co" for i in range(4200)]
+    rows = [("ip", "-", i) for i in ips] + [("email", "-", m) for m in mails]
+    table = surrogates.assign(spark.createDataFrame(rows, "kind string, gender string, canon string"), "k").collect()
+    new = [(r.kind, r.surrogate) for r in table]
+    assert len(new) == len(set(new)) == len(rows) and not set(new) & {(k, c) for k, _, c in rows}
+    import re
+
+    assert all(re.fullmatch(r"\d\.\d\.\d\.\d", s) for k, s in new if k == "ip")
+    wider = [s for k, s in new if k == "email" and not re.fullmatch(r"[a-z]@[a-z]\d\.co", s)]
+    assert len(wider) == 4200 - (6760 - 4200) and all(re.fullmatch(r"[a-z]{2}@[a-z]\d\.co", s) for s in wider)
+    m = spark.createDataFrame([("A@b1.co", "email", "xy@q7.co"), ("(017) 555-7713", "phone", "90123456789")], "m string, kind string, s string")
+    assert [r.t for r in m.select(surrogates._render("m", "kind", "s").alias("t")).collect()] == ["xY@q7.co", "9(012) 345-6789"]
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_topk(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
