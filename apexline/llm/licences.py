@@ -7,6 +7,14 @@ least ``least`` needs sizes within a factor of (2 - least) / least of each other
 so templates outside those bounds are pruned before sets are compared, and
 segments with too few words before their bigrams are made.
 
+Windows of the whole text's words, as long as a template, find notices that are
+wrapped over lines or stand inside longer ones, and whole licence texts
+(``bodies``).  A window is laid wherever a bigram that a template has once stands
+in its place.  A coefficient of ``least`` needs least / (2 - least) of the template's
+bigrams, so texts with fewer of them are pruned first.  Of overlapping windows of
+a template the best one counts, and none that a matching line or the text
+as a whole overlaps.
+
 The templates are a parameter and part of the plan, so they are bounded:
 ``MOST_WORDS`` words in all.  All happens in a document's row; nothing is
 shuffled and no row meets another.
@@ -18,6 +26,7 @@ time; repeated rows give equal rows; columns of the documents are kept.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,18 +46,85 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "reserved": "All rights reserved.",
 }
+#: Templates of more bigrams are looked for apart, in texts that are long enough for one of them.
+LONG = 500
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", text.translate(str.maketrans(UPPER, SMALL)))
+
+
 def bigrams(text: str) -> list[str]:
-    w = re.findall(r"[a-z0-9]+", text.translate(str.maketrans(UPPER, SMALL)))
+    w = words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
+def bodies() -> list[tuple[str, str]]:
+    """(licence, text): whole licence texts, from the files beside this one; read by the driver."""
+    return [(p.stem, p.read_text()) for p in sorted(Path(__file__).with_name("licence_texts").glob("*.txt"))]
+
+
+def _strings(values: list) -> Column:
+    return F.split(F.lit("|".join(map(str, values))), r"\|")
+
+
+def _window_table(templates: list[tuple[str, str]], lined: set[str]) -> Column:
+    """Structs (licence, whether lines are compared to it, m words, b bigrams, a bigrams that show a place, o their offsets after a null)."""
+    rows = []
+    for licence, text in templates:
+        w = words_of(text)
+        run = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        once = [i for i, x in enumerate(run) if run.count(x) == 1]
+        if 3 * len(once) <= len(set(run)):  # then a match might have none of them
+            once = [i for i, x in enumerate(run) if run.index(x) == i]
+        o = F.concat(F.array(F.lit(None).cast("int")), _strings(once).cast("array<int>"))
+        rows.append(F.struct(F.lit(licence).alias("licence"), F.lit(text in lined).alias("lined"), F.lit(len(w)).alias("m"), _strings(bigrams(text)).alias("b"), _strings([run[i] for i in once]).alias("a"), o.alias("o")))
+    return F.array(*rows)
+
+
+def _windows(whole: Column, words, templates: list[tuple[str, str]], lined: set[str], least: float) -> Column:
+    """Structs (licence, dice) of the windows that match; ``lined``: texts that lines are compared to."""
+    let = lambda value, f: F.transform(F.array(value), f)[0]
+    run = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    dice = lambda s, b: F.size(F.array_intersect(s, b)) * F.lit(2.0) / (F.size(s) + F.size(b))
+    share = least / (2 - least) - 1e-9
+    nothing = F.expr("cast(array() as array<struct<licence string, dice double>>)")
+    places = F.expr("cast(array() as array<struct<bad double, at int>>)")
+
+    def covered(x, t):
+        """Whether a line over the window's place, or the whole text, matches the same template."""
+        lines = F.transform(F.split(whole, "\n"), words)
+        ends = lambda ls, k: F.aggregate(F.slice(ls, F.lit(1), k), F.lit(0), lambda n, v: n + F.size(v))
+        met = lambda ls: F.filter(ls, lambda v, k: (ends(ls, k) < x["at"] + t["m"]) & (ends(ls, k) + F.size(v) > x["at"]))
+        like = lambda v: dice(F.array_distinct(run(v)), t["b"]) >= least
+        return t["lined"] & let(lines, lambda ls: F.exists(met(ls), like) | like(F.flatten(ls)))
+
+    def found(p, t):
+        at = F.filter(F.transform(p, lambda x, i: i - F.get(t["o"], F.array_position(t["a"], x).cast("int"))), lambda i: i.isNotNull())
+        starts = F.array_distinct(F.transform(at, lambda i: F.greatest(i, F.lit(0))))
+        scored = F.transform(starts, lambda i: F.struct((-dice(F.array_distinct(F.slice(p, i + 1, t["m"] - 1)), t["b"])).alias("bad"), i.alias("at")))
+        good = F.array_sort(F.filter(scored, lambda x: x["bad"] <= -least))
+        apart = F.aggregate(good, places, lambda got, x: F.when(F.exists(got, lambda y: F.abs(y["at"] - x["at"]) < t["m"]), got).otherwise(F.concat(got, F.array(x))))
+        return F.transform(F.filter(apart, lambda x: ~covered(x, t)), lambda x: F.struct(t["licence"].alias("licence"), (-x["bad"]).alias("dice")))
+
+    def tier(p, some):
+        sets = [bigrams(t) for _, t in some]
+        if not sets:
+            return nothing
+        enough = lambda hits, t: (F.size(hits) >= F.size(t["b"]) * share) & (F.size(F.array_intersect(t["b"], hits)) >= F.size(t["b"]) * share)
+        near = let(F.array_intersect(p, _strings(sorted(set().union(*sets)))), lambda hits: F.filter(_window_table(some, lined), lambda t: enough(hits, t)))
+        return F.when(F.size(p) >= min(map(len, sets)) * share, F.flatten(F.transform(near, lambda t: found(p, t)))).otherwise(nothing)
+
+    short, long_ = ([x for x in templates if bigrams(x[1]) and (len(bigrams(x[1])) > LONG) == far] for far in (False, True))
+    return let(run(words(whole)), lambda p: F.concat(tier(p, short), tier(p, long_)))
+
+
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, least: float = 0.8, name: str = "licences") -> tuple[DataFrame, str]:
-    """``docs`` and an array column (its name is the second result) of structs (licence, dice), one for each segment that matches a template."""
+    """``docs`` and an array column (its name is the second result) of structs (licence, dice), one for each segment or window that matches a template."""
     own = {k: b for k, t in (TEMPLATES if templates is None else templates).items() if (b := bigrams(t))}
-    if sum(map(len, own.values())) > MOST_WORDS:
+    laid = list((TEMPLATES if templates is None else templates).items()) + (bodies() if templates is None else [])
+    if sum(len(bigrams(t)) for _, t in laid) > MOST_WORDS:
         raise ValueError(f"templates have more than {MOST_WORDS} words")
     name = fresh(docs, name)
     if not own:
@@ -68,18 +144,18 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
         scored = F.transform(near, lambda t: F.struct(t["licence"].alias("licence"), (F.size(F.array_intersect(s, t["b"])) * F.lit(2.0) / (F.size(s) + F.size(t["b"]))).alias("dice")))
         return F.filter(scored, lambda x: x["dice"] >= least)
 
-    return docs.withColumn(name, F.flatten(F.transform(sets, match))), name
+    return docs.withColumn(name, F.concat(F.flatten(F.transform(sets, match)), _windows(whole, words, laid, set((TEMPLATES if templates is None else templates).values()), least))), name
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: matching segments, the licences by name, and the best coefficient (0 without any)."""
+    """One row per document: matching segments and windows, the licences by name, and the best coefficient (0 without any)."""
     found, name = scan(docs.select("doc_id", "text"))
     best = F.round(F.coalesce(F.array_max(F.col(f"{name}.dice")), F.lit(0.0)), 6)
     return found.select("doc_id", F.size(name).cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.col(f"{name}.licence"))), ",").alias("licences"), best.alias("best_dice"))
 
 
 def sql() -> str:
-    """The same in DuckDB's SQL."""
+    """The lines and whole texts in DuckDB's SQL, without windows."""
     table = ", ".join(f"('{k}', [{', '.join(repr(x) for x in bigrams(t))}])" for k, t in TEMPLATES.items())
     return f"""
     with templates(licence, b) as (values {table}),

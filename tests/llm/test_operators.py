@@ -230,6 +230,20 @@ def test_licences_against_sql(docs):
     assert got(licences.report(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))) == sorted(want, key=str)
 
 
+def test_licence_windows(spark):
+    """Notices wrapped or inside longer lines, and whole licence texts; a line that matches isn't counted again."""
+    texts = dict(licences.bodies())
+    cases = [
+        ("This file is licensed under the Apache License, Version 2.0 (the License)", 1, "Apache-2.0"), ("Copyright 2020 Foo. All rights reserved.", 1, "reserved"),
+        ("Some words before it. Released under\nthe MIT License. And some more words after it\nand so on", 1, "MIT"), ("one\nReleased under the MIT License.\ntwo three four five six", 1, "MIT"),
+        ("Released under the MIT License. " + "x y z " * 9 + "released under the MIT license", 2, "MIT"), ("head\n\n" + texts["MIT"] + "\nint main() {}", 1, "MIT"),
+        (words(50, 1) + texts["GPL-3.0"] + words(50, 2), 1, "GPL-3.0"), (words(900, 3), 0, ""), ("", 0, ""),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in licences.report(d).collect()}
+    assert [(rows[i].n_matches, rows[i].licences) for i in range(len(cases))] == [c[1:] for c in cases]
+
+
 def test_surrogates(spark, docs, empty):
     texts = ["Write to Ann.B@Mail.example.org, ann.b@mail.example.org or +1 (017) 555-7713.", "ann.b@mail.example.org 10.2.33.255 4111 1111 1111 1111", "Mrs. Anna Berg and Mr Тест Иванов", "no data v1.2", None, ""]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
