@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import fresh, with_struct
+from .shared import fresh, lean, with_struct
 
 SHINGLE = 3
 RESULT = T.StructType([
@@ -140,7 +140,7 @@ def _shingle_counts(docs: DataFrame, text: str, windows: Windows) -> dict[int, n
             k = np.flatnonzero(totals[s])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), s), pa.int32()), pa.array(k, pa.int32()), pa.array(totals[s][k])], names=["s", "k", "n"])
 
-    counted = docs.select(text).mapInArrow(run, "s int, k int, n long").groupBy("s", "k").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(lean(run), "s int, k int, n long").groupBy("s", "k").agg(F.sum("n").alias("n"))
     counts = {s: np.zeros(len(k), np.int64) for s, k in windows.shingles.items()}
     for s, k, n in counted.collect():  # as many rows at most as the group of items has shingles
         counts[s][k] = n
@@ -148,50 +148,54 @@ def _shingle_counts(docs: DataFrame, text: str, windows: Windows) -> dict[int, n
 
 
 def _matcher(shared, text_at: int):
-    def match(batch: pa.RecordBatch) -> dict:
+    def task():
         windows: Windows = shared.value
         lookups = {s: _Lookup(a[0]) for s, a in windows.anchors.items()}
-        n_words, hits, items = [], [], []
-        for lo, to, data, offsets in W.chunks(batch.column(text_at), lower=True):
-            w = W.find(data, offsets, W.NOT_ALNUM)
-            h = w.hashes()
-            starts, which = [], []
-            for s, (_, first, shift, window) in windows.anchors.items():
-                at, k = lookups[s].find(W.rolling(h, s))
-                ok = _inside(w, s, at)
-                at, k = at[ok], k[ok]
-                many = first[k + 1] - first[k]
-                row = np.repeat(first[k], many) + _ranges(many)
-                starts.append(np.repeat(at, many) - shift[row])
-                which.append(window[row])
-            start = np.concatenate([*starts, np.empty(0, np.int64)]).astype(np.int64)
-            window = np.concatenate([*which, np.empty(0, np.int64)]).astype(np.int64)
-            anchor_doc = np.searchsorted(w.first, np.maximum(start, 0), "right") - 1
-            ok = (start >= 0) & (start + windows.length[window] <= w.first[np.minimum(anchor_doc + 1, len(w.first) - 1)])
-            start, window = start[ok], window[ok]
-            for j in range(windows.words.shape[1]):
-                longer = windows.length[window] > j
-                same = ~longer
-                same[longer] = h[start[longer] + j] == windows.words[window[longer], j]
-                start, window = start[same], window[same]
-            same = [w.text(i, i + int(windows.length[k])) == windows.texts[k] for i, k in zip(start.tolist(), window.tolist(), strict=True)]
-            start, window = start[np.array(same, bool)], window[np.array(same, bool)]
-            doc = np.searchsorted(w.first, start, "right") - 1
-            by = np.argsort(doc, kind="stable")
-            cut = np.searchsorted(doc[by], np.arange(to - lo + 1))
-            n_words += np.diff(w.first).tolist()
-            for d in range(to - lo):
-                mine = by[cut[d] : cut[d + 1]]
-                if len(mine):
-                    covered = np.repeat(start[mine], windows.length[window[mine]]) + _ranges(windows.length[window[mine]])
-                    hits.append((np.unique(covered) - w.first[d]).tolist())
-                    items.append(sorted({i for k in set(window[mine].tolist()) for i in windows.items[k]}))
-                else:
-                    hits.append([])
-                    items.append([])
-        return {"n_words": n_words, "hits": hits, "items": items}
-
-    return match
+
+        def match(batch: pa.RecordBatch) -> dict:
+            n_words, hits, items = [], [], []
+            for lo, to, data, offsets in W.chunks(batch.column(text_at), lower=True):
+                w = W.find(data, offsets, W.NOT_ALNUM)
+                h = w.hashes()
+                starts, which = [], []
+                for s, (_, first, shift, window) in windows.anchors.items():
+                    at, k = lookups[s].find(W.rolling(h, s))
+                    ok = _inside(w, s, at)
+                    at, k = at[ok], k[ok]
+                    many = first[k + 1] - first[k]
+                    row = np.repeat(first[k], many) + _ranges(many)
+                    starts.append(np.repeat(at, many) - shift[row])
+                    which.append(window[row])
+                start = np.concatenate([*starts, np.empty(0, np.int64)]).astype(np.int64)
+                window = np.concatenate([*which, np.empty(0, np.int64)]).astype(np.int64)
+                anchor_doc = np.searchsorted(w.first, np.maximum(start, 0), "right") - 1
+                ok = (start >= 0) & (start + windows.length[window] <= w.first[np.minimum(anchor_doc + 1, len(w.first) - 1)])
+                start, window = start[ok], window[ok]
+                for j in range(windows.words.shape[1]):
+                    longer = windows.length[window] > j
+                    same = ~longer
+                    same[longer] = h[start[longer] + j] == windows.words[window[longer], j]
+                    start, window = start[same], window[same]
+                same = [w.text(i, i + int(windows.length[k])) == windows.texts[k] for i, k in zip(start.tolist(), window.tolist(), strict=True)]
+                start, window = start[np.array(same, bool)], window[np.array(same, bool)]
+                doc = np.searchsorted(w.first, start, "right") - 1
+                by = np.argsort(doc, kind="stable")
+                cut = np.searchsorted(doc[by], np.arange(to - lo + 1))
+                n_words += np.diff(w.first).tolist()
+                for d in range(to - lo):
+                    mine = by[cut[d] : cut[d + 1]]
+                    if len(mine):
+                        covered = np.repeat(start[mine], windows.length[window[mine]]) + _ranges(windows.length[window[mine]])
+                        hits.append((np.unique(covered) - w.first[d]).tolist())
+                        items.append(sorted({i for k in set(window[mine].tolist()) for i in windows.items[k]}))
+                    else:
+                        hits.append([])
+                        items.append([])
+            return {"n_words": n_words, "hits": hits, "items": items}
+
+        return match
+
+    return task
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, name: str = "found", group_bytes: int = 16 << 20) -> tuple[DataFrame, str]:

@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .decontaminate import _ranges
-from .shared import fresh, kept
+from .shared import fresh, kept, lean
 
 MER = 8
 #: Windows of a super-k-mer, at most: longer runs are cut.
@@ -233,12 +233,12 @@ def _compressed(df: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([z, *batch.columns[1:]], names=batch.schema.names)
 
     fields = {f.name: f for f in df.schema.fields}
-    return df.select(text, *rest).mapInArrow(run, T.StructType([T.StructField(text, T.BinaryType()), *[fields[c] for c in rest]]))
+    return df.select(text, *rest).mapInArrow(lean(run), T.StructType([T.StructField(text, T.BinaryType()), *[fields[c] for c in rest]]))
 
 
 def find_repeats(keyed: DataFrame, window: int) -> DataFrame:
     """(k1, k2, a, b): runs a to b - 1 of repeated windows of the texts ``keyed`` (k1, k2, text), lists for each text."""
-    found = keyed.select("k1", "k2", "text").mapInArrow(_find_super_kmers(window), "h long, p long, k1 long, k2 int, at long, places long")
+    found = keyed.select("k1", "k2", "text").mapInArrow(lean(_find_super_kmers(window)), "h long, p long, k1 long, k2 int, at long, places long")
     totals = found.groupBy("h").agg(F.count("*").alias("n"), F.sum("places").alias("m"), F.min("p").alias("lo"), F.max("p").alias("hi"))
     shared = totals.where("m > 1").select("h", F.expr("n > 1 and lo = hi").alias("same"))
     hits = kept(found.join(shared, "h").select("h", "p", "k1", "k2", "at", "same"), "super-kmers")
@@ -249,10 +249,10 @@ def find_repeats(keyed: DataFrame, window: int) -> DataFrame:
     wanted = strings.join(many, "h", "left").select("h", "p", "n", F.coalesce("many", F.lit(False)).alias("many"), "one.*")
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "p", "n", "many", "at")).alias("want"))
     texts = _compressed(keyed.select("k1", "k2", "text"), "text")
-    packed = wanted.join(texts, ["k1", "k2"]).select("text", "want").mapInArrow(_pack(window), "h long, p long, n long, many boolean, words binary")
+    packed = wanted.join(texts, ["k1", "k2"]).select("text", "want").mapInArrow(lean(_pack(window)), "h long, p long, n long, many boolean, words binary")
     packed = kept(packed, "strings")
-    few = packed.where("not many").select("h", "p", "n", "words").repartition("h").sortWithinPartitions("h", "p").mapInArrow(_count_in_buckets(window), "h long, p long, runs array<int>")
-    cut = packed.where("many").select("h", "p", "n", "words").mapInArrow(_cut_windows(window), "h long, p long, n long, i int, words binary")
+    few = packed.where("not many").select("h", "p", "n", "words").repartition("h").sortWithinPartitions("h", "p").mapInArrow(lean(_count_in_buckets(window)), "h long, p long, runs array<int>")
+    cut = packed.where("many").select("h", "p", "n", "words").mapInArrow(lean(_cut_windows(window)), "h long, p long, n long, i int, words binary")
     twice = cut.groupBy("words").agg(F.sum("n").alias("m")).where("m > 1").select("words")
     lots = cut.join(twice, "words").groupBy("h", "p").agg(F.flatten(F.transform(F.collect_list("i"), lambda i: F.array(i, i + 1))).alias("runs"))
     runs = few.unionByName(lots)
@@ -278,7 +278,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = _compressed(keyed, text).join(repeats.toDF(k1, k2, a, b), [k1, k2], "left").select(text, a, b, *rest)
     fields = {f.name: f for f in docs.schema.fields}
     schema = T.StructType([*[fields[c] for c in rest], T.StructField(name, RESULT)])
-    return joined.mapInArrow(_remove(window, keep_text), schema), name
+    return joined.mapInArrow(lean(_remove(window, keep_text)), schema), name
 
 
 def report(docs: DataFrame, window: int = 35) -> DataFrame:

@@ -44,8 +44,32 @@ def drop_kept(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def lean(run):
+    """``run``, a function for ``mapInArrow``, that gives its memory back to the machine when its task ends.
+
+    Python workers are used again by later stages; what an allocator keeps for
+    itself would add up over them.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        from . import words
+
+        try:
+            yield from run(batches)
+        finally:
+            words.forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -56,18 +80,22 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
-def with_struct(df: DataFrame, name: str, struct: T.StructType, function) -> DataFrame:
-    """``df`` and a struct column that ``function(record batch) -> dict of arrays`` makes; keeps all columns."""
+def with_struct(df: DataFrame, name: str, struct: T.StructType, task) -> DataFrame:
+    """``df`` and a struct column; keeps all columns.
+
+    ``task()`` gives the function of one task, which turns a record batch into a dict of arrays.
+    """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     fields = list(to_arrow_schema(struct))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = task()
         for batch in batches:
             made = function(batch)
             arrays = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in fields]
             column = pa.StructArray.from_arrays([a.cast(f.type) for a, f in zip(arrays, fields, strict=True)], fields=fields)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, struct)]))
+    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField(name, struct)]))

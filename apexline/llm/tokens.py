@@ -29,6 +29,7 @@ table gives an empty file.  No text is cut.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,14 +40,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from . import words as W
+from .shared import lean, new_path
 
 BLOCK = 1024
 PERCENTILE = 99
 #: Ids at which a segment ends after the document it is in.
-SEGMENT_IDS = 1 << 19
+SEGMENT_IDS = 1 << 18
 #: Words whose ids a task remembers, at least; twice as many at most.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
+#: Bytes of text whose pieces are told apart at once.
+CHUNK = 1 << 20
 FILE = "part int, segment int, first long, doc_ids array<bigint>, n_tokens array<bigint>, n_ids long, payload binary"
 
 
@@ -136,10 +140,15 @@ def decode(payload: bytes, n_ids: int, lo: int = 0, hi: int | None = None) -> np
     return out.reshape(-1)[lo - first * BLOCK : hi - first * BLOCK]
 
 
-# Words of printable ASCII and Latin letters, whose normal form, pieces and bytes are plain; all others go through the library whole.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ňŊ-ſ]+")
-_LETTER = r"a-zß-öø-ſ"
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^0-9{_LETTER}]+")
+# Bytes of words that are cut into pieces by numpy: printable ASCII and the two-byte letters from U+00C0 to U+00FF, which are their own normal form.
+# Any other word (with an apostrophe, another script, what may begin a special token) goes through the library whole.
+_LETTER, _DIGIT, _SIGN, _OTHER, _LEAD = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x27] = _OTHER
+_CLASS[0xC3] = _LEAD
 
 
 def _byte_letters() -> dict[int, str]:
@@ -167,11 +176,19 @@ class _Recent(dict):
         return value
 
 
+#: What a tokenizer file must say for words to be encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class Encoder:
-    """Ids of UTF-8 texts as little-endian u32, equal to the library's ``encode(text, add_special_tokens=False)``.
+    """Ids of UTF-8 texts, equal to the library's ``encode(text, add_special_tokens=False)``.
 
-    For vocabularies that, like word_bpe_49k, never join what white space
-    parts: texts are cut at ASCII white space, and the ids of words remembered.
+    A file whose normaliser and pre-tokeniser are those above never joins what
+    white space parts, so its texts are cut at ASCII white space, each distinct
+    word of a chunk is encoded once, and the ids are laid out by numpy.  Texts of
+    any other file go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -184,62 +201,116 @@ class Encoder:
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.words = _Recent(self._word, REMEMBERED)
-        self.pieces = _Recent(self._piece, REMEMBERED // 2)
-
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
-            piece = "".join([self.letters[b] for b in piece.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return b"".join([self.pieces[p] for p in _PIECES.findall(text.lower())])
+        self.words = _Recent(self._word, REMEMBERED // 4)
+        self.pieces = _Recent(self._piece, REMEMBERED)
+        self.begins = [np.frombuffer(x.encode()[:2].ljust(2), np.uint8) for x in self.special]
+        plain = all(not t.normalized and not t.lstrip and not t.rstrip and not re.search(r"\s", t.content) for t in self.library.get_added_tokens_decoder().values())
+        how = lambda part: json.loads(part.__getstate__()) if part is not None else None
+        self.by_words = plain and how(self.library.normalizer) == _NORMALIZER and how(self.library.pre_tokenizer) == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]} and type(self.model).__name__ == "BPE"
+
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode() if piece.isascii() else "".join([self.letters[b] for b in piece])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
+
+    def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    """One for each Python worker, so that a task profits from what earlier ones remember."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    def _word(self, word: bytes) -> bytes:
+        return self._whole(word.decode())
+
+    def _cut(self, w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(lower-case bytes of the words without what is between them, begins of pieces or whole words in these, which are whole words, the first piece of each text)."""
+        size = w.end - w.start
+        first = np.cumsum(size) - size  # where the words begin
+        data = w.bytes_[np.repeat(w.start - first, size) + np.arange(int(size.sum()))]
+        kind = _CLASS[data]
+        lead = np.flatnonzero(kind == _LEAD)  # always followed by a byte of the same character
+        second = data[lead + 1]
+        fine = (second != 0x97) & (second != 0xB7)
+        kind[lead], kind[lead + 1] = np.where(fine, _LETTER, _OTHER), np.where(fine, _LETTER, _OTHER)
+        odd = kind == _OTHER
+        for a, b in self.begins:
+            odd[:-1] |= (data[:-1] == a) & (data[1:] == b)
+        odd_words = np.add.reduceat(odd, first, dtype=np.int64) > 0
+        cut = np.ones(len(data), bool)
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        cut[np.repeat(odd_words, size)] = False
+        cut[first] = True
+        lower = W.LOWER[data]
+        upper = lead[fine & (second < 0x9F)] + 1
+        lower[upper] = data[upper] + 0x20
+        # Whole words keep their case, for the library.
+        whole = np.repeat(odd_words, size)
+        lower[whole] = data[whole]
+        begin = np.flatnonzero(cut)
+        at_text = np.searchsorted(begin, np.append(first, len(data)))[w.first]
+        return lower, begin, odd_words[np.searchsorted(first, begin, "right") - 1], at_text
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts ``data[offsets[d]:offsets[d + 1]]``, how many each has)."""
+        if not self.by_words:
+            ids = [self._whole(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return np.frombuffer(b"".join(ids), "<u4"), np.array([len(i) // 4 for i in ids], np.int64)
+        w = W.find(data, offsets)
+        if not len(w.start):
+            return np.empty(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
+        lower, begin, whole, text_first = self._cut(w)
+        edges = np.append(begin, len(lower)).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(lower)])
+        # Each distinct piece is encoded once; a whole word may look like a piece, so the two are told apart.
+        flat, sizes, at, known = [], [], np.empty(len(begin), np.int64), 0
+        for which, memo in ((np.flatnonzero(~whole), self.pieces), (np.flatnonzero(whole), self.words)):
+            if len(which):
+                some = (runs if len(which) == len(runs) else runs.take(pa.array(which))).dictionary_encode()
+                ids = [memo[x] for x in some.dictionary.to_pylist()]
+                flat += ids
+                sizes += map(len, ids)
+                at[which] = np.asarray(some.indices) + known
+                known += len(ids)
+        flat, sizes = np.frombuffer(b"".join(flat), "<u4"), np.array(sizes, np.int64) // 4
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - counts), counts)
+        return flat[place + np.arange(len(place))], np.diff(np.append(0, ends)[text_first])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the ids of all documents, ``end_id`` after each, to ``path`` in ascending ``doc_id`` order."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
-        segment, before, doc_ids, held = 0, 0, [], []
+        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        segment, before, doc_ids, n_tokens, held, size = 0, 0, [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            values = [part, segment, before, doc_ids, [len(h) // 4 for h in held], len(ids), encode(ids)]
+            ids = np.concatenate(held)
+            values = [[part], [segment], [before], [pa.concat_arrays(doc_ids)], [np.concatenate(n_tokens)], [len(ids)], [encode(ids)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["part", "segment", "first", "doc_ids", "n_tokens", "n_ids", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["part", "segment", "first", "doc_ids", "n_tokens", "n_ids", "payload"])
 
-        size = 0
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                doc_ids.append(d)
-                held.append((encoder(t.as_py()) if t.is_valid else b"") + end)
-                size += len(held[-1]) // 4
-                if size >= SEGMENT_IDS:
-                    yield row()
-                    segment, before, doc_ids, held, size = segment + 1, before + size, [], [], 0
+            for lo, to, data, offsets in W.chunks(batch.column(1), size=CHUNK):
+                found, counts = encoder(data, offsets)
+                # The end id after each document's own.
+                own, ids = np.arange(len(found)) + np.repeat(np.arange(to - lo), counts), np.full(len(found) + to - lo, end_id, "<u4")
+                ids[own] = found
+                counts = counts + 1
+                ends, at = np.cumsum(counts), 0
+                while at < to - lo:
+                    done = int(ends[at - 1]) if at else 0
+                    stop = min(to - lo, int(np.searchsorted(ends, done + SEGMENT_IDS - size)) + 1)
+                    doc_ids.append(batch.column(0).slice(lo + at, stop - at))
+                    n_tokens.append(counts[at:stop])
+                    held.append(ids[done : int(ends[stop - 1])])
+                    size += len(held[-1])
+                    at = stop
+                    if size >= SEGMENT_IDS:
+                        yield row()
+                        segment, before, doc_ids, n_tokens, held, size = segment + 1, before + size, [], [], [], 0
         if held:
             yield row()
 
-    ordered = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange("d").sortWithinPartitions("d", "t")
-    ordered.mapInArrow(run, FILE).write.parquet(path)
+    ordered = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange("d", F.xxhash64("t")).sortWithinPartitions("d", F.xxhash64("t"), "t")
+    ordered.select("d", "t").mapInArrow(lean(run), FILE).write.parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -272,7 +343,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
     columns = read_segments(spark, path).select("start", "doc_ids", "n_tokens", "n_ids", "payload")
-    return columns.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * ids)
+    return columns.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * ids)
 
 
 def default_tokenizer() -> str:

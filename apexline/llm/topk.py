@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import kept
+from .shared import kept, lean
 
 BLOCK, QUERIES = 4096, 512
 SAMPLE = 4096
@@ -96,7 +96,7 @@ def _pack(rotations, size: int):
 def _blocks(ints: DataFrame, rotations, size: int) -> DataFrame:
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     ordered = ints.withColumns({"dim": F.size("v"), "norm": norm}).repartitionByRange("dim", F.desc("norm"), "id").sortWithinPartitions("dim", F.desc("norm"), "id")
-    return kept(ordered.select("id", "v").mapInArrow(_pack(rotations, size), BLOCKS), "blocks")
+    return kept(ordered.select("id", "v").mapInArrow(lean(_pack(rotations, size)), BLOCKS), "blocks")
 
 
 def best_of(q_ids, q, q_first, q_rest, floor, ids, v, first, rest, k: int) -> list[tuple[int, int, int]]:
@@ -165,7 +165,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     # The longest vectors of each dimension give every query a k-th best to start from.
     longest = blocks.groupBy("dim").agg(F.max_by("block", F.struct("most", -F.col("block"))).alias("block"))
     seed = blocks.join(longest, ["dim", "block"]).join(asked.withColumn("floor", F.lit(None).cast("binary")), "dim")
-    seed = kept(best(seed.mapInArrow(_score(k), FOUND)), "seed")
+    seed = kept(best(seed.mapInArrow(lean(_score(k)), FOUND)), "seed")
     floors = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
 
     def with_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,14 +182,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
                 own = np.frombuffer(ids, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([b] * len(own), pa.int64()), pa.array(own)], names=["q_block", "query_id"])
 
-    known = asked.select("q_block", "q_ids").mapInArrow(members, "q_block long, query_id long").join(floors, "query_id", "left")
+    known = asked.select("q_block", "q_ids").mapInArrow(lean(members), "q_block long, query_id long").join(floors, "query_id", "left")
     known = known.groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "floor"))).alias("known"))
-    asked = kept(asked.join(asked.select("q_block", "q_ids").join(known, "q_block").mapInArrow(with_floors, "q_block long, floor binary, lowest double"), "q_block"), "asked")
+    asked = kept(asked.join(asked.select("q_block", "q_ids").join(known, "q_block").mapInArrow(lean(with_floors), "q_block long, floor binary, lowest double"), "q_block"), "asked")
     # Pairs of blocks as numbers only, then those left with their data.
     small = asked.select("dim", "q_block", "q_most", "lowest")
     pairs = blocks.select("dim", "block", "most").join(longest.select(F.col("block")), "block", "left_anti").join(small, "dim").where("q_most * most * (1 + 1e-9) + 1e-6 >= lowest").select("block", "q_block")
     pairs = pairs.join(blocks, "block").join(asked.drop("dim"), "q_block").repartition("block", "q_block")
-    found = seed.select("query_id", "vec_id", "score").unionByName(pairs.mapInArrow(_score(k), FOUND))
+    found = seed.select("query_id", "vec_id", "score").unionByName(pairs.mapInArrow(lean(_score(k)), FOUND))
     return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -161,15 +161,17 @@ def score(docs: DataFrame, labelled: DataFrame, text: str = "text", name: str =
         return docs.withColumn(name, F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("windows"))), name
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
-    memos: list[_Recent] = []
 
-    def run(batch: pa.RecordBatch) -> dict:
-        if not memos:
-            memos.append(_Recent(shared.value.gains, 200_000))
-        scores, windows = shared.value(batch.column(at).to_pylist(), memos[0])
-        return {"score": scores, "windows": windows}
+    def task():
+        memo = _Recent(shared.value.gains, 200_000)
 
-    return with_struct(docs, name, RESULT, run), name
+        def run(batch: pa.RecordBatch) -> dict:
+            scores, windows = shared.value(batch.column(at).to_pylist(), memo)
+            return {"score": scores, "windows": windows}
+
+        return run
+
+    return with_struct(docs, name, RESULT, task), name
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

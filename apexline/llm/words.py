@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -57,6 +57,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+def forget() -> None:
+    """Drop what is remembered between calls."""
+    _powers.clear()
+
+
 @dataclass
 class Words:
     """Words of the texts of one chunk; ``first[d]:first[d + 1]`` are those of text d."""
@@ -117,8 +122,8 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
-def chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) of runs of texts of about CHUNK_BYTES; null is empty."""
+def chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets) of runs of texts of about ``size``; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if pa.types.is_large_string(texts.type):
@@ -134,7 +139,7 @@ def chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         piece = data[offsets[at] : offsets[to]]
         yield at, to, LOWER[piece] if lower else piece, offsets[at : to + 1] - offsets[at]
         at = to
