@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import relabel
 from .decontaminate import _ranges
-from .shared import fresh, kept
+from .shared import fresh, kept, lean
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -53,6 +53,8 @@ REGISTERS = BANDS * ROWS
 #: Base and rate of SetSketch; registers are 16 bits wide.
 BASE, RATE = 1.001, 20.0
 CELL = 128
+#: Points that are drawn at once.
+DRAWN = 1 << 18
 #: Bins of the parity bits of a set.
 BINS = 2048
 MARGIN = 14.0
@@ -93,12 +95,15 @@ def registers(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     step, many = 0, 1
     while len(active):
         t = np.arange(step + 1, step + many + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        r = W.mix(values[active][:, None] + t)
-        points = -np.log(((r >> np.uint64(24)) + np.uint64(1)) * 2.0**-40) / REGISTERS
-        points = np.cumsum(points, axis=1) + x[active][:, None]
-        place = text[active][:, None] * REGISTERS + ((r & np.uint64(0xFFFFFF)) % np.uint64(REGISTERS)).astype(np.int64)
-        np.minimum.at(least, place.ravel(), points.ravel())
-        x[active] = points[:, -1]
+        rows = max(1, DRAWN // many)
+        for lo in range(0, len(active), rows):  # so many points at once, however many elements there are
+            some = active[lo : lo + rows]
+            r = W.mix(values[some][:, None] + t)
+            points = -np.log(((r >> np.uint64(24)) + np.uint64(1)) * 2.0**-40) / REGISTERS
+            points = np.cumsum(points, axis=1) + x[some][:, None]
+            place = text[some][:, None] * REGISTERS + ((r & np.uint64(0xFFFFFF)) % np.uint64(REGISTERS)).astype(np.int64)
+            np.minimum.at(least, place.ravel(), points.ravel())
+            x[some] = points[:, -1]
         sets = np.unique(text[active])
         bound = np.zeros(n)
         bound[sets] = least.reshape(n, REGISTERS)[sets].max(axis=1)
@@ -259,25 +264,25 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, k1, k2, n, label, component) for each row of ``docs``; label tells classes apart."""
     rows = _keys(docs, doc_id, text)
-    sketches = kept(rows.mapInArrow(_sketch, "doc_id long, k1 long, k2 int, node long, n long, sketch binary"), "sketches")
+    sketches = kept(rows.mapInArrow(lean(_sketch), "doc_id long, k1 long, k2 int, node long, n long, sketch binary"), "sketches")
     nodes = kept(sketches.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    bands = nodes.select("node", "sketch").mapInArrow(_bands, "node long, bucket long")
+    bands = nodes.select("node", "sketch").mapInArrow(lean(_bands), "node long, bucket long")
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", "bucket")).alias("centre")).where("size > 1")
     members = kept(bands.join(buckets, "bucket").select("bucket", "node", "size", "centre"), "members")
     # The texts of the nodes that share a bucket: of equal texts the first row's.
     wanted = members.select("node").distinct().join(sketches, "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.*")
-    texts = rows.where("text is not null").select("k1", "k2", "text").mapInArrow(_compress, "k1 long, k2 int, z binary")
+    texts = rows.where("text is not null").select("k1", "k2", "text").mapInArrow(lean(_compress), "k1 long, k2 int, z binary")
     texts = kept(texts.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "z"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.toDF("a", "za"), "a").join(texts.toDF("b", "zb"), "b").select("a", "b", "za", "zb")
-        return kept(pairs.mapInArrow(_verify(percent), "a long, b long"), "links")
+        return kept(pairs.mapInArrow(lean(_verify(percent)), "a long, b long"), "links")
 
     stars = members.where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     stars = stars.join(nodes.toDF("a", "na", "sa"), "a").join(nodes.toDF("b", "nb", "sb"), "b")
     stars = stars.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
     labels = docs.sparkSession.createDataFrame([], "node long, label long")
-    labels = relabel(labels, verified(stars.mapInArrow(_likely(percent), "a long, b long")))
+    labels = relabel(labels, verified(stars.mapInArrow(lean(_likely(percent)), "a long, b long")))
     cells = F.ceil(F.col("size") / CELL).cast("int")
     crowd = members.where("size > 2").select("bucket", "node", cells.alias("cells"), F.pmod(F.xxhash64("node"), cells).cast("int").alias("cell"))
     lo, hi = 0, 0  # cells at these distances meet
@@ -292,7 +297,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         steps = F.flatten(F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda d: F.array(F.col("cell") + d, F.col("cell") - d)))
         left = one.where("open").select("bucket", "main", F.col("cell_nodes").alias("left"), F.explode(F.array_distinct(F.transform(steps, lambda c: F.pmod(c, F.col("cells"))))).alias("cell"))
         met = left.join(one.select("bucket", "cell", F.col("cell_nodes").alias("right")), ["bucket", "cell"]).select("main", "left", "right")
-        labels = relabel(labels, verified(met.mapInArrow(_meet(percent), "a long, b long").distinct()))
+        labels = relabel(labels, verified(met.mapInArrow(lean(_meet(percent)), "a long, b long").distinct()))
         crowd = now.select("bucket", "node", "cells", "cell")
         lo, hi = hi + 1, 8 * hi + 7
     found = sketches.join(labels, "node", "left").select("doc_id", "k1", "k2", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
