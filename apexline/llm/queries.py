@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,8 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.report(_t(spark, sf_dir, "documents"))
+    # The secret is the cluster's; without one a run has its own, which nobody keeps.
+    return surrogates.report(_t(spark, sf_dir, "documents"), spark.conf.get("spark.apexline.surrogates.key", None) or secrets.token_hex(32))
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
