@@ -11,8 +11,8 @@ Windows of the whole text's words, as long as a template, find notices that are
 wrapped over lines or stand inside longer ones, and whole licence texts
 (``bodies``).  A window is laid wherever a bigram that a template has once stands
 in its place.  A coefficient of ``least`` needs least / (2 - least) of the template's
-bigrams, so texts with fewer of them are pruned first.  Of overlapping windows of
-a template the best one counts, and none that a matching line or the text
+bigrams, so texts with fewer of them, or without any of the few words that so many
+bigrams can't do without, are pruned first.  Of overlapping windows of a template the best one counts, and none that a matching line or the text
 as a whole overlaps.
 
 The templates are a parameter and part of the plan, so they are bounded:
@@ -83,68 +83,99 @@ def _window_table(templates: list[tuple[str, str]], lined: set[str]) -> Column:
     return F.array(*rows)
 
 
-def _windows(whole: Column, words, templates: list[tuple[str, str]], lined: set[str], least: float) -> Column:
-    """Structs (licence, dice) of the windows that match; ``lined``: texts that lines are compared to."""
-    let = lambda value, f: F.transform(F.array(value), f)[0]
-    run = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    dice = lambda s, b: F.size(F.array_intersect(s, b)) * F.lit(2.0) / (F.size(s) + F.size(b))
-    share = least / (2 - least) - 1e-9
-    nothing = F.expr("cast(array() as array<struct<licence string, dice double>>)")
-    places = F.expr("cast(array() as array<struct<bad double, at int>>)")
+def needed(text: str, least: float) -> list[str]:
+    """Words of a template, long ones first, of which every match has at least one.
 
-    def covered(x, t):
-        """Whether a line over the window's place, or the whole text, matches the same template."""
-        lines = F.transform(F.split(whole, "\n"), words)
-        ends = lambda ls, k: F.aggregate(F.slice(ls, F.lit(1), k), F.lit(0), lambda n, v: n + F.size(v))
-        met = lambda ls: F.filter(ls, lambda v, k: (ends(ls, k) < x["at"] + t["m"]) & (ends(ls, k) + F.size(v) > x["at"]))
-        like = lambda v: dice(F.array_distinct(run(v)), t["b"]) >= least
-        return t["lined"] & let(lines, lambda ls: F.exists(met(ls), like) | like(F.flatten(ls)))
+    A match has least / (2 - least) of the template's bigrams; the words are as
+    many as it takes until fewer bigrams have none of them.
+    """
+    left, out = set(bigrams(text)), []
+    most = least / (2 - least) * len(left) - 1e-9
+    for w in sorted(set(words_of(text)), key=lambda w: (-len(w), w)):
+        if len(left) < most:
+            break
+        rest = {b for b in left if w not in b.split(" ")}
+        if len(rest) < len(left):
+            left, out = rest, [*out, w]
+    return out
 
-    def found(p, t):
-        at = F.filter(F.transform(p, lambda x, i: i - F.get(t["o"], F.array_position(t["a"], x).cast("int"))), lambda i: i.isNotNull())
-        starts = F.array_distinct(F.transform(at, lambda i: F.greatest(i, F.lit(0))))
-        scored = F.transform(starts, lambda i: F.struct((-dice(F.array_distinct(F.slice(p, i + 1, t["m"] - 1)), t["b"])).alias("bad"), i.alias("at")))
-        good = F.array_sort(F.filter(scored, lambda x: x["bad"] <= -least))
-        apart = F.aggregate(good, places, lambda got, x: F.when(F.exists(got, lambda y: F.abs(y["at"] - x["at"]) < t["m"]), got).otherwise(F.concat(got, F.array(x))))
-        return F.transform(F.filter(apart, lambda x: ~covered(x, t)), lambda x: F.struct(t["licence"].alias("licence"), (-x["bad"]).alias("dice")))
 
-    def tier(p, some):
-        sets = [bigrams(t) for _, t in some]
-        if not sets:
-            return nothing
-        enough = lambda hits, t: (F.size(hits) >= F.size(t["b"]) * share) & (F.size(F.array_intersect(t["b"], hits)) >= F.size(t["b"]) * share)
-        near = let(F.array_intersect(p, _strings(sorted(set().union(*sets)))), lambda hits: F.filter(_window_table(some, lined), lambda t: enough(hits, t)))
-        return F.when(F.size(p) >= min(map(len, sets)) * share, F.flatten(F.transform(near, lambda t: found(p, t)))).otherwise(nothing)
+def _in(array: str, values: set[str], function: str) -> Column:
+    """``exists`` or ``filter`` of those elements that are among ``values`` (letters, digits and blanks), by a hash set in the plan."""
+    return F.expr(f"{function}(`{array}`, x -> x in ({', '.join(repr(v) for v in sorted(values))}))")
+
 
-    short, long_ = ([x for x in templates if bigrams(x[1]) and (len(bigrams(x[1])) > LONG) == far] for far in (False, True))
-    return let(run(words(whole)), lambda p: F.concat(tier(p, short), tier(p, long_)))
+def let(value: Column, f) -> Column:
+    """``f(value)``, with the value worked out once."""
+    return F.transform(F.array(value), f)[0]
 
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, least: float = 0.8, name: str = "licences") -> tuple[DataFrame, str]:
     """``docs`` and an array column (its name is the second result) of structs (licence, dice), one for each segment or window that matches a template."""
-    own = {k: b for k, t in (TEMPLATES if templates is None else templates).items() if (b := bigrams(t))}
-    laid = list((TEMPLATES if templates is None else templates).items()) + (bodies() if templates is None else [])
+    given = TEMPLATES if templates is None else templates
+    own = {k: b for k, t in given.items() if (b := bigrams(t))}
+    laid = [(k, t) for k, t in [*given.items(), *(bodies() if templates is None else [])] if bigrams(t)]
     if sum(len(bigrams(t)) for _, t in laid) > MOST_WORDS:
         raise ValueError(f"templates have more than {MOST_WORDS} words")
     name = fresh(docs, name)
+    nothing = F.expr("cast(array() as array<struct<licence string, dice double>>)")
     if not own:
-        return docs.withColumn(name, F.expr("cast(array() as array<struct<licence string, dice double>>)")), name
+        return docs.withColumn(name, nothing), name
     table = F.array(*[F.struct(F.lit(k).alias("licence"), F.array(*map(F.lit, b)).alias("b")) for k, b in own.items()])
     fewest, most = least / (2 - least) * min(map(len, own.values())), (2 - least) / least * max(map(len, own.values()))
-    words = lambda s: F.filter(F.split(F.regexp_replace(F.translate(s, UPPER, SMALL), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    share = least / (2 - least) - 1e-9
+    places = F.expr("cast(array() as array<struct<bad double, at int>>)")
+    words = lambda s: F.filter(F.split(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+    run = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    dice = lambda s, b: F.size(F.array_intersect(s, b)) * F.lit(2.0) / (F.size(s) + F.size(b))
     whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(whole, "\n")
-    segments = F.concat(lines, F.when(F.size(lines) > 1, F.array(whole)).otherwise(F.array().cast("array<string>")))
-    cut = F.filter(F.transform(segments, words), lambda w: F.size(w) - 1 >= max(1.0, fewest))
-    sets = F.filter(F.transform(cut, pairs), lambda s: F.size(s) <= most)
+
+    # A text's words are made once; a text without any word that a match needs has no matches.
+    all_words, some, pairs, hits = (fresh(docs, c) for c in ("words", "some", "pairs", "hits"))
+    staged = docs.withColumn(all_words, words(whole))
+    staged = staged.withColumn(some, _in(all_words, {w for _, t in laid for w in needed(t, least)}, "exists"))
+    staged = staged.withColumn(pairs, F.when(F.col(some), run(F.col(all_words))))
+    staged = staged.withColumn(hits, F.array_distinct(_in(pairs, {b for _, t in laid for b in bigrams(t)}, "filter")))
 
     def match(s: Column) -> Column:
         near = F.filter(table, lambda t: (F.size(s) * (2 - least) >= F.size(t["b"]) * least) & (F.size(t["b"]) * (2 - least) >= F.size(s) * least))
-        scored = F.transform(near, lambda t: F.struct(t["licence"].alias("licence"), (F.size(F.array_intersect(s, t["b"])) * F.lit(2.0) / (F.size(s) + F.size(t["b"]))).alias("dice")))
+        scored = F.transform(near, lambda t: F.struct(t["licence"].alias("licence"), dice(s, t["b"]).alias("dice")))
         return F.filter(scored, lambda x: x["dice"] >= least)
 
-    return docs.withColumn(name, F.concat(F.flatten(F.transform(sets, match)), _windows(whole, words, laid, set((TEMPLATES if templates is None else templates).values()), least))), name
+    def segments(lines: Column) -> Column:
+        """Matches of the lines, and of the whole text if it has several."""
+        every = F.concat(F.transform(lines, words), F.when(F.size(lines) > 1, F.array(F.col(all_words))).otherwise(F.array().cast("array<array<string>>")))
+        cut = F.filter(every, lambda w: F.size(w) - 1 >= max(1.0, fewest))
+        sets = F.filter(F.transform(cut, lambda w: F.array_distinct(run(w))), lambda s: F.size(s) <= most)
+        return F.flatten(F.transform(sets, match))
+
+    def covered(x, t):
+        """Whether a line over the window's place, or the whole text, matches the same template."""
+        ends = lambda ls, k: F.aggregate(F.slice(ls, F.lit(1), k), F.lit(0), lambda n, v: n + F.size(v))
+        met = lambda ls: F.filter(ls, lambda v, k: (ends(ls, k) < x["at"] + t["m"]) & (ends(ls, k) + F.size(v) > x["at"]))
+        like = lambda v: dice(F.array_distinct(run(v)), t["b"]) >= least
+        return t["lined"] & let(F.transform(F.split(whole, "\n"), words), lambda ls: F.exists(met(ls), like) | like(F.col(all_words)))
+
+    def found(t):
+        p = F.col(pairs)
+        at = F.filter(F.transform(p, lambda x, i: i - F.get(t["o"], F.array_position(t["a"], x).cast("int"))), lambda i: i.isNotNull())
+        starts = F.array_distinct(F.transform(at, lambda i: F.greatest(i, F.lit(0))))
+        scored = F.transform(starts, lambda i: F.struct((-dice(F.array_distinct(F.slice(p, i + 1, t["m"] - 1)), t["b"])).alias("bad"), i.alias("at")))
+        good = F.array_sort(F.filter(scored, lambda x: x["bad"] <= -least))
+        apart = F.aggregate(good, places, lambda got, x: F.when(F.exists(got, lambda y: F.abs(y["at"] - x["at"]) < t["m"]), got).otherwise(F.concat(got, F.array(x))))
+        return F.transform(F.filter(apart, lambda x: ~covered(x, t)), lambda x: F.struct(t["licence"].alias("licence"), (-x["bad"]).alias("dice")))
+
+    def tier(chosen) -> Column:
+        sets = [bigrams(t) for _, t in chosen]
+        if not sets:
+            return nothing
+        enough = lambda t: (F.size(hits) >= F.size(t["b"]) * share) & (F.size(F.array_intersect(t["b"], F.col(hits))) >= F.size(t["b"]) * share)
+        near = F.filter(_window_table(chosen, set(given.values())), enough)
+        return F.when(F.size(hits) >= min(map(len, sets)) * share, F.flatten(F.transform(near, found))).otherwise(nothing)
+
+    short, long_ = ([x for x in laid if (len(bigrams(x[1])) > LONG) == far] for far in (False, True))
+    result = F.when(F.col(some), F.concat(let(F.split(whole, "\n"), segments), tier(short), tier(long_))).otherwise(nothing)
+    return staged.withColumn(name, result).select(*docs.columns, name), name
 
 
 def report(docs: DataFrame) -> DataFrame:
