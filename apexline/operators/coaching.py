@@ -75,7 +75,7 @@ def corner_grip(samples: DataFrame, corners: DataFrame, envelope: DataFrame) ->
     """(rec, lap_id, cid, grip): median total g in a corner against the envelope, at most 1.1; 0 where it has no sample."""
     met = samples.join(corners.select(*CORNER, "enter", "exit"), LAP).where((F.col("dist") >= F.col("enter")) & (F.col("dist") <= F.col("exit")))
     g = met.groupBy(*CORNER).agg(F.median(F.sqrt(F.col("lat_g") ** 2 + F.col("long_g") ** 2)).alias("g"))
-    out = corners.select(*CORNER).join(g, CORNER, "left").join(F.broadcast(envelope), REC)  # a row for each recording
+    out = corners.select(*CORNER).join(g, CORNER, "left").join(envelope, REC)
     return out.select(*CORNER, F.round(F.coalesce(F.least(F.col("g") / F.col("envelope_g"), F.lit(1.1)), F.lit(0.0)), 4).alias("grip"))
 
 

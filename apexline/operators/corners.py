@@ -28,7 +28,7 @@ def pooled(curves: DataFrame, lengths: DataFrame) -> DataFrame:
     """(rec, i, s_m, kappa): median over laps on cells of CELL metres; ``lengths`` (rec, length)."""
     n = F.greatest(F.bround(F.col("length") / CONFIG.corner_cell_m), F.lit(16)).cast("int")
     total = curves.groupBy(*LAP).agg(F.max("dist").alias("total"), F.count("*").alias("n")).where("n >= 8")
-    cells = total.select(*LAP, "total").join(F.broadcast(lengths.select("rec", "length", n.alias("cells"))), REC)  # a row for each recording
+    cells = total.select(*LAP, "total").join(lengths.select("rec", "length", n.alias("cells")), REC)
     grid = cells.select(*LAP, "total", "length", "cells", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("i"))
     grid = grid.select(*LAP, (F.col("i") / (F.col("cells") - 1) * F.col("total")).alias("dist"), "i", (F.col("i") / (F.col("cells") - 1) * F.col("length")).alias("s_m"))
     return interp_join(curves, grid, LAP, "dist", ["kappa"]).groupBy("rec", "i").agg(F.max("s_m").alias("s_m"), F.median("kappa").alias("kappa"))
@@ -38,7 +38,7 @@ def otsu(values: DataFrame, value: str = "kappa", bins: int = CONFIG.otsu_bins)
     """(rec, threshold): the split of the logarithm's histogram with the largest variance between its sides, the first of equals."""
     logs = values.select("rec", F.log10(F.greatest(F.abs(value), F.lit(CONFIG.kappa_floor))).alias("q"))
     box = logs.groupBy(*REC).agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
-    placed = logs.join(F.broadcast(box), REC).withColumn("b", F.least(F.floor((F.col("q") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0) * bins), F.lit(bins - 1)).cast("int"))
+    placed = logs.join(box, REC).withColumn("b", F.least(F.floor((F.col("q") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0) * bins), F.lit(bins - 1)).cast("int"))
     counts = placed.groupBy("rec", "b", "lo", "hi").agg(F.count("*").alias("n"))
     all_bins = box.select("rec", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("b"))
     hist = all_bins.join(counts.select("rec", "b", "n"), ["rec", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -57,7 +57,7 @@ def detect(profile: DataFrame, thresholds: DataFrame) -> DataFrame:
     Runs above the low level that reach the high one, cut where the sign
     changes; near ones of a direction are one corner; short or slight ones go.
     """
-    p = profile.join(F.broadcast(thresholds.select("rec", "threshold")), REC)
+    p = profile.join(thresholds.select("rec", "threshold"), REC)
     w = along(REC, "i")
     step = F.coalesce(F.col("s_m") - F.lag("s_m").over(w), F.lit(0.0))
     p = p.withColumns({"sign": F.signum("kappa"), "_area": (F.col("kappa") + F.lag("kappa").over(w)) / 2 * step})
@@ -78,7 +78,7 @@ def segments(samples: DataFrame, corners: DataFrame, lengths: DataFrame) -> Data
     flat = F.flatten(F.transform("cs", lambda c: F.array(c["enter"], c["exit"])))
     edges = edges.select("rec", F.concat(F.array(F.lit(0.0)), flat, F.array("length")).alias("edges"), "length")
     total = samples.groupBy(*LAP).agg(F.max("dist").alias("total"))
-    grid = total.join(F.broadcast(edges), REC).select(*LAP, "total", "length", F.posexplode("edges").alias("part", "s"))
+    grid = total.join(edges, REC).select(*LAP, "total", "length", F.posexplode("edges").alias("part", "s"))
     at = interp_join(samples, grid.select(*LAP, (F.col("s") / F.col("length") * F.col("total")).alias("dist"), "part"), LAP, "dist", ["elapsed"])
     nxt = at.withColumn("next", F.lead("elapsed").over(along(LAP, "part"))).where("next is not null")
     return nxt.select(*LAP, "part", F.when(F.col("part") % 2 == 1, F.expr("(part + 1) div 2")).alias("cid"), F.round(F.col("next") - F.col("elapsed"), 4).alias("time_s"))
@@ -87,7 +87,7 @@ def segments(samples: DataFrame, corners: DataFrame, lengths: DataFrame) -> Data
 def stats(samples: DataFrame, corners: DataFrame, lengths: DataFrame) -> DataFrame:
     """(rec, lap_id, cid, time_s, enter, exit, apex, v_enter, v_exit, v_apex): each lap in each corner; the apex is the slowest sample."""
     total = samples.groupBy(*LAP).agg(F.max("dist").alias("total"))
-    scaled = total.join(F.broadcast(corners.join(lengths, REC)), REC)
+    scaled = total.join(corners.join(lengths, REC), REC)
     scaled = scaled.select(*LAP, "cid", *[(F.col(c) / F.col("length") * F.col("total")).alias(c) for c in ("enter", "exit", "apex")])
     ends = scaled.select(*LAP, "cid", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("enter").alias("dist")), F.struct(F.lit(1).alias("e"), F.col("exit").alias("dist")))).alias("p")).select(*LAP, "cid", "p.*")
     at = interp_join(samples, ends.select(*LAP, "dist", "cid", "e"), LAP, "dist", ["elapsed", "v"])
@@ -101,7 +101,7 @@ def phases(samples: DataFrame, corners: DataFrame, lengths: DataFrame, points: i
     """(rec, lap_id, cid, phase, time_s): entry, middle and exit of each corner, by thirds of its window."""
     thirds = corners.select("rec", "cid", F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), (F.col("enter") + (F.col("exit") - F.col("enter")) * p / 3).alias("a"), (F.col("enter") + (F.col("exit") - F.col("enter")) * (p + 1) / 3).alias("b")) for p in range(3)])).alias("w")).select("rec", "cid", "w.*")
     total = samples.groupBy(*LAP).agg(F.max("dist").alias("total"))
-    cells = total.join(F.broadcast(thirds.join(lengths, REC)), REC).select(*LAP, "cid", "phase", *[(F.col(c) / F.col("length") * F.col("total")).alias(c) for c in "ab"], F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j"))
+    cells = total.join(thirds.join(lengths, REC), REC).select(*LAP, "cid", "phase", *[(F.col(c) / F.col("length") * F.col("total")).alias(c) for c in "ab"], F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j"))
     grid = cells.select(*LAP, (F.col("a") + (F.col("b") - F.col("a")) * F.col("j") / (points - 1)).alias("dist"), "cid", "phase", "j")
     at = interp_join(samples, grid, LAP, "dist", ["v"])
     w = along([*LAP, "cid", "phase"], "j")

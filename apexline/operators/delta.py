@@ -41,4 +41,4 @@ def ideal_total(grid: DataFrame, cells: int = CONFIG.grid) -> DataFrame:
 def rebased(grid: DataFrame, reference: DataFrame) -> DataFrame:
     """Laps against a lap of another recording: ``reference`` (i, elapsed) is one lap on the same grid."""
     other = reference.select("i", F.col("elapsed").alias("base"))
-    return grid.join(F.broadcast(other), "i").select(*LAP, "i", F.round(F.col("elapsed") - F.col("base"), 4).alias("delta_s"))  # a lap's cells
+    return grid.join(other, "i").select(*LAP, "i", F.round(F.col("elapsed") - F.col("base"), 4).alias("delta_s"))

@@ -24,7 +24,7 @@ def brake_islands(trace: DataFrame, thresholds: DataFrame, value: str = "long_g"
 
     That is what a trigger with two levels gives: it enters at one and stays until the other.
     """
-    t = trace.join(F.broadcast(thresholds), REC)  # a row for each recording
+    t = trace.join(thresholds, REC)
     low = F.col(value) < -CONFIG.brake_release * F.col("theta")
     found = islands(t, REC, "seq", low).groupBy("rec", "island").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max(-F.col(value)).alias("peak"), F.min("odo").alias("d0"), F.max("odo").alias("d1"), F.max(F.col(value) < -F.col("theta")).alias("hit"))
     return found.where("hit").select("rec", "island", F.round("t0", 3).alias("t0"), F.round("t1", 3).alias("t1"), F.round("peak", 4).alias("peak_g"), F.round("d0", 3).alias("d0"), F.round("d1", 3).alias("d1"))
@@ -56,7 +56,7 @@ def brake_events(trace: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def coasting(trace: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(rec, island, t0, t1): spans at speed with neither brake nor throttle, that last."""
-    t = trace.join(F.broadcast(thresholds), REC)
+    t = trace.join(thresholds, REC)
     inside = (F.col("long_g") > -F.col("theta")) & (F.col("long_g") < -CONFIG.coast_g) & (F.col("v") > CONFIG.brake_moving_mps)
     found = islands(t, REC, "seq", inside).groupBy("rec", "island").agg(F.round(F.min("t"), 3).alias("t0"), F.round(F.max("t"), 3).alias("t1"))
     return found.where(F.round(F.col("t1") - F.col("t0"), 3) >= CONFIG.event_min_s)
@@ -77,7 +77,7 @@ def grip_envelope(trace: DataFrame, lat: str = "lat_g", long: str = "long_g") ->
 
 def grip_utilisation(trace: DataFrame, envelope: DataFrame, lat: str = "lat_g", long: str = "long_g") -> DataFrame:
     share = F.sqrt(F.col(lat) ** 2 + F.col(long) ** 2) / F.col("envelope_g")
-    return trace.join(F.broadcast(envelope), REC).select("rec", "seq", F.round(F.least(share, F.lit(CONFIG.utilisation_max)), 4).alias("utilisation"))
+    return trace.join(envelope, REC).select("rec", "seq", F.round(F.least(share, F.lit(CONFIG.utilisation_max)), 4).alias("utilisation"))
 
 
 def max_decel(events: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def brake_points(corners: DataFrame, events: DataFrame, limits: DataFrame) -> Da
     """For each corner (rec, lap_id, cid, enter, exit, apex, v_enter, v_apex) the last brake onset before or in it, and how much later it could be."""
     met = corners.join(events, ["rec", "lap_id"]).where((F.col("d0") >= F.col("enter") - CONFIG.corner_lead_m) & (F.col("d0") <= F.col("exit")))
     last = met.groupBy("rec", "lap_id", "cid").agg(F.max(F.struct("d0", "peak_g")).alias("e"))
-    both = corners.join(last, ["rec", "lap_id", "cid"]).join(F.broadcast(limits), REC)
+    both = corners.join(last, ["rec", "lap_id", "cid"]).join(limits, REC)
     need = brake_distance(F.col("v_enter"), F.col("v_apex"), F.col("a_max"))
     return both.select("rec", "lap_id", "cid", F.col("e.d0").alias("onset"), "e.peak_g", (F.col("apex") - need - F.col("e.d0")).alias("metres_later"))
 
@@ -106,13 +106,13 @@ def onset_spread(points: DataFrame) -> DataFrame:
 def rainbow(trace: DataFrame, value: str, n: int = 16) -> DataFrame:
     """(rec, seq, bucket) of a channel between its least and largest value."""
     box = trace.groupBy(*REC).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    return trace.join(F.broadcast(box), REC).select("rec", "seq", buckets(F.col(value), F.col("_lo"), F.col("_hi"), n).alias("bucket"))
+    return trace.join(box, REC).select("rec", "seq", buckets(F.col(value), F.col("_lo"), F.col("_hi"), n).alias("bucket"))
 
 
 def g_cloud(trace: DataFrame, most: int = 4000) -> DataFrame:
     """At most ``most`` points of each recording, evenly taken, for a plot."""
     n = trace.groupBy(*REC).agg(F.ceil(F.count("*") / most).alias("_s"))
-    return trace.join(F.broadcast(n), REC).where("seq % _s = 0").drop("_s")
+    return trace.join(n, REC).where("seq % _s = 0").drop("_s")
 
 
 def smoothed_g(trace: DataFrame, width: int = 3) -> DataFrame:

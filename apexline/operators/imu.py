@@ -84,7 +84,7 @@ def horizontal(imu: DataFrame) -> DataFrame:
     mean = mean.withColumns({f"e{c}": e[i] / n for i, c in enumerate("xyz")})
     cross = {"fx": ("my", "ez", "mz", "ey"), "fy": ("mz", "ex", "mx", "ez"), "fz": ("mx", "ey", "my", "ex")}
     mean = mean.withColumns({k: F.col(a) * F.col(b) - F.col(c) * F.col(d) for k, (a, b, c, d) in cross.items()})
-    flat = both.join(F.broadcast(mean), REC)  # a row for each recording
+    flat = both.join(mean, REC)
     flat = flat.select("rec", "t", *[sum((F.col(f"a{c}") * F.col(f"{axis}{c}") for c in "xyz"), F.lit(0.0)).alias(f"h{i}") for i, axis in ((1, "e"), (2, "f"))])
     # The low-pass is a window in time, so that it needn't know the rate.
     ms = along(REC, "_ms").rangeBetween(-int(LOWPASS_S * 500), int(LOWPASS_S * 500))
@@ -102,7 +102,7 @@ def fitted(flat: DataFrame, gps: DataFrame) -> DataFrame:
     sums = hands.groupBy("rec", "hand").agg(F.count("*").alias("n"), F.sum(F.col("_p") * F.col("long_g") + F.col("_q") * F.col("lat_g")).alias("_c"), F.sum(F.col("_p") * F.col("lat_g") - F.col("_q") * F.col("long_g")).alias("_s"))
     size = F.sqrt(F.col("_c") ** 2 + F.col("_s") ** 2)
     turns = sums.select("rec", "hand", "n", F.when(size > 0, F.col("_c") / size).otherwise(1.0).alias("c"), F.when(size > 0, F.col("_s") / size).otherwise(0.0).alias("s"))
-    tried = hands.join(F.broadcast(turns), ["rec", "hand"])  # two rows for each recording
+    tried = hands.join(turns, ["rec", "hand"])
     tried = tried.withColumns({"_long": F.col("c") * F.col("_p") - F.col("s") * F.col("_q"), "_lat": F.col("s") * F.col("_p") + F.col("c") * F.col("_q")})
     r = lambda a, b: F.coalesce(F.when(~F.isnan(F.corr(a, b)), F.corr(a, b)), F.lit(0.0))
     scored = tried.groupBy("rec", "hand", "n", "c", "s").agg(r("_long", "long_g").alias("r_long"), r("_lat", "lat_g").alias("r_lat"))
@@ -116,7 +116,7 @@ def g_series(imu: DataFrame, trace: DataFrame) -> DataFrame:
     flat = horizontal(imu)
     fit = fitted(flat, gps)
     gps_grid = on_grid(gps.select("rec", "t", "lat_g", "long_g"), ["lat_g", "long_g"])
-    turned = flat.join(F.broadcast(fit.where("ok").select("rec", "c", "s", "hand")), REC)
+    turned = flat.join(fit.where("ok").select("rec", "c", "s", "hand"), REC)
     p, q = F.col("h1") / CONFIG.g, F.col("h2") * F.col("hand") / CONFIG.g
     turned = turned.select("rec", "t", (F.col("c") * p - F.col("s") * q).alias("imu_long"), (F.col("s") * p + F.col("c") * q).alias("imu_lat"))
     both = interp_join(turned, gps_grid, REC, "t", ["imu_lat", "imu_long"])

@@ -53,7 +53,7 @@ def fitted_line(trace: DataFrame, base: DataFrame) -> DataFrame:
     """
     tries = F.array(*[F.struct(F.lit(i).alias("try"), F.lit(float(f)).alias("factor"), widened(F.col("line"), f).alias("line")) for i, f in enumerate((1.0, *WIDER))])
     lines = base.where("line is not null").select("rec", F.explode(tries).alias("c")).select("rec", "c.*")
-    many = trace.join(F.broadcast(lines.select(F.col("rec"), "try")), REC).withColumn("rec", F.struct("rec", "try")).drop("try")  # four rows for each recording
+    many = trace.join(lines.select(F.col("rec"), "try"), REC).withColumn("rec", F.struct("rec", "try")).drop("try")
     found = lp.numbered(lp.line_crossings(many, lines.select(F.struct("rec", "try").alias("rec"), "line")))
     n = lp.valid(lp.laps(many, found)).groupBy("rec").agg(F.count("*").alias("laps")).select("rec.*", "laps")
     scored = lines.join(n, ["rec", "try"], "left").withColumn("laps", F.coalesce("laps", F.lit(0)))
@@ -112,7 +112,7 @@ def projected(corners: DataFrame, samples: DataFrame, best: DataFrame, lengths:
     of_best = headed.join(best.select(*LAP), LAP, "left_semi")
     ref = interp_join(of_best.select("rec", "dist", "x", "y", "_hx", "_hy"), ends.select("rec", F.col("d").alias("dist"), "cid", "edge"), REC, "dist", ["x", "y", "_hx", "_hy"])
     ref = ref.select("rec", "cid", "edge", F.col("dist").alias("d"), F.col("x").alias("_rx"), F.col("y").alias("_ry"), F.col("_hx").alias("_rhx"), F.col("_hy").alias("_rhy"))
-    base = total.join(F.broadcast(lengths), REC).join(F.broadcast(ref), REC).withColumn("scaled", F.col("d") / F.col("length") * F.col("total"))
+    base = total.join(lengths, REC).join(ref, REC).withColumn("scaled", F.col("d") / F.col("length") * F.col("total"))
     drifted = base.where(F.abs(F.col("total") - F.col("length")) / F.col("length") > DRIFT)
     cell = lambda c: F.floor(F.col(c) / F.col("total") * 50).cast("int")
     asked = drifted.withColumn("_cell", F.explode(F.array(cell("scaled") - 1, cell("scaled"), cell("scaled") + 1)))

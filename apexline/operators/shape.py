@@ -41,7 +41,7 @@ def fit_loops(loops: DataFrame, reference: DataFrame, n: int = LOOP) -> DataFram
     """
     tries = loops.select("rec", F.col("i").alias("j"), "x", "y").withColumn("way", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     tries = tries.withColumn("i", F.pmod(F.col("way") * F.col("j") + F.col("shift"), F.lit(n)))
-    both = tries.join(F.broadcast(reference.select("i", F.col("x").alias("u"), F.col("y").alias("v"))), "i")  # n rows
+    both = tries.join(reference.select("i", F.col("x").alias("u"), F.col("y").alias("v")), "i")
     mean = {c: F.avg(c).alias(f"m{c}") for c in "xyuv"}
     prod = {a + b: F.avg(F.col(a) * F.col(b)).alias(a + b) for a, b in ("xx", "yy", "uu", "vv", "xu", "xv", "yu", "yv")}
     m = both.groupBy("rec", "way", "shift").agg(*mean.values(), *prod.values())
@@ -64,7 +64,7 @@ def fit_loops(loops: DataFrame, reference: DataFrame, n: int = LOOP) -> DataFram
 def laid(points: DataFrame, fits: DataFrame) -> DataFrame:
     """``points`` (rec, x, y) moved by their recording's fit."""
     hand = F.when(F.col("mirror"), -1.0).otherwise(1.0)
-    p = points.join(F.broadcast(fits.select("rec", "scale", "turn", "mirror", "dx", "dy")), REC)
+    p = points.join(fits.select("rec", "scale", "turn", "mirror", "dx", "dy"), REC)
     x = F.col("scale") * (F.cos("turn") * F.col("x") - F.sin("turn") * hand * F.col("y")) + F.col("dx")
     y = F.col("scale") * (F.sin("turn") * F.col("x") + F.cos("turn") * hand * F.col("y")) + F.col("dy")
     return p.withColumns({"x": x, "y": y}).select(*points.columns)
@@ -85,7 +85,7 @@ def filled(trace: DataFrame) -> DataFrame:
     cols = ["x", "y"]
     s = trace.withColumns({"dt": F.col("t") - F.lag("t").over(w), "_t0": F.lag("t").over(w), "_o0": F.lag("odo").over(w), **{f"_{c}{k}": F.lag(c, 2 - k).over(w) for c in cols for k in (0, 1)}, **{f"_{c}3": F.lead(c).over(w) for c in cols}})
     usual = s.where("dt > 0 and dt < 1").groupBy(*REC).agg(F.median("dt").alias("_u"))
-    gaps = s.where(F.col("dt") > CONFIG.dropout_s).join(F.broadcast(usual), REC).withColumn("missing", F.greatest(F.bround(F.col("dt") / F.col("_u")) - 1, F.lit(1.0)).cast("int"))
+    gaps = s.where(F.col("dt") > CONFIG.dropout_s).join(usual, REC).withColumn("missing", F.greatest(F.bround(F.col("dt") / F.col("_u")) - 1, F.lit(1.0)).cast("int"))
     steps = gaps.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("missing")))).withColumn("_r", F.col("j") / (F.col("missing") + 1))
     curve = {f"_c{c}": hermite(F.coalesce(f"_{c}0", f"_{c}1"), F.col(f"_{c}1"), F.col(c), F.coalesce(f"_{c}3", c), F.col("_r")) for c in cols}
     steps = steps.withColumns({**curve, "odo": F.col("_o0") + (F.col("odo") - F.col("_o0")) * F.col("_r"), "t": F.col("_t0") + F.col("dt") * F.col("_r")})

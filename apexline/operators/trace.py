@@ -64,7 +64,7 @@ def despiked(trace: DataFrame) -> DataFrame:
     box = trace.groupBy(*REC).agg(F.count("*").alias("_n"), *[q(c, p).alias(f"_{c}{i}") for c in ("x", "y") for i, p in enumerate((0.01, 0.99))])
     margin = F.greatest(0.5 * F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")), F.lit(1.0))
     inside = F.col("x").between(F.col("_x0") - margin, F.col("_x1") + margin) & F.col("y").between(F.col("_y0") - margin, F.col("_y1") + margin)
-    kept = trace.withColumn("_spike", F.coalesce(spike, F.lit(False))).join(F.broadcast(box), REC)  # a row for each recording
+    kept = trace.withColumn("_spike", F.coalesce(spike, F.lit(False))).join(box, REC)
     return kept.where((F.col("_n") < 10) | (~F.col("_spike") & inside)).select(*trace.columns)
 
 
@@ -101,7 +101,7 @@ def dropouts(trace: DataFrame) -> DataFrame:
     """(rec, seq, t0, t1, missing): steps that are too long, and how many fixes they lack."""
     stepped = steps(trace)
     usual = stepped.where("dt > 0 and dt < 1").groupBy(*REC).agg(F.median("dt").alias("usual"))
-    long_ = stepped.where(F.col("dt") > CONFIG.dropout_s).join(F.broadcast(usual), REC)
+    long_ = stepped.where(F.col("dt") > CONFIG.dropout_s).join(usual, REC)
     return long_.select("rec", "seq", F.round(F.col("t") - F.col("dt"), 3).alias("t0"), F.round("t", 3).alias("t1"), F.greatest(F.bround(F.col("dt") / F.col("usual")) - 1, F.lit(1.0)).cast("long").alias("missing"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 L, LINE = 388.5, 50.0
 
 TRACE = """
-base as (select user_id % 2 as rec, ts, event_id, event_type, value, cast(json_extract_string(props, '$.k') as bigint) as k from events),
+base as (select user_id // 25 as rec, ts, event_id, event_type, value, cast(json_extract_string(props, '$.k') as bigint) as k from events),
 seqd as (select *, row_number() over (partition by rec order by ts, event_id) - 1 as seq,
          1000 + least(cast(round(value * 100) as bigint), 10000) // 5 as v_cms from base),
 ints as (select *, cast(coalesce(sum(v_cms) over (partition by rec order by seq rows between unbounded preceding and 1 preceding), 0) as bigint) // 10 as odo_cm from seqd),

@@ -36,7 +36,7 @@ def siblings(files: DataFrame, path: str) -> DataFrame:
     """The chapters of the recording that ``path`` is part of, in order."""
     all_ = ordered(files)
     own = all_.where(F.col("path") == path).select("folder", "prefix", "number")
-    return all_.join(F.broadcast(own), ["folder", "prefix", "number"], "left_semi").orderBy("chapter")  # one row
+    return all_.join(own, ["folder", "prefix", "number"], "left_semi").orderBy("chapter")
 
 
 def recordings(files: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def to_local(times: DataFrame, mapped: DataFrame) -> DataFrame:
     m = mapped.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("offset", "chapter", "duration"))).alias("_m"))
     begun = F.filter("_m", lambda c: c["offset"] <= F.col("t"))
     at = F.when(F.size(begun) > 0, F.element_at(begun, -1)).otherwise(F.element_at("_m", 1))
-    joined = times.join(F.broadcast(m), "rec").withColumn("_c", at)  # a row for each recording, of a few chapters
+    joined = times.join(m, "rec").withColumn("_c", at)
     return joined.select(*times.columns, F.col("_c.chapter").alias("chapter"), F.least(F.greatest(F.col("t") - F.col("_c.offset"), F.lit(0.0)), F.col("_c.duration")).alias("local"))
 
 
@@ -71,7 +71,7 @@ def to_global(times: DataFrame, mapped: DataFrame) -> DataFrame:
 
 def joined_chapters(samples: DataFrame, mapped: DataFrame, t: str = "naive") -> DataFrame:
     """Samples of all chapters (rec, chapter, t) on the recording's one clock."""
-    return samples.join(F.broadcast(mapped.select("rec", "chapter", "offset")), ["rec", "chapter"]).withColumn(t, F.col(t) + F.col("offset")).drop("offset")
+    return samples.join(mapped.select("rec", "chapter", "offset"), ["rec", "chapter"]).withColumn(t, F.col(t) + F.col("offset")).drop("offset")
 
 
 # Transponders
