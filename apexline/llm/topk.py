@@ -1,27 +1,31 @@
 """Exact top-k inner-product search.
 
 Vectors are turned into integers, ``floor(scale * x)``, and sorted by descending
-length into blocks of ``BLOCK``; queries are blocked too.  A block pair is worked
-on at once:
+length into blocks of ``BLOCK``; queries are blocked too.
 
-*  By Cauchy-Schwarz a query can't score above |q| |v|.  A block pair whose
-   longest query and vector stay below every query's k-th best so far is never
-   made; the k-th best so far comes from the longest vectors.
+*  Blocks are processed by descending length, in waves of 1, 2, 4, ... blocks.
+   After each wave every query's k-th best so far is its floor in the next.  By
+   Cauchy-Schwarz a query can't score above |q| |v|, so a pair of blocks whose
+   longest query and vector stay below the lowest floor is never made.
 *  In a block, coordinates are rotated by the SVD of a sample, which gathers
    length in the first ones.  A partial sum over these, plus the product of
    what is left of both lengths, bounds the score; pairs whose bound stays below
-   the query's k-th best are pruned.
+   the query's floor are pruned.
 *  The rest is scored exactly, on integers.
 
 The rotation only decides how much is pruned, never the result, so it is fitted
-on ``SAMPLE`` vectors, chosen by hash.  Pairs of blocks are rows, so no task
-holds more than two blocks, and equal or very common vectors make no task
-larger.  Nothing that grows with the data is broadcast.
+on ``SAMPLE`` vectors, chosen by hash.  Pairs of blocks are made as numbers, dealt
+by a salt; a vector block is sent once for each query block it may matter to, a
+query block once for each salt.  So no task holds more than two blocks, and equal
+or very common vectors make no task larger.  Nothing that grows with the data is
+broadcast.
 
 Defined results: vectors null, or with null or non-finite components, take no
 part, as query or candidate; vectors of different lengths don't meet; ties go
 to the smaller id; a query's own id is no candidate; a query that meets nobody
-has no rows.  Ids are taken to be distinct; rows without an id take no part.
+has no rows.  Rows without an id take no part; of an id that stands in several
+rows the smallest vector counts.  Integers and scores beyond 64 bits are taken at
+the end of their range.
 """
 
 from __future__ import annotations
@@ -34,20 +38,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import kept, lean
+from .shared import drop_kept, kept, lean
 
-BLOCK, QUERIES = 4096, 512
+BLOCK, QUERIES = 4096, 2048
+#: Queries of a block that are scored at once.
+ROWS = 512
 SAMPLE = 4096
 #: Share of the rotated coordinates in the partial sums.
 FIRST = 0.25
-BLOCKS = "dim int, block long, least double, most double, ids binary, whole binary, turned binary, rest binary"
+BLOCKS = "dim int, block long, most double, bits int, ids binary, whole binary, turned binary, rest binary"
+END = 2**63 - 1
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
     """(id, v): the integers of the vectors that take part."""
     x = F.col(embedding).cast("array<double>")
     fine = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(fine).select(F.col(vec_id).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * float(scale))).cast("array<bigint>").alias("v"))
+    ints = vectors.where(fine).select(F.col(vec_id).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * float(scale))).cast("array<bigint>").alias("v"))
+    return ints.groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _rotations(ints: DataFrame) -> dict[int, np.ndarray]:
@@ -74,10 +82,12 @@ def _pack(rotations, size: int):
             turned = v.astype(float) @ turn.T if turn is not None else v.astype(float)
             first = max(1, int(dim * FIRST))
             norms, rest = np.sqrt((v.astype(float) ** 2).sum(axis=1)), np.sqrt((turned[:, first:] ** 2).sum(axis=1))
-            row = [dim, part << 32 | made, norms.min(), norms.max(), np.array(ids, np.int64).tobytes(), v.tobytes(), turned[:, :first].tobytes(), rest.tobytes()]
+            # As narrow as the integers and the bounds' slack allow: this is what is sent about.
+            bits = next(b for b in (16, 32, 64) if b == 64 or not v.size or (-(2 ** (b - 1)) <= v.min() and v.max() < 2 ** (b - 1)))
+            row = [dim, part << 32 | made, norms.max(), bits, np.array(ids, np.int64).tobytes(), v.astype(f"<i{bits // 8}").tobytes(), turned[:, :first].astype("<f4").tobytes(), rest.astype("<f4").tobytes()]
             made += 1
-            kinds = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["dim", "block", "least", "most", "ids", "whole", "turned", "rest"])
+            kinds = [pa.int32(), pa.int64(), pa.float64(), pa.int32(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["dim", "block", "most", "bits", "ids", "whole", "turned", "rest"])
 
         ids, vs = [], []
         for batch in batches:
@@ -99,37 +109,41 @@ def _blocks(ints: DataFrame, rotations, size: int) -> DataFrame:
     return kept(ordered.select("id", "v").mapInArrow(lean(_pack(rotations, size)), BLOCKS), "blocks")
 
 
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of all rows, exact; beyond 64 bits the end of the range."""
+    a, b = q.astype(float), v.astype(float)
+    largest = np.sqrt((a**2).sum(axis=1)).max(initial=0) * np.sqrt((b**2).sum(axis=1)).max(initial=0)
+    if largest < 2.0**52:  # then every sum of products is exact in doubles
+        return (a @ b.T).astype(np.int64)
+    if largest < 2.0**62:
+        return q @ v.T
+    return np.clip(q.astype(object) @ v.T.astype(object), -END - 1, END).astype(np.int64)
+
+
 def best_of(q_ids, q, q_first, q_rest, floor, ids, v, first, rest, k: int) -> list[tuple[int, int, int]]:
     """(query, id, score) of each query's k best of a block, of those that reach its floor."""
     bound = q_first @ first.T + q_rest[:, None] * rest[None, :]
-    slack = 1e-9 * (np.sqrt((q_first**2).sum(axis=1)) + q_rest)[:, None] * (np.sqrt((first**2).sum(axis=1)) + rest)[None, :] + 1e-6
+    slack = 1e-5 * (np.sqrt((q_first**2).sum(axis=1)) + q_rest)[:, None] * (np.sqrt((first**2).sum(axis=1)) + rest)[None, :] + 1e-6
     open_ = bound + slack >= floor[:, None]
     open_ &= q_ids[:, None] != ids[None, :]
-    largest = np.sqrt((q.astype(float) ** 2).sum(axis=1)).max(initial=0) * np.sqrt((v.astype(float) ** 2).sum(axis=1)).max(initial=0)
-    if largest >= 2.0**63:
-        raise ValueError("scores are beyond 64-bit integers")
-    exact = largest < 2.0**52  # then every sum of products is exact in doubles
-    rows = np.flatnonzero(open_.any(axis=1))
-    dense = open_.mean() > 0.05
-    whole = (q[rows].astype(float) @ v.T.astype(float)).astype(np.int64) if dense and exact else q[rows] @ v.T if dense else None
     out = []
+    rows = np.flatnonzero(open_.any(axis=1))
+    cols = np.flatnonzero(open_.any(axis=0)) if len(rows) else rows
+    whole = products(q[rows], v[cols])
     for n, i in enumerate(rows.tolist()):
-        at = np.flatnonzero(open_[i])
-        score = whole[n, at] if dense else v[at] @ q[i]
-        keep = score >= floor[i]
-        at, score = at[keep], score[keep]
+        score = whole[n]
+        keep = open_[i, cols] & (score >= floor[i])
+        at, score = cols[keep], score[keep]
         if len(at) > k:
             edge = np.partition(score, len(score) - k)[len(score) - k]
             keep = score >= edge
             at, score = at[keep], score[keep]
-        order = np.lexsort((ids[at], -score))[:k]
+        order = np.lexsort((ids[at], ~score))[:k]
         out += [(int(q_ids[i]), int(ids[at[j]]), int(score[j])) for j in order.tolist()]
     return out
 
 
 def _score(k: int):
-    names = ("ids", "whole", "turned", "rest")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -137,15 +151,36 @@ def _score(k: int):
                 dim = row["dim"]
                 sides = []
                 for side in ("q_", ""):
-                    ids, v, first, rest = (np.frombuffer(row[side + n], kind) for n, kind in zip(names, (np.int64, np.int64, float, float), strict=True))
+                    ids, v = np.frombuffer(row[side + "ids"], np.int64), np.frombuffer(row[side + "whole"], f"<i{row[side + 'bits'] // 8}").astype(np.int64)
+                    first, rest = (np.frombuffer(row[side + n], "<f4").astype(float) for n in ("turned", "rest"))
                     sides += [ids, v.reshape(len(ids), dim), first.reshape(len(ids), -1), rest]
-                floor = np.frombuffer(row["floor"], float) if row["floor"] is not None else np.full(len(sides[0]), -np.inf)
-                found = best_of(*sides[:4], floor, *sides[4:], k)
+                floor = np.frombuffer(row["floor"], float)
+                found = []
+                for lo in range(0, len(sides[0]), ROWS):
+                    found += best_of(*[x[lo : lo + ROWS] for x in sides[:4]], floor[lo : lo + ROWS], *sides[4:], k)
                 yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each query of a block."""
+    for batch in batches:
+        for b, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(ids, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([b] * len(own), pa.int64()), pa.array(own)], names=["q_block", "query_id"])
+
+
+def _floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The floors of a block's queries, in their order, and the lowest."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            got = dict(batch.column("known")[i].as_py() or [])
+            floor = np.array([float("-inf") if got.get(q) is None else got[q] for q in np.frombuffer(batch.column("q_ids")[i].as_py(), np.int64).tolist()], float)
+            floor -= np.where(np.abs(floor) > 2.0**52, np.abs(floor) * 1e-15, 0)  # such scores aren't exact in doubles
+            yield pa.RecordBatch.from_arrays([batch.column("q_block").slice(i, 1), pa.array([floor.tobytes()], pa.binary()), pa.array([floor.min(initial=np.inf)], pa.float64())], names=["q_block", "floor", "lowest"])
+
+
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -156,41 +191,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     rotations = spark.sparkContext.broadcast(_rotations(ints))
     blocks = _blocks(ints, rotations, BLOCK)
     asked = _blocks(usable(queries, vec_id, embedding, scale), rotations, QUERIES)
-    asked = asked.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("block", "most", "ids", "whole", "turned", "rest")])
+    asked = kept(asked.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("block", "most", "bits", "ids", "whole", "turned", "rest")]), "asked")
+    # Blocks are numbered by descending length; numbers only.
+    wave = F.floor(F.log2(F.row_number().over(Window.partitionBy("dim").orderBy("block")))).cast("int")
+    order = kept(blocks.select("dim", "block", "most", wave.alias("wave")), "order")
+    sizes = [r.n for r in order.groupBy("wave").agg(F.count("*").alias("n")).orderBy("wave").collect()]  # a row for each wave, of which there are few
+    members = kept(asked.select("q_block", "q_ids").mapInArrow(lean(_members), "q_block long, query_id long"), "members")
 
     def best(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    # The longest vectors of each dimension give every query a k-th best to start from.
-    longest = blocks.groupBy("dim").agg(F.max_by("block", F.struct("most", -F.col("block"))).alias("block"))
-    seed = blocks.join(longest, ["dim", "block"]).join(asked.withColumn("floor", F.lit(None).cast("binary")), "dim")
-    seed = kept(best(seed.mapInArrow(lean(_score(k)), FOUND)), "seed")
-    floors = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-
-    def with_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                got = dict(batch.column("known")[i].as_py() or [])
-                floor = np.array([float("-inf") if got.get(q) is None else got[q] for q in np.frombuffer(batch.column("q_ids")[i].as_py(), np.int64).tolist()], float)
-                floor -= np.where(np.abs(floor) > 2.0**52, np.abs(floor) * 1e-15, 0)  # such scores aren't exact in doubles
-                yield pa.RecordBatch.from_arrays([batch.column("q_block").slice(i, 1), pa.array([floor.tobytes()], pa.binary()), pa.array([floor.min(initial=np.inf)], pa.float64())], names=["q_block", "floor", "lowest"])
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(own), pa.int64()), pa.array(own)], names=["q_block", "query_id"])
-
-    known = asked.select("q_block", "q_ids").mapInArrow(lean(members), "q_block long, query_id long").join(floors, "query_id", "left")
-    known = known.groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "floor"))).alias("known"))
-    asked = kept(asked.join(asked.select("q_block", "q_ids").join(known, "q_block").mapInArrow(lean(with_floors), "q_block long, floor binary, lowest double"), "q_block"), "asked")
-    # Pairs of blocks as numbers only, then those left with their data.
-    small = asked.select("dim", "q_block", "q_most", "lowest")
-    pairs = blocks.select("dim", "block", "most").join(longest.select(F.col("block")), "block", "left_anti").join(small, "dim").where("q_most * most * (1 + 1e-9) + 1e-6 >= lowest").select("block", "q_block")
-    pairs = pairs.join(blocks, "block").join(asked.drop("dim"), "q_block").repartition("block", "q_block")
-    found = seed.select("query_id", "vec_id", "score").unionByName(pairs.mapInArrow(lean(_score(k)), FOUND))
-    return best(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    top = spark.createDataFrame([], FOUND)
+    for number, size in enumerate(sizes):
+        floors = top.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        known = members.join(floors, "query_id", "left").groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "floor"))).alias("known"))
+        levels = kept(asked.select("q_block", "q_ids").join(known, "q_block").mapInArrow(lean(_floors), "q_block long, floor binary, lowest double"), "floors")
+        salts = min(64, max(1, size // 4))
+        salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))  # noqa: E731, B023
+        salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt")
+        small = salted(asked.select("dim", "q_block", "q_most").join(levels.select("q_block", "lowest"), "q_block"))
+        pairs = order.where(F.col("wave") == number).select("dim", "block", "most", salt).join(small, ["dim", "salt"]).where("q_most * most * (1 + 1e-9) + 1e-6 >= lowest").select("block", "q_block", "salt")
+        pairs = pairs.join(blocks, "block").join(salted(asked.drop("dim").join(levels.select("q_block", "floor"), "q_block")), ["q_block", "salt"])
+        found = pairs.mapInArrow(lean(_score(k)), FOUND)
+        before, top = top, kept(best(top.unionByName(found)).drop("rank"), "top")
+        drop_kept(levels)
+        if number:
+            drop_kept(before)
+    return best(top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def report(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables with odd rows."""
 
+import math
 import random
 
 import numpy as np
@@ -324,12 +325,16 @@ def test_topk(spark, monkeypatch, block):
     rows = [(i, (r.normal(size=16) * r.choice([0.1, 1, 3])).tolist()) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(40)]  # ties
     rows += [(400, None), (450, [1.0] * 15 + [None]), (500, [1.0] * 15 + [float("nan")]), (550, [1.0, 2.0]), (551, [2.0, 1.0]), (600, []), (650, [1.0] * 3), (None, [1.0] * 16)]
+    rows += [(700, [1e300, 1.0, 2.0, 3.0]), (701, [1e300, -1.0, 2.0, 3.0]), (702, [-1e300, 0.0, 0.0, 1.0]), (703, [3e7, 4e7, 5e7, 6e7]), (750, [3e7, 4e7, 5e7, 7e7])]  # beyond 64 bits
+    rows += [(50, rows[50][1])] * 2 + [(8, rows[8][1])]  # repeated rows
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    fine = [(i, np.floor(256 * np.array(x)).astype(np.int64)) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
+    end = 2**63
+    held = lambda x: max(-end, min(end - 1, x))
+    fine = dict((i, [held(math.floor(256 * c)) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)).items()
     want = []
     for q, x in fine:
         if q % 50 == 0:
-            others = sorted((-int(y @ x), i) for i, y in fine if i != q and len(y) == len(x))[:5]
+            others = sorted((-held(sum(a * b for a, b in zip(x, y, strict=True))), i) for i, y in fine if i != q and len(y) == len(x))[:5]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(others)]
     assert got(topk.report(v)) == sorted(want, key=str)
     assert topk.report(v.where("false")).count() == 0
