@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CONFIG
-from .house import along, boxcar, gradient, interp_join, islands, runs, unwrap
+from .house import along, boxcar_by, gradient, interp_join, islands, runs, unwrap
 
 REC, LAP = ["rec"], ["rec", "lap_id"]
 
 
-def curvature(samples: DataFrame, width: int = 3) -> DataFrame:
-    """(rec, lap_id, dist, kappa): turning per metre along each lap, smoothed over ``width`` samples.
+def curvature(samples: DataFrame, arc_m: float = CONFIG.corner_window_m) -> DataFrame:
+    """(rec, lap_id, dist, kappa): turning per metre along each lap, smoothed over ``arc_m`` metres by the lap's median step.
 
     Samples at one place are taken once.
     """
     w = along(LAP, "dist")
-    moved = samples.withColumn("_d", F.col("dist") - F.lag("dist").over(w)).where("_d is null or _d > 1e-6")
+    moved = samples.withColumn("_d", F.col("dist") - F.lag("dist").over(w)).where("_d is null or _d > 1e-9").drop("_d")
     moved = moved.withColumns({"_dx": gradient("x", "dist", LAP, "dist"), "_dy": gradient("y", "dist", LAP, "dist")}).withColumn("_a", F.atan2("_dy", "_dx"))
-    turned = unwrap(moved, "_a", LAP, "dist", "_psi").withColumn("_k", gradient("_psi", "dist", LAP, "dist"))
-    return turned.select(*LAP, "dist", boxcar("_k", LAP, "dist", width).alias("kappa"))
+    turned = unwrap(moved, "_a", LAP, "dist", "_psi").withColumns({"_k": gradient("_psi", "dist", LAP, "dist"), "_d": F.col("dist") - F.lag("dist").over(w)})
+    step = F.median("_d").over(Window.partitionBy(*LAP))
+    turned = turned.withColumn("_w", F.greatest(F.bround(F.lit(arc_m) / F.greatest(step, F.lit(1e-9))), F.lit(1)).cast("int"))
+    return boxcar_by(turned.select(*LAP, "dist", "_k", "_w"), "_k", "_w", LAP, "dist", "kappa").select(*LAP, "dist", "kappa")
 
 
 def pooled(curves: DataFrame, lengths: DataFrame) -> DataFrame:

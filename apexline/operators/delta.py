@@ -24,6 +24,12 @@ def between(grid: DataFrame, a: int, b: int) -> DataFrame:
     return one(a, "ea").join(one(b, "eb"), ["rec", "i"]).select("rec", "i", F.round(F.col("ea") - F.col("eb"), 4).alias("delta_s"))
 
 
+def following(grid: DataFrame) -> DataFrame:
+    """(rec, lap_id, i, delta_s): of each lap, what the next one takes longer."""
+    nxt = grid.select("rec", (F.col("lap_id") - 1).alias("lap_id"), "i", F.col("elapsed").alias("next"))
+    return grid.join(nxt, [*LAP, "i"]).select(*LAP, "i", F.round(F.col("next") - F.col("elapsed"), 4).alias("delta_s"))
+
+
 def ideal(grid: DataFrame) -> DataFrame:
     """(rec, i, ideal_s): at each place the least elapsed time of all laps, never falling."""
     least = grid.groupBy("rec", "i").agg(F.min("elapsed").alias("e"))
@@ -38,6 +44,12 @@ def ideal_total(grid: DataFrame, cells: int = CONFIG.grid) -> DataFrame:
     return ideal(grid).where(F.col("i") == cells - 1).select("rec", F.round("ideal_s", 4).alias("ideal_s"))
 
 
+def ideal_gap(total: DataFrame, laps_: DataFrame) -> DataFrame:
+    """(rec, best_s, ideal_s, gap_s): by how much the ideal lap beats the best one."""
+    best = laps_.groupBy(*REC).agg(F.min("lap_s").alias("best_s"))
+    return best.join(total, REC).select("rec", "best_s", "ideal_s", F.round(F.col("best_s") - F.col("ideal_s"), 4).alias("gap_s"))
+
+
 def rebased(grid: DataFrame, reference: DataFrame) -> DataFrame:
     """Laps against a lap of another recording: ``reference`` (i, elapsed) is one lap on the same grid."""
     other = reference.select("i", F.col("elapsed").alias("base"))

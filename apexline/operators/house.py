@@ -71,6 +71,19 @@ def smooth(value: str, keys: Keys, order: str, width: int) -> Column:
     return F.when(enough, boxcar(value, keys, order, width)).otherwise(F.col(value)) if width > 1 else F.col(value)
 
 
+def boxcar_by(rows: DataFrame, value: str, width: str, keys: Keys, order: str, name: str) -> DataFrame:
+    """``rows`` and :func:`smooth` of ``value`` over as many samples as the key's ``width`` says, from running sums that meet by row number."""
+    w = along(keys, order)
+    rows = rows.withColumns({"_i": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "_s": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    lo = F.greatest(F.col("_i") - F.expr(f"{width} div 2") - 1, F.lit(0))
+    hi = F.least(F.col("_i") + F.expr(f"({width} - 1) div 2"), F.col("_n"))
+    rows = rows.withColumns({"_lo": lo.cast("int"), "_hi": hi.cast("int")})
+    sums = rows.select(*keys, F.col("_i").cast("int").alias("_at"), F.col("_s").alias("_v"))
+    met = rows.join(sums.withColumnsRenamed({"_at": "_hi", "_v": "_b"}), [*keys, "_hi"]).join(sums.withColumnsRenamed({"_at": "_lo", "_v": "_a"}), [*keys, "_lo"], "left")
+    mean = (F.col("_b") - F.coalesce("_a", F.lit(0.0))) / (F.col("_hi") - F.col("_lo"))
+    return met.withColumn(name, F.when((F.col("_n") >= F.col(width)) & (F.col(width) > 1), mean).otherwise(F.col(value))).drop("_i", "_n", "_s", "_lo", "_hi", "_a", "_b")
+
+
 def moving_median(value: str, keys: Keys, order: str, width: int = 5) -> Column:
     """Median of ``width`` samples around each, of those there are at the ends; of the few, as an array."""
     near = F.array_sort(F.collect_list(value).over(along(keys, order).rowsBetween(-(width // 2), width // 2)))

@@ -11,6 +11,8 @@ from ..functions.scalars import crosses
 from .house import along, interp_join, united
 
 REC, LAP = ["rec"], ["rec", "lap_id"]
+#: How near sector lines may be, and where a place of a lap is looked for in the next.
+SECTOR_GAP, AROUND, AROUND_SHARE, MATCH_COS, MATCH_M = 0.002, 5, 0.02, 0.5, 3.0
 
 
 def line_crossings(trace: DataFrame, lines: DataFrame) -> DataFrame:
@@ -22,16 +24,25 @@ def line_crossings(trace: DataFrame, lines: DataFrame) -> DataFrame:
     s = trace.join(lines, REC).withColumns({c + "0": F.lag(c).over(w) for c in ("x", "y", "t", "v")})
     hit, r = crosses(F.col("x0"), F.col("y0"), F.col("x"), F.col("y"), F.col("line"))
     at = lambda c: F.col(c + "0") + (F.col(c) - F.col(c + "0")) * r
-    return s.where(hit).select("rec", "seq", at("t").alias("t_cross"), at("x").alias("x"), at("y").alias("y"), at("v").alias("v"))
+    return s.where(hit).select("rec", "seq", F.round(at("t"), 3).alias("t_cross"), at("x").alias("x"), at("y").alias("y"), at("v").alias("v"))
 
 
-def distance_crossings(trace: DataFrame, line_m: float, lap_m: float) -> DataFrame:
-    """(rec, seq, lap_id, t_cross): crossings of a line by distance driven, linear within a step."""
-    w = along(REC, "seq")
-    s = trace.withColumns({"n0": F.lag("lap_no").over(w), "t0": F.lag("t").over(w), "odo0": F.lag("odo").over(w)})
-    line = line_m + (F.col("lap_no") - 1) * lap_m
-    t = F.col("t0") + (F.col("t") - F.col("t0")) * (line - F.col("odo0")) / (F.col("odo") - F.col("odo0"))
-    return s.where("lap_no > n0").select("rec", "seq", (F.col("lap_no") - 1).alias("lap_id"), F.round(t, 3).alias("t_cross"))
+def sector_crossings(trace: DataFrame, starts: DataFrame, sectors: DataFrame) -> DataFrame:
+    """(rec, n, line, seq, t_cross): crossings in the order start, S1, ..., Sn, start, ...; line 0 is the start.
+
+    Of all lines only the next one counts, from the step after the last that counted.  ``starts`` is
+    (rec, line), ``sectors`` (rec, sector, line) with sectors from 1.  What counts depends on what did
+    before, so it is a fold over a recording's crossings, which are a few for each lap.
+    """
+    lines = united(starts.select("rec", F.lit(0).alias("no"), "line"), sectors.select("rec", F.col("sector").cast("int").alias("no"), "line"))
+    many = trace.join(lines.select("rec", "no"), REC).withColumn("rec", F.struct("rec", "no")).drop("no")
+    met = line_crossings(many, lines.select(F.struct("rec", "no").alias("rec"), "line")).select("rec.*", "seq", "t_cross")
+    count = sectors.groupBy(*REC).agg((F.count("*") + 1).cast("int").alias("k"))
+    all_ = met.groupBy(*REC).agg(F.sort_array(F.collect_list(F.struct("seq", "no", "t_cross"))).alias("c")).join(count, REC)
+    none = F.expr("cast(array() as array<struct<seq: bigint, no: int, t_cross: double>>)")
+    last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1))["seq"], F.lit(-1))
+    keep = lambda done, c: F.when((c["no"] == F.size(done) % F.col("k")) & (c["seq"] > last(done)), F.concat(done, F.array(c))).otherwise(done)
+    return all_.select("rec", F.posexplode(F.aggregate("c", none, keep)).alias("n", "c")).select("rec", "n", F.col("c.no").alias("line"), "c.seq", "c.t_cross")
 
 
 def numbered(crossings: DataFrame) -> DataFrame:
@@ -137,15 +148,30 @@ def lap_at(times: DataFrame, laps_: DataFrame) -> DataFrame:
     return both.select("rec", "t", *extra, F.when(F.col("t") < F.col("_l.t_finish"), F.col("_l.lap_id")).alias("lap_id"))
 
 
-def splits(samples: DataFrame, laps_: DataFrame, fractions: list[float]) -> DataFrame:
-    """(rec, lap_id, sector, split_s): times between boundaries at fractions of a lap; they sum to the lap's time."""
-    edges = F.array(*[F.lit(float(f)) for f in (0.0, *fractions, 1.0)])
-    grid = laps_.select(*LAP, "dist_m", F.posexplode(edges).alias("sector", "share"))
+def sector_places(samples: DataFrame, sectors: DataFrame) -> DataFrame:
+    """(rec, lap_id, sector, dist): where each lap passes nearest to the middle of each sector line (rec, line), in order.
+
+    A line nearer than SECTOR_GAP of the lap to the one kept before is left out; that
+    depends on what was kept, so it is a fold over a lap's few lines.
+    """
+    middle = sectors.select("rec", ((F.col("line.x1") + F.col("line.x2")) / 2).alias("_mx"), ((F.col("line.y1") + F.col("line.y2")) / 2).alias("_my"))
+    d2 = (F.col("x") - F.col("_mx")) ** 2 + (F.col("y") - F.col("_my")) ** 2
+    near = samples.join(middle, REC).groupBy(*LAP, "_mx", "_my").agg(F.min(F.struct(d2.alias("d2"), "dist")).alias("p"), F.max("dist").alias("total"))
+    rows = near.groupBy(*LAP).agg(F.sort_array(F.collect_list("p.dist")).alias("s"), F.max("total").alias("total"))
+    keep = lambda done, d: F.when((F.size(done) == 0) | (d - F.try_element_at(done, F.lit(-1)) > SECTOR_GAP * F.col("total")), F.concat(done, F.array(d))).otherwise(done)
+    return rows.select(*LAP, F.posexplode(F.aggregate("s", F.expr("cast(array() as array<double>)"), keep)).alias("sector", "dist"))
+
+
+def splits(samples: DataFrame, sectors: DataFrame) -> DataFrame:
+    """(rec, lap_id, sector, split_s): times between the sector lines (rec, line), by the places where a lap passes them; they sum to the lap's time."""
     total = samples.groupBy(*LAP).agg(F.max("dist").alias("total"))
-    grid = grid.join(total, LAP).select(*LAP, (F.col("share") * F.col("total")).alias("dist"), "sector")
+    inner = sector_places(samples, sectors)
+    ends = total.select(*LAP, F.explode(F.array(F.lit(0.0), F.col("total"))).alias("dist"))
+    grid = united(inner.select(*LAP, "dist", F.lit(1).alias("edge")), ends.select(*LAP, "dist", F.when(F.col("dist") == 0, 0).otherwise(2).alias("edge")))
     at = interp_join(samples, grid, LAP, "dist", ["elapsed"])
-    w = along(LAP, "sector")
-    return at.withColumn("next", F.lead("elapsed").over(w)).where("next is not null").select(*LAP, "sector", F.round(F.col("next") - F.col("elapsed"), 4).alias("split_s"))
+    w = along(LAP, "dist", "edge")
+    at = at.withColumns({"sector": F.row_number().over(w) - 1, "next": F.lead("elapsed").over(w)})
+    return at.where("next is not null").select(*LAP, "sector", F.round(F.col("next") - F.col("elapsed"), 4).alias("split_s"))
 
 
 def best_splits(splits_: DataFrame) -> DataFrame:
@@ -159,17 +185,61 @@ def theoretical(splits_: DataFrame) -> DataFrame:
     return n.join(b, REC, "left").select("rec", F.round(F.when(F.col("n") == F.col("k"), F.col("s")), 4).alias("theoretical_s"))
 
 
-def rolling_best(samples: DataFrame, laps_: DataFrame, cells: int = 400) -> DataFrame:
-    """(rec, rolling_s): the fastest lap between the same place of two laps that follow each other, or the best lap.
+def headed(samples: DataFrame) -> DataFrame:
+    """Samples with their number ``i`` in the lap from 0, ``n``, the ``share`` of the distance, and the unit direction of travel (0 where it stands)."""
+    w, all_ = along(LAP, "t", "dist"), Window.partitionBy(*LAP)
+    s = samples.withColumns({"i": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(all_), "share": F.col("dist") / F.max("dist").over(all_), "_gx": _steps("x"), "_gy": _steps("y")})
+    size = F.sqrt(F.col("_gx") ** 2 + F.col("_gy") ** 2)
+    unit = lambda c: F.when(size > 0, F.col(c) / size).otherwise(0.0)
+    return s.withColumns({"hx": unit("_gx"), "hy": unit("_gy")}).drop("_gx", "_gy")
 
-    Both laps are put on one grid of fractions, so the same place is an equi-join.
+
+def _steps(c: str) -> Column:
+    """Change from the sample before to the one after, halved inside."""
+    w = along(LAP, "t", "dist")
+    a, b = F.lag(c).over(w), F.lead(c).over(w)
+    return F.when(a.isNull(), b - F.col(c)).when(b.isNull(), F.col(c) - a).otherwise((b - a) / 2)
+
+
+def rolling_best(samples: DataFrame, laps_: DataFrame) -> DataFrame:
+    """(rec, rolling_s): the fastest loop from any place of a lap to the same place of the next, or the best lap.
+
+    Both laps are valid and without dropouts.  A sample of the first meets those of the second that are
+    within AROUND samples of its share of the distance, of like direction; the nearest is refined on
+    the steps beside it, and must be within MATCH_M metres.  They meet by sample number: an equi-join.
     """
-    ids = clean(laps_).select(*LAP)
-    grid = fraction_grid(samples.join(ids, LAP, "left_semi"), cells)
-    nxt = grid.select("rec", (F.col("lap_id") - 1).alias("lap_id"), "i", F.col("elapsed").alias("after"))
-    total = grid.where(F.col("i") == cells - 1).select(*LAP, F.col("elapsed").alias("lap"))
-    window = grid.join(nxt, [*LAP, "i"]).join(total, LAP).groupBy(*REC).agg(F.min(F.col("lap") - F.col("elapsed") + F.col("after")).alias("w"))
-    return best(laps_).join(window, REC, "left").select("rec", F.round(F.least("lap_s", F.coalesce("w", "lap_s")), 4).alias("rolling_s"))
+    ok = clean(laps_).select(*LAP)
+    s = headed(samples.join(ok, LAP, "left_semi")).where("n >= 2")
+    w = along(LAP, "i")
+    beside = {f"{c}{k}": f(c).over(w) for c in ("x", "y", "t") for k, f in (("_", F.lag), ("__", F.lead))}
+    second = s.withColumns(beside)
+    # The first sample of the second lap at or beyond an anchor's share: a sweep.
+    nxt = s.select("rec", (F.col("lap_id") - 1).alias("lap_id"), "share", F.lit(0).alias("k"), F.lit(None).cast("int").alias("a"))
+    both = united(nxt, s.select(*LAP, "share", F.lit(-1).alias("k"), F.col("i").alias("a")))
+    before = F.count_if(F.col("k") == 0).over(along(LAP, "share", "k").rowsBetween(Window.unboundedPreceding, 0))
+    centre = both.withColumn("c", before).where("k = -1").select(*LAP, F.col("a").alias("i"), "c")
+    many = s.groupBy(*LAP).agg(F.count("*").alias("m")).select("rec", (F.col("lap_id") - 1).alias("lap_id"), "m")
+    anchors = s.join(centre, [*LAP, "i"]).join(many, LAP)
+    half = F.greatest(F.lit(AROUND), F.floor(F.col("m") * AROUND_SHARE)).cast("int")
+    middle = F.least(F.col("c"), F.col("m") - 1).cast("int")
+    anchors = anchors.withColumn("j", F.explode(F.sequence(F.greatest(middle - half, F.lit(0)), F.least(middle + half, F.col("m").cast("int") - 1))))
+    anchors = anchors.select(*LAP, "i", "j", F.col("t").alias("at"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("hx").alias("ahx"), F.col("hy").alias("ahy"))
+    other = second.select("rec", (F.col("lap_id") - 1).alias("lap_id"), F.col("i").alias("j"), "x", "y", "t", "hx", "hy", *beside)
+    met = anchors.join(other, [*LAP, "j"]).where(F.col("ahx") * F.col("hx") + F.col("ahy") * F.col("hy") >= MATCH_COS)
+    d2 = (F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2
+    near = met.groupBy(*LAP, "i").agg(F.min(F.struct(d2.alias("d2"), "j", "at", "ax", "ay", "x", "y", "t", *beside)).alias("p")).select("rec", "p.*")
+
+    def on(a: str, b: str) -> tuple[Column, Column]:
+        """(squared distance, time) of the anchor's foot on the step from the point with suffix ``a`` to that with ``b``."""
+        at = lambda c, k: F.coalesce(F.col(c + k), F.col(c))
+        vx, vy = at("x", b) - at("x", a), at("y", b) - at("y", a)
+        l2 = vx * vx + vy * vy
+        u = F.when(l2 > 0, F.least(F.greatest(((F.col("ax") - at("x", a)) * vx + (F.col("ay") - at("y", a)) * vy) / l2, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        return (at("x", a) + u * vx - F.col("ax")) ** 2 + (at("y", a) + u * vy - F.col("ay")) ** 2, at("t", a) + u * (at("t", b) - at("t", a))
+
+    (d_lo, t_lo), (d_hi, t_hi) = on("_", ""), on("", "__")
+    loops = near.where(F.least(d_lo, d_hi) <= MATCH_M**2).groupBy(*REC).agg(F.min(F.when(d_lo <= d_hi, t_lo).otherwise(t_hi) - F.col("at")).alias("w"))
+    return best(laps_).join(loops, REC, "left").select("rec", F.round(F.least("lap_s", F.coalesce("w", "lap_s")), 4).alias("rolling_s"))
 
 
 def fraction_grid(samples: DataFrame, cells: int = CONFIG.grid, ys: tuple[str, ...] = ("elapsed",)) -> DataFrame:
@@ -183,8 +253,3 @@ def fraction_grid(samples: DataFrame, cells: int = CONFIG.grid, ys: tuple[str, .
 def channels(samples: DataFrame) -> DataFrame:
     """Columns of a lap's samples for export."""
     return samples.select(*LAP, F.round("t", 3).alias("time_s"), F.round("elapsed", 3).alias("elapsed_s"), F.round("dist", 3).alias("distance_m"), F.round(F.col("v") * 3.6, 3).alias("speed_kmh"), F.round("x", 3).alias("x_m"), F.round("y", 3).alias("y_m"))
-
-
-def undo(history: list, restored: Column | None = None) -> list:
-    """The last 32 timing lines but the latest."""
-    return history[:-1][-32:]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-L, LINE = 388.5, 50.0
+LINE = 50.005
 
 TRACE = """
 base as (select user_id // 25 as rec, ts, event_id, event_type, value, cast(json_extract_string(props, '$.k') as bigint) as k from events),
@@ -26,15 +26,17 @@ steps as (select *, t - lag(t) over w as dt, lag(v) over w as v0, lag(x) over w
 def laps(table: str = "trace", base: str = TRACE, tweak: str = "") -> str:
     """CTEs down to ``laps``, ``valid`` and ``samples`` of a table of fixes."""
     return base + STEPS.format(t=table) + f""",
-cross_ as (select rec, seq, lap_no - 1 as lap_id, round(t0 + (t - t0) * ({LINE}::double + (lap_no - 1) * {L}::double - odo0) / (odo - odo0), 3) as t_cross, t, t0, odo, odo0, v, v0, x, x0, y, y0 from steps where lap_no > n0),
-cuts as (select rec, lap_id, t_cross as t, (t_cross - t0) / (t - t0) as sh, odo0 + (odo - odo0) * sh as odo, v0 + (v - v0) * sh as v from cross_),
+marked as (select *, ({LINE}::double - x0) / (x - x0) as r, (x0 - {LINE}::double) * (x - {LINE}::double) < 0 and abs(y0 + (y - y0) * (({LINE}::double - x0) / (x - x0))) < 15 as hit from steps),
+counted as (select *, cast(sum(case when hit then 1 else 0 end) over (partition by rec order by seq) as bigint) as g from marked),
+cross_ as (select rec, seq, g - 1 as lap_id, round(t0 + (t - t0) * r, 3) as t_cross, t, t0, odo, odo0, v, v0, x, x0, y, y0 from counted where hit),
+cuts as (select rec, lap_id, t_cross as t, (t_cross - t0) / (t - t0) as sh, odo0 + (odo - odo0) * sh as odo, v0 + (v - v0) * sh as v, x0 + (x - x0) * sh as x, y0 + (y - y0) * sh as y from cross_),
 spans as (select rec, lap_id, t_cross as t_start, lead(t_cross) over (partition by rec order by lap_id) as t_finish from cross_),
 whole as (select * from spans where t_finish is not null),
 rows_ as (
-  select s.rec, w.lap_id, s.t, s.odo, s.v, 1 as kind from {table} s join whole w on s.rec = w.rec and s.lap_no - 1 = w.lap_id
-  union all select c.rec, w.lap_id, c.t, c.odo, c.v, 0 from cuts c join whole w on c.rec = w.rec and c.lap_id = w.lap_id
-  union all select c.rec, w.lap_id, c.t, c.odo, c.v, 2 from cuts c join whole w on c.rec = w.rec and c.lap_id - 1 = w.lap_id),
-samples as (select rec, lap_id, t, v, kind, t - first_value(t) over w as elapsed, odo - first_value(odo) over w as dist, t - lag(t) over w as dt
+  select s.rec, w.lap_id, s.t, s.odo, s.v, s.x, s.y, 1 as kind from counted s join whole w on s.rec = w.rec and s.g - 1 = w.lap_id
+  union all select c.rec, w.lap_id, c.t, c.odo, c.v, c.x, c.y, 0 from cuts c join whole w on c.rec = w.rec and c.lap_id = w.lap_id
+  union all select c.rec, w.lap_id, c.t, c.odo, c.v, c.x, c.y, 2 from cuts c join whole w on c.rec = w.rec and c.lap_id - 1 = w.lap_id),
+samples as (select rec, lap_id, t, v, x, y, kind, t - first_value(t) over w as elapsed, odo - first_value(odo) over w as dist, t - lag(t) over w as dt
             from rows_ window w as (partition by rec, lap_id order by t, kind)),
 laps0 as (
   select w.rec, w.lap_id, w.t_start, w.t_finish, round(w.t_finish - w.t_start, 3) as lap_s, n + 2 as samples, round(dist_m, 3) as dist_m, round(max_dt, 3) as max_dt, v_max, v_min
@@ -60,9 +62,13 @@ swept as (select rec, lap_id, dist, g, i, last_value(p ignore nulls) over (parti
 GRID = LAPS + """,
 asked as (select rec, lap_id, i / 399.0::double * total as dist, i from totals_, range(0, 400) u(i) where total > 0)""" + INTERP.format(name="grid")
 SPLITS = LAPS + """,
-asked as (select v.rec, v.lap_id, u.f::double * total as dist, u.i from valid v join totals_ t on v.rec = t.rec and v.lap_id = t.lap_id, (values (0, 0.0), (1, 0.25), (2, 0.6), (3, 1.0)) u(i, f))""" + INTERP.format(name="at_") + """,
+mid(no, mx, my) as (values (1, 50.005::double, 60.0::double), (2, -30.0::double, 30.0::double)),
+near as (select rec, lap_id, no, dist from (select vs.rec, vs.lap_id, no, dist, row_number() over (partition by vs.rec, vs.lap_id, no order by (x - mx) ** 2 + (y - my) ** 2, dist) as q from vs, mid) where q = 1),
+asked as (select rec, lap_id, dist, row_number() over (partition by rec, lap_id order by dist, e) - 1 as i from (
+  select rec, lap_id, dist, 1 as e from near union all select rec, lap_id, 0.0, 0 from totals_ union all select rec, lap_id, total, 2 from totals_))""" + INTERP.format(name="at_") + """,
 splits as (select * from (select rec, lap_id, i as sector, round(lead(elapsed) over (partition by rec, lap_id order by i) - elapsed, 4) as split_s from at_) where split_s is not null)"""
-IDEAL = GRID + """,
+CLEAN_GRID = GRID.replace(LAPS, laps("clean", CLEAN).replace("join valid v on s.rec", "join (select * from cand where not dropout) v on s.rec"))
+IDEAL = CLEAN_GRID + """,
 ideal as (select rec, i, max(e) over (partition by rec order by i) as ideal_s from (select rec, i, min(elapsed) as e from grid group by all))"""
 LONG_G = TRACE + """,
 h as (select *, t - lag(t) over w as a, lead(t) over w - t as b, lag(v) over w as va, lead(v) over w as vb from trace window w as (partition by rec order by seq)),
@@ -125,13 +131,31 @@ ORACLE: dict[str, str] = {
     "dropout_laps": f"with {laps('clean', CLEAN)} select rec, lap_id, max_dt, max_dt > 0.35 as dropout from valid",
     "best_lap": f"with {LAPS} select rec, lap_id, lap_s from best",
     "capped_selection": f"with {LAPS} select rec, lap_id, lap_s from (select *, row_number() over (partition by rec order by lap_s, lap_id) as q from valid) where q <= 6",
-    "lap_at_time": f"with {LAPS} select t.rec, t.seq, v.lap_id from trace t left join valid v on t.rec = v.rec and t.t >= v.t_start and t.t < v.t_finish where t.seq % 50 = 7",
+    "lap_at_time": f"with {LAPS} select t.rec, t.seq, v.lap_id from trace t left join valid v on t.rec = v.rec and t.t >= v.t_start and t.t < v.t_finish",
     "sector_splits": f"with {SPLITS} select rec, lap_id, cast(sector as integer) as sector, split_s from splits",
     "session_best_splits": f"with {SPLITS} select rec, cast(sector as integer) as sector, min(split_s) as best_s from splits where split_s > 0 group by all",
     "theoretical_best": f"with {SPLITS}, b as (select rec, sector, min(split_s) filter (split_s > 0) as b from splits group by all) select rec, round(case when count(*) = count(b) then sum(b) end, 4) as theoretical_s from b group by rec",
-    "best_rolling_lap": f"""with {GRID}, ok as (select rec, lap_id from cand where not dropout), g as (select grid.* from grid join ok using (rec, lap_id)),
-      t as (select rec, lap_id, elapsed as lap from g where i = 399), w as (select a.rec, min(lap - a.elapsed + b.elapsed) as w from g a join g b on a.rec = b.rec and b.lap_id = a.lap_id + 1 and a.i = b.i join t on t.rec = a.rec and t.lap_id = a.lap_id group by a.rec)
+    "best_rolling_lap": f"""with {LAPS}, okl as (select rec, lap_id from cand where not dropout),
+      h0 as (select s.rec, s.lap_id, s.t, s.x, s.y, row_number() over w - 1 as i, dist / max(dist) over (partition by rec, lap_id) as share, lag(s.x) over w as xa, lead(s.x) over w as xb, lag(s.y) over w as ya, lead(s.y) over w as yb,
+             lag(s.t) over w as ta, lead(s.t) over w as tb from samples s join okl using (rec, lap_id) window w as (partition by rec, lap_id order by t, dist)),
+      h1 as (select *, case when xa is null then xb - x when xb is null then x - xa else (xb - xa) / 2 end as gx, case when ya is null then yb - y when yb is null then y - ya else (yb - ya) / 2 end as gy from h0),
+      h as (select *, case when sqrt(gx ** 2 + gy ** 2) > 0 then gx / sqrt(gx ** 2 + gy ** 2) else 0 end as hx, case when sqrt(gx ** 2 + gy ** 2) > 0 then gy / sqrt(gx ** 2 + gy ** 2) else 0 end as hy from h1),
+      m as (select rec, lap_id - 1 as lap_id, count(*) as m from h group by all),
+      an as (select a.rec, a.lap_id, a.i, a.t, a.x, a.y, a.hx, a.hy, m.m, count(b.i) as c from h a join m on m.rec = a.rec and m.lap_id = a.lap_id left join h b on b.rec = a.rec and b.lap_id = a.lap_id + 1 and b.share < a.share group by all),
+      met as (select a.rec, a.lap_id, a.i, a.t as at_, a.x as ax, a.y as ay, b.i as j, b.x, b.y, b.t, coalesce(b.xa, b.x) as xa, coalesce(b.ya, b.y) as ya, coalesce(b.ta, b.t) as ta, coalesce(b.xb, b.x) as xb, coalesce(b.yb, b.y) as yb, coalesce(b.tb, b.t) as tb
+              from an a join h b on b.rec = a.rec and b.lap_id = a.lap_id + 1 and b.i between least(c, m - 1) - greatest(5, floor(m * 0.02)) and least(c, m - 1) + greatest(5, floor(m * 0.02)) where a.hx * b.hx + a.hy * b.hy >= 0.5),
+      nr as (select * from (select *, row_number() over (partition by rec, lap_id, i order by (x - ax) ** 2 + (y - ay) ** 2, j) as q from met) where q = 1),
+      u as (select *, (x - xa) ** 2 + (y - ya) ** 2 as la, (xb - x) ** 2 + (yb - y) ** 2 as lb from nr),
+      f as (select *, case when la > 0 then least(greatest(((ax - xa) * (x - xa) + (ay - ya) * (y - ya)) / la, 0), 1) else 0 end as fa, case when lb > 0 then least(greatest(((ax - x) * (xb - x) + (ay - y) * (yb - y)) / lb, 0), 1) else 0 end as fb from u),
+      z as (select *, (xa + fa * (x - xa) - ax) ** 2 + (ya + fa * (y - ya) - ay) ** 2 as da, (x + fb * (xb - x) - ax) ** 2 + (y + fb * (yb - y) - ay) ** 2 as db from f),
+      w as (select rec, min(case when da <= db then ta + fa * (t - ta) else t + fb * (tb - t) end - at_) as w from z where least(da, db) <= 9 group by rec)
       select best.rec, round(least(lap_s, coalesce(w, lap_s)), 4) as rolling_s from best left join w on best.rec = w.rec""",
+    "sector_crossings": f"""with recursive {TRACE}{STEPS.format(t='trace')},
+      ev as (select rec, seq, 0 as no, t0 + (t - t0) * ((50.005::double - x0) / (x - x0)) as tc from steps where (x0 - 50.005::double) * (x - 50.005::double) < 0 and abs(y0 + (y - y0) * ((50.005::double - x0) / (x - x0))) < 15
+        union all select rec, seq, 1, t0 + (t - t0) * ((50.005::double - x0) / (x - x0)) from steps where (x0 - 50.005::double) * (x - 50.005::double) < 0 and abs(y0 + (y - y0) * ((50.005::double - x0) / (x - x0)) - 60) < 15
+        union all select rec, seq, 2, t0 + (t - t0) * ((30.0005::double - y0) / (y - y0)) from steps where (y0 - 30.0005::double) * (y - 30.0005::double) < 0 and abs(x0 + (x - x0) * ((30.0005::double - y0) / (y - y0)) + 30) < 15),
+      walk(rec, n, seq) as (select rec, 0, min(seq) from ev where no = 0 group by rec union all select w.rec, w.n + 1, min(e.seq) from walk w join ev e on e.rec = w.rec and e.no = (w.n + 1) % 3 and e.seq > w.seq group by w.rec, w.n)
+      select walk.rec, walk.n, walk.n % 3 as line, walk.seq, round(tc, 3) as t_cross from walk join ev on ev.rec = walk.rec and ev.seq = walk.seq and ev.no = walk.n % 3""",
     "lap_channels": f"with {LAPS} select rec, lap_id, count(*) as n, max(round(dist, 3)) as distance_m, round(avg(round(v * 3.6::double, 3)), 3) as mean_kmh from vs group by all",
     "laps_pivot": f"with {SPLITS} select s.rec, s.lap_id, max(split_s) filter (sector = 0) as s1, max(split_s) filter (sector = 1) as s2, max(split_s) filter (sector = 2) as s3, max(v.lap_s) as lap_s from splits s join valid v on s.rec = v.rec and s.lap_id = v.lap_id group by s.rec, s.lap_id",
     "pace_stats": f"with {LAPS}, a as (select rec, count(*) as n, min(lap_s) as best_s, median(lap_s) as m, stddev_samp(lap_s) as s from valid group by rec) select rec, n, best_s, round(m, 4) as median_s, round(s, 4) as sigma_s, round(round(m, 4) - best_s, 4) as gap_s, round(s / round(m, 4) * 100, 4) as cov_pct from a",
@@ -147,9 +171,10 @@ ORACLE: dict[str, str] = {
     "delta_grid": f"with {GRID}, b as (select g.rec, g.i, g.elapsed as e from grid g join best on g.rec = best.rec and g.lap_id = best.lap_id) select g.rec, g.lap_id, cast(g.i as integer) as i, round(g.elapsed - b.e, 4) + 0.0::double as delta_s from grid g join b on g.rec = b.rec and g.i = b.i",
     "ideal_envelope": f"with {IDEAL} select rec, cast(i as integer) as i, round(ideal_s, 4) as ideal_s from ideal",
     "delta_to_ideal": f"with {IDEAL} select g.rec, g.lap_id, cast(g.i as integer) as i, round(g.elapsed - d.ideal_s, 4) + 0.0::double as delta_s from grid g join ideal d on g.rec = d.rec and g.i = d.i",
-    "delta_between": f"with {GRID} select a.rec, cast(a.i as integer) as i, round(a.elapsed - b.elapsed, 4) + 0.0::double as delta_s from grid a join grid b on a.rec = b.rec and a.i = b.i where a.lap_id = 0 and b.lap_id = 1",
+    "delta_between": f"with {GRID} select a.rec, a.lap_id, cast(a.i as integer) as i, round(b.elapsed - a.elapsed, 4) + 0.0::double as delta_s from grid a join grid b on a.rec = b.rec and a.i = b.i and b.lap_id = a.lap_id + 1",
+    "ideal_gap": f"with {IDEAL}, b as (select c.rec, min(c.lap_s) as best_s from cand c where not dropout group by c.rec) select b.rec, best_s, round(ideal_s, 4) as ideal_s, round(best_s - round(ideal_s, 4), 4) + 0.0::double as gap_s from b join ideal d on d.rec = b.rec and d.i = 399",
     "ideal_total": f"with {IDEAL} select rec, round(ideal_s, 4) as ideal_s from ideal where i = 399",
-    "reference_lap_delta": f"with {GRID}, b as (select g.i, g.elapsed as e from grid g join best on g.rec = best.rec and g.lap_id = best.lap_id where g.rec = 0) select g.rec, g.lap_id, cast(g.i as integer) as i, round(g.elapsed - b.e, 4) + 0.0::double as delta_s from grid g join b on g.i = b.i where g.rec = 1",
+    "reference_lap_delta": f"with {GRID}, b as (select g.i, g.elapsed as e from grid g join best on g.rec = best.rec and g.lap_id = best.lap_id where g.rec = 0) select g.rec, g.lap_id, cast(g.i as integer) as i, round(g.elapsed - b.e, 4) + 0.0::double as delta_s from grid g join b on g.i = b.i where g.rec <> 0",
     "otsu_threshold": f"""with {TRACE}, q as (select rec, log10(greatest(abs(v / 1000), 0.0001)) as q from trace), bx as (select rec, min(q) as lo, max(q) as hi from q group by rec),
       pl as (select q.rec, least(floor((q - lo) / case when hi > lo then hi - lo else 1.0 end * 128), 127)::integer as b from q join bx on q.rec = bx.rec),
       ct as (select rec, b, count(*) as n from pl group by all), hs as (select bx.rec, u.b, coalesce(n, 0) as n, lo + (hi - lo) * (u.b + 0.5::double) / 128 as m from bx cross join (select unnest(range(0, 128))::integer as b) u left join ct on ct.rec = bx.rec and ct.b = u.b),
@@ -178,5 +203,5 @@ ORACLE: dict[str, str] = {
       select * from d where distance_m <= 750 and ratio <= 2""",
     "track_detect": f"""with {PLACES}, d as (select place, track, round(6371000.0::double * sqrt((radians(k_lon - lon) * cos(radians((lat + k_lat) / 2))) ** 2 + radians(k_lat - lat) ** 2), 3) as distance_m from places, tracks)
       select place, track, distance_m from (select *, row_number() over (partition by place order by distance_m, track desc) as q from d where distance_m <= 1500) where q = 1""",
-    "index_at_time": f"with {TRACE} select a.rec, a.seq as asked, coalesce((select min(b.seq) from trace b where b.rec = a.rec and b.t >= a.t + 0.05::double), (select max(c.seq) from trace c where c.rec = a.rec)) as seq from trace a where a.seq % 40 = 3",
+    "index_at_time": f"with {TRACE} select a.rec, a.seq as asked, coalesce(b.seq, z.seq) as seq from trace a asof left join trace b on b.rec = a.rec and b.t >= a.t + 0.05::double join (select rec, max(seq) as seq from trace group by rec) z on z.rec = a.rec",
 }

@@ -15,7 +15,9 @@ from .session import Session
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SECTORS = [0.25, 0.6]
+#: The timing line across the first straight, just off where a fix can stand, and two sector lines: across the second straight and the second arc.
+LINE = (50.005, -15.0, 50.005, 15.0)
+SECTORS = ((50.005, 45.0, 50.005, 75.0), (-45.0, 30.0005, -15.0, 30.0005))
 
 
 def query(f: Query) -> Query:
@@ -24,11 +26,16 @@ def query(f: Query) -> Query:
 
 
 def session(spark: SparkSession, sf_dir: str) -> Session:
-    return Session(fixtures.trace(spark, sf_dir), fixtures.LINE_CM / 100, fixtures.LAP_CM / 100)
+    return Session(fixtures.trace(spark, sf_dir), LINE, SECTORS)
+
+
+def gated_session(spark: SparkSession, sf_dir: str) -> Session:
+    """Of fixes that pass the gate, so that laps have dropouts."""
+    return Session(tr.gated(fixtures.trace(spark, sf_dir)), LINE, SECTORS)
 
 
 def _splits(s: Session) -> DataFrame:
-    return laps.splits(s.valid_samples, s.valid, SECTORS)
+    return laps.splits(s.valid_samples, s.sectors)
 
 
 # Traces
@@ -124,13 +131,13 @@ def valid_laps(spark, d):
 
 @query
 def excluded_laps(spark, d):
-    s = Session(fixtures.trace(spark, d).where("not (lap_no % 7 = 3 and seq % 2 = 0 and v > 25)"), 50.0, 388.5)
+    s = Session(fixtures.trace(spark, d).where("not (lap_no % 7 = 3 and seq % 2 = 0 and v > 25)"), LINE)
     return laps.excluded(s.laps.withColumn("lap_s", F.when(F.col("lap_id") % 5 == 0, F.round(F.col("lap_s") * 1.7, 3)).otherwise(F.col("lap_s")))).select("rec", "lap_id", "lap_s", "samples")
 
 
 @query
 def dropout_laps(spark, d):
-    s = Session(tr.gated(fixtures.trace(spark, d)), 50.0, 388.5)
+    s = Session(tr.gated(fixtures.trace(spark, d)), LINE)
     return laps.with_dropout(s.valid).select("rec", "lap_id", "max_dt", "dropout")
 
 
@@ -147,8 +154,7 @@ def capped_selection(spark, d):
 @query
 def lap_at_time(spark, d):
     s = session(spark, d)
-    times = s.trace.where("seq % 50 = 7").select("rec", "t", "seq")
-    return laps.lap_at(times, s.laps).select("rec", "seq", "lap_id")
+    return laps.lap_at(s.trace.select("rec", "t", "seq"), s.laps).select("rec", "seq", "lap_id")
 
 
 @query
@@ -156,6 +162,12 @@ def sector_splits(spark, d):
     return _splits(session(spark, d))
 
 
+@query
+def sector_crossings(spark, d):
+    s = session(spark, d)
+    return laps.sector_crossings(s.trace, s.lines, s.sectors)
+
+
 @query
 def session_best_splits(spark, d):
     return laps.best_splits(_splits(session(spark, d)))
@@ -248,29 +260,35 @@ def delta_grid(spark, d):
 
 @query
 def ideal_envelope(spark, d):
-    return delta.ideal(session(spark, d).grid).select("rec", "i", F.round("ideal_s", 4).alias("ideal_s"))
+    return delta.ideal(gated_session(spark, d).clean_grid).select("rec", "i", F.round("ideal_s", 4).alias("ideal_s"))
 
 
 @query
 def delta_to_ideal(spark, d):
-    return delta.to_ideal(session(spark, d).grid)
+    return delta.to_ideal(gated_session(spark, d).clean_grid)
 
 
 @query
 def delta_between(spark, d):
-    return delta.between(session(spark, d).grid, 0, 1)
+    return delta.following(session(spark, d).grid)
+
+
+@query
+def ideal_gap(spark, d):
+    s = gated_session(spark, d)
+    return delta.ideal_gap(delta.ideal_total(s.clean_grid), laps.clean(s.laps))
 
 
 @query
 def ideal_total(spark, d):
-    return delta.ideal_total(session(spark, d).grid)
+    return delta.ideal_total(gated_session(spark, d).clean_grid)
 
 
 @query
 def reference_lap_delta(spark, d):
     s = session(spark, d)
     other = s.grid.where("rec = 0").join(s.best.select("rec", "lap_id"), ["rec", "lap_id"], "left_semi").select("i", "elapsed")
-    return delta.rebased(s.grid.where("rec = 1"), other)
+    return delta.rebased(s.grid.where("rec <> 0"), other)
 
 
 # Corners
@@ -379,8 +397,7 @@ def brake_consistency(spark, d):
     events = materialised(driving.brake_events(driving.smoothed_g(s.g_trace), s.thresholds), "brakes")
     starts = laps.lap_at(events.withColumnRenamed("t0", "t"), s.laps).where("lap_id is not null")
     # Onsets in metres from the lap's line.
-    origin = s.lap_m
-    local = starts.withColumn("d0", F.round(F.pmod(F.col("d0") - s.line_m, F.lit(origin)), 3)).select("rec", "lap_id", "d0", "peak_g")
+    local = starts.withColumn("d0", F.round(F.pmod(F.col("d0") - LINE[0], F.lit(fixtures.LAP_CM / 100)), 3)).select("rec", "lap_id", "d0", "peak_g")
     return driving.onset_spread(driving.brake_points(s.corner_stats, local, driving.max_decel(events)))
 
 
@@ -460,7 +477,7 @@ def fitted_start_line(spark, d):
 @query
 def index_at_time(spark, d):
     t = fixtures.trace(spark, d)
-    times = t.where("seq % 40 = 3").select("rec", (F.col("t") + 0.05).alias("t"), F.col("seq").alias("asked"))
+    times = t.select("rec", (F.col("t") + 0.05).alias("t"), F.col("seq").alias("asked"))
     return lines.index_at(times, t).select("rec", "asked", "seq")
 
 
@@ -478,7 +495,7 @@ def corner_projection(spark, d):
 def _in_laps(s: Session, events: DataFrame) -> DataFrame:
     """Events (rec, t0, t1, d0) with their lap, and distances from its line."""
     at = laps.lap_at(events.withColumnRenamed("t0", "t"), s.laps).where("lap_id is not null")
-    return at.select("rec", "lap_id", F.pmod(F.col("d0") - s.line_m, F.lit(s.lap_m)).alias("d0"), (F.col("t1") - F.col("t")).alias("seconds"))
+    return at.select("rec", "lap_id", F.pmod(F.col("d0") - LINE[0], F.lit(fixtures.LAP_CM / 100)).alias("d0"), (F.col("t1") - F.col("t")).alias("seconds"))
 
 
 @query
@@ -495,8 +512,8 @@ def loop_fit(spark, d):
     """The best lap of each recording on the best lap of recording 0."""
     s = session(spark, d)
     own = s.lap_facts.join(s.best.select("rec", "lap_id"), ["rec", "lap_id"], "left_semi")
-    loops = materialised(shape.loop(own, ["rec"], "t", 128), "loops")
-    return shape.fit_loops(loops, loops.where("rec = 0").select("i", "x", "y"), 128).select("rec", "shift", "way", "mirror", F.round("scale", 4).alias("scale"), F.round("rms", 3).alias("rms"))
+    loops = materialised(shape.loop(own, ["rec"], "t"), "loops")
+    return shape.fit_loops(loops, loops.where("rec = 0").select("i", "x", "y")).select("rec", "shift", "way", "mirror", F.round("scale", 4).alias("scale"), F.round("rms", 3).alias("rms"))
 
 
 @query

@@ -13,6 +13,10 @@ from ..operators import trace as tr
 from ..sources.tables import materialised
 
 
+def _line(ends: tuple[float, float, float, float]):
+    return F.struct(*[F.lit(float(v)).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), ends, strict=True)])
+
+
 @dataclass
 class Session:
     """Lazy frames over all recordings of ``trace`` (rec, seq, t, v, odo, dop, fix, x, y, lap_no).
@@ -23,8 +27,8 @@ class Session:
     """
 
     trace: DataFrame
-    line_m: float
-    lap_m: float
+    line: tuple[float, float, float, float]
+    sector_lines: tuple[tuple[float, float, float, float], ...] = ()
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -32,7 +36,21 @@ class Session:
 
     @cached_property
     def crossings(self) -> DataFrame:
-        return laps.distance_crossings(self.trace, self.line_m, self.lap_m)
+        return laps.numbered(laps.line_crossings(self.trace, self.lines)).select("rec", "seq", "lap_id", "t_cross")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """(rec, line): the timing line of each recording."""
+        return self.recordings.withColumn("line", _line(self.line))
+
+    @cached_property
+    def recordings(self) -> DataFrame:
+        return self.trace.select("rec").distinct()
+
+    @cached_property
+    def sectors(self) -> DataFrame:
+        """(rec, sector, line): the sector lines of each recording, from 1."""
+        return self.recordings.select("rec", F.posexplode(F.array(*map(_line, self.sector_lines))).alias("sector", "line")).withColumn("sector", F.col("sector") + 1)
 
     @cached_property
     def samples(self) -> DataFrame:
@@ -54,11 +72,25 @@ class Session:
     def valid_samples(self) -> DataFrame:
         return self.samples.join(self.valid.select("rec", "lap_id"), ["rec", "lap_id"], "left_semi")
 
+    @cached_property
+    def clean_samples(self) -> DataFrame:
+        """Samples of valid laps without dropouts."""
+        return self.samples.join(laps.clean(self.laps).select("rec", "lap_id"), ["rec", "lap_id"], "left_semi")
+
     @cached_property
     def lap_facts(self) -> DataFrame:
-        """``valid_samples`` as a table: the facts that corners are made from."""
+        """``valid_samples`` as a table: the facts that corner times are made from."""
         return materialised(self.valid_samples, "lap-facts")
 
+    @cached_property
+    def clean_facts(self) -> DataFrame:
+        """``clean_samples`` as a table: the facts that corners are found from."""
+        return materialised(self.clean_samples, "clean-facts")
+
+    @cached_property
+    def clean_grid(self) -> DataFrame:
+        return laps.fraction_grid(self.clean_samples)
+
     @cached_property
     def grid(self) -> DataFrame:
         return laps.fraction_grid(self.valid_samples)
@@ -71,7 +103,7 @@ class Session:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return materialised(corners.pooled(corners.curvature(self.lap_facts), self.lengths), "profile")
+        return materialised(corners.pooled(corners.curvature(self.clean_facts), self.lengths), "profile")
 
     @cached_property
     def corners(self) -> DataFrame:

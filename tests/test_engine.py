@@ -105,7 +105,7 @@ def test_stadium_has_two_half_turns(spark):
             pts.append((0, lap, s, x, y))
     d = spark.createDataFrame(pts, "rec int, lap_id int, dist double, x double, y double")
     lengths = spark.createDataFrame([(0, total)], "rec int, length double")
-    profile = corners.pooled(corners.curvature(d, 5), lengths)
+    profile = corners.pooled(corners.curvature(d), lengths)
     got = corners.detect(profile, corners.otsu(profile)).orderBy("cid").collect()
     assert [r.direction for r in got] == [1, 1]
     assert [r.turn_deg for r in got] == pytest.approx([180, 180], abs=6)
@@ -139,6 +139,7 @@ def test_upsert_takes_the_new(spark):
 def test_empty_trace(spark):
     kind = "rec int, seq long, t double, v double, odo double, dop double, fix int, x double, y double, lap_no long"
     t = spark.createDataFrame([], kind)
-    c = laps.distance_crossings(t, 50.0, 388.5)
+    line = spark.createDataFrame([], "rec int, line struct<x1: double, y1: double, x2: double, y2: double>")
+    c = laps.numbered(laps.line_crossings(t, line))
     assert laps.lap_table(laps.laps(t, c)).count() == 0
     assert tr.dropouts(t).count() == 0
