@@ -41,16 +41,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import lean, new_path
+from .shared import lean, new_path, small_batches
 
 BLOCK = 1024
 PERCENTILE = 99
 #: Ids at which a segment ends after the document it is in.
 SEGMENT_IDS = 1 << 18
 #: Words whose ids a task remembers, at least; twice as many at most.
-REMEMBERED = 60_000
+REMEMBERED = 50_000
 #: Bytes of text whose pieces are told apart at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 FILE = "part int, segment int, first long, doc_ids array<bigint>, n_tokens array<bigint>, n_ids long, payload binary"
 
 
@@ -310,7 +310,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, do
             yield row()
 
     ordered = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange("d", F.xxhash64("t")).sortWithinPartitions("d", F.xxhash64("t"), "t")
-    ordered.select("d", "t").mapInArrow(lean(run), FILE).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.select("d", "t").mapInArrow(lean(run), FILE).write.parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
