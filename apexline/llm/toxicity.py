@@ -10,11 +10,19 @@ number and rate of such windows give a text's score.
 What goes into the toxic dictionary: toxic documents are mostly ordinary
 text, so of their words those that hold a typical part are taken, a part
 being typical if its odds in toxic documents are far above those in ordinary
-ones (``RATIO`` times and ``SURE`` standard errors).  Threshold and scores are
-calibrated on one half of the labelled documents with dictionaries made from
-the other, which haven't seen it; then the dictionaries are made from all.  All
+ones (``RATIO`` times and ``SURE`` standard errors, at any size).  Threshold and
+scores are calibrated on one half of the labelled documents with dictionaries made
+from the other, which haven't seen it; then the dictionaries are made from all.  All
 come from a sample of about ``SAMPLE`` labelled documents at most, chosen by hash.
 
+Words and parts are counted by Spark, and so are the calibration half's windows;
+the driver gets typical parts, the dictionaries' words (``TOXIC_BYTES`` and
+``ORDINARY_BYTES``, which are the sizes of the dictionaries) and a few numbers for
+each document of the calibration half.
+
+Dictionaries that zstandard's trainer makes of longer windows of running text were
+tried, and are worse by far (see the README).
+
 Defined results: null, empty and wordless texts score as texts without toxic
 windows; without labelled documents of both kinds the score is 0 throughout;
 repeated rows give equal rows; labels without a document, or null, teach nothing.
@@ -24,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +42,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .language import held_out, sampled
-from .shared import fresh, with_struct
+from .shared import drop_kept, fresh, kept, lean, with_struct
 from .tokens import _Recent
 
 SAMPLE = 12_000
 WINDOW, TIMES = 4, 4
 PARTS = (6, 8)
 RATIO, OFTEN = 8.0, 5
-#: Standard errors asked for, with FEW labelled documents and more.
-FEW, SURE_FEW, SURE = 2000, 3.5, 4.5
+#: Standard errors asked for.
+SURE = 4.0
 TOXIC_BYTES, ORDINARY_BYTES = 1 << 16, 30_000
 THRESHOLDS = (2, 3, 4, 5)
 WORD = re.compile(rf"[^\W\d_]{{{WINDOW},}}")
@@ -59,10 +68,17 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
 
 
-def _odds(a: int, n_a: int, b: int, n_b: int) -> tuple[float, float]:
-    """(ratio of shares, difference of log odds in standard errors)."""
-    p, q = (a + 0.5) / (n_a + 1), (b + 0.5) / (n_b + 1)
-    return p / q, (np.log(p / (1 - p)) - np.log(q / (1 - q))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, piece, half, y, n): in how many texts of rows (text, y, half) each word (kind 0) and part (kind 1) stands."""
+    for batch in batches:
+        seen: dict[tuple[int, int, int], Counter] = {}
+        for text, y, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            own = set(LETTERS.findall(text.as_py().lower()))
+            seen.setdefault((0, half, y), Counter()).update(own)
+            seen.setdefault((1, half, y), Counter()).update({g for w in own for g in _parts(w)})
+        for (kind, half, y), found in seen.items():
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(list(found), pa.string()), pa.array(np.full(n, half, np.int32)), pa.array(np.full(n, y, np.int32)), pa.array(list(found.values()), pa.int64())], names=["kind", "piece", "half", "y", "n"])
 
 
 class Gains:
@@ -76,24 +92,26 @@ class Gains:
         return {"toxic": self.toxic, "ordinary": self.ordinary, "ready": None}
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, int]]) -> Gains:
-        """From texts and labels."""
-        words, parts, n = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
-        for text, y in rows:
-            own = set(LETTERS.findall(text.lower()))
-            n[y] += 1
-            words[y].update(own)
-            parts[y].update({g for w in own for g in _parts(w)})
-        least = SURE if len(rows) >= FEW else SURE_FEW
-        typical = set()
-        for g, a in parts[1].items():
-            if a >= OFTEN:
-                ratio, sure = _odds(a, n[1], parts[0][g], n[0])
-                if ratio > RATIO and sure > least:
-                    typical.add(g)
-        toxic = Counter({w: k for w, k in words[1].items() if k * n[0] > 4 * words[0][w] * n[1] and not typical.isdisjoint(_parts(w))})
-        joined = lambda c, size: "".join([f"{w} " for w, _ in sorted(c.items(), key=lambda x: (x[1], x[0]))]).encode()[-size:]  # noqa: E731  frequent words last, where they are near
-        return cls(joined(toxic, TOXIC_BYTES), joined(words[0], ORDINARY_BYTES))
+    def fit(cls, counts: DataFrame, texts: list[int]) -> Gains:
+        """From (kind, piece, n0, n1), in how many ordinary and toxic texts a word or part stands, and how many there are of both."""
+        p, q = (F.col("n1") + 0.5) / (texts[1] + 1), (F.col("n0") + 0.5) / (texts[0] + 1)
+        errors = (F.log(p / (1 - p)) - F.log(q / (1 - q))) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+        typical = counts.where(f"kind = 1 and n1 >= {OFTEN}").where((p / q > RATIO) & (errors > SURE)).select(F.col("piece").alias("part"))
+        padded = F.concat(F.lit(" "), "piece", F.lit(" "))
+
+        def cut(k: int):
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - k + 1, F.lit(1))), lambda i: F.substr(padded, i, F.lit(k)))
+
+        parts = F.flatten(F.array(*map(cut, PARTS)))
+        words = counts.where("kind = 0")
+        toxic = words.where(F.col("n1") * texts[0] > 4 * F.col("n0") * texts[1]).select("piece", "n1", F.explode(parts).alias("part")).join(typical, "part", "left_semi").groupBy("piece").agg(F.first("n1").alias("n"))
+
+        def joined(found: DataFrame, size: int) -> bytes:
+            """Frequent words last, where they are near; a word has two bytes at least."""
+            top = found.orderBy(F.desc("n"), F.desc("piece")).limit(size // 2).collect()
+            return "".join([f"{r.piece} " for r in reversed(top)]).encode()[-size:]
+
+        return cls(joined(toxic, TOXIC_BYTES), joined(words.where("n0 > 0").select("piece", F.col("n0").alias("n")), ORDINARY_BYTES))
 
     def __call__(self, word: str) -> int:
         if self.ready is None:
@@ -120,18 +138,30 @@ class Model:
         return np.stack([np.ones(len(count)), np.log1p(count), np.minimum(count, 3), np.log1p(rate)], axis=1)
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, int]]) -> Model | None:
-        teach, test = rows[::2], rows[1::2]
-        if any(len({y for _, y in half}) < 2 for half in (teach, test)):
+    def fit(cls, rows: DataFrame) -> Model | None:
+        """From (text, y, half)."""
+        counts = rows.mapInArrow(lean(_count), "kind int, piece string, half int, y int, n long")
+        of = lambda y, half: F.sum(F.when((F.col("y") == y) & F.col("half").isin(half), F.col("n")).otherwise(0))
+        counts = kept(counts.groupBy("kind", "piece").agg(of(0, [0]).alias("a0"), of(1, [0]).alias("a1"), of(0, [0, 1]).alias("b0"), of(1, [0, 1]).alias("b1")), "pieces")
+        n = {(r.half, r.y): r.n for r in rows.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}  # four rows at most
+        if len(n) < 4:
             return None
-        gains = Gains.fit(teach)
-        memo = _Recent(gains, 1_000_000)
-        values = [[memo[w] for w in WORD.findall(t.lower())] for t, _ in test]
-        y, windows = np.array([y for _, y in test], float), np.array([len(v) for v in values])
+        gains = Gains.fit(counts.select("kind", "piece", F.col("a0").alias("n0"), F.col("a1").alias("n1")), [n[0, 0], n[0, 1]])
+        shared = rows.sparkSession.sparkContext.broadcast(gains)
+
+        def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memo = _Recent(shared.value, 200_000)
+            for batch in batches:
+                values = [[memo[w] for w in WORD.findall(t.as_py().lower())] for t in batch.column(0)]
+                counts = [pa.array([sum(g >= t for g in v) for v in values], pa.int64()) for t in THRESHOLDS]
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(map(len, values), pa.int64()), *counts], names=["y", "windows", *(f"c{t}" for t in THRESHOLDS)])
+
+        # Some numbers for each text of half a sample.
+        test = rows.where("half = 1").select("text", "y").mapInArrow(lean(above), "y int, windows long, " + ", ".join(f"c{t} long" for t in THRESHOLDS)).toArrow()
+        y, windows = np.asarray(test["y"]).astype(float), np.asarray(test["windows"])
         best = None
         for threshold in THRESHOLDS:
-            count = np.array([sum(g >= threshold for g in v) for v in values])
-            x = cls.features(count, windows)
+            x = cls.features(np.asarray(test[f"c{threshold}"]), windows)
             w = np.zeros(x.shape[1])
             for _ in range(25):  # Newton's method, with a small penalty
                 p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -140,7 +170,9 @@ class Model:
             loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
             if best is None or loss < best[0]:
                 best = loss, threshold, w
-        return cls(Gains.fit(rows), best[1], best[2])
+        whole = Gains.fit(counts.select("kind", "piece", F.col("b0").alias("n0"), F.col("b1").alias("n1")), [n[0, 0] + n[1, 0], n[0, 1] + n[1, 1]])
+        drop_kept(counts)
+        return cls(whole, best[1], best[2])
 
     def __call__(self, texts: list[str | None], memo: _Recent) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros((2, len(texts)))
@@ -153,9 +185,9 @@ class Model:
 
 def score(docs: DataFrame, labelled: DataFrame, text: str = "text", name: str = "toxicity") -> tuple[DataFrame, str]:
     """``docs`` and a struct column (its name is the second result): ``score`` and ``windows``; learned from (doc_id, text, toxic)."""
-    rows = sampled(labelled.where("text is not null and toxic is not null"), SAMPLE).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    # About SAMPLE texts; the order by hash deals both halves alike.
-    model = Model.fit([(r.text, int(r.toxic > 0)) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator(prefetchPartitions=True)])
+    rows = sampled(labelled.where("text is not null and toxic is not null"), SAMPLE)
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
+    model = Model.fit(kept(rows.select("text", (F.col("toxic") > 0).cast("int").alias("y"), half.alias("half")), "labelled"))
     name = fresh(docs, name)
     if model is None:
         return docs.withColumn(name, F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("windows"))), name

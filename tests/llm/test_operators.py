@@ -213,6 +213,41 @@ def test_toxicity(spark, docs, empty):
     assert {x.score for x in toxicity.report(docs, table.where("false")).collect()} == {0.0}
 
 
+def test_toxicity_against_plain_loops(spark):
+    """The dictionaries, thresholds' counts and scores, from plain loops over the same labelled texts."""
+    from collections import Counter
+
+    r = random.Random(5)
+    texts = []
+    for i in range(400):
+        w = words(40, i, 200).split()
+        for _ in range(3 * (i % 4 == 0)):
+            w[r.randrange(40)] = r.choice(["hateful", "Wretched!", "despisedly", "vermin"])
+        texts.append((" ".join(w), int(i % 4 == 0), i // 7 % 2))
+    model = toxicity.Model.fit(spark.createDataFrame(texts, "text string, y int, half int"))
+    n, words_, parts = [0, 0], (Counter(), Counter()), (Counter(), Counter())
+    for t, y, _ in texts:
+        own = set(toxicity.LETTERS.findall(t.lower()))
+        n[y] += 1
+        words_[y].update(own)
+        parts[y].update({" {} ".format(w)[i : i + k] for w in own for k in toxicity.PARTS for i in range(max(1, len(w) + 3 - k))})
+
+    def typical(g):
+        p, q = (parts[1][g] + 0.5) / (n[1] + 1), (parts[0][g] + 0.5) / (n[0] + 1)
+        sure = (math.log(p / (1 - p)) - math.log(q / (1 - q))) / math.sqrt(1 / (parts[1][g] + 0.5) + 1 / (parts[0][g] + 0.5))
+        return parts[1][g] >= toxicity.OFTEN and p / q > toxicity.RATIO and sure > toxicity.SURE
+
+    toxic = [w for w, k in words_[1].items() if k * n[0] > 4 * words_[0][w] * n[1] and any(" {} ".format(w)[i : i + k_] in parts[1] and typical(" {} ".format(w)[i : i + k_]) for k_ in toxicity.PARTS for i in range(max(1, len(w) + 3 - k_)))]
+    assert set(model.gains.toxic.decode().split()) == set(toxic) >= {"hateful", "wretched", "despisedly", "vermin"}
+    assert model.gains.ordinary.decode().split() == [w for w, _ in sorted(words_[0].items(), key=lambda x: (x[1], x[0]))]
+    docs = spark.createDataFrame([(1000 + i, t) for i, (t, *_) in enumerate(texts)] + [(1, None), (2, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1000 + i, 0, y) for i, (_, y, _) in enumerate(texts)], "doc_id long, quality int, toxic int")
+    scored, name = toxicity.score(docs, docs.join(labels, "doc_id").select("doc_id", "text", "toxic"))
+    rows = {x.doc_id: x[name] for x in scored.select("doc_id", name).collect()}
+    assert rows[1] == rows[2] and rows[1].windows == 0
+    assert all((rows[1000 + i].score > 0.5) == bool(y) for i, (_, y, _) in enumerate(texts))
+
+
 def test_licences(spark, docs, empty):
     texts = ["x\nLICENSED!! under the Apache License, version 2.0\ny", "Released under the MIT License.\nAll rights reserved.", "All rights reserved", "rights reserved for nobody at all", None, ""]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
