@@ -4,7 +4,7 @@ A document's set is its distinct shingles of five words.  Two documents are
 linked if their sets have a Jaccard similarity of at least ``percent`` / 100;
 components of links are classes, named by their smallest ``doc_id``.
 
-1.  Texts with equal words (64 bits of their digest) are one node, so copies
+1.  Texts with equal words (128 bits of their digest) are one node, so copies
     cost a grouping only.
 2.  Each node gets a SetSketch: for each register the least of the
     exponential values that the set's elements draw for it, stored on an
@@ -137,11 +137,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = W.find(data, offsets)
             values, first = shingle_sets(w)
             rows = registers(values, first)
-            nodes = [int.from_bytes(hashlib.blake2b(w.text(a, b), digest_size=8).digest(), "little", signed=True) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+            digests = np.frombuffer(b"".join([hashlib.blake2b(w.text(a, b), digest_size=16).digest() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]), "<i8").reshape(-1, 2)
             # One value holds the registers and, after them, the parity bits.
             sketches = [a.tobytes() + b.tobytes() for a, b in zip(rows, parities(values, first), strict=True)]
-            columns = [batch.column(i).slice(lo, to - lo) for i in (0, 2, 3)] + [pa.array(nodes, pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "node", "n", "sketch"])
+            columns = [batch.column(i).slice(lo, to - lo) for i in (0, 2, 3)] + [pa.array(digests[:, i].copy()) for i in (0, 1)] + [pa.array(np.diff(first), pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "h1", "h2", "n", "sketch"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,13 +264,15 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, k1, k2, n, label, component) for each row of ``docs``; label tells classes apart."""
     rows = _keys(docs, doc_id, text)
-    sketches = kept(rows.mapInArrow(lean(_sketch), "doc_id long, k1 long, k2 int, node long, n long, sketch binary"), "sketches")
-    nodes = kept(sketches.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    sketches = kept(rows.mapInArrow(lean(_sketch), "doc_id long, k1 long, k2 int, h1 long, h2 long, n long, sketch binary"), "sketches")
+    nodes = sketches.where("n > 0").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("k1", "k2")).alias("k"), F.min("doc_id").alias("least"))
+    # Numbered once, in a table.
+    nodes = kept(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = nodes.select("node", "sketch").mapInArrow(lean(_bands), "node long, bucket long")
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", "bucket")).alias("centre")).where("size > 1")
     members = kept(bands.join(buckets, "bucket").select("bucket", "node", "size", "centre"), "members")
     # The texts of the nodes that share a bucket: of equal texts the first row's.
-    wanted = members.select("node").distinct().join(sketches, "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.*")
+    wanted = members.select("node").distinct().join(nodes.select("node", "k"), "node").select("node", "k.*")
     texts = rows.where("text is not null").select("k1", "k2", "text").mapInArrow(lean(_compress), "k1 long, k2 int, z binary")
     texts = kept(texts.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "z"), "texts")
 
@@ -279,7 +281,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         return kept(pairs.mapInArrow(lean(_verify(percent)), "a long, b long"), "links")
 
     stars = members.where("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    stars = stars.join(nodes.toDF("a", "na", "sa"), "a").join(nodes.toDF("b", "nb", "sb"), "b")
+    slim = nodes.select("node", "n", "sketch")
+    stars = stars.join(slim.toDF("a", "na", "sa"), "a").join(slim.toDF("b", "nb", "sb"), "b")
     stars = stars.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
     labels = docs.sparkSession.createDataFrame([], "node long, label long")
     labels = relabel(labels, verified(stars.mapInArrow(lean(_likely(percent)), "a long, b long")))
@@ -293,17 +296,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         widest = now.agg(F.max("cells")).first()[0]
         if widest is None or lo > widest // 2:
             break
-        one = now.where(f"cells >= {2 * lo}").join(nodes, "node").groupBy("bucket", "cell").agg(F.first("cells").alias("cells"), F.first("main").alias("main"), F.bool_or(F.col("label") != F.col("main")).alias("open"), F.collect_list(F.struct("node", "label", "n", "sketch")).alias("cell_nodes"))
+        one = now.where(f"cells >= {2 * lo}").join(slim, "node").groupBy("bucket", "cell").agg(F.first("cells").alias("cells"), F.first("main").alias("main"), F.bool_or(F.col("label") != F.col("main")).alias("open"), F.collect_list(F.struct("node", "label", "n", "sketch")).alias("cell_nodes"))
         steps = F.flatten(F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda d: F.array(F.col("cell") + d, F.col("cell") - d)))
         left = one.where("open").select("bucket", "main", F.col("cell_nodes").alias("left"), F.explode(F.array_distinct(F.transform(steps, lambda c: F.pmod(c, F.col("cells"))))).alias("cell"))
         met = left.join(one.select("bucket", "cell", F.col("cell_nodes").alias("right")), ["bucket", "cell"]).select("main", "left", "right")
         labels = relabel(labels, verified(met.mapInArrow(lean(_meet(percent)), "a long, b long").distinct()))
         crowd = now.select("bucket", "node", "cells", "cell")
         lo, hi = hi + 1, 8 * hi + 7
-    found = sketches.join(labels, "node", "left").select("doc_id", "k1", "k2", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
-    names = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component"))
-    named = found.join(names, "label", "left")
-    return named.select("doc_id", "k1", "k2", "n", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component"))
+    # Names are found and met by different texts; copies only meet their text.
+    labelled = nodes.select("h1", "h2", "node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
+    names = labelled.groupBy("label").agg(F.min("least").alias("component"))
+    named = kept(labelled.join(names, "label").select("h1", "h2", "label", "component"), "named")
+    found = sketches.select("doc_id", "k1", "k2", "h1", "h2", "n").join(named, ["h1", "h2"], "left")
+    return found.select("doc_id", "k1", "k2", "n", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component"))
 
 
 def report(docs: DataFrame, percent: int = 85) -> DataFrame:
