@@ -32,6 +32,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,10 +48,10 @@ BLOCK = 1024
 PERCENTILE = 99
 #: Ids at which a segment ends after the document it is in.
 SEGMENT_IDS = 1 << 18
-#: Words whose ids a task remembers, at least; twice as many at most.
-REMEMBERED = 50_000
+#: Pieces whose ids a task remembers before it starts anew.
+REMEMBERED = 200_000
 #: Bytes of text whose pieces are told apart at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 FILE = "part int, segment int, first long, doc_ids array<bigint>, n_tokens array<bigint>, n_ids long, payload binary"
 
 
@@ -201,8 +202,8 @@ class Encoder:
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.words = _Recent(self._word, REMEMBERED // 4)
-        self.pieces = _Recent(self._piece, REMEMBERED)
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
         self.begins = [np.frombuffer(x.encode()[:2].ljust(2), np.uint8) for x in self.special]
         plain = all(not t.normalized and not t.lstrip and not t.rstrip and not re.search(r"\s", t.content) for t in self.library.get_added_tokens_decoder().values())
         how = lambda part: json.loads(part.__getstate__()) if part is not None else None
@@ -210,11 +211,21 @@ class Encoder:
 
     def _piece(self, piece: bytes) -> bytes:
         text = piece.decode() if piece.isascii() else "".join([self.letters[b] for b in piece])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _known(self, keys: list[bytes], memo: dict[bytes, bytes], make) -> list[bytes]:
+        """What ``make`` gives for each key, remembered in ``memo`` until that has REMEMBERED."""
+        if len(memo) > REMEMBERED:
+            memo.clear()
+        out = list(map(memo.get, keys))
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = memo[keys[i]] = make(keys[i])
+        return out
+
     def _word(self, word: bytes) -> bytes:
         return self._whole(word.decode())
 
@@ -259,10 +270,10 @@ class Encoder:
         runs = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(lower)])
         # Each distinct piece is encoded once; a whole word may look like a piece, so the two are told apart.
         flat, sizes, at, known = [], [], np.empty(len(begin), np.int64), 0
-        for which, memo in ((np.flatnonzero(~whole), self.pieces), (np.flatnonzero(whole), self.words)):
+        for which, memo in ((np.flatnonzero(~whole), (self.pieces, self._piece)), (np.flatnonzero(whole), (self.words, self._word))):
             if len(which):
                 some = (runs if len(which) == len(runs) else runs.take(pa.array(which))).dictionary_encode()
-                ids = [memo[x] for x in some.dictionary.to_pylist()]
+                ids = self._known(some.dictionary.to_pylist(), *memo)
                 flat += ids
                 sizes += map(len, ids)
                 at[which] = np.asarray(some.indices) + known
