@@ -204,4 +204,33 @@ ORACLE: dict[str, str] = {
     "track_detect": f"""with {PLACES}, d as (select place, track, round(6371000.0::double * sqrt((radians(k_lon - lon) * cos(radians((lat + k_lat) / 2))) ** 2 + radians(k_lat - lat) ** 2), 3) as distance_m from places, tracks)
       select place, track, distance_m from (select *, row_number() over (partition by place order by distance_m, track desc) as q from d where distance_m <= 1500) where q = 1""",
     "index_at_time": f"with {TRACE} select a.rec, a.seq as asked, coalesce(b.seq, z.seq) as seq from trace a asof left join trace b on b.rec = a.rec and b.t >= a.t + 0.05::double join (select rec, max(seq) as seq from trace group by rec) z on z.rec = a.rec",
+    "lap_completions": f"with {LAPS} select rec, lap_id as lap_no, round(sum(lap_s) over (partition by rec order by lap_id rows between unbounded preceding and current row), 3) as done_s from valid",
+    "pit_brackets": f"with {LAPS}, p as (select rec, lap_id, case when lap_s >= 21 then lap_id end as stop from valid) select rec, lap_id as lap_no, max(stop) over (partition by rec order by lap_id rows between unbounded preceding and 1 preceding) as pit_before, min(stop) over (partition by rec order by lap_id rows between 1 following and unbounded following) as pit_after from p",
+    "lap_residuals": f"with {LAPS}, p as (select rec, lap_s as m, floor(lap_s * 4) / 4 as r from valid) select rec, count(*) as n, round(avg(m - r), 6) as mean, round(median(m - r), 6) as median, round(stddev_pop(m - r), 6) as std, round(sqrt(avg((m - r) ** 2)), 6) as rms, round(sum(m * r) / sum(r ** 2), 6) as rate from p group by rec",
+    "lap_labels": f"""with {LAPS}, q as (select rec, lap_id, lap_s, cast(round(lap_s * 1000) as bigint) as ms, cast(floor(lap_s * 100) as bigint) as s from valid)
+      select rec, lap_id, 'Lap ' || (lap_id + 1) as label, printf('%d:%02d.%03d', ms // 60000, ms // 1000 % 60, ms % 1000) as clock, case when s >= 3600 then printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) else printf('%d:%02d', s // 60, s % 60) end as duration from q""",
+    "pedal_intensity": f"with {LONG_G} select gs.rec, seq, round(case when long_g < 0 then case when -long_g < 0.18 then 0.0 else -least(-long_g / theta, 1.0) end else least(long_g / 0.5::double, 1.0) end, 4) + 0.0::double as pedal from gs join theta on gs.rec = theta.rec",
+    "median_start_line": f"""with {TRACE}, o as (select *, row_number() over w - 1 as i, count(*) over (partition by rec) as n, lead(x, 20) over w - x as hx, lead(y, 20) over w - y as hy from trace window w as (partition by rec order by seq)),
+      m as (select *, sqrt(hx * hx + hy * hy) as k from o where i = n // 2)
+      select rec, round(x + hy / k * 5, 4) as x1, round(y - hx / k * 5, 4) as y1, round(x - hy / k * 5, 4) as x2, round(y + hx / k * 5, 4) as y2 from m""",
+    "pb_moments": """with h as (select o_orderkey as fingerprint, o_orderpriority as track, o_totalprice as best, o_orderstatus <> 'P' and o_custkey % 17 <> 0 and o_custkey % 13 <> 0 as good from orders),
+      p as (select track, min(best) as b from h where fingerprint % 5 <> 0 and good group by track)
+      select fingerprint, h.track, case when not good then 'none' when b is null then 'first' when best < b then 'beat' else 'none' end as moment from h left join p on p.track = h.track where fingerprint % 5 = 0""",
+    "local_frame": """with p as (select c_custkey as place, 45 + (c_custkey * 37 % 1000) / 10000.0::double as lat, 7 + (c_custkey * 91 % 1000) / 10000.0::double as lon, 500.0::double + c_custkey % 400 as alt from customer),
+      c as (select place, (1 + alt / 6378000.0::double) * 6378000 * cos(radians(lat)) * cos(radians(lon)) as x, (1 + alt / 6378000.0::double) * 6378000 * cos(radians(lat)) * sin(radians(lon)) as y, (1 + alt / 6378000.0::double) * 6357000 * sin(radians(lat)) as z from p),
+      o as (select radians(45.05::double) as a, radians(7.05::double) as b, 6378000 * cos(a) * cos(b) as x, 6378000 * cos(a) * sin(b) as y, 6357000 * sin(a) as z),
+      d as (select place, c.x - o.x as dx, c.y - o.y as dy, c.z - o.z as dz, a, b from c, o)
+      select place, round(-dx * sin(b) + dy * cos(b), 3) + 0.0::double as east,
+        round((-dx * 6378000 * sin(a) * cos(b) - dy * 6378000 * sin(a) * sin(b) + dz * 6357000 * cos(a)) / sqrt((6378000 * sin(a)) ** 2 + (6357000 * cos(a)) ** 2), 3) + 0.0::double as north,
+        round((dx * cos(a) * cos(b) + dy * cos(a) * sin(b) + dz * 6357000 / 6378000 * sin(a)) / sqrt(cos(a) ** 2 + (6357000.0::double / 6378000 * sin(a)) ** 2), 3) + 0.0::double as up from d""",
+    "track_maps": f"""with {TRACE}, b as (select rec, min(v) as lo, max(v) as hi from trace group by rec), q as (select t.rec, seq, cast(case when hi <= lo then 8 else least(greatest(floor((v - lo) / (hi - lo) * 16), 0), 15) end as integer) as bucket from trace t join b on t.rec = b.rec),
+      r as (select *, sum(c) over (partition by rec order by seq) as run from (select *, case when bucket <> lag(bucket) over (partition by rec order by seq) then 1 else 0 end as c from q))
+      select rec, cast(run as bigint) as run, bucket, count(*) as points from r group by all""",
+    "locked_seeks": f"""with {LAPS}, s as (select vs.*, total from vs join totals_ using (rec, lap_id)),
+      a as (select s.rec, s.lap_id, s.t, s.dist / s.total as share from s join valid v on v.rec = s.rec and v.lap_id = s.lap_id + 1 where kind = 1),
+      k as (select a.*, a.share * z.total as d from a join totals_ z on z.rec = a.rec and z.lap_id = a.lap_id + 1),
+      lo as (select k.rec, k.lap_id, k.t, k.d, max(struct_pack(d := s.dist, t := s.t)) as p from k join s on s.rec = k.rec and s.lap_id = k.lap_id + 1 and s.dist <= k.d group by all),
+      hi as (select k.rec, k.lap_id, k.t, k.d, min(struct_pack(d := s.dist, t := s.t)) as p from k join s on s.rec = k.rec and s.lap_id = k.lap_id + 1 and s.dist >= k.d group by all)
+      select k.rec, k.lap_id, round(k.t, 3) as t, round(case when hi.p is null then lo.p.t when hi.p.d = lo.p.d then lo.p.t else lo.p.t + (hi.p.t - lo.p.t) * ((k.d - lo.p.d) / (hi.p.d - lo.p.d)) end, 3) as t_other
+      from k left join lo using (rec, lap_id, t, d) left join hi using (rec, lap_id, t, d)""",
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import coaching, corners, delta, driving, imu, laps, library, lines, pace, shape
 from ..operators import trace as tr
 from ..sources import fixtures
@@ -537,3 +538,76 @@ def gps_forces(spark, d):
 @query
 def trace_jitter(spark, d):
     return shape.jitter(fixtures.trace(spark, d)).select("rec", F.round("across_m", 4).alias("across_m"), F.round("heading_deg", 3).alias("heading_deg"))
+
+
+def _measured(s: Session) -> DataFrame:
+    """Valid laps as a measured list: (rec, lap_no, ref_s)."""
+    return s.valid.select("rec", F.col("lap_id").alias("lap_no"), F.col("lap_s").alias("ref_s"))
+
+
+@query
+def lap_completions(spark, d):
+    return lines.completions(_measured(session(spark, d))).select("rec", "lap_no", F.round("done_s", 3).alias("done_s"))
+
+
+@query
+def pit_brackets(spark, d):
+    return lines.pit_brackets(_measured(session(spark, d)), 21.0).select("rec", "lap_no", "pit_before", "pit_after")
+
+
+@query
+def lap_residuals(spark, d):
+    pairs = session(spark, d).valid.select("rec", F.col("lap_s").alias("measured"), (F.floor(F.col("lap_s") * 4) / 4).alias("reference"))
+    r = pace.residuals(pairs).join(pace.clock_rate(pairs), "rec")
+    return r.select("rec", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std", "rms", "rate")])
+
+
+@query
+def lap_labels(spark, d):
+    t = laps.lap_table(session(spark, d).laps)
+    return t.select("rec", "lap_id", scalars.lap_label(F.col("lap_id")).alias("label"), scalars.lap_clock(F.col("lap_s")).alias("clock"), scalars.duration(F.col("lap_s") * 100).alias("duration"))
+
+
+@query
+def pedal_intensity(spark, d):
+    s = session(spark, d)
+    return s.g_trace.join(s.thresholds, "rec").select("rec", "seq", F.round(driving.pedals(F.col("theta")), 4).alias("pedal"))
+
+
+@query
+def median_start_line(spark, d):
+    return lines.median_line(fixtures.trace(spark, d)).select("rec", *[F.round(f"line.{c}", 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def pb_moments(spark, d):
+    h = fixtures.history(spark, d)
+    return library.pb_moment(h.where("fingerprint % 5 = 0"), h.where("fingerprint % 5 <> 0")).select("fingerprint", "track", "moment")
+
+
+@query
+def local_frame(spark, d):
+    p = _places(spark, d)
+    east, north, up = scalars.local_xy(F.col("lat"), F.col("lon"), F.col("diag"), F.lit(45.05), F.lit(7.05))
+    return p.select("place", *[(F.round(v, 3) + F.lit(0.0)).alias(c) for v, c in ((east, "east"), (north, "north"), (up, "up"))])
+
+
+@query
+def corner_bests(spark, d):
+    return coaching.corner_bests(session(spark, d).corner_stats)
+
+
+@query
+def track_maps(spark, d):
+    t = fixtures.trace(spark, d)
+    bands = driving.rainbow(t, "v").join(t.select("rec", "seq", "x", "y"), ["rec", "seq"])
+    return shape.polylines(bands).select("rec", "run", "bucket", F.size("points").cast("long").alias("points"))
+
+
+@query
+def locked_seeks(spark, d):
+    """For each fix of a lap, when the lap after it is at the same place."""
+    s = session(spark, d)
+    asked = s.valid_samples.where("inner").select("rec", "lap_id", "t", (F.col("lap_id") + 1).alias("other"))
+    nxt = s.valid.select("rec", (F.col("lap_id") - 1).alias("lap_id"))
+    return lines.locked_seek(asked.join(nxt, ["rec", "lap_id"], "left_semi"), s.valid_samples).select("rec", "lap_id", F.round("t", 3).alias("t"), F.round("t_other", 3).alias("t_other"))
