@@ -3,7 +3,7 @@
 Vectors are turned into integers, ``floor(scale * x)``, and sorted by descending
 length into blocks of ``BLOCK``; queries are blocked too.
 
-*  Blocks are processed by descending length, in waves of 1, 2, 4, ... blocks.
+*  Blocks are processed by descending length, in waves of 3, 12, 48, ... blocks.
    After each wave every query's k-th best so far is its floor in the next.  By
    Cauchy-Schwarz a query can't score above |q| |v|, so a pair of blocks whose
    longest query and vector stay below the lowest floor is never made.
@@ -41,6 +41,8 @@ from pyspark.sql.window import Window
 from .shared import drop_kept, kept, lean
 
 BLOCK, QUERIES = 4096, 2048
+#: How many times more blocks each wave has.
+GROWTH = 4
 #: Queries of a block that are scored at once.
 ROWS = 512
 SAMPLE = 4096
@@ -158,19 +160,11 @@ def _score(k: int):
                 found = []
                 for lo in range(0, len(sides[0]), ROWS):
                     found += best_of(*[x[lo : lo + ROWS] for x in sides[:4]], floor[lo : lo + ROWS], *sides[4:], k)
-                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["q_block"]] * len(found), pa.int64()), *[pa.array([f[j] for f in found], pa.int64()) for j in range(3)]], names=["q_block", "query_id", "vec_id", "score"])
 
     return run
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each query of a block."""
-    for batch in batches:
-        for b, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(ids, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([b] * len(own), pa.int64()), pa.array(own)], names=["q_block", "query_id"])
-
-
 def _floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The floors of a block's queries, in their order, and the lowest."""
     for batch in batches:
@@ -181,7 +175,7 @@ def _floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("q_block").slice(i, 1), pa.array([floor.tobytes()], pa.binary()), pa.array([floor.min(initial=np.inf)], pa.float64())], names=["q_block", "floor", "lowest"])
 
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "q_block long, query_id long, vec_id long, score long"
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -193,20 +187,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     asked = _blocks(usable(queries, vec_id, embedding, scale), rotations, QUERIES)
     asked = kept(asked.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("block", "most", "bits", "ids", "whole", "turned", "rest")]), "asked")
     # Blocks are numbered by descending length; numbers only.
-    wave = F.floor(F.log2(F.row_number().over(Window.partitionBy("dim").orderBy("block")))).cast("int")
+    wave = F.floor(F.log(float(GROWTH), F.row_number().over(Window.partitionBy("dim").orderBy("block")).cast("double")) + 1e-9).cast("int")
     order = kept(blocks.select("dim", "block", "most", wave.alias("wave")), "order")
     sizes = [r.n for r in order.groupBy("wave").agg(F.count("*").alias("n")).orderBy("wave").collect()]  # a row for each wave, of which there are few
-    members = kept(asked.select("q_block", "q_ids").mapInArrow(lean(_members), "q_block long, query_id long"), "members")
 
     def best(found: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
-    top = spark.createDataFrame([], FOUND)
+    top = spark.createDataFrame([], f"{FOUND}, rank int")
     for number, size in enumerate(sizes):
-        floors = top.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        known = members.join(floors, "query_id", "left").groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "floor"))).alias("known"))
-        levels = kept(asked.select("q_block", "q_ids").join(known, "q_block").mapInArrow(lean(_floors), "q_block long, floor binary, lowest double"), "floors")
+        known = top.where(F.col("rank") == k).groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "score"))).alias("known"))
+        levels = kept(asked.select("q_block", "q_ids").join(known, "q_block", "left").mapInArrow(lean(_floors), "q_block long, floor binary, lowest double"), "floors")
         salts = min(64, max(1, size // 4))
         salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))  # noqa: E731, B023
         salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt")
@@ -214,11 +206,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         pairs = order.where(F.col("wave") == number).select("dim", "block", "most", salt).join(small, ["dim", "salt"]).where("q_most * most * (1 + 1e-9) + 1e-6 >= lowest").select("block", "q_block", "salt")
         pairs = pairs.join(blocks, "block").join(salted(asked.drop("dim").join(levels.select("q_block", "floor"), "q_block")), ["q_block", "salt"])
         found = pairs.mapInArrow(lean(_score(k)), FOUND)
-        before, top = top, kept(best(top.unionByName(found)).drop("rank"), "top")
+        before, top = top, kept(best(top.drop("rank").unionByName(found)), "top")
         drop_kept(levels)
         if number:
             drop_kept(before)
-    return best(top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return top.select("query_id", "rank", "vec_id", "score")
 
 
 def report(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
