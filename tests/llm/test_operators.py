@@ -192,6 +192,55 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_language_against_plain_loops(spark, docs):
+    """The same model and scores from plain loops over words and their n-grams."""
+    from collections import Counter
+
+    langs = {"en": "the and of to in that with for", "fr": "le la les des dans pour avec été", "de": "der die und mit für nicht straße"}
+    texts = [(i, " ".join(random.Random(i).choices(langs[x].split(), k=15)), x) for i in range(60) for x in (list(langs)[i % 3],)]
+    asked = [*(t for _, t, _ in texts), "Theand ofto!", "undmit pourla x", "日本 123", "", None, "İx straßen", "été " * 3000, "a1b_c thé", *(t for _, t in docs.select("doc_id", "text").collect())]
+    d = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language.Model.fit(d, "text", "lang")
+
+    def cut(t):
+        return "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+
+    def pieces(w, k):
+        p = f" {w} "
+        return [w] if k == 0 else list(w) if k == 1 else [p[i : i + k] for i in range(len(p) - k + 1)]
+
+    kinds = (0, *language.LENGTHS)
+    counts = {x: {k: Counter() for k in kinds} for x in langs}
+    for _, t, x in texts:
+        for w in cut(t):
+            for k in kinds:
+                counts[x][k].update(pieces(w, k))
+    order = sorted(langs)
+
+    def one(piece, k):
+        row = [math.log10(counts[x][k][piece] / counts[x][k].total()) if counts[x][k][piece] >= language.OFTEN else None for x in order]
+        return None if all(v is None for v in row) else [language.MISSING if v is None else v for v in row]
+
+    def scored(w):
+        for k in kinds:
+            known = [r for r in (one(p, k) for p in pieces(w, k)) if r]
+            if known:
+                return [sum(c) / len(known) for c in zip(*known, strict=True)]
+        return [language.MISSING] * 3
+
+    got_langs, got_scores = model.tell(asked)
+    for t, lang, score in zip(asked, got_langs, got_scores, strict=True):
+        w = cut(t)
+        if not w:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        rows = {x: scored(x) for x in set(w)}
+        mean = [sum(rows[x][j] for x in w) / len(w) for j in range(3)]
+        top = max(mean)
+        assert score == pytest.approx(1 / sum(10 ** ((m - top) * min(len(w), 10)) for m in mean), abs=1e-6)
+        assert mean[order.index(lang)] == pytest.approx(top, abs=1e-9)
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(3)
     rows, labels = [], []
@@ -375,6 +424,48 @@ def test_topk(spark, monkeypatch, block):
     assert topk.report(v.where("false")).count() == 0
 
 
+def test_pipeline_against_plain_versions(spark, tmp_path):
+    """Each stage against a plain version of itself, with odd rows, extra columns of clashing names, and nothing at all."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, words(60, i // 3 if i % 3 < 2 else 1000 + i), "en", "ab"[i % 2], 0, "x", 1) for i in range(60)]
+    rows += [(3, words(60, 1), "en", "a", 0, "x", 1)] * 2 + [(70, None, None, None, 0, None, 2), (71, "", None, "a", 0, None, 2), (72, "12 34", "en", None, 0, "y", 3), (None, words(30, 99), "en", "b", 0, "z", 4), (73, words(4000, 7), "en", "b", 0, "w", 5)]
+    kind = f"{DOCS}, k1 string, copies int"
+    folder, nothing = tmp_path / "some", tmp_path / "none"
+    items = [(1, " ".join(words(60, 4).split()[5:20])), (2, None), (None, ""), (3, "not to be found anywhere")]
+    for at, r in ((folder, rows), (nothing, [])):
+        spark.createDataFrame(r, kind).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    stages = [f for _, f in pipeline.STAGES]
+    docs = spark.createDataFrame(rows, kind)
+    every = lambda df: sorted(map(tuple, df.collect()), key=str)
+    one = stages[0](spark, docs, str(folder))
+    assert every(one) == sorted((r for r in rows if any(c.isalpha() for c in r[1] or "")), key=str)
+    two = stages[1](spark, one, str(folder))
+    ids = [(r[0] if r[0] is not None else -1, r[1]) for r in every(one)]
+    stay = {d for d, _, c, _ in neardup.brute_force([(d, t) for d, t in dict(ids).items()]) if d == c}
+    assert sorted(r[0] if r[0] is not None else -1 for r in every(two)) == sorted(stay)
+    three = stages[2](spark, two, str(folder))
+    bad = {d for d, *_, hit in decontaminate.brute_force([(r[0], r[1]) for r in every(two)], items) if hit}
+    assert bad and every(three) == sorted((r for r in every(two) if r[0] not in bad), key=str)
+    four = stages[3](spark, three, str(folder))
+    taken = {(r.doc_id, r.size): r.taken for r in mixing.report(three).collect()}
+    assert sorted(r[0] or 0 for r in every(four)) == sorted(d or 0 for (d, size), words_ in taken.items() for _ in range(words_ // size))
+    assert four.columns == docs.columns and set(every(four)) <= set(rows)
+    five = every(stages[4](spark, four, str(folder)))
+    library, at = Tokenizer.from_file(tokens.default_tokenizer()), 0
+    want = []
+    for d, t in sorted(((r[0], r[1]) for r in every(four)), key=lambda x: (x[0] is not None, x[0] or 0)):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert five == sorted(want, key=str)
+    assert pipeline.run(spark, str(nothing)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.createDataFrame([(i, words(50, i) if i != 7 else words(50, 6), "en", "a" if i % 2 else "b", 0) for i in range(40)] + [(50, None, None, None, 0)], DOCS)
