@@ -167,6 +167,40 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixing_against_plain_loops(spark):
+    """Sizes, targets and what each document may be taken, from plain loops; only empty sources and repeated rows as well."""
+    import re
+
+    r = random.Random(8)
+    sources = ["b", "B", "é", "日", None, "empty", "a"]
+    rows = [(i, "w\u00a0x y\t" * r.randrange(0, 40) if sources[i % 7] != "empty" else r.choice([None, "", " \n"]), None, sources[i % 7], None) for i in range(700)]
+    rows += [rows[8]] * 5 + [(10_000, "z " * 9000, None, "a", None)]
+    sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, *_ in rows]
+    order = sorted({x[3] for x in rows}, key=lambda x: (x is None, x or ""))
+    whole = {x: sum(n for n, y in zip(sizes, rows, strict=True) if y[3] == x) for x in order}
+    weight = {x: (3, 1, 2)[i % 3] for i, x in enumerate(order)}
+    capped: set = set()
+    while True:
+        level = (1.5 * sum(sizes) - sum(2 * whole[x] for x in capped)) / sum(weight[x] for x in order if x not in capped)
+        more = {x for x in order if x not in capped and weight[x] * level > 2 * whole[x]}
+        if not more:
+            break
+        capped |= more
+    want = {x: min(weight[x] * level, 2.0 * whole[x]) for x in order}
+    source = {d: x for d, _, _, x, _ in rows}
+    out = mixing.report(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((x.doc_id, x.size) for x in out) == sorted((d, n) for (d, *_), n in zip(rows, sizes, strict=True))
+    taken = dict.fromkeys(order, 0)
+    for x in out:
+        of = source[x.doc_id]
+        assert (x.source_size, x.target) == (whole[of], pytest.approx(want[of]))
+        rate = want[of] / whole[of] if whole[of] else 1.0
+        assert x.taken in {x.size * math.floor(rate + 1e-12), x.size * math.ceil(rate - 1e-12)}
+        taken[of] += x.taken
+    # What is left over at the end is less than one document; large ones are dealt in proportion.
+    assert all(abs(taken[x] - want[x]) <= (9000 if x == "a" else 80) for x in order)
+
+
 def test_mixing_tree_gives_what_one_bucket_gives_in_sum(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 8)
     monkeypatch.setattr(mixing, "FAN", 4)
