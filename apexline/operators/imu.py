@@ -24,7 +24,7 @@ def clipped(value: Column, most: float) -> Column:
 
 
 def gps_g(trace: DataFrame) -> DataFrame:
-    """(rec, seq, t, v, lat_g, long_g): from positions freed of outliers, smoothed, and turned into heading and speed."""
+    """(rec, seq, t, v, heading, lat_g, long_g): from positions freed of outliers, smoothed, and turned into heading and speed."""
     t = trace
     for c in ("x", "y"):
         t = t.withColumn(f"_m{c}", moving_median(c, REC, "seq", 5))
@@ -36,7 +36,7 @@ def gps_g(trace: DataFrame) -> DataFrame:
     slope = lambda c: uniform_gradient(c, REC, "seq") / F.col("_dt")
     t = t.withColumns({"_a": slope("_speed"), "_w": slope("_heading")})
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return t.select("rec", "seq", "t", "v", zero(clipped(F.col("_speed") * F.col("_w") / CONFIG.g, LAT_CLIP)).alias("lat_g"), zero(clipped(F.col("_a") / CONFIG.g, LONG_CLIP)).alias("long_g"))
+    return t.select("rec", "seq", "t", "v", zero(F.col("_heading")).alias("heading"), zero(clipped(F.col("_speed") * F.col("_w") / CONFIG.g, LAT_CLIP)).alias("lat_g"), zero(clipped(F.col("_a") / CONFIG.g, LONG_CLIP)).alias("long_g"))
 
 
 def on_grid(series: DataFrame, columns: list[str], step: float = STEP_S) -> DataFrame:
@@ -51,7 +51,7 @@ def rotated_back(q: str, x: Column, y: Column, z: Column) -> tuple[Column, Colum
     """A vector turned by the inverse of the unit quaternion in columns {q}w, {q}x, {q}y, {q}z."""
     w, a, b, c = (F.col(f"{q}{n}") for n in "wxyz")
     tx, ty, tz = 2 * (z * b - y * c), 2 * (x * c - z * a), 2 * (y * a - x * b)
-    return x + w * tx + (c * ty - b * tz), y + w * ty + (a * tz - c * tx), z + w * tz + (b * tx - a * ty)
+    return x - w * tx + (b * tz - c * ty), y - w * ty + (c * tx - a * tz), z - w * tz + (a * ty - b * tx)
 
 
 def horizontal(imu: DataFrame) -> DataFrame:
@@ -68,8 +68,9 @@ def horizontal(imu: DataFrame) -> DataFrame:
     length = F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2 + F.col("gz") ** 2)
     turn = F.sqrt(F.col("qw") ** 2 + F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2)
     both = both.withColumns({**{c: F.col(c) / length for c in ("gx", "gy", "gz")}, **{f"q{n}": F.col(f"q{n}") / turn for n in "wxyz"}})
-    world = rotated_back("q", *[F.col(c) - CONFIG.g * F.col(f"g{c}") for c in "xyz"])
-    down = rotated_back("q", F.col("gx"), F.col("gy"), F.col("gz"))
+    # The quaternion's axes are gravity's, so the first two are exchanged back.
+    world = rotated_back("q", *[F.col(c) - CONFIG.g * F.col(f"g{c}") for c in "yxz"])
+    down = rotated_back("q", F.col("gy"), F.col("gx"), F.col("gz"))
     both = both.select("rec", "t", *[a.alias(f"a{c}") for a, c in zip(world, "xyz", strict=True)], *[a.alias(f"d{c}") for a, c in zip(down, "xyz", strict=True)])
     mean = both.groupBy(*REC).agg(*[F.avg(f"d{c}").alias(f"m{c}") for c in "xyz"])
     size = F.sqrt(F.col("mx") ** 2 + F.col("my") ** 2 + F.col("mz") ** 2)
@@ -91,36 +92,45 @@ def horizontal(imu: DataFrame) -> DataFrame:
     return flat.withColumn("_ms", F.round(F.col("t") * 1000).cast("long")).select("rec", "t", F.avg("h1").over(ms).alias("h1"), F.avg("h2").over(ms).alias("h2"))
 
 
+def along_and_across(e: Column, n: Column, heading: Column) -> tuple[Column, Column]:
+    """East and north as forward and left of a heading."""
+    return e * F.cos(heading) + n * F.sin(heading), n * F.cos(heading) - e * F.sin(heading)
+
+
 def fitted(flat: DataFrame, gps: DataFrame) -> DataFrame:
-    """(rec, c, s, hand, n, r_long, r_lat, ok): the turn, and reflection, that brings an IMU's axes to those of the GPS.
+    """(rec, c, s, hand, n, r_long, r_lat, ok): the turn, and reflection, that brings an IMU's level axes to east and north.
 
-    In two dimensions the best turn has a closed form in sums of products, so a
+    The GPS's forces, turned by its heading, are what the IMU's axes should give.  In
+    two dimensions the best turn has a closed form in sums of products, so a
     fit is one aggregation; of both hands the one whose correlations sum to more counts.
     """
-    at = interp_join(flat, gps.where(F.col("v") > CONFIG.brake_moving_mps).select("rec", "t", "lat_g", "long_g"), REC, "t", ["h1", "h2"]).where("h1 is not null and h2 is not null")
+    at = interp_join(flat, gps.where(F.col("v") > CONFIG.brake_moving_mps).select("rec", "t", "lat_g", "long_g", "heading"), REC, "t", ["h1", "h2"]).where("h1 is not null and h2 is not null")
+    at = at.withColumns({"_e": F.col("long_g") * F.cos("heading") - F.col("lat_g") * F.sin("heading"), "_n": F.col("long_g") * F.sin("heading") + F.col("lat_g") * F.cos("heading")})
     hands = at.withColumn("hand", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))).withColumns({"_p": F.col("h1") / CONFIG.g, "_q": F.col("h2") * F.col("hand") / CONFIG.g})
-    sums = hands.groupBy("rec", "hand").agg(F.count("*").alias("n"), F.sum(F.col("_p") * F.col("long_g") + F.col("_q") * F.col("lat_g")).alias("_c"), F.sum(F.col("_p") * F.col("lat_g") - F.col("_q") * F.col("long_g")).alias("_s"))
+    sums = hands.groupBy("rec", "hand").agg(F.count("*").alias("n"), F.sum(F.col("_p") * F.col("_e") + F.col("_q") * F.col("_n")).alias("_c"), F.sum(F.col("_p") * F.col("_n") - F.col("_q") * F.col("_e")).alias("_s"))
     size = F.sqrt(F.col("_c") ** 2 + F.col("_s") ** 2)
     turns = sums.select("rec", "hand", "n", F.when(size > 0, F.col("_c") / size).otherwise(1.0).alias("c"), F.when(size > 0, F.col("_s") / size).otherwise(0.0).alias("s"))
     tried = hands.join(turns, ["rec", "hand"])
-    tried = tried.withColumns({"_long": F.col("c") * F.col("_p") - F.col("s") * F.col("_q"), "_lat": F.col("s") * F.col("_p") + F.col("c") * F.col("_q")})
+    long, lat = along_and_across(F.col("c") * F.col("_p") - F.col("s") * F.col("_q"), F.col("s") * F.col("_p") + F.col("c") * F.col("_q"), F.col("heading"))
+    tried = tried.withColumns({"_long": long, "_lat": lat})
     r = lambda a, b: F.coalesce(F.when(~F.isnan(F.corr(a, b)), F.corr(a, b)), F.lit(0.0))
     scored = tried.groupBy("rec", "hand", "n", "c", "s").agg(r("_long", "long_g").alias("r_long"), r("_lat", "lat_g").alias("r_lat"))
     best = scored.groupBy(*REC).agg(F.max(F.struct((F.col("r_long") + F.col("r_lat")).alias("score"), "hand", "c", "s", "n", "r_long", "r_lat")).alias("b"))
     return best.select("rec", "b.c", "b.s", "b.hand", "b.n", "b.r_long", "b.r_lat", ((F.col("b.n") >= LEAST_MOVING) & (F.col("b.r_lat") >= LEAST_R)).alias("ok"))
 
 
-def g_series(imu: DataFrame, trace: DataFrame) -> DataFrame:
-    """(rec, k, t, lat_g, long_g, origin): 50 a second; from the IMU where its fit holds, else from the GPS."""
-    gps = gps_g(trace)
-    flat = horizontal(imu)
-    fit = fitted(flat, gps)
-    gps_grid = on_grid(gps.select("rec", "t", "lat_g", "long_g"), ["lat_g", "long_g"])
-    turned = flat.join(fit.where("ok").select("rec", "c", "s", "hand"), REC)
+def g_series(flat: DataFrame, gps: DataFrame, fit: DataFrame) -> DataFrame:
+    """(rec, k, t, lat_g, long_g, origin): 50 a second; from the IMU's level axes (:func:`horizontal`) where their fit holds, else from the GPS.
+
+    ``flat``, ``gps`` (:func:`gps_g`) and ``fit`` (:func:`fitted`) are read more than once: pass tables.
+    """
+    grid = on_grid(gps.select("rec", "t", "lat_g", "long_g", "heading"), ["lat_g", "long_g", "heading"])
+    both = interp_join(flat, grid, REC, "t", ["h1", "h2"]).join(fit.where("ok").select("rec", "c", "s", "hand"), REC, "left")
     p, q = F.col("h1") / CONFIG.g, F.col("h2") * F.col("hand") / CONFIG.g
-    turned = turned.select("rec", "t", (F.col("c") * p - F.col("s") * q).alias("imu_long"), (F.col("s") * p + F.col("c") * q).alias("imu_lat"))
-    both = interp_join(turned, gps_grid, REC, "t", ["imu_lat", "imu_long"])
-    return both.select("rec", "k", "t", F.coalesce("imu_lat", "lat_g").alias("lat_g"), F.coalesce("imu_long", "long_g").alias("long_g"), F.when(F.col("imu_lat").isNull(), "gps").otherwise("imu").alias("origin"))
+    long, lat = along_and_across(F.col("c") * p - F.col("s") * q, F.col("s") * p + F.col("c") * q, F.col("heading"))
+    known = F.col("h1").isNotNull() & F.col("c").isNotNull()
+    pick = lambda own, most, other: F.when(known, clipped(own, most)).otherwise(F.col(other)).alias(other)
+    return both.select("rec", "k", "t", pick(lat, LAT_CLIP, "lat_g"), pick(long, LONG_CLIP, "long_g"), F.when(known, "imu").otherwise("gps").alias("origin"))
 
 
 def merged_fits(fits: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -611,3 +612,26 @@ def locked_seeks(spark, d):
     asked = s.valid_samples.where("inner").select("rec", "lap_id", "t", (F.col("lap_id") + 1).alias("other"))
     nxt = s.valid.select("rec", (F.col("lap_id") - 1).alias("lap_id"))
     return lines.locked_seek(asked.join(nxt, ["rec", "lap_id"], "left_semi"), s.valid_samples).select("rec", "lap_id", F.round("t", 3).alias("t"), F.round("t_other", 3).alias("t_other"))
+
+
+def _mounted(gps: DataFrame) -> DataFrame:
+    """The IMU rows that a camera, turned by 50 degrees about the vertical, gives for the forces and headings of ``gps``."""
+    h, g, yaw = F.col("heading"), 9.80665, 0.8726646259971648
+    east = (F.col("long_g") * F.cos(h) - F.col("lat_g") * F.sin(h)) * g
+    north = (F.col("long_g") * F.sin(h) + F.col("lat_g") * F.cos(h)) * g
+    c, s = F.lit(math.cos(yaw)), F.lit(math.sin(yaw))
+    at = lambda name, w, x, y, z: F.struct(F.lit(name).alias("stream"), w.alias("w"), x.alias("x"), y.alias("y"), z.alias("z"))
+    none, zero, one = F.lit(None).cast("double"), F.lit(0.0), F.lit(1.0)
+    rows = F.array(at("ACCL", none, c * north - s * east, c * east + s * north, F.lit(g)), at("GRAV", none, zero, zero, one), at("CORI", F.lit(math.cos(yaw / 2)), zero, zero, F.lit(-math.sin(yaw / 2))))
+    return gps.select("rec", "t", F.explode(rows).alias("r")).select("rec", "t", "r.*")
+
+
+@query
+def imu_gseries(spark, d):
+    """How well the forces of each trace come back from an IMU of unknown mounting."""
+    gps = materialised(imu.gps_g(fixtures.trace(spark, d)), "gps")
+    flat = materialised(imu.horizontal(_mounted(gps)), "flat")
+    fit = materialised(imu.fitted(flat, gps), "fit")
+    series = materialised(imu.g_series(flat, gps, fit), "forces")
+    g = series.groupBy("rec").agg(F.count("*").alias("n"), F.count_if(F.col("origin") == "imu").alias("from_imu"))
+    return g.join(fit.drop("n"), "rec", "left").join(imu.peaks(series), "rec").select("rec", "n", "from_imu", "ok", *[F.round(c, 4).alias(c) for c in ("r_long", "r_lat", "lateral_g", "braking_g")])
