@@ -11,6 +11,8 @@ from .shared import drop_kept, kept
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, label) after links (a, b) have joined what they link; a kept table.
 
+    Links with a null end join nothing; an empty graph has no labels.
+
     ``label`` is the smallest node of a component and stays so.  Nodes that
     ``labels`` lacks are their own label.  Links are mapped to labels once; each
     round then points each label at its smallest neighbour, and at that one's
@@ -18,7 +20,7 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     labels.  The links left shrink with every round.  Minima are combined before
     they are shuffled, so a node with very many links is a row for each task.
     """
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).where("node is not null").distinct()
     labels = kept(labels.join(ends, "node", "full").select("node", F.coalesce("label", "node").alias("label")), "labels")
 
     def mapped(edges: DataFrame, by: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ the documents aren't shuffled at all; with more, each group makes one pass over
 the documents and only the rows of hit documents are grouped.
 
 Defined results: a null or empty text has no words and no hits; null, empty and
-wordless items have no windows; equal items or repeated windows count once for
+wordless items have no windows; an item without an id is named None; equal items or repeated windows count once for
 each item_id; repeated documents give equal rows; an empty benchmark hits
 nothing.  Columns of the documents are kept, whatever their names.
 """

@@ -26,7 +26,7 @@ components of links are classes, named by their smallest ``doc_id``.
 
 Defined results: a null, empty or wordless text has no set, is linked with
 nothing and kept; a text with fewer words than a shingle is one shingle;
-repeated rows share a component; a class of rows without a ``doc_id`` has no
+repeated rows share a component; ids are integers; a class of rows without a ``doc_id`` has no
 name; an empty table gives an empty result.
 """
 

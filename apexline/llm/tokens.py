@@ -23,7 +23,8 @@ of block starts lets :func:`decode` read a range of ids alone.
 
 Texts are tokenised after the shuffle that orders them, so that text and not
 ids are shuffled, and each task writes what it has made.  Defined results: a
-null or empty text is the end id alone; repeated rows are all written; an empty
+null or empty text is the end id alone; repeated rows are all written; ids are
+integers (others are an error, or null where casts give null); an empty
 table gives an empty file.  No text is cut.
 """
 
