@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licences, mixing, neardup, repeats, surrogates, tokens, topk, toxicity
+from . import centroids, decontaminate, language, licences, mixing, neardup, periodic, repeats, surrogates, tokens, topk, toxicity, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,24 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(_t(spark, sf_dir, "documents"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(_t(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(_t(spark, sf_dir, "pages"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(_t(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_mixing, op3_licences, op4_language, op5_toxicity, op6_tokens, op7_surrogates, op8_repeats, op9_decontaminate, op10_neardup)}
+    every = (
+        op1_topk, op2_mixing, op3_licences, op4_language, op5_toxicity, op6_tokens, op7_surrogates, op8_repeats, op9_decontaminate, op10_neardup,
+        op11_periodic, op12_warc, op13_centroids,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
