@@ -40,6 +40,9 @@ class Config:
     utilisation_max: float = 1.2
     merge_gap_m: float = 25.0
     merge_accel_g: float = 0.5
+    merge_lead_m: float = 40.0
+    brake_smooth_s: float = 0.10
+    brake_gate_s: float = 0.30
     corner_lead_m: float = 30.0
     corner_cell_m: float = 0.75
     corner_window_m: float = 8.0

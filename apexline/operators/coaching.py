@@ -8,48 +8,99 @@ from pyspark.sql.window import Window
 
 from ..config import CONFIG
 from ..functions.scalars import saturate
+from .house import united
 from .pace import median_lap
 
 REC, LAP, CORNER = ["rec"], ["rec", "lap_id"], ["rec", "lap_id", "cid"]
-#: What makes a piece of evidence half as strong as it can be, in seconds or metres per second, in order of priority.
-HALVES = {"brake": 0.15, "coast": 0.15, "speed": 1.0, "line": 0.5}
-SENTENCES = {"brake": "brakes longer than on the best lap", "coast": "coasts longer than on the best lap", "speed": "carries less speed at the apex", "line": "takes a slower line"}
+#: The evidence that is half as strong as it can be (km/h at the apex, seconds of braking, of coasting, of spread), in order of priority.
+HALVES = {"apex": 3.0, "brake": 0.30, "coast": 0.30, "line": 0.15}
+#: Losses and strengths below which there is nothing to say, and the share of a loss that makes a phase its main one.
+NO_LOSS, NO_DIFFERENCE, NO_PHASE, MAIN_PHASE = 1e-9, 1e-12, 1e-6, 0.5
+#: The phases that a reason's remedy acts on; for others the phase is where the loss shows.
+REMEDY = {"apex": ["apex"], "brake": ["entry"], "coast": ["apex", "exit"], "line": ["entry", "apex", "exit"], "none": ["entry", "apex", "exit"]}
+PHASES = ("entry", "apex", "exit")
 #: Metres around a brake point within which no hint is given.
 HINT_M = 2.0
 
 
-def window_sum(events: DataFrame, corners: DataFrame, name: str) -> DataFrame:
-    """(rec, lap_id, cid, name): seconds of events (rec, lap_id, d0, d1, seconds) that begin in a corner's window with its lead."""
-    met = corners.join(events, LAP).where((F.col("d0") >= F.col("enter") - CONFIG.corner_lead_m) & (F.col("d0") <= F.col("exit")))
-    return met.groupBy(*CORNER).agg(F.sum("seconds").alias(name))
+def braked(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """(rec, lap_id, cid, brake): seconds of brake events that begin in a corner's window or up to ``corner_lead_m`` before it."""
+    met = windows.join(events.select(*LAP, "d0", "seconds"), LAP).where((F.col("d0") >= F.col("enter") - CONFIG.corner_lead_m) & (F.col("d0") <= F.col("exit")))
+    return met.groupBy(*CORNER).agg(F.sum("seconds").alias("brake"))
 
 
-def evidence(corners: DataFrame, brakes: DataFrame, coasts: DataFrame, best: DataFrame) -> DataFrame:
-    """(rec, cid, brake, coast, speed): how much more the median lap brakes and coasts in each corner than the best one, and how much slower its apex is."""
-    c = corners.join(window_sum(brakes, corners, "brake"), CORNER, "left").join(window_sum(coasts, corners, "coast"), CORNER, "left")
-    c = c.select(*CORNER, F.coalesce("brake", F.lit(0.0)).alias("brake"), F.coalesce("coast", F.lit(0.0)).alias("coast"), "v_apex")
-    own = c.join(best.select(*LAP), LAP, "left_semi").drop("lap_id").toDF("rec", "cid", "_b", "_c", "_v")
-    m = c.groupBy("rec", "cid").agg(*[F.median(x).alias(x) for x in ("brake", "coast", "v_apex")]).join(own, ["rec", "cid"])
+def coasted(spans: DataFrame, windows: DataFrame) -> DataFrame:
+    """(rec, lap_id, cid, coast): seconds of coasting spans that overlap a corner's window, each in full."""
+    met = windows.join(spans.select(*LAP, "d0", "d1", "seconds"), LAP).where((F.col("d1") >= F.col("enter")) & (F.col("d0") <= F.col("exit")))
+    return met.groupBy(*CORNER).agg(F.sum("seconds").alias("coast"))
+
+
+def scaled(corners: DataFrame, totals: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(rec, lap_id, cid, enter, exit): corners scaled to laps (rec, lap_id, total)."""
+    by = F.col("total") / F.col("length")
+    return totals.join(lengths, REC).join(corners.select("rec", "cid", "enter", "exit"), REC).select(*CORNER, (F.col("enter") * by).alias("enter"), (F.col("exit") * by).alias("exit"))
+
+
+def evidence(corners: DataFrame, stats: DataFrame, brakes: DataFrame, coasts: DataFrame, best: DataFrame, typical: DataFrame, totals: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(rec, cid, apex, brake, coast): how much slower the apex of the typical lap is than the best lap's, in km/h, and how much longer it brakes and coasts; never below 0."""
+    both = united(best.select(*LAP, F.lit(0).alias("_w")), typical.select(*LAP, F.lit(1).alias("_w")))
+    windows = scaled(corners, totals.join(both.select(*LAP).distinct(), LAP), lengths)
+    facts = windows.select(*CORNER).join(braked(brakes, windows), CORNER, "left").join(coasted(coasts, windows), CORNER, "left").join(stats.select(*CORNER, "v_apex"), CORNER, "left").join(both, LAP)
+    of = lambda c, w: F.coalesce(F.max(F.when(F.col("_w") == w, F.col(c))), F.lit(0.0))
     more = lambda a, b: F.greatest(a - b, F.lit(0.0))
-    return m.select("rec", "cid", more(F.col("brake"), F.col("_b")).alias("brake"), more(F.col("coast"), F.col("_c")).alias("coast"), more(F.col("_v"), F.col("v_apex")).alias("speed"))
+    return facts.groupBy("rec", "cid").agg((more(of("v_apex", 0), of("v_apex", 1)) * 3.6).alias("apex"), more(of("brake", 1), of("brake", 0)).alias("brake"), more(of("coast", 1), of("coast", 0)).alias("coast"))
 
 
 def reason(loss: Column) -> Column:
-    """The strongest evidence, by priority where some are equal; the line where nothing else speaks."""
-    order = list(HALVES)
-    parts = [F.struct(F.round(saturate(F.col(k), HALVES[k]), 12).alias("strength"), F.lit(-i).alias("p"), F.lit(k).alias("reason")) for i, k in enumerate(order[:-1])]
-    best = F.array_max(F.array(*parts))
-    return F.when((best["strength"] > 0) & (loss > 0), best["reason"]).otherwise(order[-1])
-
-
-def attributed(corners: DataFrame, brakes: DataFrame, coasts: DataFrame, best: DataFrame, top: int = 3, least: int = 3) -> DataFrame:
-    """(rec, rank, cid, loss_s, reason, text): where a typical lap loses most to the best time of a corner, and why."""
-    n = corners.select(*LAP).distinct().groupBy(*REC).agg(F.count("*").alias("laps")).where(F.col("laps") >= least)
-    loss = corners.join(n, REC, "left_semi").groupBy("rec", "cid").agg(F.round(F.median("time_s") - F.min("time_s"), 4).alias("loss_s"))
-    both = loss.join(evidence(corners, brakes, coasts, best), ["rec", "cid"], "left").na.fill(0.0, list(HALVES)[:-1])
-    ranked = both.withColumn("reason", reason(F.col("loss_s"))).withColumn("rank", F.row_number().over(Window.partitionBy(*REC).orderBy(F.desc("loss_s"), "cid"))).where(F.col("rank") <= top)
-    said = F.element_at(F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair]), F.col("reason"))
-    return ranked.select("rec", "rank", "cid", "loss_s", "reason", F.format_string("C%d: %.2f s; a typical lap %s", "cid", "loss_s", said).alias("text"))
+    """(reason, strength): the strongest evidence (columns apex, brake, coast, line), the first by priority of equal ones; none where there is none."""
+    best = F.struct(F.lit("none").alias("reason"), F.lit(0.0).alias("strength"))
+    for name, half in HALVES.items():
+        # Each is one step of a chain of a few; a stronger one takes over.
+        e = F.greatest(F.coalesce(F.col(name), F.lit(0.0)), F.lit(0.0))
+        strength = F.when(loss > NO_LOSS, saturate(e, half)).otherwise(0.0)
+        best = F.when(strength > best["strength"] + NO_DIFFERENCE, F.struct(F.lit(name).alias("reason"), strength.alias("strength"))).otherwise(best)
+    return best
+
+
+def clause(reason_: Column) -> Column:
+    """Names the phase (columns entry_s, apex_s, exit_s) that holds most of what is lost, as the place of the remedy or as where it shows; empty if none does."""
+    total = sum((F.col(f"{p}_s") for p in PHASES), F.lit(0.0))
+    # The largest, the first of equals.
+    worst = F.array_max(F.array(*[F.struct(F.col(f"{p}_s").alias("s"), F.lit(-i).alias("o"), F.lit(p).alias("p")) for i, p in enumerate(PHASES)]))
+    clear = (total > NO_PHASE) & (worst["s"] > NO_PHASE) & (worst["s"] >= MAIN_PHASE * total)
+    remedies = F.create_map(*[x for k, v in REMEDY.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    place = F.when(worst["p"] == "apex", "the apex").otherwise(worst["p"])
+    fits = F.array_contains(F.element_at(remedies, reason_), worst["p"])
+    return F.when(clear, F.when(fits, F.concat(F.lit(", mostly at "), place)).otherwise(F.concat(F.lit("; it lasts to "), place))).otherwise("")
+
+
+def sentence(reason_: Column) -> Column:
+    """What the evidence says, in a sentence; seconds of braking and coasting are causes, not what can be won."""
+    said = {
+        "apex": F.format_string("%.1f km/h slower at the apex", "apex"), "brake": F.format_string("on the brakes %.2f s longer", "brake"),
+        "coast": F.format_string("coasts %.2f s longer", "coast"), "line": F.format_string("uneven, by %.2f s from lap to lap", "line"),
+    }
+    text = F.lit("slower than the best lap")
+    for name, words in said.items():
+        text = F.when(reason_ == name, words).otherwise(text)
+    return F.concat(text, clause(reason_))
+
+
+def attributed(stats: DataFrame, evidence_: DataFrame, losses: DataFrame, best: DataFrame, typical: DataFrame, top: int = 3, least: int = 3) -> DataFrame:
+    """(rec, rank, cid, loss_s, reason, contribution_s, apex, brake, coast, line, entry_s, apex_s, exit_s, text): where laps lose most to the best one, and why.
+
+    ``stats`` are the consistency laps' (at least ``least`` of them, or a recording has no rows) and the best one's.
+    The loss is the median over laps; only those above 0 count; the first ``top`` get a reason.  Its contribution
+    is its strength's share of the loss.  Evidence and phases (``losses`` of :func:`corners.phase_losses`) are the typical lap's.
+    """
+    own = stats.join(best.select(*LAP), LAP, "left_semi").select("rec", "cid", F.col("time_s").alias("_b"))
+    n = stats.select(*LAP).distinct().groupBy(*REC).agg(F.count("*").alias("laps")).where(F.col("laps") >= least)
+    loss = stats.join(n, REC, "left_semi").join(own, ["rec", "cid"]).groupBy("rec", "cid").agg(F.round(F.median(F.col("time_s") - F.col("_b")), 6).alias("loss_s"), F.stddev_samp("time_s").alias("line")).where(F.col("loss_s") > NO_LOSS)
+    parts = losses.join(typical.select(*LAP), LAP, "left_semi").groupBy("rec", "cid").agg(*[F.sum(F.when(F.col("phase") == i, F.col("loss_s"))).alias(f"{p}_s") for i, p in enumerate(PHASES)])
+    both = loss.join(evidence_, ["rec", "cid"], "left").join(parts, ["rec", "cid"], "left").na.fill(0.0, [*HALVES, *[f"{p}_s" for p in PHASES]])
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy(*REC).orderBy(F.desc("loss_s"), "cid")))
+    why = ranked.withColumn("_r", F.when(F.col("rank") <= top, reason(F.col("loss_s"))).otherwise(F.struct(F.lit("none").alias("reason"), F.lit(0.0).alias("strength"))))
+    return why.select("rec", "rank", "cid", "loss_s", F.col("_r.reason").alias("reason"), (F.col("loss_s") * F.col("_r.strength")).alias("contribution_s"), *HALVES, *[f"{p}_s" for p in PHASES], F.format_string("C%d: %.2f s; %s", "cid", "loss_s", sentence(F.col("_r.reason"))).alias("text"))
 
 
 def shown(rows: DataFrame) -> DataFrame:

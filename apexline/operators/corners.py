@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CONFIG
-from .house import along, boxcar_by, gradient, interp_join, islands, runs, unwrap
+from .house import along, boxcar_by, gradient, interp_join, islands, runs, united, unwrap
 
 REC, LAP = ["rec"], ["rec", "lap_id"]
 
@@ -66,73 +66,109 @@ def detect(profile: DataFrame, thresholds: DataFrame) -> DataFrame:
     inside = islands(p, REC, "i", F.abs("kappa") >= CONFIG.corner_low * F.col("threshold"))
     cut = runs(inside, ["rec", "island"], "i", F.col("sign") != F.lag("sign").over(along(["rec", "island"], "i")), "piece")
     k = F.abs("kappa")
-    parts = cut.groupBy("rec", "island", "piece").agg(F.min("s_m").alias("a"), F.max("s_m").alias("b"), F.max(k).alias("top"), F.first("threshold").alias("t"), F.first("sign").alias("sign"), F.sum("_area").alias("area"), F.sum(k * F.col("s_m")).alias("ks"), F.sum(k).alias("k")).where("top >= t")
+    parts = cut.groupBy("rec", "island", "piece").agg(F.min("s_m").alias("a"), F.max("s_m").alias("b"), F.max(k).alias("top"), F.first("threshold").alias("t"), F.first("sign").alias("sign"), F.min("i").alias("i0"), F.max("i").alias("i1")).where("top >= t")
     order = along(REC, "a")
     far = (F.col("a") - F.lag("b").over(order) > CONFIG.corner_merge_m) | (F.col("sign") != F.lag("sign").over(order))
-    merged = runs(parts, REC, "a", far, "g").groupBy("rec", "g").agg(F.min("a").alias("enter"), F.max("b").alias("exit"), F.first("sign").cast("int").alias("direction"), F.abs(F.degrees(F.sum("area"))).alias("turn_deg"), (F.sum("ks") / F.sum("k")).alias("apex"))
-    kept = merged.where((F.col("exit") - F.col("enter") >= CONFIG.corner_min_m) & (F.col("turn_deg") >= CONFIG.corner_min_deg))
+    merged = runs(parts, REC, "a", far, "g").groupBy("rec", "g").agg(F.min("a").alias("enter"), F.max("b").alias("exit"), F.min("i0").alias("i0"), F.max("i1").alias("i1"), F.max_by("sign", "top").cast("int").alias("direction"))
+    # A corner's turn and middle are those of its whole stretch, which is fetched by its cells' numbers.
+    cells = merged.select("rec", "g", "i0", F.explode(F.sequence("i0", "i1")).alias("i")).join(p.select("rec", "i", "s_m", "kappa", "_area"), ["rec", "i"])
+    whole = cells.groupBy("rec", "g").agg(F.abs(F.degrees(F.sum(F.when(F.col("i") > F.col("i0"), F.col("_area")).otherwise(0.0)))).alias("turn_deg"), (F.sum(k * F.col("s_m")) / F.sum(k)).alias("apex"))
+    kept = merged.join(whole, ["rec", "g"]).where((F.col("exit") - F.col("enter") >= CONFIG.corner_min_m) & (F.col("turn_deg") >= CONFIG.corner_min_deg))
     return kept.select("rec", F.row_number().over(along(REC, "enter")).alias("cid"), F.round("enter", 3).alias("enter"), F.round("exit", 3).alias("exit"), F.round("apex", 3).alias("apex"), "direction", F.round("turn_deg", 3).alias("turn_deg"))
 
 
-def segments(samples: DataFrame, corners: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(rec, lap_id, part, cid, time_s): a lap cut at all corners' ends; even parts are straights, the sum is the lap's time."""
-    edges = corners.groupBy(*REC).agg(F.sort_array(F.collect_list(F.struct("cid", "enter", "exit"))).alias("cs")).join(lengths, REC)
+def segments(samples: DataFrame, windows: DataFrame) -> DataFrame:
+    """(rec, lap_id, part, cid, time_s): a lap cut at all corners' ends; even parts are straights, the sum is the lap's time.
+
+    ``windows`` are the corners on each lap (rec, lap_id, cid, enter, exit, total).
+    """
+    edges = windows.groupBy(*LAP).agg(F.sort_array(F.collect_list(F.struct("cid", "enter", "exit"))).alias("cs"), F.max("total").alias("total"))
     flat = F.flatten(F.transform("cs", lambda c: F.array(c["enter"], c["exit"])))
-    edges = edges.select("rec", F.concat(F.array(F.lit(0.0)), flat, F.array("length")).alias("edges"), "length")
-    total = samples.groupBy(*LAP).agg(F.max("dist").alias("total"))
-    grid = total.join(edges, REC).select(*LAP, "total", "length", F.posexplode("edges").alias("part", "s"))
-    at = interp_join(samples, grid.select(*LAP, (F.col("s") / F.col("length") * F.col("total")).alias("dist"), "part"), LAP, "dist", ["elapsed"])
+    grid = edges.select(*LAP, F.posexplode(F.concat(F.array(F.lit(0.0)), flat, F.array("total"))).alias("part", "dist"))
+    at = interp_join(samples, grid.select(*LAP, "dist", "part"), LAP, "dist", ["elapsed"])
     nxt = at.withColumn("next", F.lead("elapsed").over(along(LAP, "part"))).where("next is not null")
     return nxt.select(*LAP, "part", F.when(F.col("part") % 2 == 1, F.expr("(part + 1) div 2")).alias("cid"), F.round(F.col("next") - F.col("elapsed"), 4).alias("time_s"))
 
 
-def stats(samples: DataFrame, corners: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(rec, lap_id, cid, time_s, enter, exit, apex, v_enter, v_exit, v_apex): each lap in each corner; the apex is the slowest sample."""
-    total = samples.groupBy(*LAP).agg(F.max("dist").alias("total"))
-    scaled = total.join(corners.join(lengths, REC), REC)
-    scaled = scaled.select(*LAP, "cid", *[(F.col(c) / F.col("length") * F.col("total")).alias(c) for c in ("enter", "exit", "apex")])
-    ends = scaled.select(*LAP, "cid", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("enter").alias("dist")), F.struct(F.lit(1).alias("e"), F.col("exit").alias("dist")))).alias("p")).select(*LAP, "cid", "p.*")
-    at = interp_join(samples, ends.select(*LAP, "dist", "cid", "e"), LAP, "dist", ["elapsed", "v"])
-    pair = at.groupBy(*LAP, "cid").agg(*[F.max(F.when(F.col("e") == e, F.col(c))).alias(f"{c}{e}") for e in (0, 1) for c in ("elapsed", "v")])
-    inside = samples.join(scaled, LAP).where((F.col("dist") >= F.col("enter")) & (F.col("dist") <= F.col("exit"))).groupBy(*LAP, "cid").agg(F.min(F.struct("v", F.col("dist").alias("d"))).alias("low"))
-    out = scaled.join(pair, [*LAP, "cid"]).join(inside, [*LAP, "cid"], "left")
-    return out.select(*LAP, "cid", F.round(F.col("elapsed1") - F.col("elapsed0"), 4).alias("time_s"), "enter", "exit", F.coalesce("low.d", (F.col("enter") + F.col("exit")) / 2).alias("apex"), F.col("v0").alias("v_enter"), F.col("v1").alias("v_exit"), F.coalesce("low.v", F.least("v0", "v1")).alias("v_apex"))
-
-
-def phases(samples: DataFrame, corners: DataFrame, lengths: DataFrame, points: int = 64) -> DataFrame:
-    """(rec, lap_id, cid, phase, time_s): entry, middle and exit of each corner, by thirds of its window."""
-    thirds = corners.select("rec", "cid", F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), (F.col("enter") + (F.col("exit") - F.col("enter")) * p / 3).alias("a"), (F.col("enter") + (F.col("exit") - F.col("enter")) * (p + 1) / 3).alias("b")) for p in range(3)])).alias("w")).select("rec", "cid", "w.*")
-    total = samples.groupBy(*LAP).agg(F.max("dist").alias("total"))
-    cells = total.join(thirds.join(lengths, REC), REC).select(*LAP, "cid", "phase", *[(F.col(c) / F.col("length") * F.col("total")).alias(c) for c in "ab"], F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j"))
+def stats(samples: DataFrame, windows: DataFrame) -> DataFrame:
+    """(rec, lap_id, cid, time_s, enter, exit, apex, v_enter, v_exit, v_apex): each lap in each corner.
+
+    The apex is the slowest sample inside, the first of equals; without any it is the middle of the window.
+    Corners' ends are interpolated and samples are given to corners in one sweep of a lap each.
+    """
+    middle = (F.col("enter") + F.col("exit")) / 2
+    places = F.array(*[F.struct(F.lit(e).alias("e"), d.alias("dist")) for e, d in enumerate((F.col("enter"), F.col("exit"), middle))])
+    asked = windows.select(*LAP, "cid", F.explode(places).alias("p")).select(*LAP, "p.dist", "cid", "p.e")
+    at = interp_join(samples, asked, LAP, "dist", ["elapsed", "v"])
+    pair = at.groupBy(*LAP, "cid").agg(*[F.max(F.when(F.col("e") == e, F.col(c))).alias(f"{c}{e}") for e in range(3) for c in ("elapsed", "v")])
+    # A sample is in the last corner that begins at or before it, if that hasn't ended.
+    begins = windows.select(*LAP, F.col("enter").alias("dist"), F.lit(0).alias("_k"), F.struct("cid", "exit").alias("_c"), F.lit(None).cast("double").alias("v"))
+    both = united(begins, samples.select(*LAP, "dist", F.lit(1).alias("_k"), F.lit(None).cast(begins.schema["_c"].dataType).alias("_c"), F.col("v").cast("double").alias("v")))
+    inside = both.withColumn("_c", F.last("_c", ignorenulls=True).over(along(LAP, "dist", "_k").rowsBetween(Window.unboundedPreceding, 0))).where((F.col("_k") == 1) & (F.col("dist") <= F.col("_c.exit")))
+    low = inside.groupBy(*LAP, F.col("_c.cid").alias("cid")).agg(F.min(F.struct("v", "dist")).alias("low"))
+    out = windows.join(pair, [*LAP, "cid"]).join(low, [*LAP, "cid"], "left")
+    return out.select(*LAP, "cid", F.round(F.col("elapsed1") - F.col("elapsed0"), 4).alias("time_s"), "enter", "exit", F.coalesce("low.dist", middle).alias("apex"), F.col("v0").alias("v_enter"), F.col("v1").alias("v_exit"), F.coalesce("low.v", "v2").alias("v_apex"))
+
+
+def against(stats_: DataFrame, base: DataFrame) -> DataFrame:
+    """``stats_`` with ``delta_s`` and ``apex_delta`` against the laps ``base`` (rec, lap_id): a recording's best, or a reference lap of each."""
+    own = stats_.join(base.select(*LAP), LAP, "left_semi").select("rec", "cid", F.col("time_s").alias("_t"), F.col("v_apex").alias("_v"))
+    return stats_.join(own, ["rec", "cid"], "left").withColumns({"delta_s": F.round(F.col("time_s") - F.col("_t"), 4), "apex_delta": F.col("v_apex") - F.col("_v")}).drop("_t", "_v")
+
+
+def phases(samples: DataFrame, windows: DataFrame, points: int = 64) -> DataFrame:
+    """(rec, lap_id, cid, phase, time_s): entry, middle and exit of each corner, by thirds of its window: the integral of 1 / v on ``points`` places."""
+    width = F.col("exit") - F.col("enter")
+    thirds = F.array(*[F.struct(F.lit(p).alias("phase"), (F.col("enter") + width * p / 3).alias("a"), (F.col("enter") + width * (p + 1) / 3).alias("b")) for p in range(3)])
+    cells = windows.select(*LAP, "cid", F.explode(thirds).alias("w")).select(*LAP, "cid", "w.*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j"))
     grid = cells.select(*LAP, (F.col("a") + (F.col("b") - F.col("a")) * F.col("j") / (points - 1)).alias("dist"), "cid", "phase", "j")
     at = interp_join(samples, grid, LAP, "dist", ["v"])
     w = along([*LAP, "cid", "phase"], "j")
-    slow = F.greatest(F.col("v"), F.lit(1 / 3.6))
-    at = at.withColumn("_r", 1 / slow)
+    at = at.withColumn("_r", 1 / F.greatest(F.col("v"), F.lit(1 / 3.6)))
     part = (F.col("_r") + F.lag("_r").over(w)) / 2 * (F.col("dist") - F.lag("dist").over(w))
-    return at.withColumn("_p", part).groupBy(*LAP, "cid", "phase").agg(F.round(F.sum("_p"), 4).alias("time_s"))
+    return at.withColumn("_p", part).groupBy(*LAP, "cid", "phase").agg(F.sum("_p").alias("time_s"))
 
 
-def phase_matrix(phases_: DataFrame, best: DataFrame) -> DataFrame:
-    """(rec, cid, phase, loss_s, share): median loss to the best lap, and its share of all that is lost."""
+def phase_losses(phases_: DataFrame, best: DataFrame) -> DataFrame:
+    """(rec, lap_id, cid, phase, loss_s): what other laps than the best lose to it in each phase."""
     base = phases_.join(best.select(*LAP), LAP, "left_semi").select("rec", "cid", "phase", F.col("time_s").alias("base"))
-    m = phases_.join(base, ["rec", "cid", "phase"]).groupBy("rec", "cid", "phase").agg(F.median(F.col("time_s") - F.col("base")).alias("loss"))
+    others = phases_.join(best.select(*LAP), LAP, "left_anti")
+    return others.join(base, ["rec", "cid", "phase"]).select(*LAP, "cid", "phase", (F.col("time_s") - F.col("base")).alias("loss_s"))
+
+
+def phase_matrix(losses: DataFrame) -> DataFrame:
+    """(rec, cid, phase, loss_s, share): median loss to the best lap, and its share of all that is lost in the recording."""
+    m = losses.groupBy("rec", "cid", "phase").agg(F.median("loss_s").alias("loss"))
     lost = F.greatest("loss", F.lit(0.0))
     return m.select("rec", "cid", "phase", F.round("loss", 4).alias("loss_s"), F.round(F.try_divide(lost, F.sum(lost).over(Window.partitionBy(*REC))), 4).alias("share"))
 
 
-def straights(samples: DataFrame, segments_: DataFrame) -> DataFrame:
-    """(rec, part, n, best_s, median_s, sigma_s) of the straights."""
-    s = segments_.where("cid is null").groupBy("rec", "part").agg(F.count("*").alias("n"), F.min("time_s").alias("best_s"), F.round(F.median("time_s"), 4).alias("median_s"), F.round(F.stddev_samp("time_s"), 4).alias("sigma_s"))
-    return s
+def phase_shares(losses: DataFrame) -> DataFrame:
+    """(rec, entry_s, apex_s, exit_s): what is lost in each phase, all corners' positive median losses together."""
+    m = losses.groupBy("rec", "cid", "phase").agg(F.greatest(F.median("loss_s"), F.lit(0.0)).alias("lost"))
+    return m.groupBy(*REC).agg(*[F.round(F.sum(F.when(F.col("phase") == p, F.col("lost"))), 4).alias(n) for p, n in enumerate(("entry_s", "apex_s", "exit_s"))])
 
 
-def opportunities(corner_times: DataFrame, phases_: DataFrame, best: DataFrame, top: int = 3, least: int = 3) -> DataFrame:
-    """(rec, rank, cid, loss_s, phase, text): corners where the most time is lost on a typical lap, and in which phase."""
-    laps = corner_times.select(*LAP).distinct().groupBy(*REC).agg(F.count("*").alias("laps")).where(F.col("laps") >= least)
-    a = corner_times.groupBy("rec", "cid").agg(F.median("time_s").alias("m"), F.min("time_s").alias("b"))
-    a = a.join(laps, REC, "left_semi").select("rec", "cid", F.round(F.col("m") - F.col("b"), 4).alias("loss_s"))
-    names = F.element_at(F.array(F.lit("entry"), F.lit("middle"), F.lit("exit")), F.col("phase") + 1)
-    main = phase_matrix(phases_, best).groupBy("rec", "cid").agg(F.max(F.struct("loss_s", (-F.col("phase")).alias("p"))).alias("x")).select("rec", "cid", (-F.col("x.p")).alias("phase"))
-    ranked = a.join(main, ["rec", "cid"], "left").withColumn("rank", F.row_number().over(Window.partitionBy(*REC).orderBy(F.desc("loss_s"), "cid"))).where(F.col("rank") <= top)
-    return ranked.select("rec", "rank", "cid", "loss_s", names.alias("phase"), F.format_string("C%d: %.2f s, mostly at %s", "cid", "loss_s", names).alias("text"))
+def straights(samples: DataFrame, segments_: DataFrame, stats_: DataFrame, best: DataFrame) -> DataFrame:
+    """(rec, k, label, ring, n, best_s, median_s, sigma_s, trap_best_kmh, trap_median_kmh, exit_delta_kmh, leverage) of the straights, k from 0.
+
+    Straight k leads into corner k + 1, the last one to the line.  Its trap speed is that at its
+    end.  The exit's delta is the median speed out of the corner before against the best
+    lap's; straight 0 has none, since its corner is the last straight's.  Leverage is slowness
+    out of the corner times what the median loses on the straight.
+    """
+    times = segments_.where(F.col("part") % 2 == 0).groupBy("rec", F.expr("part div 2").cast("int").alias("k")).agg(F.count("*").alias("n"), F.min("time_s").alias("b"), F.median("time_s").alias("m"), F.stddev_samp("time_s").alias("s"))
+    count = stats_.groupBy(*REC).agg(F.max("cid").alias("last"))
+    final = samples.groupBy(*LAP).agg(F.max_by("v", "dist").alias("v")).join(count, REC).select("rec", F.col("last").alias("k"), "v")
+    traps = united(stats_.select("rec", (F.col("cid") - 1).cast("int").alias("k"), F.col("v_enter").alias("v")), final.select("rec", F.col("k").cast("int").alias("k"), F.col("v").cast("double").alias("v")))
+    traps = traps.groupBy("rec", "k").agg(F.max("v").alias("tb"), F.median("v").alias("tm"))
+    own = stats_.join(best.select(*LAP), LAP, "left_semi").select("rec", "cid", F.col("v_exit").alias("_b"))
+    exits = stats_.groupBy("rec", "cid").agg(F.median("v_exit").alias("x")).join(own, ["rec", "cid"]).select("rec", F.col("cid").cast("int").alias("k"), ((F.col("x") - F.col("_b")) * 3.6).alias("d"))
+    all_ = times.join(count, REC).join(traps, ["rec", "k"], "left").join(exits, ["rec", "k"], "left")
+    line, last = F.lit("S/F"), F.col("last").cast("int")
+    name = F.when(F.col("k") == 0, F.concat(line, F.lit(" → C1"))).when(F.col("k") == last, F.format_string("C%d → S/F", "k")).otherwise(F.format_string("C%d → C%d", "k", F.col("k") + 1))
+    gain = F.coalesce(F.greatest(-F.col("d"), F.lit(0.0)) * F.greatest(F.col("m") - F.col("b"), F.lit(0.0)), F.lit(0.0))
+    return all_.select(
+        "rec", "k", name.alias("label"), F.when(F.col("k") == 0, last).otherwise(F.col("k")).alias("ring"), "n", F.round("b", 4).alias("best_s"), F.round("m", 5).alias("median_s"), F.round("s", 4).alias("sigma_s"),
+        F.round(F.col("tb") * 3.6, 3).alias("trap_best_kmh"), F.round(F.col("tm") * 3.6, 3).alias("trap_median_kmh"), F.round("d", 3).alias("exit_delta_kmh"), F.round(gain, 5).alias("leverage"),
+    )

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import CONFIG
 from ..functions.scalars import buckets
-from .house import boxcar, islands
+from .house import along, boxcar, boxcar_by, interp_join, islands, runs
+from .trace import long_g
 
-REC = ["rec"]
+REC, LAP = ["rec"], ["rec", "lap_id"]
 
 
 def brake_threshold(trace: DataFrame) -> DataFrame:
@@ -30,28 +32,81 @@ def brake_islands(trace: DataFrame, thresholds: DataFrame, value: str = "long_g"
     return found.where("hit").select("rec", "island", F.round("t0", 3).alias("t0"), F.round("t1", 3).alias("t1"), F.round("peak", 4).alias("peak_g"), F.round("d0", 3).alias("d0"), F.round("d1", 3).alias("d1"))
 
 
-def brake_events(trace: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(rec, t0, t1, d0, d1, peak_g, fragments): islands fused where the gap is short and nobody accelerates in it.
+def lap_g(samples: DataFrame) -> DataFrame:
+    """Samples of laps with their number ``i``, the smoothed longitudinal g of the lap's own speeds, and ``gate``, smoothed over a longer time."""
+    s = long_g(samples, ("rec", "lap_id"), ("t", "dist")).withColumn("i", F.row_number().over(along(LAP, "t", "dist")) - 1)
+    s = s.withColumn("_dt", F.col("t") - F.lag("t").over(along(LAP, "i")))
+    step, n = F.median("_dt").over(Window.partitionBy(*LAP)), F.count("*").over(Window.partitionBy(*LAP))
+    width = lambda seconds: F.when(n < 3, 1).otherwise(F.greatest(F.bround(seconds / F.greatest(step, F.lit(1e-9))), F.lit(1))).cast("int")
+    s = s.withColumns({"_w": width(F.lit(CONFIG.brake_smooth_s)), "_wide": width(F.lit(CONFIG.brake_gate_s))}).drop("_dt")
+    s = boxcar_by(s.withColumnRenamed("long_g", "_raw"), "_raw", "_w", LAP, "i", "long_g")
+    return boxcar_by(s, "long_g", "_wide", LAP, "i", "gate").drop("_raw", "_w", "_wide")
 
-    A group's span must last; its onset is the first fragment that lasts by
-    itself.  Fusing is an ordered fold, since it depends on the group so far.
-    """
-    parts = brake_islands(trace, thresholds)
-    hard = islands(trace, REC, "seq", F.col("long_g") > CONFIG.merge_accel_g).select("rec", F.col("t").alias("ta")).groupBy("rec").agg(F.sort_array(F.collect_list("ta")).alias("hard"))
-    rows = parts.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("t0", "t1", "d0", "d1", "peak_g"))).alias("ps")).join(hard, REC, "left")
-    group = "struct<t0:double,t1:double,d0:double,d1:double,peak_g:double,fragments:bigint>"
-    one = lambda p: F.struct(p["t0"].alias("t0"), p["t1"].alias("t1"), p["d0"].alias("d0"), p["d1"].alias("d1"), p["peak_g"].alias("peak_g"), F.lit(1).cast("long").alias("fragments"))
 
-    def step(groups, p):
-        last = F.element_at(groups, -1)
-        between_ = F.exists(F.coalesce("hard", F.array().cast("array<double>")), lambda a: (a > last["t1"]) & (a < p["t0"]))
-        short = last["t1"] - last["t0"] < CONFIG.event_min_s
-        joined = F.struct(F.when(short, p["t0"]).otherwise(last["t0"]).alias("t0"), p["t1"].alias("t1"), F.when(short, p["d0"]).otherwise(last["d0"]).alias("d0"), p["d1"].alias("d1"), F.greatest(last["peak_g"], p["peak_g"]).alias("peak_g"), (last["fragments"] + 1).alias("fragments"))
-        fuse = (F.size(groups) > 0) & (p["d0"] - last["d1"] <= CONFIG.merge_gap_m) & ~between_
-        return F.when(fuse, F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(groups, F.array(one(p))))
+def fragments(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(rec, lap_id, k, d0, t0, d1, t1, peak_g, between): runs of :func:`lap_g` below the release level that reach the entry level.
 
-    fused = rows.select("rec", F.explode(F.aggregate("ps", F.array().cast(f"array<{group}>"), step)).alias("g"))
-    return fused.select("rec", "g.*").where(F.col("t1") - F.col("t0") >= CONFIG.event_min_s - 1e-9)
+    Distances and times are the lap's own.  ``between`` is the largest gate from the last
+    sample of the fragment before to the first of this one, null for a lap's first.  All is
+    one sweep of a lap: a sample belongs to a fragment or to the gap behind one.
+    """
+    w, run = along(LAP, "i"), along(LAP, "i").rowsBetween(Window.unboundedPreceding, 0)
+    s = samples.join(thresholds, REC).withColumn("_in", F.coalesce(F.col("long_g") < -CONFIG.brake_release * F.col("theta"), F.lit(False)))
+    s = s.withColumn("_s", (F.col("_in") & ~F.coalesce(F.lag("_in").over(w), F.lit(False))).cast("int")).withColumn("_n", F.sum("_s").over(run))
+    hit = F.max(F.col("_in") & (F.col("long_g") < -F.col("theta"))).over(Window.partitionBy(*LAP, "_n"))
+    s = s.withColumn("_f", F.col("_in") & hit).withColumn("_k", F.sum((F.col("_f") & (F.col("_s") == 1)).cast("int")).over(run))
+    at = F.when(F.col("_f"), F.struct("i", "dist", "elapsed", "gate"))
+    parts = s.groupBy(*LAP, F.col("_k").alias("k")).agg(F.min(at).alias("a"), F.max(at).alias("z"), F.max(F.when(F.col("_f"), -F.col("long_g"))).alias("peak_g"), F.max(F.when(~F.col("_f"), F.col("gate"))).alias("_gap"))
+    order = along(LAP, "k")
+    before = F.lag("z.gate").over(order)
+    between = F.when(F.col("k") > 1, F.greatest(before, F.lag("_gap").over(order), F.col("a.gate")))
+    found = parts.withColumn("between", between).where("a is not null")
+    return found.select(*LAP, "k", F.col("a.dist").alias("d0"), F.col("a.elapsed").alias("t0"), F.col("z.dist").alias("d1"), F.col("z.elapsed").alias("t1"), "peak_g", "between")
+
+
+def brake_events(fragments_: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """(rec, lap_id, d0, t0, d1, t1, peak_g, seconds, fragments): fragments fused to one event where the driver brakes on.
+
+    Two stay apart if more than ``merge_gap_m`` lie between them, if the gate rises above ``merge_accel_g``
+    between them, or if the event began in one corner's window (rec, lap_id, cid, enter, exit; widened by
+    ``merge_lead_m`` before it) and the fragment in another's.  The first two cut a lap into runs
+    by windows.  The last depends on where the event began, so it is a fold over a run of fragments.
+    An event begins with its first fragment that lasts ``event_min_s``, which is then settled, or else with
+    its first one; it must last as long itself.
+    """
+    f = fragments_
+    if windows is None:
+        f = f.withColumn("corner", F.lit(None).cast("int"))
+    else:
+        spans = windows.select(*LAP, "cid", F.greatest(F.col("enter") - CONFIG.merge_lead_m, F.lit(0.0)).alias("_a"), F.col("exit").alias("_b"))
+        first = f.select(*LAP, "k", "d0").join(spans, LAP).where((F.col("d0") >= F.col("_a")) & (F.col("d0") <= F.col("_b"))).groupBy(*LAP, "k").agg(F.min("cid").cast("int").alias("corner"))
+        f = f.join(first, [*LAP, "k"], "left")
+    order = along(LAP, "k")
+    far = F.col("d0") - F.lag("d1").over(order) > CONFIG.merge_gap_m
+    f = runs(f.withColumn("_cut", far | (F.col("between") > CONFIG.merge_accel_g)), LAP, "k", F.col("_cut"), "_run")
+    lasting = F.col("t1") - F.col("t0") >= CONFIG.event_min_s
+    rows = f.groupBy(*LAP, "_run").agg(F.sort_array(F.collect_list(F.struct("k", "d0", "t0", "d1", "t1", "peak_g", "corner", lasting.alias("settled")))).alias("fs"))
+    names = ("d0", "t0", "d1", "t1", "peak_g", "corner", "settled")
+    event = "struct<d0: double, t0: double, d1: double, t1: double, peak_g: double, corner: int, settled: boolean, fragments: bigint>"
+
+    def step(done: Column, p: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        apart = F.coalesce(last["corner"] != p["corner"], F.lit(False)) | (F.size(done) == 0)
+        later = ~last["settled"] & p["settled"]
+        start = {c: F.when(later, p[c]).otherwise(last[c]).alias(c) for c in ("d0", "t0", "corner")}
+        joined = F.struct(start["d0"], start["t0"], p["d1"].alias("d1"), p["t1"].alias("t1"), F.greatest(last["peak_g"], p["peak_g"]).alias("peak_g"), start["corner"], (last["settled"] | p["settled"]).alias("settled"), (last["fragments"] + 1).alias("fragments"))
+        one = F.struct(*[p[c].alias(c) for c in names], F.lit(1).cast("long").alias("fragments"))
+        return F.when(apart, F.concat(done, F.array(one))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined)))
+
+    fused = rows.select(*LAP, F.explode(F.aggregate("fs", F.expr(f"cast(array() as array<{event}>)"), step)).alias("e")).select(*LAP, "e.*")
+    return fused.withColumn("seconds", F.col("t1") - F.col("t0")).where(F.col("seconds") >= CONFIG.event_min_s).select(*LAP, "d0", "t0", "d1", "t1", "peak_g", "seconds", "fragments")
+
+
+def lap_coasts(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(rec, lap_id, d0, d1, seconds): spans of :func:`lap_g` at speed with neither brake nor throttle, that last."""
+    inside = (F.col("long_g") < -CONFIG.coast_g) & (F.col("long_g") > -F.col("theta")) & (F.col("v") > CONFIG.brake_moving_mps)
+    found = islands(samples.join(thresholds, REC), LAP, "i", inside).groupBy(*LAP, "island").agg(F.min("dist").alias("d0"), F.max("dist").alias("d1"), (F.max("elapsed") - F.min("elapsed")).alias("seconds"))
+    return found.where(F.col("seconds") >= CONFIG.event_min_s).drop("island")
 
 
 def coasting(trace: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -90,17 +145,27 @@ def brake_distance(v: Column, v_apex: Column, a_max: Column, slope: Column | Non
     return F.when((v > v_apex) & (a > 0), (v * v - v_apex * v_apex) / (2 * a))
 
 
-def brake_points(corners: DataFrame, events: DataFrame, limits: DataFrame) -> DataFrame:
-    """For each corner (rec, lap_id, cid, enter, exit, apex, v_enter, v_apex) the last brake onset before or in it, and how much later it could be."""
-    met = corners.join(events, ["rec", "lap_id"]).where((F.col("d0") >= F.col("enter") - CONFIG.corner_lead_m) & (F.col("d0") <= F.col("exit")))
-    last = met.groupBy("rec", "lap_id", "cid").agg(F.max(F.struct("d0", "peak_g")).alias("e"))
-    both = corners.join(last, ["rec", "lap_id", "cid"]).join(limits, REC)
-    need = brake_distance(F.col("v_enter"), F.col("v_apex"), F.col("a_max"))
-    return both.select("rec", "lap_id", "cid", F.col("e.d0").alias("onset"), "e.peak_g", (F.col("apex") - need - F.col("e.d0")).alias("metres_later"))
+def brake_points(stats: DataFrame, events: DataFrame, samples: DataFrame, limits: DataFrame) -> DataFrame:
+    """(rec, lap_id, cid, onset, peak_g, optimal, metres_later, commit): the last brake onset before or in each corner, against the latest that would do.
 
-
-def onset_spread(points: DataFrame) -> DataFrame:
-    return points.groupBy("rec", "cid").agg(F.count("*").alias("n"), F.round(F.median("onset"), 3).alias("median_m"), F.round(F.stddev_samp("onset"), 4).alias("sigma_m"), F.round(F.max("onset") - F.min("onset"), 3).alias("span_m"), F.round(F.median("metres_later"), 3).alias("later_m"))
+    Speed is taken where braking begins.  A corner without an onset, or without anything to brake for, has no row.
+    """
+    met = stats.join(events.select(*LAP, "d0", "peak_g"), LAP).where((F.col("d0") >= F.col("enter") - CONFIG.corner_lead_m) & (F.col("d0") <= F.col("exit")))
+    last = met.groupBy(*LAP, "cid", "apex", "v_apex").agg(F.max(F.struct("d0", "peak_g")).alias("e"))
+    asked = last.select(*LAP, F.col("e.d0").alias("dist"), "cid", "apex", "v_apex", F.col("e.peak_g").alias("peak_g"))
+    at = interp_join(samples, asked, LAP, "dist", ["v"]).join(limits, REC)
+    need = brake_distance(F.col("v"), F.col("v_apex"), F.col("a_max"))
+    both = at.withColumn("optimal", F.col("apex") - need).where("optimal is not null")
+    return both.select(*LAP, "cid", F.col("dist").alias("onset"), "peak_g", "optimal", (F.col("optimal") - F.col("dist")).alias("metres_later"), F.when(F.col("a_max") > 0, F.col("peak_g") / F.col("a_max")).alias("commit"))
+
+
+def onset_spread(points: DataFrame, totals: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(rec, cid, n, median_m, sigma_m, span_m, commit_pct, later_m) over laps; onsets are scaled to the best lap's length."""
+    p = points.join(totals.select(*LAP, "total"), LAP).join(lengths.select("rec", "length"), REC).withColumn("_o", F.col("onset") * F.col("length") / F.col("total"))
+    return p.groupBy("rec", "cid").agg(
+        F.count("*").alias("n"), F.round(F.median("_o"), 3).alias("median_m"), F.round(F.stddev_samp("_o"), 4).alias("sigma_m"), F.round(F.max("_o") - F.min("_o"), 3).alias("span_m"),
+        F.round(F.median("commit") * 100, 3).alias("commit_pct"), F.round(F.median("metres_later"), 3).alias("later_m"),
+    )
 
 
 def rainbow(trace: DataFrame, value: str, n: int = 16) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql.window import Window
 
 from ..config import CONFIG
 from . import laps as lp
-from .house import along, interp_join, nearest, united
+from .house import along, interp_join, united
 
 REC, LAP = ["rec"], ["rec", "lap_id"]
-#: Half lengths of proposed lines, how far ahead headings look, widenings tried, and how near sector lines may be.
+#: Half lengths of proposed lines, how far ahead headings look, and widenings tried.
 MEDIAN_HALF_M, PEAK_HALF_M, AHEAD, AROUND = 5.0, 15.0, 20, 5
-WIDER, SECTOR_GAP, DRIFT, MATCH_M, MATCH_COS = (1.15, 1.3, 1.5), 0.002, 0.005, 3.0, 0.5
+WIDER = (1.15, 1.3, 1.5)
 
 
 def _across(x: Column, y: Column, hx: Column, hy: Column, half: float) -> Column:
@@ -72,20 +72,6 @@ def suggested_sectors(samples: DataFrame, best: DataFrame, have: int) -> DataFra
     return t.where(F.col("_i") == F.floor((F.col("_n") - 1) * share)).select("rec", _across(F.col("x"), F.col("y"), F.col("_hx"), F.col("_hy"), PEAK_HALF_M).alias("line"))
 
 
-def boundaries(samples: DataFrame, best: DataFrame, sectors: DataFrame) -> DataFrame:
-    """(rec, sector, share): where sector lines (rec, line) cut the best lap, in order; those too near the one kept before go.
-
-    What is kept depends on what was, so it is an ordered fold over a recording's few lines.
-    """
-    own = samples.join(best.select(*LAP), LAP, "left_semi")
-    total = own.groupBy(*REC).agg(F.max("dist").alias("total"))
-    middle = sectors.select("rec", ((F.col("line.x1") + F.col("line.x2")) / 2).alias("x"), ((F.col("line.y1") + F.col("line.y2")) / 2).alias("y"))
-    at = nearest(own.select("rec", "x", "y", "dist"), middle, REC, "dist").join(total, REC)
-    rows = at.groupBy(*REC).agg(F.sort_array(F.collect_list(F.col("dist") / F.col("total"))).alias("s"))
-    keep = lambda done, s: F.when((F.size(done) == 0) | (s - F.element_at(done, -1) > SECTOR_GAP), F.concat(done, F.array(s))).otherwise(done)
-    return rows.select("rec", F.posexplode(F.aggregate("s", F.array().cast("array<double>"), keep)).alias("sector", "share"))
-
-
 def restored(trace: DataFrame, saved: DataFrame, current: DataFrame) -> DataFrame:
     """(rec, line, reverted): saved lines, but the current one where the saved gives no valid lap."""
     found = lp.numbered(lp.line_crossings(trace, saved))
@@ -95,37 +81,6 @@ def restored(trace: DataFrame, saved: DataFrame, current: DataFrame) -> DataFram
     return both.select("rec", F.when(good, F.col("line")).otherwise(F.col("_c")).alias("line"), (F.col("line").isNotNull() & ~good).alias("reverted"))
 
 
-def projected(corners: DataFrame, samples: DataFrame, best: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(rec, lap_id, cid, edge, dist): corners' ends on each lap.
-
-    A lap whose length is near the best one's is scaled.  On others an end goes to
-    the nearest sample of like heading within two hundredths of a lap, and falls
-    back to scale where none is near; ends never run backwards.  Laps and ends meet in
-    cells of the lap's share, so it is an equi-join.
-    """
-    total = samples.groupBy(*LAP).agg(F.max("dist").alias("total"))
-    ends = corners.select("rec", F.explode(F.array(F.struct("cid", F.lit(0).alias("edge"), F.col("enter").alias("d")), F.struct("cid", F.lit(1).alias("edge"), F.col("exit").alias("d")))).alias("e")).select("rec", "e.*")
-    w = along(LAP, "dist")
-    hx, hy = F.lead("x").over(w) - F.lag("x").over(w), F.lead("y").over(w) - F.lag("y").over(w)
-    n = F.sqrt(hx * hx + hy * hy)
-    headed = samples.withColumns({"_hx": F.when(n > 0, hx / n), "_hy": F.when(n > 0, hy / n)})
-    of_best = headed.join(best.select(*LAP), LAP, "left_semi")
-    ref = interp_join(of_best.select("rec", "dist", "x", "y", "_hx", "_hy"), ends.select("rec", F.col("d").alias("dist"), "cid", "edge"), REC, "dist", ["x", "y", "_hx", "_hy"])
-    ref = ref.select("rec", "cid", "edge", F.col("dist").alias("d"), F.col("x").alias("_rx"), F.col("y").alias("_ry"), F.col("_hx").alias("_rhx"), F.col("_hy").alias("_rhy"))
-    base = total.join(lengths, REC).join(ref, REC).withColumn("scaled", F.col("d") / F.col("length") * F.col("total"))
-    drifted = base.where(F.abs(F.col("total") - F.col("length")) / F.col("length") > DRIFT)
-    cell = lambda c: F.floor(F.col(c) / F.col("total") * 50).cast("int")
-    asked = drifted.withColumn("_cell", F.explode(F.array(cell("scaled") - 1, cell("scaled"), cell("scaled") + 1)))
-    near = headed.join(total, LAP).withColumn("_cell", cell("dist")).select(*LAP, "_cell", "dist", "x", "y", "_hx", "_hy").join(asked, [*LAP, "_cell"])
-    d2 = (F.col("x") - F.col("_rx")) ** 2 + (F.col("y") - F.col("_ry")) ** 2
-    like = F.col("_hx") * F.col("_rhx") + F.col("_hy") * F.col("_rhy") >= MATCH_COS
-    close = near.where((F.abs(F.col("dist") - F.col("scaled")) <= 0.02 * F.col("total")) & like & (d2 <= MATCH_M**2))
-    met = close.groupBy(*LAP, "cid", "edge").agg(F.min(F.struct(d2.alias("d2"), "dist")).alias("m"))
-    all_ = base.join(met, [*LAP, "cid", "edge"], "left").withColumn("_p", F.least(F.greatest(F.coalesce("m.dist", "scaled"), F.lit(0.0)), F.col("total")))
-    order = along(LAP, "cid", "edge").rowsBetween(Window.unboundedPreceding, 0)
-    return all_.select(*LAP, "cid", "edge", F.max("_p").over(order).alias("dist"))
-
-
 def index_at(times: DataFrame, trace: DataFrame) -> DataFrame:
     """``times`` (rec, t) with ``seq`` of the first fix at or after t, the last one beyond the end."""
     extra = [c for c in times.columns if c not in ("rec", "t")]

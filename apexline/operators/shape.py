@@ -79,7 +79,7 @@ def filled(trace: DataFrame) -> DataFrame:
     """(rec, seq, j, t, x, y, measured, fill): a trace with its gaps drawn.
 
     Gaps are cubics through their mouths; those of more than PLAIN fixes are
-    marked, for :func:`from_donors` to draw as other laps went.
+    marked.  ``gapfill`` draws these as other laps of the recording went.
     """
     w = along(REC, "seq")
     cols = ["x", "y"]
@@ -94,23 +94,6 @@ def filled(trace: DataFrame) -> DataFrame:
     return united(measured, steps.select("rec", "seq", "j", "t", F.col("_cx").alias("x"), F.col("_cy").alias("y"), F.lit(False).alias("measured"), F.when(short, "curve").otherwise("long curve").alias("fill")))
 
 
-def from_donors(drawn: DataFrame, samples: DataFrame, cell: float = 2.0) -> DataFrame:
-    """:func:`filled`'s long gaps, where other laps have been there: their mean way.
-
-    ``drawn`` needs ``dist`` (metres into the lap); ``samples`` (rec, lap_id, dist, x, y) are measured.
-    """
-    place = F.floor(F.col("dist") / cell).cast("long")
-    way = samples.groupBy("rec", place.alias("cell")).agg(F.avg("x").alias("_x"), F.avg("y").alias("_y"))
-    both = drawn.withColumn("cell", place).join(way, ["rec", "cell"], "left")
-    use = ~F.col("measured") & (F.col("fill") == "long curve") & F.col("_x").isNotNull()
-    return both.withColumns({"x": F.when(use, F.col("_x")).otherwise(F.col("x")), "y": F.when(use, F.col("_y")).otherwise(F.col("y")), "fill": F.when(use, "donor").otherwise(F.col("fill"))}).select(*drawn.columns)
-
-
-def gap_metrics(drawn: DataFrame) -> DataFrame:
-    """(rec, fill, points, gaps) of what was filled."""
-    return drawn.where("not measured").groupBy("rec", "fill").agg(F.count("*").alias("points"), F.countDistinct("seq").alias("gaps"))
-
-
 def hull_candidates(points: DataFrame, directions: int = 360) -> DataFrame:
     """(rec, d, x, y): the farthest point in each of ``directions`` directions; their line is the hull seen from there.
 

@@ -131,10 +131,10 @@ def bounds(trace: DataFrame) -> DataFrame:
     return a.withColumns({f"mid_{c}": F.round((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2, 6) for c in ("x", "y")})
 
 
-def long_g(trace: DataFrame) -> DataFrame:
+def long_g(trace: DataFrame, keys: tuple[str, ...] = ("rec",), order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """``trace`` with the longitudinal g of its speed: uneven central differences, clipped; 0 with under three fixes."""
-    w = along(REC, "seq")
-    all_ = Window.partitionBy(*REC)
+    w = along(list(keys), *order)
+    all_ = Window.partitionBy(*keys)
     s = trace.withColumn("_h", F.col("t") - F.lag("t").over(w))
     usual = F.median(F.when(F.col("_h") > 0, F.col("_h"))).over(all_)
     s = s.withColumn("_h", F.when(F.col("_h") > 0, F.col("_h")).when(F.col("_h").isNotNull(), usual)).withColumns({"_n": F.lead("_h").over(w), "_v0": F.lag("v").over(w), "_v2": F.lead("v").over(w)})

@@ -97,6 +97,165 @@ def _smooth_g(width: int) -> str:
     return f"sm as (select rec, seq, t, v, odo, avg(long_g) over (partition by rec order by seq rows between {width // 2} preceding and {(width - 1) // 2} following) as long_g from gs)"
 
 
+
+def at(name: str, asked: str, extra: str, table: str = "vs", y: tuple[str, ...] = ("elapsed", "v"), keys: str = "rec, lap_id", x: str = "dist") -> str:
+    """A CTE ``name``: the rows of ``asked`` (keys, x, extra) with ``y`` of ``table`` at x, by one sweep, clamped at both ends."""
+    pack = ", ".join(f"{c} := {c}" for c in y)
+    value = ", ".join(f"case when a is null then b.{c} when b is null or a._x = b._x then a.{c} else a.{c} + (b.{c} - a.{c}) * (({x} - a._x) / (b._x - a._x)) end as {c}" for c in y)
+    nulls, kinds = ", ".join("null" for _ in extra.split(",")), ", ".join(f"{c} double" for c in y)
+    return f""",
+{name}_b as (select {keys}, {x}, 1 as _g, {extra}, cast(null as struct(_x double, {kinds})) as p from {asked} union all select {keys}, {x}, 0, {nulls}, struct_pack(_x := {x}, {pack}) from {table}),
+{name}_s as (select *, last_value(p ignore nulls) over (partition by {keys} order by {x}, _g rows between unbounded preceding and current row) as a,
+  first_value(p ignore nulls) over (partition by {keys} order by {x}, _g rows between current row and unbounded following) as b from {name}_b),
+{name} as (select {keys}, {x}, {extra}, {value} from {name}_s where _g = 1)"""
+
+
+def gradient(y: str, x: str, w: str) -> str:
+    """Second-order differences on uneven steps, one-sided at the ends."""
+    h, k = f"({x} - lag({x}) over {w})", f"(lead({x}) over {w} - {x})"
+    y0, y2 = f"lag({y}) over {w}", f"lead({y}) over {w}"
+    return f"case when {h} is null then ({y2} - {y}) / {k} when {k} is null then ({y} - {y0}) / {h} else ({h} * {h} * {y2} + ({k} * {k} - {h} * {h}) * {y} - {k} * {k} * {y0}) / ({h} * {k} * ({h} + {k})) end"
+
+
+#: Curvature of clean laps, pooled on cells; corners; their windows on the valid laps.
+PROFILE = LAPS + f""",
+okl as (select rec, lap_id, lap_s from cand where not dropout),
+length_ as (select s.rec, max(dist) as length from samples s join best using (rec, lap_id) group by s.rec),
+c0 as (select * from (select s.*, dist - lag(dist) over (partition by rec, lap_id order by dist) as st from samples s join okl using (rec, lap_id)) where st is null or st > 1e-9),
+c1 as (select *, {gradient('x', 'dist', 'w')} as dx, {gradient('y', 'dist', 'w')} as dy from c0 window w as (partition by rec, lap_id order by dist)),
+c2 as (select *, atan2(dy, dx) as a, atan2(dy, dx) - lag(atan2(dy, dx)) over w as st2 from c1 window w as (partition by rec, lap_id order by dist)),
+c3 as (select *, first_value(a) over w + sum(coalesce(case when st2 - 2 * pi() * floor((st2 + pi()) / (2 * pi())) = -pi() and st2 > 0 then pi() else st2 - 2 * pi() * floor((st2 + pi()) / (2 * pi())) end, 0.0)) over w as psi from c2 window w as (partition by rec, lap_id order by dist rows between unbounded preceding and current row)),
+c4 as (select *, {gradient('psi', 'dist', 'w')} as k0, dist - lag(dist) over w as st3, count(*) over (partition by rec, lap_id) as n from c3 window w as (partition by rec, lap_id order by dist)),
+c5 as (select c4.*, wd from c4 join (select rec, lap_id, cast(greatest(round_even(8.0::double / greatest(median(st3), 1e-9), 0), 1) as integer) as wd from c4 group by all) using (rec, lap_id)),
+curve_ as (select rec, lap_id, dist, case when n >= wd and wd > 1 then avg(k0) over (partition by rec, lap_id order by dist rows between wd // 2 preceding and (wd - 1) // 2 following) else k0 end as kappa from c5),
+cells_ as (select t.rec, lap_id, total, length, cast(greatest(round_even(length / 0.75::double, 0), 16) as integer) as m from (select rec, lap_id, max(dist) as total, count(*) as n from curve_ group by all) t join length_ using (rec) where n >= 8),
+cgrid as (select rec, lap_id, i / (m - 1)::double * total as dist, i, i / (m - 1)::double * length as s_m from (select *, unnest(range(0, m))::integer as i from cells_))""" + at("pooled_", "cgrid", "i, s_m", "curve_", ("kappa",)) + """,
+profile as (select rec, i, max(s_m) as s_m, median(kappa) as kappa from pooled_ group by all)"""
+CORNERS = PROFILE + """,
+oq as (select rec, log10(greatest(abs(kappa), 0.0001)) as q from profile), obx as (select rec, min(q) as lo, max(q) as hi from oq group by rec),
+opl as (select oq.rec, least(floor((q - lo) / case when hi > lo then hi - lo else 1.0 end * 128), 127)::integer as b from oq join obx using (rec)),
+oct_ as (select rec, b, count(*) as n from opl group by all), ohs as (select obx.rec, u.b, coalesce(n, 0) as n, lo + (hi - lo) * (u.b + 0.5::double) / 128 as m from obx cross join (select unnest(range(0, 128))::integer as b) u left join oct_ on oct_.rec = obx.rec and oct_.b = u.b),
+oc as (select *, sum(n) over w as w0, sum(n * m) over w as s0, sum(n) over (partition by rec) as w, sum(n * m) over (partition by rec) as s from ohs window w as (partition by rec order by b)),
+ov as (select rec, b, m, round(w0::double * (w - w0)::double * (s0 / w0 - (s - s0) / (w - w0)) ** 2, 6) as v from oc where w0 > 0 and w - w0 > 0),
+thr as (select rec, round(10.0::double ** m, 8) as thr from (select *, row_number() over (partition by rec order by v desc, b) as r from ov) where r = 1),
+d0 as (select p.*, thr, sign(kappa) as sg, (kappa + lag(kappa) over w) / 2 * (s_m - lag(s_m) over w) as area, abs(kappa) >= 0.8::double * thr as inn from profile p join thr using (rec) window w as (partition by p.rec order by i)),
+d1 as (select *, sum(case when inn and (not coalesce(pin, false) or sg <> ps) then 1 else 0 end) over (partition by rec order by i) as part from (select *, lag(inn) over w as pin, lag(sg) over w as ps from d0 window w as (partition by rec order by i))),
+d2 as (select rec, part, min(s_m) as a, max(s_m) as b, max(abs(kappa)) as top, any_value(thr) as thr, any_value(sg) as sg, min(i) as i0, max(i) as i1 from d1 where inn group by rec, part having max(abs(kappa)) >= any_value(thr)),
+d3 as (select *, sum(case when a - pb > 10 or sg <> psg then 1 else 0 end) over (partition by rec order by a) as g from (select *, lag(b) over w as pb, lag(sg) over w as psg from d2 window w as (partition by rec order by a))),
+d4 as (select rec, g, min(a) as a, max(b) as b, min(i0) as i0, max(i1) as i1, arg_max(sg, top) as sg from d3 group by all),
+d5 as (select d4.rec, g, any_value(d4.a) as a, any_value(d4.b) as b, any_value(d4.sg) as sg, abs(degrees(sum(case when i > i0 then area else 0 end))) as turn, sum(abs(kappa) * s_m) / sum(abs(kappa)) as apex from d4 join d0 on d0.rec = d4.rec and i between i0 and i1 group by d4.rec, g),
+corners as (select rec, cast(row_number() over (partition by rec order by a) as integer) as cid, round(a, 3) as enter, round(b, 3) as exit, round(apex, 3) as apex, cast(sg as integer) as direction, round(turn, 3) as turn_deg from d5 where b - a >= 8 and turn >= 30)"""
+#: Each lap's windows; ``vs`` may have drifted odometers, which are then matched by place, sample by sample.
+PLACED = """,
+ends_ as (select rec, cid, 0 as edge, enter as d from corners union all select rec, cid, 1, exit from corners),
+wb as (select t.rec, lap_id, cid, edge, d, total, length, d * total / length as scaled from totals_ t join length_ using (rec) join ends_ using (rec)),
+hd0 as (select rec, lap_id, t, x, y, dist, row_number() over w - 1 as i, count(*) over (partition by rec, lap_id) as n, lag(x) over w as xa, lead(x) over w as xb, lag(y) over w as ya, lead(y) over w as yb, lag(dist) over w as da, lead(dist) over w as db from vs window w as (partition by rec, lap_id order by t, dist)),
+hd1 as (select *, case when xa is null then xb - x when xb is null then x - xa else (xb - xa) / 2 end as gx, case when ya is null then yb - y when yb is null then y - ya else (yb - ya) / 2 end as gy from hd0),
+hd as (select *, case when sqrt(gx ** 2 + gy ** 2) > 0 then gx / sqrt(gx ** 2 + gy ** 2) else 0 end as hx, case when sqrt(gx ** 2 + gy ** 2) > 0 then gy / sqrt(gx ** 2 + gy ** 2) else 0 end as hy from hd1),
+hb as (select hd.* from hd join best using (rec, lap_id)),
+ask_ as (select rec, d as dist, cid, edge from ends_)""" + at("anch", "ask_", "cid, edge", "hb", ("x", "y", "hx", "hy"), "rec") + """,
+df as (select wb.*, (select count(*) from hd where hd.rec = wb.rec and hd.lap_id = wb.lap_id and hd.dist < wb.scaled) as c, (select count(*) from hd where hd.rec = wb.rec and hd.lap_id = wb.lap_id) as m from wb where abs(total - length) / length > 0.005),
+pm as (select df.rec, df.lap_id, df.cid, df.edge, hd.i, hd.x, hd.y, hd.dist, coalesce(xa, hd.x) as xa, coalesce(ya, hd.y) as ya, coalesce(da, hd.dist) as da, coalesce(xb, hd.x) as xb, coalesce(yb, hd.y) as yb, coalesce(db, hd.dist) as db, anch.x as ax, anch.y as ay
+  from df join hd on hd.rec = df.rec and hd.lap_id = df.lap_id and hd.i between least(c, m - 1) - greatest(5, floor(m * 0.02)) and least(c, m - 1) + greatest(5, floor(m * 0.02)) join anch on anch.rec = df.rec and anch.cid = df.cid and anch.edge = df.edge where anch.hx * hd.hx + anch.hy * hd.hy >= 0.5),
+pn as (select * from (select *, row_number() over (partition by rec, lap_id, cid, edge order by (x - ax) ** 2 + (y - ay) ** 2, i) as q from pm) where q = 1),
+pf as (select *, case when (x - xa) ** 2 + (y - ya) ** 2 > 0 then least(greatest(((ax - xa) * (x - xa) + (ay - ya) * (y - ya)) / ((x - xa) ** 2 + (y - ya) ** 2), 0), 1) else 0 end as fa,
+  case when (xb - x) ** 2 + (yb - y) ** 2 > 0 then least(greatest(((ax - x) * (xb - x) + (ay - y) * (yb - y)) / ((xb - x) ** 2 + (yb - y) ** 2), 0), 1) else 0 end as fb from pn),
+pz as (select *, (xa + fa * (x - xa) - ax) ** 2 + (ya + fa * (y - ya) - ay) ** 2 as ea, (x + fb * (xb - x) - ax) ** 2 + (y + fb * (yb - y) - ay) ** 2 as eb from pf),
+found_ as (select rec, lap_id, cid, edge, case when ea <= eb then da + fa * (dist - da) else dist + fb * (db - dist) end as found from pz where least(ea, eb) <= 9),
+proj as (select rec, lap_id, cid, edge, max(least(greatest(coalesce(found, scaled), 0), total)) over (partition by rec, lap_id order by cid, edge rows between unbounded preceding and current row) as dist from wb left join found_ using (rec, lap_id, cid, edge)),
+win as (select p.rec, p.lap_id, cid, max(dist) filter (edge = 0) as enter, max(dist) filter (edge = 1) as exit, any_value(total) as total from proj p join totals_ using (rec, lap_id) group by p.rec, p.lap_id, cid)"""
+STATS_ = """,
+sask as (select rec, lap_id, enter as dist, cid, 0 as e from win union all select rec, lap_id, exit, cid, 1 from win union all select rec, lap_id, (enter + exit) / 2, cid, 2 from win)""" + at("sat", "sask", "cid, e") + """,
+spair as (select rec, lap_id, cid, max(elapsed) filter (e = 0) as e0, max(elapsed) filter (e = 1) as e1, max(v) filter (e = 0) as v0, max(v) filter (e = 1) as v1, max(v) filter (e = 2) as v2 from sat group by all),
+slow as (select w.rec, w.lap_id, cid, min(struct_pack(v := v, d := dist)) as p from win w join vs on vs.rec = w.rec and vs.lap_id = w.lap_id and dist between enter and exit group by all),
+cstats as (select w.rec, w.lap_id, w.cid, round(e1 - e0, 4) as time_s, enter, exit, coalesce(p.d, (enter + exit) / 2) as apex, v0 as v_enter, v1 as v_exit, coalesce(p.v, v2) as v_apex from win w join spair using (rec, lap_id, cid) left join slow using (rec, lap_id, cid)),
+steady as (select c.* from cstats c join okl using (rec, lap_id))"""
+WINDOWS = CORNERS + PLACED
+STATS = WINDOWS + STATS_
+#: Sessions whose odometers have drifted, but not the best lap's: the corners are those of the session as it is.
+DRIFTED = CORNERS.replace("vs as (", "vs0 as (").replace("totals_ as (select rec, lap_id, max(dist) as total from vs group by all)", """vs as (select vs0.* replace (dist + case when (vs0.lap_id - best.lap_id + 3000) % 3 = 1 then dist * 0.02::double + 3 * (1 - cos(dist / 388.5::double * 2 * pi())) else 0.0 end as dist) from vs0 join best using (rec)),
+totals_ as (select rec, lap_id, max(dist) as total from vs group by all)""") + PLACED
+PHASES = WINDOWS + """,
+pask as (select rec, lap_id, enter + (exit - enter) * p / 3 + (enter + (exit - enter) * (p + 1) / 3 - (enter + (exit - enter) * p / 3)) * j / 63 as dist, cid, p as phase, j from win, (select unnest(range(0, 3)) as p) a, (select unnest(range(0, 64)) as j) b)""" + at("pat", "pask", "cid, phase, j", y=("v",)) + """,
+pstep as (select *, (1 / greatest(v, 1 / 3.6::double) + lag(1 / greatest(v, 1 / 3.6::double)) over w) / 2 * (dist - lag(dist) over w) as s from pat window w as (partition by rec, lap_id, cid, phase order by j)),
+ptime as (select rec, lap_id, cid, phase, sum(s) as time_s from pstep group by all),
+ploss as (select p.rec, p.lap_id, p.cid, p.phase, p.time_s - b.time_s as loss from ptime p join best using (rec) join ptime b on b.rec = p.rec and b.lap_id = best.lap_id and b.cid = p.cid and b.phase = p.phase join okl on okl.rec = p.rec and okl.lap_id = p.lap_id where p.lap_id <> best.lap_id),
+pmed as (select rec, cid, phase, median(loss) as loss from ploss group by all)"""
+SEGMENTS = """,
+gask as (select rec, lap_id, 0.0::double as dist, 0 as part from totals_ union all select rec, lap_id, enter, 2 * cid - 1 from win union all select rec, lap_id, exit, 2 * cid from win union all select t.rec, t.lap_id, t.total, 2 * max(cid) + 1 from totals_ t join win using (rec, lap_id) group by t.rec, t.lap_id, t.total)""" + at("gat", "gask", "part", y=("elapsed",)) + """,
+segs as (select rec, lap_id, cast(part as integer) as part, round(nx - elapsed, 4) as time_s from (select *, lead(elapsed) over (partition by rec, lap_id order by part) as nx from gat) where nx is not null)"""
+#: Each lap's own forces, brake events by walking along its fragments, and coasts.
+LAP_G = LONG_G[len(TRACE) :] + """,
+l0 as (select *, row_number() over w - 1 as i, t - lag(t) over w as st, count(*) over (partition by rec, lap_id) as n from vs window w as (partition by rec, lap_id order by t, dist)),
+l1 as (select l0.*, um, wa, wb_ from l0 join (select rec, lap_id, median(st) filter (st > 0) as um, case when any_value(n) < 3 then 1 else cast(greatest(round_even(0.1::double / greatest(median(st), 1e-9), 0), 1) as integer) end as wa, case when any_value(n) < 3 then 1 else cast(greatest(round_even(0.3::double / greatest(median(st), 1e-9), 0), 1) as integer) end as wb_ from l0 group by all) using (rec, lap_id)),
+l2 as (select *, case when st > 0 then st when st is not null then um end as a from l1),
+l3 as (select *, lead(a) over w as b, lag(v) over w as va, lead(v) over w as vb from l2 window w as (partition by rec, lap_id order by i)),
+l4 as (select *, case when n < 3 then 0.0 else least(greatest(case when a is null then (vb - v) / b when b is null then (v - va) / a else (a * a * vb + (b * b - a * a) * v - b * b * va) / (a * b * (a + b)) end / 9.80665::double, -2.0), 2.0) end as raw from l3),
+l5 as (select *, case when n >= wa and wa > 1 then avg(raw) over (partition by rec, lap_id order by i rows between wa // 2 preceding and (wa - 1) // 2 following) else raw end as g from l4),
+lg as (select l5.*, theta, case when n >= wb_ and wb_ > 1 then avg(g) over (partition by rec, lap_id order by i rows between wb_ // 2 preceding and (wb_ - 1) // 2 following) else g end as gate from l5 join theta using (rec)),
+isl as (select *, sum(case when inn and not coalesce(pin, false) then 1 else 0 end) over (partition by rec, lap_id order by i) as isl from (select *, lag(inn) over (partition by rec, lap_id order by i) as pin from (select *, g < -0.35::double * theta as inn from lg))),
+fr as (select rec, lap_id, row_number() over (partition by rec, lap_id order by min(i)) as k, min(i) as i0, max(i) as i1, min(dist) as d0, max(dist) as d1, min(elapsed) as t0, max(elapsed) as t1, max(-g) as peak from isl where inn group by rec, lap_id, isl having bool_or(g < -theta)),
+fc as (select f.*, (select max(gate) from lg where lg.rec = f.rec and lg.lap_id = f.lap_id and lg.i between p.i1 and f.i0) > 0.5 or f.d0 - p.d1 > 25 as cut, (select min(cid) from win w where w.rec = f.rec and w.lap_id = f.lap_id and f.d0 between greatest(w.enter - 40, 0) and w.exit) as corner, f.t1 - f.t0 >= 0.25 as settled
+  from fr f left join fr p on p.rec = f.rec and p.lap_id = f.lap_id and p.k = f.k - 1),
+walk(rec, lap_id, k, g, d0, t0, corner, settled, d1, t1, peak, n) as (
+  select rec, lap_id, k, 1, d0, t0, corner, settled, d1, t1, peak, 1 from fc where k = 1 union all
+  select f.rec, f.lap_id, f.k, case when ap then w.g + 1 else w.g end, case when ap or (not w.settled and f.settled) then f.d0 else w.d0 end, case when ap or (not w.settled and f.settled) then f.t0 else w.t0 end,
+    case when ap or (not w.settled and f.settled) then f.corner else w.corner end, case when ap then f.settled else w.settled or f.settled end, f.d1, f.t1, case when ap then f.peak else greatest(w.peak, f.peak) end, case when ap then 1 else w.n + 1 end
+  from (select w.*, f.k as fk, f.cut or coalesce(w.corner <> f.corner, false) as ap from walk w join fc f on f.rec = w.rec and f.lap_id = w.lap_id and f.k = w.k + 1) w join fc f on f.rec = w.rec and f.lap_id = w.lap_id and f.k = w.fk),
+brakes as (select rec, lap_id, d0, t0, d1, t1, peak, t1 - t0 as seconds, n from (select *, row_number() over (partition by rec, lap_id, g order by k desc) as q from walk) where q = 1 and t1 - t0 >= 0.25),
+csl as (select *, sum(case when inn and not coalesce(pin, false) then 1 else 0 end) over (partition by rec, lap_id order by i) as isl from (select *, lag(inn) over (partition by rec, lap_id order by i) as pin from (select *, g < -0.03 and g > -theta and v > 4 as inn from lg))),
+coasts as (select rec, lap_id, min(dist) as d0, max(dist) as d1, max(elapsed) - min(elapsed) as seconds from csl where inn group by rec, lap_id, isl having max(elapsed) - min(elapsed) >= 0.25)"""
+BRAKES = "recursive " + STATS + LAP_G
+#: Of speeds that change slowly, so that there are spans without brake and throttle.
+CALM = "recursive " + laps("calm", TRACE + ", calm as (select * replace (avg(v) over (partition by rec order by seq rows between 50 preceding and 50 following) as v) from trace)") + ", win as (select 0 as rec, 0 as lap_id, 0 as cid, 0.0 as enter, 0.0 as exit where false)" + LAP_G.replace("from trace window", "from calm window")
+POINTS = BRAKES + """,
+amax as (select rec, greatest(quantile_cont(peak, 0.9), 0.3) as amax from brakes group by rec),
+bl as (select * from (select c.rec, c.lap_id, c.cid, c.apex, c.v_apex, b.d0 as dist, b.peak, row_number() over (partition by c.rec, c.lap_id, c.cid order by b.d0 desc, b.peak desc) as q from cstats c join brakes b on b.rec = c.rec and b.lap_id = c.lap_id and b.d0 between c.enter - 30 and c.exit) where q = 1)""" + at("bat", "bl", "cid, apex, v_apex, peak", y=("v",)) + """,
+points as (select bat.rec, lap_id, cid, dist as onset, peak, apex - (v * v - v_apex * v_apex) / (2 * amax * 9.80665::double) as optimal, peak / amax as commit_ from bat join amax using (rec) where v > v_apex)"""
+REASONS = BRAKES + PHASES[len(WINDOWS) :] + """,
+typ as (select rec, lap_id from (select *, row_number() over (partition by rec order by lap_s, lap_id) as q, count(*) over (partition by rec) as n from okl) where q = (n + 1) // 2),
+loss_ as (select s.rec, s.cid, round(median(s.time_s - b.time_s), 6) as loss, stddev_samp(s.time_s) as line from steady s join best using (rec) join cstats b on b.rec = s.rec and b.lap_id = best.lap_id and b.cid = s.cid group by s.rec, s.cid having (select count(*) from okl where okl.rec = s.rec) >= 3 and median(s.time_s - b.time_s) > 1e-9),
+two as (select rec, lap_id, 0 as w from best union all select rec, lap_id, 1 from typ),
+sw as (select two.rec, two.lap_id, w, cid, enter * total / length as enter, exit * total / length as exit from two join totals_ using (rec, lap_id) join length_ using (rec) join corners using (rec)),
+ev as (select sw.*, (select v_apex from cstats c where c.rec = sw.rec and c.lap_id = sw.lap_id and c.cid = sw.cid) as v, coalesce((select sum(seconds) from brakes b where b.rec = sw.rec and b.lap_id = sw.lap_id and b.d0 between enter - 30 and exit), 0) as br,
+  coalesce((select sum(seconds) from coasts b where b.rec = sw.rec and b.lap_id = sw.lap_id and b.d1 >= enter and b.d0 <= exit), 0) as co from sw),
+evd as (select b.rec, b.cid, greatest(b.v - t.v, 0) * 3.6 as apex, greatest(t.br - b.br, 0) as brake, greatest(t.co - b.co, 0) as coast from ev b join ev t on t.rec = b.rec and t.cid = b.cid and t.w = 1 where b.w = 0),
+ph as (select p.rec, cid, coalesce(sum(loss) filter (phase = 0), 0) as p0, coalesce(sum(loss) filter (phase = 1), 0) as p1, coalesce(sum(loss) filter (phase = 2), 0) as p2 from ploss p join typ using (rec, lap_id) group by all),
+rk as (select l.rec, l.cid, loss, coalesce(line, 0) as line, coalesce(apex, 0) as apex, coalesce(brake, 0) as brake, coalesce(coast, 0) as coast, coalesce(p0, 0) as p0, coalesce(p1, 0) as p1, coalesce(p2, 0) as p2, row_number() over (partition by l.rec order by loss desc, l.cid) as rank from loss_ l left join evd using (rec, cid) left join ph using (rec, cid)),
+sg_ as (select *, [apex / (apex + 3.0::double), brake / (brake + 0.3::double), coast / (coast + 0.3::double), line / (line + 0.15::double)] as st from rk),
+why as (select *, list_max(st) as s, case when rank > 3 or list_max(st) <= 1e-12 then 'none' else ['apex', 'brake', 'coast', 'line'][list_position(st, list_max(st))] end as reason from sg_)"""
+#: Laps with outages, and what fills them: every donor lap's every sample is tried.
+HOLED = laps("holed", TRACE + ", holed as (select * from trace where not (lap_no % 3 <> 0 and seq % 89 < lap_no % 14))") + """,
+p0 as (select rec, lap_id, row_number() over w - 1 as i, t, x, y, coalesce(sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2), 0) as dd from vs window w as (partition by rec, lap_id order by t, dist)),
+pt as (select *, sum(dd) over (partition by rec, lap_id order by i) as s, count(*) over (partition by rec, lap_id) as k, lead(t) over w - t as dt, lead(x) over w as bx, lead(y) over w as by_, coalesce(lag(x) over w, x) as px, coalesce(lag(y) over w, y) as py, coalesce(lead(x, 2) over w, lead(x) over w) as nx, coalesce(lead(y, 2) over w, lead(y) over w) as ny from p0 window w as (partition by rec, lap_id order by i)),
+gp as (select pt.*, greatest(cast(round_even(dt / greatest(coalesce(u, 0.1), 0.001), 0) as integer) - 1, 1) as missing, sqrt((bx - x) ** 2 + (by_ - y) ** 2) as chord from pt left join (select rec, lap_id, median(dt) as u from pt where dt > 0 and dt <= 0.35 group by all) using (rec, lap_id) where dt > 0.35 and k >= 3)"""
+
+
+def _fills(gaps: str, donors: str, own: str) -> str:
+    """CTEs down to ``fills``; ``donors`` is (rec, ref, donor, k, x, y, s, n)."""
+    return f""",
+dn as ({donors}),
+nr as (select g.rec, g.lap_id, g.i, d.ref, d.donor, any_value(chord) as chord, min(struct_pack(d2 := (d.x - g.x) ** 2 + (d.y - g.y) ** 2, k := d.k, s := d.s, x := d.x, y := d.y)) as a, min(struct_pack(d2 := (d.x - g.bx) ** 2 + (d.y - g.by_) ** 2, k := d.k, s := d.s, x := d.x, y := d.y)) as b
+  from {gaps} g join dn d on d.rec = g.rec and {own} where g.missing > 3 and d.n >= 3 group by g.rec, g.lap_id, g.i, d.ref, d.donor),
+ft as (select *, sqrt(greatest(a.d2, b.d2)) as error from nr where a.k <> b.k and sqrt(greatest(a.d2, b.d2)) <= greatest(0.25 * chord, 5) and abs(b.s - a.s) / greatest(chord, 1e-6) between 0.4 and 3),
+bs as (select * from (select *, row_number() over (partition by rec, lap_id, i order by ref, round(error, 9), donor) as q from ft) where q = 1),
+bp as (select g.rec, g.lap_id, g.i, abs(d.k - b.a.k) as j, abs(b.b.k - b.a.k) as n, g.t + g.dt * abs(d.k - b.a.k) / abs(b.b.k - b.a.k) as t, b.ref, b.donor, b.error, g.x as gx, g.y as gy, g.bx - g.x as ex, g.by_ - g.y as ey, b.b.x - b.a.x as dx, b.b.y - b.a.y as dy, d.x - b.a.x as ux, d.y - b.a.y as uy
+  from {gaps} g join bs b using (rec, lap_id, i) join dn d on d.rec = b.rec and d.ref = b.ref and d.donor = b.donor and d.k between least(b.a.k, b.b.k) and greatest(b.a.k, b.b.k)),
+fills as (
+  select rec, lap_id, i, j, n, t, case when j = 0 then gx when j = n then gx + ex else gx + ((ex * dx + ey * dy) * ux - (ey * dx - ex * dy) * uy) / (dx * dx + dy * dy) end as x, case when j = 0 then gy when j = n then gy + ey else gy + ((ey * dx - ex * dy) * ux + (ex * dx + ey * dy) * uy) / (dx * dx + dy * dy) end as y,
+    case when ref then 'reference' else 'borrowed' end as source, case when not ref then donor end as donor, error from bp
+  union all select rec, lap_id, i, j, n, t0 + dt * f, 0.5 * (2 * x + (bx - px) * f + (2 * px - 5 * x + 4 * bx - nx) * f ** 2 + (3 * x - px - 3 * bx + nx) * f ** 3), 0.5 * (2 * y + (by_ - py) * f + (2 * py - 5 * y + 4 * by_ - ny) * f ** 2 + (3 * y - py - 3 * by_ + ny) * f ** 3), case when missing <= 3 then 'curve' else 'uncovered' end, null, 0.0
+    from (select g.*, g.t as t0, missing + 1 as n, j, j / (missing + 1)::double as f from (select *, unnest(range(0, missing + 2)) as j from {gaps} g where not exists (select 1 from bs where bs.rec = g.rec and bs.lap_id = g.lap_id and bs.i = g.i)) g)),
+fill_len as (select rec, lap_id, i, any_value(source) as source, any_value(donor) as donor, any_value(error) as error, sum(st) as fill_m from (select *, coalesce(sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2), 0) as st from fills window w as (partition by rec, lap_id, i order by j)) group by rec, lap_id, i)"""
+
+
+FILLS = HOLED + _fills("gp", "select rec, false as ref, lap_id as donor, i as k, x, y, s, k as n from pt", "d.donor <> g.lap_id")
+ALONE = HOLED + """,
+lastl as (select rec, max(lap_id) as lap_id from pt group by rec), ag as (select gp.* from gp join lastl using (rec, lap_id)),
+whole1 as (select rec, min(lap_id) as lap_id from pt where not exists (select 1 from gp where gp.rec = pt.rec and gp.lap_id = pt.lap_id) group by rec),
+cl as (select rec, i as k, x, y, coalesce(sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2), 0) as dd from pt join whole1 using (rec, lap_id) where i % 2 = 0 window w as (partition by rec order by i))""" + _fills("ag", "select rec, true as ref, -1 as donor, k, x, y, sum(dd) over (partition by rec order by k) as s, count(*) over (partition by rec) as n from cl", "true")
+
+
 ORACLE: dict[str, str] = {
     "quality_gate_fraction": f"with {TRACE} select rec, count(*) as fixes, count(*) filter (v > 3 and (fix < 3 or dop > 10)) as dropped, round(count(*) filter (v > 3 and (fix < 3 or dop > 10)) / count(*) filter (v > 3)::double, 6) as fraction from trace group by rec",
     "timing_quality": f"with {TRACE}, f as (select rec, round(count(*) filter (v > 3 and (fix < 3 or dop > 10)) / count(*) filter (v > 3)::double, 6) as fraction from trace group by rec) select rec, fraction, rec = 1 or fraction >= 0.08 as degraded, case when rec = 1 and fraction >= 0.08 then 'media clock, weak GPS' when rec = 1 then 'media clock' when fraction >= 0.08 then 'weak GPS' else 'good' end as summary from f",
@@ -233,4 +392,32 @@ ORACLE: dict[str, str] = {
       hi as (select k.rec, k.lap_id, k.t, k.d, min(struct_pack(d := s.dist, t := s.t)) as p from k join s on s.rec = k.rec and s.lap_id = k.lap_id + 1 and s.dist >= k.d group by all)
       select k.rec, k.lap_id, round(k.t, 3) as t, round(case when hi.p is null then lo.p.t when hi.p.d = lo.p.d then lo.p.t else lo.p.t + (hi.p.t - lo.p.t) * ((k.d - lo.p.d) / (hi.p.d - lo.p.d)) end, 3) as t_other
       from k left join lo using (rec, lap_id, t, d) left join hi using (rec, lap_id, t, d)""",
+    "curvature_profile": f"with {PROFILE} select rec, i, round(s_m, 3) as s_m, round(kappa, 6) + 0.0::double as kappa from profile",
+    "corner_detect": f"with {CORNERS} select * from corners",
+    "corner_projection": f"with {WINDOWS} select rec, lap_id, cid, edge, round(dist, 3) as dist from proj",
+    "corner_projection_drifted": f"with {DRIFTED} select rec, lap_id, cid, edge, round(dist, 3) as dist from proj",
+    "corner_times_drifted": f"with {DRIFTED}{STATS_} select rec, lap_id, cid, time_s from cstats",
+    "corner_stats": f"with {STATS} select rec, lap_id, cid, time_s, round(enter, 3) as enter, round(exit, 3) as exit, round(apex, 3) as apex, round(v_enter, 3) as v_enter, round(v_exit, 3) as v_exit, round(v_apex, 3) as v_apex from cstats",
+    "corner_deltas": f"with {STATS} select c.rec, c.lap_id, c.cid, round(c.time_s - b.time_s, 4) + 0.0::double as delta_s, round(c.v_apex - b.v_apex, 4) + 0.0::double as apex_delta from cstats c join best using (rec) join cstats b on b.rec = c.rec and b.lap_id = best.lap_id and b.cid = c.cid",
+    "corner_bests": f"with {STATS} select rec, cid, min(time_s) as best_s, max(v_apex) as best_apex from cstats group by all",
+    "corner_report": f"with {STATS}, a as (select rec, cid, count(time_s) as n, min(time_s) as b, median(time_s) as m, stddev_samp(time_s) as s, median(v_apex) as v from cstats group by all) select rec, cid, n, round(b, 4) as best_s, round(m, 4) as median_s, round(s, 4) as sigma_s, round(m - b, 4) as loss_s, round(v * 3.6, 3) as apex_kmh, round(coalesce(s * (m - b), 0.0), 6) as score from a",
+    "corner_spreads": f"with {STATS}, a as (select rec, cid, count(time_s) as n, stddev_samp(time_s) as s, median(time_s) as m, min(time_s) as b from steady group by all having count(time_s) > 1), o as (select rec, cid, n, round(s, 4) as sigma_s, round(m, 4) as median_s, round(m - b, 4) as loss_s, round(s * (m - b), 6) as score from a) select *, cast(row_number() over (partition by rec order by score desc, cid) as integer) as rank from o",
+    "segment_times": f"with {WINDOWS}{SEGMENTS} select rec, lap_id, part, case when part % 2 = 1 then cast((part + 1) // 2 as bigint) end as cid, time_s from segs",
+    "straights_report": f"""with {STATS}{SEGMENTS}, q as (select s.rec, cast(part // 2 as integer) as k, count(*) as n, min(time_s) as b, median(time_s) as m, stddev_samp(time_s) as s from segs s join okl using (rec, lap_id) where part % 2 = 0 group by s.rec, part // 2),
+      lc as (select rec, max(cid) as last from steady group by rec),
+      tr as (select rec, k, max(v) as tb, median(v) as tm from (select rec, cid - 1 as k, v_enter as v from steady union all select rec, last, v from (select vs.rec, last, v, row_number() over (partition by vs.rec, vs.lap_id order by dist desc) as q from vs join okl using (rec, lap_id) join lc using (rec)) where q = 1) group by rec, k),
+      ex as (select s.rec, s.cid as k, (median(s.v_exit) - any_value(b.v_exit)) * 3.6 as d from steady s join best using (rec) join cstats b on b.rec = s.rec and b.lap_id = best.lap_id and b.cid = s.cid group by s.rec, s.cid)
+      select q.rec, q.k, case when q.k = 0 then 'S/F → C1' when q.k = last then 'C' || q.k || ' → S/F' else 'C' || q.k || ' → C' || (q.k + 1) end as label, case when q.k = 0 then last else q.k end as ring, n, round(b, 4) as best_s, round(m, 5) as median_s, round(s, 4) as sigma_s,
+        round(tb * 3.6, 3) as trap_best_kmh, round(tm * 3.6, 3) as trap_median_kmh, round(d, 3) as exit_delta_kmh, round(coalesce(greatest(-d, 0) * greatest(m - b, 0), 0), 5) as leverage from q join lc using (rec) left join tr on tr.rec = q.rec and tr.k = q.k left join ex on ex.rec = q.rec and ex.k = q.k""",
+    "phase_matrix": f"with {PHASES} select rec, cid, cast(phase as integer) as phase, round(loss, 4) + 0.0::double as loss_s, round(greatest(loss, 0) / nullif(sum(greatest(loss, 0)) over (partition by rec), 0), 4) as share from pmed",
+    "phase_shares": f"with {PHASES} select rec, round(sum(greatest(loss, 0)) filter (phase = 0), 4) as entry_s, round(sum(greatest(loss, 0)) filter (phase = 1), 4) as apex_s, round(sum(greatest(loss, 0)) filter (phase = 2), 4) as exit_s from pmed group by rec",
+    "brake_events_merged": f"with {BRAKES} select rec, lap_id, round(d0, 4) as d0, round(t0, 4) as t0, round(d1, 4) as d1, round(peak, 4) as peak_g, round(seconds, 4) as seconds, n::bigint as fragments from brakes",
+    "lap_coasting": f"with {CALM} select rec, lap_id, round(d0, 4) as d0, round(d1, 4) as d1, round(seconds, 4) as seconds from coasts",
+    "brake_points": f"with {POINTS} select rec, lap_id, cid, round(onset, 3) as onset, round(peak, 3) as peak_g, round(optimal, 3) as optimal, round(optimal - onset, 3) as metres_later, round(commit_, 3) as commit from points",
+    "brake_consistency": f"with {POINTS}, o as (select p.*, onset * length / total as o from points p join okl using (rec, lap_id) join totals_ using (rec, lap_id) join length_ using (rec)) select rec, cid, count(*) as n, round(median(o), 3) as median_m, round(stddev_samp(o), 4) as sigma_m, round(max(o) - min(o), 3) as span_m, round(median(commit_) * 100, 3) as commit_pct, round(median(optimal - onset), 3) as later_m from o group by all",
+    "reasons": f"with {REASONS} select rec, cast(rank as integer) as rank, cid, reason, round(loss, 4) as loss_s, round(case when reason = 'none' then 0 else loss * s end, 4) as contribution_s, round(apex, 4) as apex, round(brake, 4) as brake, round(coast, 4) as coast, round(line, 4) as line, round(p0, 4) + 0.0::double as entry_s, round(p1, 4) + 0.0::double as apex_s, round(p2, 4) + 0.0::double as exit_s from why",
+    "gap_fills": f"with {FILLS} select f.rec, f.lap_id, f.i, missing, round(dt, 3) as dt, round(chord, 3) as chord_m, round(fill_m, 3) as fill_m, round(error, 3) as error_m, source, donor from fill_len f join gp using (rec, lap_id, i)",
+    "gap_fill_points": f"with {FILLS} select rec, lap_id, i, j, round(t, 3) as t, round(x, 3) + 0.0::double as x, round(y, 3) + 0.0::double as y, source from fills where j > 0 and j < n",
+    "gap_fills_from_reference": f"with {ALONE} select rec, source, count(*) as gaps, round(sum(fill_m), 2) as fill_m, round(max(error), 3) as worst_m from fill_len group by all",
+    "drawn_laps": f"with {FILLS} select rec, lap_id, 'measured' as source, count(*) as points from pt group by rec, lap_id union all select rec, lap_id, source, count(*) from fills where j > 0 and j < n group by rec, lap_id, source",
 }

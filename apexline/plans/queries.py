@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars
-from ..operators import coaching, corners, delta, driving, imu, laps, library, lines, pace, shape
+from ..operators import coaching, corners, delta, driving, gapfill, imu, laps, library, lines, pace, projection, shape
 from ..operators import trace as tr
 from ..sources import fixtures
 from ..sources.tables import materialised
@@ -315,29 +316,50 @@ def corner_detect(spark, d):
 
 @query
 def corner_stats(spark, d):
-    return session(spark, d).corner_stats
+    s = session(spark, d).corner_stats
+    return s.select("rec", "lap_id", "cid", "time_s", *[F.round(c, 3).alias(c) for c in ("enter", "exit", "apex", "v_enter", "v_exit", "v_apex")])
 
 
 @query
 def corner_spreads(spark, d):
-    return pace.ranked(pace.spreads(session(spark, d).corner_stats, "cid", "time_s"), "cid")
+    s = session(spark, d)
+    return pace.ranked(pace.spreads(s.steady(s.corner_stats), "cid", "time_s"), "cid")
 
 
 @query
 def straights_report(spark, d):
     s = session(spark, d)
-    return corners.straights(s.lap_facts, corners.segments(s.lap_facts, s.corners, s.lengths))
+    return corners.straights(s.steady(s.lap_facts), s.steady(corners.segments(s.lap_facts, s.windows)), s.steady(s.corner_stats), s.best)
 
 
 @query
 def phase_matrix(spark, d):
     s = session(spark, d)
-    return corners.phase_matrix(corners.phases(s.lap_facts, s.corners, s.lengths), s.best)
+    return corners.phase_matrix(s.steady(s.phase_losses))
+
+
+@query
+def phase_shares(spark, d):
+    s = session(spark, d)
+    return corners.phase_shares(s.steady(s.phase_losses))
+
+
+@query
+def segment_times(spark, d):
+    s = session(spark, d)
+    return corners.segments(s.lap_facts, s.windows)
+
+
+@query
+def corner_deltas(spark, d):
+    s = session(spark, d)
+    at = corners.against(s.corner_stats, s.best)
+    return at.select("rec", "lap_id", "cid", "delta_s", F.round("apex_delta", 4).alias("apex_delta"))
 
 
 @query
 def opportunities(spark, d):
-    return session(spark, d).coaching()
+    return session(spark, d).coaching().select("rec", "rank", "cid", F.round("loss_s", 4).alias("loss_s"), "reason", "text")
 
 
 # Driving
@@ -361,8 +383,15 @@ def brake_islands(spark, d):
 
 @query
 def brake_events_merged(spark, d):
-    s = session(spark, d)
-    return driving.brake_events(driving.smoothed_g(s.g_trace), s.thresholds)
+    return session(spark, d).brakes.select("rec", "lap_id", *[F.round(c, 4).alias(c) for c in ("d0", "t0", "d1", "peak_g", "seconds")], "fragments")
+
+
+@query
+def lap_coasting(spark, d):
+    """Of speeds that change slowly, so that there are spans without brake and throttle."""
+    t = fixtures.trace(spark, d)
+    s = Session(t.withColumn("v", F.avg("v").over(Window.partitionBy("rec").orderBy("seq").rowsBetween(-50, 50))), LINE)
+    return driving.lap_coasts(s.lap_g, s.thresholds).select("rec", "lap_id", *[F.round(c, 4).alias(c) for c in ("d0", "d1", "seconds")])
 
 
 @query
@@ -396,11 +425,15 @@ def rainbow_buckets(spark, d):
 @query
 def brake_consistency(spark, d):
     s = session(spark, d)
-    events = materialised(driving.brake_events(driving.smoothed_g(s.g_trace), s.thresholds), "brakes")
-    starts = laps.lap_at(events.withColumnRenamed("t0", "t"), s.laps).where("lap_id is not null")
-    # Onsets in metres from the lap's line.
-    local = starts.withColumn("d0", F.round(F.pmod(F.col("d0") - LINE[0], F.lit(fixtures.LAP_CM / 100)), 3)).select("rec", "lap_id", "d0", "peak_g")
-    return driving.onset_spread(driving.brake_points(s.corner_stats, local, driving.max_decel(events)))
+    points = driving.brake_points(s.corner_stats, s.brakes, s.lap_facts, driving.max_decel(s.brakes))
+    return driving.onset_spread(s.steady(points), s.totals, s.lengths)
+
+
+@query
+def brake_points(spark, d):
+    s = session(spark, d)
+    points = driving.brake_points(s.corner_stats, s.brakes, s.lap_facts, driving.max_decel(s.brakes))
+    return points.select("rec", "lap_id", "cid", *[F.round(c, 3).alias(c) for c in ("onset", "peak_g", "optimal", "metres_later", "commit")])
 
 
 # Library
@@ -488,25 +521,36 @@ def corner_report(spark, d):
     return coaching.corner_report(session(spark, d).corner_stats)
 
 
+def drifted(spark, d) -> Session:
+    """Laps whose odometers have drifted: every third, but not the best, runs a fiftieth fast, unevenly along the lap."""
+    s = session(spark, d)
+    base = s.best.select("rec", F.col("lap_id").alias("_best"))
+    slip = F.when(F.pmod(F.col("lap_id") - F.col("_best"), F.lit(3)) == 1, F.col("dist") * 0.02 + 3 * (1 - F.cos(F.col("dist") / 388.5 * 2 * F.pi()))).otherwise(0.0)
+    s.__dict__["lap_facts"] = materialised(s.valid_samples.join(base, "rec").withColumn("dist", F.col("dist") + slip).drop("_best"), "drifted")
+    return s
+
+
 @query
 def corner_projection(spark, d):
     s = session(spark, d)
-    return lines.projected(s.corners, s.lap_facts, s.best, s.lengths).select("rec", "lap_id", "cid", "edge", F.round("dist", 3).alias("dist"))
+    return projection.projected(s.corners, s.lap_facts, s.best, s.lengths).select("rec", "lap_id", "cid", "edge", F.round("dist", 3).alias("dist"))
+
+
+@query
+def corner_projection_drifted(spark, d):
+    s = drifted(spark, d)
+    return projection.projected(s.corners, s.lap_facts, s.best, s.lengths).select("rec", "lap_id", "cid", "edge", F.round("dist", 3).alias("dist"))
 
 
-def _in_laps(s: Session, events: DataFrame) -> DataFrame:
-    """Events (rec, t0, t1, d0) with their lap, and distances from its line."""
-    at = laps.lap_at(events.withColumnRenamed("t0", "t"), s.laps).where("lap_id is not null")
-    return at.select("rec", "lap_id", F.pmod(F.col("d0") - LINE[0], F.lit(fixtures.LAP_CM / 100)).alias("d0"), (F.col("t1") - F.col("t")).alias("seconds"))
+@query
+def corner_times_drifted(spark, d):
+    return drifted(spark, d).corner_stats.select("rec", "lap_id", "cid", "time_s")
 
 
 @query
 def reasons(spark, d):
-    s = session(spark, d)
-    brakes = _in_laps(s, driving.brake_events(driving.smoothed_g(s.g_trace), s.thresholds).select("rec", "t0", "t1", "d0"))
-    spans = driving.coasting(driving.smoothed_g(s.g_trace, 5), s.thresholds)
-    starts = spans.join(s.trace.select("rec", F.round("t", 3).alias("t0"), F.col("odo").alias("d0")), ["rec", "t0"]).select("rec", "t0", "t1", "d0")
-    return coaching.attributed(s.corner_stats, materialised(brakes, "brakes"), materialised(_in_laps(s, starts), "coasts"), s.best)
+    c = session(spark, d).coaching()
+    return c.select("rec", "rank", "cid", "reason", *[F.round(x, 4).alias(x) for x in ("loss_s", "contribution_s", "apex", "brake", "coast", "line", "entry_s", "apex_s", "exit_s")])
 
 
 @query
@@ -524,6 +568,50 @@ def gap_reconstruct(spark, d):
     return shape.filled(t).where("not measured").select("rec", "seq", "j", F.round("t", 3).alias("t"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "fill")
 
 
+def _holed(spark, d) -> DataFrame:
+    """Numbered samples of valid laps of a trace with outages: up to thirteen fixes are missing at a time, on two laps of three."""
+    t = fixtures.trace(spark, d).where("not (lap_no % 3 <> 0 and seq % 89 < lap_no % 14)")
+    return materialised(gapfill.numbered(Session(t, LINE).valid_samples), "holed")
+
+
+def _centre(points: DataFrame) -> DataFrame:
+    """A reference line for every recording: the first of the laps without outages, every second sample of it."""
+    whole = points.join(gapfill.gaps(points).select("rec", "lap_id").distinct(), ["rec", "lap_id"], "left_anti")
+    first = whole.groupBy("rec").agg(F.min("lap_id").alias("lap_id"))
+    return whole.join(first, ["rec", "lap_id"]).where("i % 2 = 0").select("rec", F.col("i").alias("k"), "x", "y")
+
+
+@query
+def gap_fills(spark, d):
+    """What fills each outage of a lap: other laps' ways."""
+    p = _holed(spark, d)
+    r = gapfill.report(p, gapfill.filled(p))
+    return r.select("rec", "lap_id", "i", "missing", *[F.round(c, 3).alias(c) for c in ("dt", "chord_m", "fill_m", "error_m")], "source", "donor")
+
+
+@query
+def gap_fill_points(spark, d):
+    p = _holed(spark, d)
+    f = gapfill.filled(p).where("j > 0 and j < n")
+    return f.select("rec", "lap_id", "i", "j", *[F.round(c, 3).alias(c) for c in ("t", "x", "y")], "source")
+
+
+@query
+def gap_fills_from_reference(spark, d):
+    """As :func:`gap_fills`, for laps that have only the reference line to borrow from."""
+    p = _holed(spark, d)
+    line = _centre(p)
+    alone = materialised(p.join(p.groupBy("rec").agg(F.max("lap_id").alias("lap_id")), ["rec", "lap_id"], "left_semi"), "alone")
+    return gapfill.totals(gapfill.report(alone, gapfill.filled(alone, line))).select("rec", "source", "gaps", F.round("fill_m", 2).alias("fill_m"), F.round("worst_m", 3).alias("worst_m"))
+
+
+@query
+def drawn_laps(spark, d):
+    """How long the lines are that laps are drawn with, measured and filled."""
+    p = _holed(spark, d)
+    return gapfill.drawn(p, gapfill.filled(p)).groupBy("rec", "lap_id", "source").agg(F.count("*").alias("points"))
+
+
 @query
 def gg_hull(spark, d):
     g = _lateral(session(spark, d)).select("rec", F.round("lat_g", 4).alias("x"), F.round("long_g", 4).alias("y"))

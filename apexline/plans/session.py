@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import corners, delta, driving, laps, pace
+from ..operators import coaching, corners, delta, driving, laps, pace, projection
 from ..operators import trace as tr
 from ..sources.tables import materialised
 
@@ -98,7 +98,7 @@ class Session:
     @cached_property
     def lengths(self) -> DataFrame:
         """(rec, length): the best lap's distance."""
-        found = self.laps.join(self.best.select("rec", "lap_id"), ["rec", "lap_id"], "left_semi").select("rec", F.col("dist_m").alias("length"))
+        found = self.samples.join(self.best.select("rec", "lap_id"), ["rec", "lap_id"], "left_semi").groupBy("rec").agg(F.max("dist").alias("length"))
         return materialised(found, "lengths")
 
     @cached_property
@@ -109,9 +109,40 @@ class Session:
     def corners(self) -> DataFrame:
         return materialised(corners.detect(self.profile, corners.otsu(self.profile)), "corners")
 
+    @cached_property
+    def windows(self) -> DataFrame:
+        """Each valid lap's corners, in its own metres."""
+        return materialised(projection.windows(self.corners, self.lap_facts, self.best, self.lengths), "windows")
+
     @cached_property
     def corner_stats(self) -> DataFrame:
-        return materialised(corners.stats(self.lap_facts, self.corners, self.lengths), "corner-stats")
+        return materialised(corners.stats(self.lap_facts, self.windows), "corner-stats")
+
+    @cached_property
+    def consistency(self) -> DataFrame:
+        """(rec, lap_id, lap_s): valid laps without dropouts, which reports over laps are made of."""
+        return materialised(laps.clean(self.laps).select("rec", "lap_id", "lap_s"), "consistency")
+
+    def steady(self, rows: DataFrame) -> DataFrame:
+        """The rows (rec, lap_id, ...) of consistency laps."""
+        return rows.join(self.consistency.select("rec", "lap_id"), ["rec", "lap_id"], "left_semi")
+
+    @cached_property
+    def phase_losses(self) -> DataFrame:
+        return materialised(corners.phase_losses(corners.phases(self.lap_facts, self.windows), self.best), "phase-losses")
+
+    @cached_property
+    def lap_g(self) -> DataFrame:
+        return materialised(driving.lap_g(self.lap_facts), "lap-g")
+
+    @cached_property
+    def brakes(self) -> DataFrame:
+        return materialised(driving.brake_events(driving.fragments(self.lap_g, self.thresholds), self.windows), "brakes")
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        """(rec, lap_id, total): the length of each valid lap by its own odometer."""
+        return self.lap_facts.groupBy("rec", "lap_id").agg(F.max("dist").alias("total"))
 
     @cached_property
     def g_trace(self) -> DataFrame:
@@ -128,5 +159,7 @@ class Session:
         return pace.pace(self.valid)
 
     def coaching(self) -> DataFrame:
-        phases = corners.phases(self.lap_facts, self.corners, self.lengths)
-        return corners.opportunities(self.corner_stats, phases, self.best)
+        typical = coaching.typical(self.consistency)
+        coasts = driving.lap_coasts(self.lap_g, self.thresholds)
+        found = coaching.evidence(self.corners, self.corner_stats, self.brakes, coasts, self.best, typical, self.totals, self.lengths)
+        return coaching.attributed(self.steady(self.corner_stats), found, self.steady(self.phase_losses), self.best, typical)
