@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,22 +98,130 @@ def filled(trace: DataFrame) -> DataFrame:
     return united(measured, steps.select("rec", "seq", "j", "t", F.col("_cx").alias("x"), F.col("_cy").alias("y"), F.lit(False).alias("measured"), F.when(short, "curve").otherwise("long curve").alias("fill")))
 
 
-def hull_candidates(points: DataFrame, directions: int = 360) -> DataFrame:
-    """(rec, d, x, y): the farthest point in each of ``directions`` directions; their line is the hull seen from there.
+#: Parts of a recording whose hulls are made before they are joined, and directions whose farthest points bound what can be a corner.
+PARTS, DIRECTIONS = 32, 16
+
+
+def hull_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of the convex hull, counter-clockwise from the leftmost (the lowest of these); points on an edge are none.
 
-    Every such point is a corner of the convex hull; corners that no direction
-    sees are inside by less than a degree.  Partial maxima are combined before the shuffle.
+    Points inside the polygon of the farthest points in a few directions can't be
+    corners and are left out first; the rest are walked once from left to right and back.
     """
-    turns = [2 * 3.141592653589793 * d / directions for d in range(directions)]
-    far = lambda a: F.max(F.struct((F.col("x") * F.cos(F.lit(a)) + F.col("y") * F.sin(F.lit(a))).alias("r"), "x", "y"))
-    wide = points.groupBy(*REC).agg(F.array(*[far(a) for a in turns]).alias("h"))
-    return wide.select("rec", F.posexplode("h").alias("d", "p")).select("rec", "d", "p.x", "p.y")
+    keep = np.isfinite(x) & np.isfinite(y)
+    x, y = x[keep], y[keep]
+    if len(x) > 4 * DIRECTIONS:
+        turns = 2 * np.pi * np.arange(DIRECTIONS) / DIRECTIONS
+        far = np.array([np.argmax(x * np.cos(a) + y * np.sin(a)) for a in turns])
+        far = far[np.append(True, (x[far][1:] != x[far][:-1]) | (y[far][1:] != y[far][:-1]))]
+        px, py = x[far], y[far]
+        left = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for ax, ay, bx, by in zip(px, py, np.roll(px, -1), np.roll(py, -1), strict=True) if (ax, ay) != (bx, by)]
+        # Rounding may call a point on an edge inside: only what is clearly inside goes.
+        slack = 1e-9 * max(np.ptp(x), np.ptp(y), 1e-300) ** 2
+        outside = np.min(left, axis=0) <= slack if len(left) > 2 else np.ones(len(x), bool)
+        x, y = x[outside], y[outside]
+    points = sorted(set(zip(x.tolist(), y.tolist(), strict=True)))
+    if len(points) < 3:
+        return np.array([p[0] for p in points], float), np.array([p[1] for p in points], float)
+    sides = []
+    for way in (points, points[::-1]):
+        side: list[tuple[float, float]] = []
+        for c in way:
+            while len(side) > 1 and (side[-1][0] - side[-2][0]) * (c[1] - side[-2][1]) <= (side[-1][1] - side[-2][1]) * (c[0] - side[-2][0]):
+                side.pop()
+            side.append(c)
+        sides += side[:-1]
+    return np.array([p[0] for p in sides]), np.array([p[1] for p in sides])
+
+
+def hull(points: DataFrame) -> DataFrame:
+    """(rec, i, x, y): corners of each recording's convex hull, counter-clockwise from its leftmost point.
+
+    The hull of hulls is the hull, so every batch sends its corners only, they are
+    joined in PARTS parts of a recording, and then to one.  Points with a null or NaN are left out.
+    """
+    kind = points.schema["rec"].dataType.simpleString()
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rec, part in batch.groupby("rec", sort=False, dropna=False):
+                x, y = hull_of(part["x"].to_numpy(float), part["y"].to_numpy(float))
+                yield pd.DataFrame({"rec": pd.Series([rec] * len(x), dtype=batch["rec"].dtype), "x": x, "y": y})
+
+    def joined(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = hull_of(part["x"].to_numpy(float), part["y"].to_numpy(float))
+        return pd.DataFrame({"rec": pd.Series([part["rec"].iloc[0]] * len(x), dtype=part["rec"].dtype), "i": np.arange(len(x), dtype=np.int32), "x": x, "y": y})
 
+    few = points.where("rec is not null and x is not null and y is not null").select("rec", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInPandas(partial, f"rec {kind}, x double, y double")
+    parts = few.groupBy("rec", F.pmod(F.xxhash64("x", "y"), F.lit(PARTS)).alias("part")).applyInPandas(joined, f"rec {kind}, i int, x double, y double")
+    return parts.groupBy("rec").applyInPandas(joined, f"rec {kind}, i int, x double, y double")
 
-def hull(points: DataFrame, directions: int = 360) -> DataFrame:
-    """(rec, i, x, y): the hull's corners, counter-clockwise."""
-    seen = hull_candidates(points, directions).groupBy("rec", "x", "y").agg(F.min("d").alias("d"))
-    return seen.select("rec", (F.row_number().over(along(REC, "d", "x", "y")) - 1).alias("i"), "x", "y")
+
+def to_ring(px: np.ndarray, py: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, x, y) of the place of the closed line ``q`` that is nearest to each point ``p``."""
+    ex, ey = np.roll(qx, -1) - qx, np.roll(qy, -1) - qy
+    along_ = ((px[:, None] - qx) * ex + (py[:, None] - qy) * ey) / np.maximum(ex * ex + ey * ey, 1e-12)
+    share = np.clip(along_, 0.0, 1.0)
+    fx, fy = qx + share * ex, qy + share * ey
+    far = np.hypot(px[:, None] - fx, py[:, None] - fy)
+    rows, best = np.arange(len(px)), np.argmin(far, axis=1)
+    return far[rows, best], fx[rows, best], fy[rows, best]
+
+
+def refine(px: np.ndarray, py: np.ndarray, qx: np.ndarray, qy: np.ndarray, fit: tuple[float, float, bool, float, float], rounds: int, near_m: float) -> tuple[tuple, float, float, int]:
+    """(fit, rms, coverage, round): a similarity (scale, turn, mirror, dx, dy) that lays ``p`` on the ring ``q``, bettered.
+
+    Each round fits the points to their nearest places on the ring, in closed form.  The
+    best of all rounds by the points' distances to the ring counts; round 0 is the fit as given.
+    """
+    p = px + 1j * py
+
+    def laid(scale, turn, mirror, dx, dy):
+        return scale * np.exp(1j * turn) * (np.conj(p) if mirror else p) + dx + 1j * dy
+
+    best, now = None, fit
+    for n in range(rounds + 1):
+        at = laid(*now)
+        far, fx, fy = to_ring(at.real, at.imag, qx, qy)
+        rms = float(np.sqrt(np.mean(far * far)))
+        if best is None or rms < best[1]:
+            best = (now, rms, float(np.mean(far <= near_m)), n)
+        own, aim = np.conj(p) if now[2] else p, fx + 1j * fy
+        own_mean, aim_mean = own.mean(), aim.mean()
+        spread = np.sum(np.abs(own - own_mean) ** 2)
+        if not spread:
+            break
+        turned = np.sum((aim - aim_mean) * np.conj(own - own_mean)) / spread
+        shift = aim_mean - turned * own_mean
+        now = (float(abs(turned)), float(np.angle(turned)), now[2], float(shift.real), float(shift.imag))
+    return best
+
+
+def refined(loops: DataFrame, reference: DataFrame, fits: DataFrame, rounds: int = 8, near_m: float = 5.0) -> DataFrame:
+    """``fits`` of :func:`fit_loops` bettered on the reference's line: (rec, scale, turn, mirror, dx, dy, rms0, rms, coverage, round).
+
+    ``rms`` is of the distances of a loop's points to the nearest place of the reference, a ring;
+    it is never above ``rms0``, that of the fit as given.  ``coverage`` is the share within ``near_m``.  A loop has as
+    many points as :func:`loop` gives, so a recording is one row of two short arrays.
+    """
+    ring = lambda rows, *by: rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("_p"))
+    ref = ring(reference.withColumn("_one", F.lit(1)), "_one").select("_one", F.col("_p.x").alias("qx"), F.col("_p.y").alias("qy"))
+    own = ring(loops, "rec").select("rec", F.col("_p.x").alias("px"), F.col("_p.y").alias("py"), F.lit(1).alias("_one"))
+    rows = own.join(ref, "_one").drop("_one").join(fits.select("rec", "scale", "turn", "mirror", "dx", "dy"), "rec")
+    kind = loops.schema["rec"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                given = (r.scale, r.turn, r.mirror, r.dx, r.dy)
+                arrays = [np.asarray(a, float) for a in (r.px, r.py, r.qx, r.qy)]
+                _, rms0, _, _ = refine(*arrays, given, 0, near_m)
+                fit, rms, coverage, n = refine(*arrays, given, rounds, near_m)
+                out.append((r.rec, *fit, rms0, rms, coverage, n))
+            yield pd.DataFrame(out, columns=["rec", "scale", "turn", "mirror", "dx", "dy", "rms0", "rms", "coverage", "round"])
+
+    return rows.mapInPandas(run, f"rec {kind}, scale double, turn double, mirror boolean, dx double, dy double, rms0 double, rms double, coverage double, round int")
 
 
 def polylines(bucketed: DataFrame, order: str = "seq") -> DataFrame:

@@ -420,4 +420,12 @@ ORACLE: dict[str, str] = {
     "gap_fill_points": f"with {FILLS} select rec, lap_id, i, j, round(t, 3) as t, round(x, 3) + 0.0::double as x, round(y, 3) + 0.0::double as y, source from fills where j > 0 and j < n",
     "gap_fills_from_reference": f"with {ALONE} select rec, source, count(*) as gaps, round(sum(fill_m), 2) as fill_m, round(max(error), 3) as worst_m from fill_len group by all",
     "drawn_laps": f"with {FILLS} select rec, lap_id, 'measured' as source, count(*) as points from pt group by rec, lap_id union all select rec, lap_id, source, count(*) from fills where j > 0 and j < n group by rec, lap_id, source",
+    "gg_hull": f"""with recursive {LATERAL}, q as (select distinct rec, cast(round(lat_g * 10000) as bigint) as x, cast(round(long_g * 10000) as bigint) as y from lat),
+      st as (select rec, min(struct_pack(x := x, y := y)) as p from q group by rec),
+      wrap(rec, i, x, y, dx, dy) as (select rec, 0, p.x, p.y, 0.0::double, -1.0::double from st union all
+        select rec, i + 1, b.x, b.y, b.x - x, b.y - y from (
+          select w.rec, w.i, w.x, w.y, min(struct_pack(a := round(case when a < -1e-12 then a + 2 * pi() else abs(a) end, 12), d := -((q.x - w.x) ** 2 + (q.y - w.y) ** 2), x := q.x, y := q.y)) as b
+          from (select * from wrap) w join q on q.rec = w.rec and (q.x <> w.x or q.y <> w.y), lateral (select atan2(w.dx * (q.y - w.y) - w.dy * (q.x - w.x), w.dx * (q.x - w.x) + w.dy * (q.y - w.y)) as a) group by w.rec, w.i, w.x, w.y) z
+          join st using (rec) where not (b.x = st.p.x and b.y = st.p.y))
+      select rec, i, x / 10000.0::double as x, y / 10000.0::double as y from wrap""",
 }

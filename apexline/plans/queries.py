@@ -562,6 +562,17 @@ def loop_fit(spark, d):
     return shape.fit_loops(loops, loops.where("rec = 0").select("i", "x", "y")).select("rec", "shift", "way", "mirror", F.round("scale", 4).alias("scale"), F.round("rms", 3).alias("rms"))
 
 
+@query
+def loop_fit_refined(spark, d):
+    """The best laps on that of recording 0, by their distances to its line."""
+    s = session(spark, d)
+    own = s.lap_facts.join(s.best.select("rec", "lap_id"), ["rec", "lap_id"], "left_semi")
+    loops = materialised(shape.loop(own, ["rec"], "t"), "loops")
+    ref = loops.where("rec = 0").select("i", "x", "y")
+    r = shape.refined(loops, ref, shape.fit_loops(loops, ref))
+    return r.select("rec", "mirror", *[F.round(c, 3).alias(c) for c in ("scale", "rms0", "rms", "coverage")])
+
+
 @query
 def gap_reconstruct(spark, d):
     t = tr.gated(fixtures.trace(spark, d))
