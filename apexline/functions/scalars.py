@@ -92,3 +92,20 @@ def buckets(value: Column, low: Column, high: Column, n: int = 16) -> Column:
     """0 to n - 1 between ``low`` and ``high``; the middle if they are equal, -1 for null and NaN."""
     place = F.least(F.greatest(F.floor((value - low) / (high - low) * n), F.lit(0)), F.lit(n - 1))
     return F.when(value.isNull() | F.isnan(value), -1).when(high <= low, n // 2).otherwise(place).cast("int")
+
+
+def global_of(east: Column, north: Column, up: Column, lat0: Column, lon0: Column) -> tuple[Column, Column, Column]:
+    """Latitude, longitude and altitude of a point in the frame of :func:`local_xy`: its inverse."""
+    p, q = F.radians(lat0), F.radians(lon0)
+    x0, y0, z0 = canonical(lat0, lon0, F.lit(0.0))
+    n = F.sqrt((R_EQUATOR * F.sin(p)) ** 2 + (R_POLE * F.cos(p)) ** 2)
+    u = F.sqrt(F.cos(p) ** 2 + (R_POLE / R_EQUATOR * F.sin(p)) ** 2)
+    # North and up aren't quite square to each other: two equations for the parts along the ground's radius and the axis.
+    a, b, c, d = -R_EQUATOR * F.sin(p) / n, R_POLE * F.cos(p) / n, F.cos(p) / u, R_POLE / R_EQUATOR * F.sin(p) / u
+    det = a * d - b * c
+    level, axial = (d * north - b * up) / det, (a * up - c * north) / det
+    x = x0 - east * F.sin(q) + level * F.cos(q)
+    y = y0 + east * F.cos(q) + level * F.sin(q)
+    z = z0 + axial
+    flat, high = F.sqrt(x * x + y * y) / R_EQUATOR, z / R_POLE
+    return F.degrees(F.atan2(high, flat)), F.degrees(F.atan2(y, x)), (F.sqrt(flat * flat + high * high) - 1) * R_EQUATOR

@@ -428,4 +428,18 @@ ORACLE: dict[str, str] = {
           from (select * from wrap) w join q on q.rec = w.rec and (q.x <> w.x or q.y <> w.y), lateral (select atan2(w.dx * (q.y - w.y) - w.dy * (q.x - w.x), w.dx * (q.x - w.x) + w.dy * (q.y - w.y)) as a) group by w.rec, w.i, w.x, w.y) z
           join st using (rec) where not (b.x = st.p.x and b.y = st.p.y))
       select rec, i, x / 10000.0::double as x, y / 10000.0::double as y from wrap""",
+    "camera_payloads": f"""with {TRACE}, f as (select rec, seq // 600 + 1 as chapter, seq, v, fix, row_number() over (partition by rec, seq // 600 order by seq) - 1 as i, count(*) over (partition by rec, seq // 600) as m from trace)
+      select rec, cast(chapter as integer) as chapter, count(*) as fixes, round(sum(round(v * 1000) / 1000), 2) as v_sum, round(any_value(60 * (chapter - 1) + (m - 1) // 10 + ((m - 1) % 10) / ((m - 1) % 10 + 1)::double), 3) as last_s, min(946684800000 + 8766 * 86400000::bigint + seq * 100)::bigint as first_ms, count(*) filter (fix < 3) as weak from f group by rec, chapter""",
+    "camera_fixes": f"""with {TRACE}, f as (select rec, seq // 600 + 1 as chapter, seq, v, fix, row_number() over (partition by rec, seq // 600 order by seq) - 1 as i, count(*) over (partition by rec, seq // 600) as m from trace)
+      select rec, cast(chapter as integer) as chapter, count(*) as fixes, round(sum(round(v * 1000) / 1000), 2) as v_sum, round(any_value(60 * (chapter - 1) + (m - 1) // 10 + ((m - 1) % 10) / ((m - 1) % 10 + 1)::double), 3) as last_s, min(946684800000 + 8766 * 86400000::bigint + seq * 100)::bigint as first_ms, count(*) filter (fix < 3) as weak from f group by rec, chapter
+      qualify row_number() over (order by rec // 10000, printf('GX%02d%04d', chapter, rec % 10000)) <= 64""",
+    "camera_seek": f"""with {LAPS}, pay as (select rec, seq // 10 as n, seq // 10 as a, seq // 10 + 1 as b from trace where seq < 600 group by all), z as (select rec, max(n) as n from pay group by rec)
+      select l.rec, l.lap_id, cast(coalesce(p.n, z.n) as integer) as n, coalesce(p.a, z.n)::double as t_in, p.n is null as at_end from laps l join z using (rec) left join pay p on p.rec = l.rec and l.t_start >= p.a and l.t_start < p.b""",
+    "recut_laps": f"""with {TRACE}, s as (select *, lag(x) over w as x0, lag(y) over w as y0, lag(t) over w as t0 from trace window w as (partition by rec order by seq)),
+      c as (select *, 50.005::double + case when rec % 4 = 0 then 500 when rec % 2 = 0 then 10 else 0 end as lx from s)
+      select rec, cast(row_number() over (partition by rec order by seq) - 1 as bigint) as lap_id, round(t0 + (t - t0) * ((lx - x0) / (x - x0)), 3) as t_cross from c where (x0 - lx) * (x - lx) < 0 and abs(y0 + (y - y0) * ((lx - x0) / (x - x0))) < 15""",
+    "undone_lines": f"""with {TRACE}, r as (select distinct rec from trace)
+      select rec, case when rec % 4 = 0 then 2 when rec % 2 = 0 then 1 else 0 end::bigint as version0, round(50.005::double + case when rec % 4 = 0 then 500 when rec % 2 = 0 then 10 else 0 end, 3) as x0,
+        case when rec % 4 = 0 then 1 else 0 end::bigint as version1, round(50.005::double + case when rec % 4 = 0 then 10 else 0 end, 3) as x1, 0::bigint as version2, 50.005::double as x2 from r""",
+    "global_frame": f"with {PLACES} select place, round(lat, 7) as lat, round(lon, 7) as lon, round(diag, 3) as alt from places",
 }

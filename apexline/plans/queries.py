@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
-from ..operators import coaching, corners, delta, driving, gapfill, imu, laps, library, lines, pace, projection, shape
+from ..operators import coaching, corners, delta, driving, gapfill, imu, laps, library, lines, pace, projection, shape, versions
 from ..operators import trace as tr
-from ..sources import fixtures
+from ..operators.house import united
+from ..sources import fixtures, gpmf, mp4, recordings
 from ..sources.tables import materialised
 from .session import Session
 
@@ -713,9 +714,9 @@ def locked_seeks(spark, d):
     return lines.locked_seek(asked.join(nxt, ["rec", "lap_id"], "left_semi"), s.valid_samples).select("rec", "lap_id", F.round("t", 3).alias("t"), F.round("t_other", 3).alias("t_other"))
 
 
-def _mounted(gps: DataFrame) -> DataFrame:
-    """The IMU rows that a camera, turned by 50 degrees about the vertical, gives for the forces and headings of ``gps``."""
-    h, g, yaw = F.col("heading"), 9.80665, 0.8726646259971648
+def _mounted(gps: DataFrame, yaw: float = math.radians(50)) -> DataFrame:
+    """The IMU rows that a camera, turned by ``yaw`` about the vertical, gives for the forces and headings of ``gps``."""
+    h, g = F.col("heading"), 9.80665
     east = (F.col("long_g") * F.cos(h) - F.col("lat_g") * F.sin(h)) * g
     north = (F.col("long_g") * F.sin(h) + F.col("lat_g") * F.cos(h)) * g
     c, s = F.lit(math.cos(yaw)), F.lit(math.sin(yaw))
@@ -733,4 +734,100 @@ def imu_gseries(spark, d):
     fit = materialised(imu.fitted(flat, gps), "fit")
     series = materialised(imu.g_series(flat, gps, fit), "forces")
     g = series.groupBy("rec").agg(F.count("*").alias("n"), F.count_if(F.col("origin") == "imu").alias("from_imu"))
-    return g.join(fit.drop("n"), "rec", "left").join(imu.peaks(series), "rec").select("rec", "n", "from_imu", "ok", *[F.round(c, 4).alias(c) for c in ("r_long", "r_lat", "lateral_g", "braking_g")])
+    return g.join(fit.select("rec", "ok", "r_long", "r_lat"), "rec", "left").join(imu.peaks(series), "rec").select("rec", "n", "from_imu", "ok", *[F.round(c, 4).alias(c) for c in ("r_long", "r_lat", "lateral_g", "braking_g")])
+
+
+@query
+def imu_chapters(spark, d):
+    """Two chapters in one recording, whose cameras were mounted in two ways: each chapter's fit, and the recording's."""
+    gps = materialised(imu.gps_g(fixtures.trace(spark, d)), "gps")
+    half = gps.groupBy("rec").agg((F.max("t") / 2).alias("offset"))
+    chapters = materialised(united(half.select("rec", F.lit(1).alias("chapter"), F.lit(0.0).alias("offset")), half.select("rec", F.lit(2).alias("chapter"), "offset")), "chapters")
+    own = imu.in_chapters(gps, chapters)
+    rows = united(_mounted(own.where("chapter = 1")).withColumn("chapter", F.lit(1)), _mounted(own.where("chapter = 2"), math.radians(-20)).withColumn("chapter", F.lit(2)))
+    flat = materialised(imu.horizontal(rows, ["rec", "chapter"]), "flat")
+    fit = materialised(imu.fitted(flat, materialised(own, "gps-chapters"), ["rec", "chapter"]), "fit")
+    series = materialised(imu.g_series(flat, gps, fit, chapters), "forces")
+    back = imu.g_at(gps.select("rec", "t", F.col("lat_g").alias("was")), series)
+    error = back.groupBy("rec").agg(F.round(F.avg(F.abs(F.col("lat_g") - F.col("was"))), 3).alias("error_g"))
+    return imu.merged_fits(fit).select("rec", "n", "ok", *[F.round(c, 3).alias(c) for c in ("r_long", "r_lat")]).join(error, "rec")
+
+
+# Recordings as files
+
+
+@query
+def camera_fixes(spark, d):
+    """Fixes of camera files that are made from the traces, read as a data source by byte ranges."""
+    folder = fixtures.camera_files(spark, d)
+    mp4.register(spark)
+    paths = [r.path for r in recordings.chapters(folder).where("prefix is not null").orderBy("path").limit(FILES).collect()]
+    raw = spark.read.format("camera").option("slotBytes", 1 << 16).option("path", ",".join(paths)).load() if paths else mp4.payloads(folder)
+    return _by_chapter(raw)
+
+
+#: Files that :func:`camera_fixes` names to the data source: it is meant for a recording's chapters.
+FILES = 64
+
+
+@query
+def camera_payloads(spark, d):
+    """Fixes of all camera files that are made from the traces, read by their tables of samples on the executors."""
+    return _by_chapter(mp4.payloads(fixtures.camera_files(spark, d)))
+
+
+def _by_chapter(raw: DataFrame) -> DataFrame:
+    """What the payloads say, on the clock of the recording that their files are chapters of."""
+    named = recordings.chapters(raw).withColumn("rec", F.col("number"))
+    spans = materialised(named.select("rec", "chapter", "t_in", "t_out", "payload"), "payloads")
+    clock = recordings.chapter_map(mp4.durations(spans, ("rec", "chapter")).select("rec", "chapter", "duration"))
+    fixes = recordings.joined_chapters(gpmf.fixes(spans), clock)
+    g = fixes.groupBy("rec", "chapter").agg(F.count("*").alias("fixes"), F.round(F.sum("full_speed"), 2).alias("v_sum"), F.round(F.max("naive"), 3).alias("last_s"), F.min("ts_ms").alias("first_ms"), F.count_if(F.col("fix") < 3).alias("weak"))
+    return g.select(F.col("rec").cast("long").alias("rec"), "chapter", "fixes", "v_sum", "last_s", "first_ms", "weak")
+
+
+@query
+def camera_seek(spark, d):
+    """The payload under the cursor for each lap's start, on the clock of the recording's first chapter."""
+    table = recordings.chapters(mp4.table(fixtures.camera_files(spark, d))).where("chapter = 1").select(F.col("number").cast("long").alias("rec"), "n", "t_in", "t_out")
+    starts = session(spark, d).laps.select("rec", "lap_id", F.col("t_start").alias("t"))
+    return mp4.seek(starts, table, ("rec",)).select("rec", "lap_id", "n", F.round("t_in", 3).alias("t_in"), "at_end")
+
+
+# Lines that are edited
+
+
+def _moved_lines(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A trace, its lines, and a history in which every second recording's line was moved by 10 metres, and some off the track."""
+    t = materialised(fixtures.trace(spark, d), "trace")
+    first = t.select("rec").distinct().select("rec", F.lit(0).cast("long").alias("version"), F.struct(*[F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), LINE, strict=True)]).alias("line"), F.array().cast(f"array<{versions.ENDS}>").alias("sectors"), F.lit(False).alias("confirmed"))
+    shift = lambda by: F.struct(*[(F.col(f"line.{c}") + (by if c[0] == "x" else 0.0)).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    history = versions.edited(first, first.where("rec % 2 = 0").select("rec", shift(10.0).alias("line"), "sectors", F.lit(True).alias("confirmed")))
+    return t, first.select("rec", "line"), materialised(versions.edited(history, first.where("rec % 4 = 0").select("rec", shift(500.0).alias("line"), "sectors", F.lit(True).alias("confirmed"))), "history")
+
+
+@query
+def recut_laps(spark, d):
+    """Crossings after lines were edited: only the edited recordings are cut anew."""
+    t, before, history = _moved_lines(spark, d)
+    crossings = materialised(laps.numbered(laps.line_crossings(t, before)), "crossings")
+    return versions.recut(t, crossings, before, versions.current(history)).select("rec", "lap_id", "t_cross")
+
+
+@query
+def undone_lines(spark, d):
+    """The lines that hold after one step back everywhere, and after a second: never to lines that give no lap."""
+    t, _, history = _moved_lines(spark, d)
+    once = materialised(versions.undone(history, history.select("rec").distinct(), t), "once")
+    twice = versions.undone(once, history.select("rec").distinct(), t)
+    now = lambda h, n: versions.current(h).select("rec", F.col("version").alias(f"version{n}"), F.round("line.x1", 3).alias(f"x{n}"))
+    return now(history, 0).join(now(once, 1), "rec").join(now(twice, 2), "rec")
+
+
+@query
+def global_frame(spark, d):
+    """Places in the local frame, turned back to latitude and longitude."""
+    p = _places(spark, d)
+    at = scalars.local_xy(F.col("lat"), F.col("lon"), F.col("diag"), F.lit(45.05), F.lit(7.05))
+    lat, lon, alt = scalars.global_of(*at, F.lit(45.05), F.lit(7.05))
+    return p.select("place", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"), F.round(alt, 3).alias("alt"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import gpmf, mp4
+from .tables import materialised, new_path
+
 #: Length of the circuit, a straight and an arc in centimetres; the timing line is LINE along the first straight.
 LAP_CM, STRAIGHT_CM, ARC_CM, LINE_CM = 38_850, 10_000, 9_425, 5_000
 #: Users whose events are one recording; their number grows with the events.
@@ -43,3 +48,30 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("fingerprint"), F.col("o_orderpriority").alias("track"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_totalprice").alias("best"),
         (F.col("o_orderstatus") != "P").alias("verified"), (F.col("o_custkey") % 17 == 0).alias("degraded"), (F.col("o_custkey") % 13 == 0).alias("dropout"),
     )
+
+
+#: Fixes of a payload, and of a chapter.
+PAYLOAD, CHAPTER = 10, 600
+
+
+def camera_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path) of camera files that are written from the traces: a payload a second, a file for each CHAPTER of a recording."""
+    folder = new_path(spark, "camera")
+    t = trace(spark, sf_dir).select("rec", "seq", "v", "dop", "fix", "x", "y", F.expr(f"cast(seq div {CHAPTER} + 1 as int)").alias("chapter"))
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("seq")
+        rec, chapter = int(part["rec"].iloc[0]), int(part["chapter"].iloc[0])
+        seq, v = part["seq"].to_numpy(np.int64), np.rint(part["v"].to_numpy(float) * 1000)
+        rows = np.stack([np.rint((50 + part["y"].to_numpy(float) / 111_000) * 1e7), np.rint((7 + part["x"].to_numpy(float) / 71_000) * 1e7), np.zeros(len(part)), v, v, np.full(len(part), 8766.0), seq * 100.0, np.rint(part["dop"].to_numpy(float) * 100), part["fix"].to_numpy(float)], axis=1).astype(np.int64)
+        scale = gpmf.packed("SCAL", "l", np.array([10**7, 10**7, 1000, 1000, 1000, 1, 1000, 100, 1]))
+        cut = [rows[i : i + PAYLOAD] for i in range(0, len(rows), PAYLOAD)]
+        made = [gpmf.nested("DEVC", gpmf.nested("STRM", scale + gpmf.packed("GPS9", "l", r))) for r in cut]
+        path = f"{folder}/{rec // 10_000}/GX{chapter:02d}{rec % 10_000:04d}.MP4"
+        where, name = mp4.store(path)
+        where.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        with where.open_output_stream(name, compression=None) as f:
+            f.write(mp4.written(made, video=b"\0" * 5000))
+        return pd.DataFrame({"path": [path]})
+
+    return materialised(t.groupBy("rec", "chapter").applyInPandas(write, "path string"), "files")

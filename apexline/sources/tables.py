@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in ``spark.checkpoint.dir``; in local mode without one, in a folder of our own."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; in local mode without one, in a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="apexline-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/apexline/{uuid.uuid4().hex}/{name}"
+    return f"{root.rstrip('/')}/apexline/{uuid.uuid4().hex}/{name}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
