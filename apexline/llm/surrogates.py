@@ -16,7 +16,9 @@ gave away stands without one.
    all documents (coreference), and type, script, case and format are kept.
 *  A name is as many entities as it has words, so "Anna Berg" and "Mrs. Berg"
    still share a word.  A given name's surrogate ends as the gender that most of
-   its titles tell.  An IBAN gets its right check digits.
+   its titles tell, in a letter of its own script.  An IBAN gets its right check digits, and so does
+   a card number whose check digit is right.  Private, loopback and link-local IPv4 addresses stay
+   in their range, and others never get into one.
 *  Collision checks run over all distinct entities: a surrogate that is itself an
    entity of the corpus, or that another entity has, is drawn anew with the next
    permutation.  Where a form is over a quarter full, its unused values are listed
@@ -88,6 +90,11 @@ KINDS = [
     ("ip", rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), ("ssn", r"^\d{3}-\d\d-\d{4}$"), ("card", r"^\d(?:[ -]?\d){12,18}$"),
 ]
 
+#: Ranges of IPv4 that aren't routed, by what of an address is the range's, and a test for them.
+RANGES = r"^(?:10|127)\.|^(?:192\.168|169\.254)\.|^172\.(?=(?:1[6-9]|2\d|3[01])\.)"
+#: Endings of given names by gender: in Latin, Cyrillic, Greek and Armenian letters.
+ENDINGS = {"f": {"": "a", "Cyrillic": "а", "Greek": "α", "Armenian": "ա"}, "m": {"": "o", "Cyrillic": "о", "Greek": "ο", "Armenian": "ո"}}
+
 #: Letters that move among themselves, by the sign that stands for them in a form.
 PLAIN = {"0": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 HEX = {"h": "0123456789abcdef"}
@@ -125,18 +132,33 @@ def _signs(text: Column, classes: dict[str, str]) -> Column:
     return F.translate(text, "".join(classes.values()), "".join(sign * len(letters) for sign, letters in classes.items()))
 
 
+def _luhn(digits: Column) -> Column:
+    """The check sum of a card number; 0 if its last digit is right."""
+    doubled = lambda d, i: F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
+    places = F.transform(F.reverse(F.filter(F.split(digits, ""), lambda c: c != "")), lambda c, i: doubled(c.try_cast("int"), i))
+    return F.aggregate(places, F.lit(0), lambda total, d: total + d) % 10
+
+
+def _ending(canon: Column, gender: Column) -> Column:
+    """The ending of a name's surrogate, in the script of its first letter."""
+    by_script = lambda letters: _first([(canon.rlike(rf"^\p{{Is{script}}}"), F.lit(a)) for script, a in letters.items() if script], F.lit(letters[""]))
+    return F.when(gender == "f", by_script(ENDINGS["f"])).when(gender == "m", by_script(ENDINGS["m"])).otherwise("")
+
+
 def _spelled(entities: DataFrame) -> DataFrame:
     """``entities`` (kind, canon, gender, draw, wide) with ``head``, the fixed part before, ``body``, what moves, ``tail``, the fixed one after; ``form``; and of each place of the body its ``letters``, ``size`` and value ``x``."""
     kind, canon, wide = F.col("kind"), F.col("canon"), F.col("wide")
-    head = _first([(kind == "token", F.regexp_extract(canon, rf"^(?:{PREFIX})", 0)), (kind == "iban", F.substring(canon, 1, 2)), ((kind == "phone") & canon.startswith("0"), F.lit("0"))], F.lit(""))
-    tail = _first([(kind == "email", F.regexp_extract(canon, r"\.[a-z]+$", 0)), (kind.isin("given", "surname") & (F.col("gender") == "f"), F.lit("a")), (kind.isin("given", "surname") & (F.col("gender") == "m"), F.lit("o"))], F.lit(""))
-    stop = F.length(canon) - F.when(kind == "email", F.length(tail)).otherwise(0)
+    head = _first([(kind == "token", F.regexp_extract(canon, rf"^(?:{PREFIX})", 0)), (kind == "iban", F.substring(canon, 1, 2)), (kind == "ip", F.regexp_extract(canon, RANGES, 0)), ((kind == "phone") & canon.startswith("0"), F.lit("0"))], F.lit(""))
+    tail = _first([(kind == "email", F.regexp_extract(canon, r"\.[a-z]+$", 0)), (kind.isin("given", "surname"), _ending(canon, F.col("gender")))], F.lit(""))
+    checked = (kind == "card") & (_luhn(canon) == 0)
+    stop = F.length(canon) - F.when(kind == "email", F.length(tail)).when(checked, 1).otherwise(0)
     start = F.length(head) + F.when(kind == "iban", 2).otherwise(0)
     body = F.substr(canon, start + 1, stop - start)
     more = F.repeat(F.when(kind == "email", "a").when(kind.isin("given", "surname"), "ba").otherwise("0"), wide)
-    body = F.when(kind == "ip", canon).when(kind.isin("given", "surname"), F.concat(body, more)).otherwise(F.concat(more, body))
-    out = entities.withColumns({"head": head, "tail": tail}).withColumn("body", body)
-    octets = F.transform(F.split("body", r"\."), lambda o: F.when(wide > 0, "0").otherwise(F.length(o).cast("string")))
+    body = F.when(kind == "ip", F.substr(canon, start + 1)).when(kind.isin("given", "surname"), F.concat(body, more)).otherwise(F.concat(more, body))
+    out = entities.withColumns({"head": head, "tail": tail, "checked": checked}).withColumn("body", body)
+    # The second octet of 172.16 to 172.31 moves among these.
+    octets = F.transform(F.split("body", r"\."), lambda o, i: F.when((F.col("head") == "172.") & (i == 0), "p").when(wide > 0, "0").otherwise(F.length(o).cast("string")))
     signs = F.when(kind.isin("hex", "ip6"), _signs(F.col("body"), HEX)).when(kind.isin("given", "surname"), _signs(F.col("body"), NAMES)).otherwise(_signs(F.col("body"), PLAIN))
     out = out.withColumn("signs", F.when(kind == "ip", F.array_join(octets, ".")).otherwise(signs))
     # A letter of no class moves among a-z; two such words may collide, which the checks find.
@@ -145,8 +167,8 @@ def _spelled(entities: DataFrame) -> DataFrame:
     letters = F.transform(F.split("signs", ""), lambda s: F.coalesce(F.element_at(table, s), F.when(name_letter & s.rlike(r"^\p{L}"), PLAIN["a"])))
     chars = F.split("body", "")
     place = lambda c, a: F.when(a.isNull(), 0).when(F.instr(a, c) > 0, F.instr(a, c) - 1).otherwise(F.pmod(F.ascii(c), F.lit(26)))
-    low = lambda s: F.when(s == "1", 0).when(s == "2", 10).when(s == "3", 100).otherwise(0)
-    size = lambda s: F.when(s == "1", 10).when(s == "2", 90).when(s == "3", 156).otherwise(256)
+    low = lambda s: F.when(s == "p", 16).when(s == "1", 0).when(s == "2", 10).when(s == "3", 100).otherwise(0)
+    size = lambda s: F.when(s == "p", 16).when(s == "1", 10).when(s == "2", 90).when(s == "3", 156).otherwise(256)
     is_ip = kind == "ip"
     parts = F.split("signs", r"\.")
     out = out.withColumns({"letters": F.when(~is_ip, letters), "chars": F.when(~is_ip, chars)})
@@ -155,7 +177,7 @@ def _spelled(entities: DataFrame) -> DataFrame:
         "size": F.when(is_ip, F.transform(parts, size)).otherwise(F.transform("letters", lambda a: F.coalesce(F.length(a), F.lit(1)))),
         "x": F.when(is_ip, F.zip_with(F.split("body", r"\."), parts, lambda o, s: o.cast("int") - low(s))).otherwise(F.zip_with("chars", "letters", place)),
     })
-    return out.withColumn("form", F.concat_ws("|", "kind", "head", "signs", "tail", F.col("wide").cast("string")))
+    return out.withColumn("form", F.concat_ws("|", "kind", "head", "signs", "tail", F.col("wide").cast("string"), F.col("checked").cast("string")))
 
 
 def _written(x: Column | str) -> Column:
@@ -166,8 +188,9 @@ def _written(x: Column | str) -> Column:
     value = lambda c: F.instr(F.lit(PLAIN["0"] + PLAIN["a"]), c) - 1
     rest = lambda s: F.aggregate(F.filter(F.split(digits(s), r"\|"), lambda c: c != ""), F.lit(0), lambda r, c: (r * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
     check = let(plain, lambda b: F.concat("head", F.lpad((98 - rest(F.concat(b, "head", F.lit("00")))).cast("string"), 2, "0"), b))
-    octets = F.array_join(F.transform(x, lambda v, i: (v + F.get("low", i)).cast("string")), ".")
-    return F.when(F.col("kind") == "ip", octets).when(F.col("kind") == "iban", check).otherwise(F.concat("head", plain, "tail"))
+    octets = F.concat("head", F.array_join(F.transform(x, lambda v, i: (v + F.get("low", i)).cast("string")), "."))
+    right = let(plain, lambda b: F.concat(b, F.pmod(10 - _luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+    return F.when(F.col("kind") == "ip", octets).when(F.col("checked"), right).when(F.col("kind") == "iban", check).otherwise(F.concat("head", plain, "tail"))
 
 
 def _permuted(key: str) -> Column:
@@ -181,6 +204,11 @@ def _permuted(key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.col("x"), step)
 
 
+def _strayed(unrouted: Column) -> Column:
+    """Whether a surrogate of an address that isn't ``unrouted`` lies in a range that is."""
+    return (F.col("kind") == "ip") & ~unrouted & F.col("surrogate").rlike(RANGES)
+
+
 def _dealt(asks: DataFrame, entities: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     """``asks``, whose draw failed, with whether their form is ``crowded``, and a ``free`` value of it for as many as there are."""
     crowd = _spelled(entities).groupBy("form").agg(F.count("*").alias("n"), F.min_by(F.struct("kind", "canon", "gender", "draw", "wide"), "canon").alias("e"))
@@ -191,6 +219,7 @@ def _dealt(asks: DataFrame, entities: DataFrame, taken: DataFrame, key: str) ->
     chunks = crowd.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(space - 1) div {CHUNK}")))).repartition("form", "chunk")
     values = chunks.withColumn("v", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("space"), (F.col("chunk") + 1) * CHUNK) - 1)))
     values = values.withColumn("x", F.expr("zip_with(size, below, (s, b) -> cast((v div b) % s as int))")).select("form", "kind", _written("x").alias("surrogate"))
+    values = values.where(~_strayed(F.get(F.split("form", r"\|"), 1) != ""))
     rank = lambda df, by: df.withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy(F.xxhash64(F.lit(key), by), by)))
     free = rank(values.join(taken, ["kind", "surrogate"], "left_anti"), "surrogate").select("form", "rank", F.col("surrogate").alias("free"))
     asked = _spelled(asks).select(*asks.columns, "form").join(crowd.select("form", F.lit(True).alias("crowded")), "form", "left")
@@ -208,7 +237,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         drawn = _spelled(open_).withColumn("surrogate", F.coalesce("free", _written(_permuted(key)))).select("kind", "canon", "gender", "draw", "wide", "surrogate")
         drawn = kept(drawn, "drawn")
         taken = real if settled is None else real.unionByName(settled.select("kind", "surrogate"))
-        one = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
+        one = drawn.where(~_strayed(F.col("canon").rlike(RANGES))).groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
         good = one.join(taken, ["kind", "surrogate"], "left_anti").withColumn("good", F.lit(True))
         judged = kept(drawn.join(good, ["kind", "surrogate", "canon"], "left"), "judged")
         drop_kept(drawn)
