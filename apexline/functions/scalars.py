@@ -109,3 +109,9 @@ def global_of(east: Column, north: Column, up: Column, lat0: Column, lon0: Colum
     z = z0 + axial
     flat, high = F.sqrt(x * x + y * y) / R_EQUATOR, z / R_POLE
     return F.degrees(F.atan2(high, flat)), F.degrees(F.atan2(y, x)), (F.sqrt(flat * flat + high * high) - 1) * R_EQUATOR
+
+
+def clock_text(ms: Column) -> Column:
+    """HH:MM in UTC of milliseconds since 1970; null where unknown (0 or less)."""
+    minutes = F.floor(ms / 60_000).cast("long") % 1440
+    return F.when(ms > 0, F.format_string("%02d:%02d", F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int")))

@@ -130,6 +130,42 @@ def corner_grip(samples: DataFrame, corners: DataFrame, envelope: DataFrame) ->
     return out.select(*CORNER, F.round(F.coalesce(F.least(F.col("g") / F.col("envelope_g"), F.lit(1.1)), F.lit(0.0)), 4).alias("grip"))
 
 
+def laps_table(laps: DataFrame, samples: DataFrame, splits: DataFrame, stats: DataFrame) -> DataFrame:
+    """(rec, lap_id, lap, lap_s, dist_m, entry_kmh, flag, splits, corners) of valid laps (with ``dropout``), for export.
+
+    ``lap`` counts from 1; ``splits`` are the sector times in order, ``corners`` (cid, time_s, apex_kmh) in order.
+    """
+    entry = samples.groupBy(*LAP).agg((F.min_by("v", "dist") * 3.6).alias("entry_kmh"))
+    s = splits.groupBy(*LAP).agg(F.sort_array(F.collect_list(F.struct("sector", "split_s"))).alias("_s")).select(*LAP, F.col("_s.split_s").alias("splits"))
+    c = stats.groupBy(*LAP).agg(F.sort_array(F.collect_list(F.struct("cid", "time_s", (F.col("v_apex") * 3.6).alias("apex_kmh")))).alias("corners"))
+    all_ = laps.join(entry, LAP, "left").join(s, LAP, "left").join(c, LAP, "left")
+    return all_.select(*LAP, (F.col("lap_id") + 1).alias("lap"), "lap_s", "dist_m", "entry_kmh", F.when(F.col("dropout"), "dropout").otherwise("").alias("flag"), "splits", "corners")
+
+
+def csv_lines(table: DataFrame, theoretical: DataFrame, rolling: DataFrame) -> DataFrame:
+    """(rec, n, line): each recording's laps as lines of text: a head, a line for each lap, an empty line, and the summary of stitched laps.
+
+    Columns are those of the recording's longest lap; a lap that has fewer leaves them empty.  The theoretical best is
+    left out without sectors, where it is the best lap again.
+    """
+    three = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit(""))
+    size = table.groupBy(*REC).agg(F.coalesce(F.max(F.size("splits")), F.lit(0)).alias("_ns"), F.coalesce(F.max(F.size("corners")), F.lit(0)).alias("_nc"))
+    both = table.join(size, REC)
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    cells = F.concat(
+        F.array(F.col("lap").cast("string"), three(F.col("lap_s")), three(F.col("dist_m")), three(F.col("entry_kmh")), F.col("flag")),
+        F.transform(up_to(F.col("_ns")), lambda i: three(F.get("splits", i - 1))), F.flatten(F.transform(up_to(F.col("_nc")), lambda i: F.array(three(F.get("corners", i - 1)["time_s"]), three(F.get("corners", i - 1)["apex_kmh"])))),
+    )
+    laps = both.select("rec", (F.col("lap_id") + 1).alias("n"), F.array_join(cells, ",").alias("line"))
+    names = F.concat(F.array(*[F.lit(c) for c in ("lap", "time_s", "dist_m", "entry_kmh", "flag")]), F.transform(up_to(F.col("_ns")), lambda i: F.concat(F.lit("S"), i, F.lit("_s"))), F.flatten(F.transform(up_to(F.col("_nc")), lambda i: F.array(F.concat(F.lit("C"), i, F.lit("_time_s")), F.concat(F.lit("C"), i, F.lit("_apex_kmh"))))))
+    head = size.select("rec", F.lit(0).cast("long").alias("n"), F.array_join(names, ",").alias("line"))
+    last = 1 << 40
+    end = size.join(theoretical, REC, "left").join(rolling, REC, "left")
+    tail = F.array(F.struct(F.lit(last).alias("n"), F.lit("").alias("line")), F.struct(F.lit(last + 1).alias("n"), F.lit("summary,time_s").alias("line")), F.struct(F.lit(last + 2).alias("n"), F.when(F.col("_ns") > 1, F.concat(F.lit("summary: Theoretical best,"), three(F.col("theoretical_s")))).alias("line")), F.struct(F.lit(last + 3).alias("n"), F.concat(F.lit("summary: Best rolling,"), three(F.col("rolling_s"))).alias("line")))
+    rows = end.select("rec", F.explode(tail).alias("t")).select("rec", "t.n", "t.line").where("line is not null")
+    return united(united(head, laps), rows)
+
+
 def share_card(laps: DataFrame, ideal: DataFrame, trusted: Column) -> DataFrame:
     """(rec, best_s, to_ideal_s, stamp): what a card shows; the stamp tells of times that aren't to be trusted."""
     b = laps.groupBy(*REC).agg(F.min("lap_s").alias("best_s"))

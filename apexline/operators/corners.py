@@ -110,6 +110,14 @@ def stats(samples: DataFrame, windows: DataFrame) -> DataFrame:
     return out.select(*LAP, "cid", F.round(F.col("elapsed1") - F.col("elapsed0"), 4).alias("time_s"), "enter", "exit", F.coalesce("low.dist", middle).alias("apex"), F.col("v0").alias("v_enter"), F.col("v1").alias("v_exit"), F.coalesce("low.v", "v2").alias("v_apex"))
 
 
+def markers(samples: DataFrame, stats_: DataFrame) -> DataFrame:
+    """(rec, lap_id, cid, t_enter, x, y): when each lap enters each corner, and where its apex is."""
+    ends = F.array(F.struct(F.lit(0).alias("e"), F.col("enter").alias("dist")), F.struct(F.lit(1).alias("e"), F.col("apex").alias("dist")))
+    at = interp_join(samples, stats_.select(*LAP, "cid", F.explode(ends).alias("p")).select(*LAP, "p.dist", "cid", "p.e"), LAP, "dist", ["t", "x", "y"])
+    of = lambda c, e, name: F.max(F.when(F.col("e") == e, F.col(c))).alias(name)
+    return at.groupBy(*LAP, "cid").agg(of("t", 0, "t_enter"), of("x", 1, "x"), of("y", 1, "y"))
+
+
 def against(stats_: DataFrame, base: DataFrame) -> DataFrame:
     """``stats_`` with ``delta_s`` and ``apex_delta`` against the laps ``base`` (rec, lap_id): a recording's best, or a reference lap of each."""
     own = stats_.join(base.select(*LAP), LAP, "left_semi").select("rec", "cid", F.col("time_s").alias("_t"), F.col("v_apex").alias("_v"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CONFIG
-from .house import along
+from .house import along, interp_join
+from .laps import lap_at
 
 REC, LAP = ["rec"], ["rec", "lap_id"]
 
@@ -18,10 +19,36 @@ def to_baseline(grid: DataFrame, baseline: DataFrame) -> DataFrame:
     return grid.join(base, ["rec", "i"]).select(*LAP, "i", F.round(F.col("elapsed") - F.col("base"), 4).alias("delta_s"))
 
 
-def between(grid: DataFrame, a: int, b: int) -> DataFrame:
-    """(rec, i, delta_s) of two laps of each recording."""
-    one = lambda lap, name: grid.where(F.col("lap_id") == lap).select("rec", "i", F.col("elapsed").alias(name))
-    return one(a, "ea").join(one(b, "eb"), ["rec", "i"]).select("rec", "i", F.round(F.col("ea") - F.col("eb"), 4).alias("delta_s"))
+def curves(grid: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(rec, lap_id, i, x_m, x_s, speed_kmh, delta_s): a lap's curves over the baseline's distance or over its own time.
+
+    ``grid`` has ``elapsed``, ``v`` and the lap's ``total`` at even fractions of each lap; a fraction is one place for all laps.
+    """
+    base = grid.join(baseline.select(*LAP), LAP, "left_semi").select("rec", "i", F.col("elapsed").alias("_e"), F.col("dist").alias("x_m"))
+    both = grid.join(base, ["rec", "i"])
+    return both.select(*LAP, "i", "x_m", F.col("elapsed").alias("x_s"), (F.col("v") * 3.6).alias("speed_kmh"), (F.col("elapsed") - F.col("_e")).alias("delta_s"))
+
+
+def last_deltas(curves_: DataFrame) -> DataFrame:
+    """(rec, lap_id, delta_s) at the finish: what the lap took longer."""
+    return curves_.groupBy(*LAP).agg(F.max_by("delta_s", "i").alias("delta_s"))
+
+
+def at_time(times: DataFrame, samples: DataFrame, baseline: DataFrame, laps_: DataFrame) -> DataFrame:
+    """``times`` (rec, t) with the lap that is on, its ``dist``, ``elapsed`` and ``delta_s``: how far it is behind the baseline at the same place; null between laps.
+
+    The place is the share of the lap's distance.  Times meet samples in two sweeps, one over time and one over distance.
+    """
+    extra = [c for c in times.columns if c not in ("rec", "t")]
+    on = lap_at(times, laps_)
+    total = samples.groupBy(*LAP).agg(F.max("dist").alias("_total"), F.min("t").alias("_t0"))
+    here = interp_join(samples, on.where("lap_id is not null").select(*LAP, "t", *extra), LAP, "t", ["dist"]).join(total, LAP)
+    base = samples.join(baseline.select(*LAP), LAP, "left_semi").select("rec", F.col("dist").alias("_d"), "elapsed")
+    length = base.groupBy("rec").agg(F.max("_d").alias("_length"))
+    asked = here.join(length, REC).select("rec", (F.col("dist") / F.col("_total") * F.col("_length")).alias("_d"), "lap_id", "t", "dist", (F.col("t") - F.col("_t0")).alias("_own"), *extra)
+    met = interp_join(base, asked, REC, "_d", ["elapsed"])
+    found = met.select("rec", "t", *extra, "lap_id", "dist", F.col("_own").alias("elapsed"), (F.col("_own") - F.col("elapsed")).alias("delta_s"))
+    return found.unionByName(on.where("lap_id is null"), allowMissingColumns=True)
 
 
 def following(grid: DataFrame) -> DataFrame:
@@ -40,6 +67,12 @@ def to_ideal(grid: DataFrame) -> DataFrame:
     return grid.join(ideal(grid), ["rec", "i"]).select(*LAP, "i", F.round(F.col("elapsed") - F.col("ideal_s"), 4).alias("delta_s"))
 
 
+def ideal_to_best(grid: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(rec, i, x_m, delta_s): the ideal lap of ``grid`` on the baseline's axis; where it is below 0 it is faster."""
+    base = grid.join(baseline.select(*LAP), LAP, "left_semi").select("rec", "i", F.col("elapsed").alias("_e"), F.col("dist").alias("x_m"))
+    return ideal(grid).join(base, ["rec", "i"]).select("rec", "i", "x_m", (F.col("ideal_s") - F.col("_e")).alias("delta_s"))
+
+
 def ideal_total(grid: DataFrame, cells: int = CONFIG.grid) -> DataFrame:
     return ideal(grid).where(F.col("i") == cells - 1).select("rec", F.round("ideal_s", 4).alias("ideal_s"))
 

@@ -174,10 +174,11 @@ def rainbow(trace: DataFrame, value: str, n: int = 16) -> DataFrame:
     return trace.join(box, REC).select("rec", "seq", buckets(F.col(value), F.col("_lo"), F.col("_hi"), n).alias("bucket"))
 
 
-def g_cloud(trace: DataFrame, most: int = 4000) -> DataFrame:
-    """At most ``most`` points of each recording, evenly taken, for a plot."""
-    n = trace.groupBy(*REC).agg(F.ceil(F.count("*") / most).alias("_s"))
-    return trace.join(n, REC).where("seq % _s = 0").drop("_s")
+def g_cloud(forces: DataFrame, most: int = 4000) -> DataFrame:
+    """At most ``most`` of each recording's rows (rec, t, ...), evenly taken in order of time, for a plot."""
+    n = F.count("*").over(Window.partitionBy(*REC))
+    placed = forces.withColumns({"_i": F.row_number().over(along(REC, "t")) - 1, "_s": F.ceil(n / most)})
+    return placed.where("_i % _s = 0").drop("_i", "_s")
 
 
 def smoothed_g(trace: DataFrame, width: int = 3) -> DataFrame:

@@ -250,6 +250,10 @@ def fraction_grid(samples: DataFrame, cells: int = CONFIG.grid, ys: tuple[str, .
     return interp_join(samples, grid, LAP, "dist", list(ys))
 
 
-def channels(samples: DataFrame) -> DataFrame:
-    """Columns of a lap's samples for export."""
-    return samples.select(*LAP, F.round("t", 3).alias("time_s"), F.round("elapsed", 3).alias("elapsed_s"), F.round("dist", 3).alias("distance_m"), F.round(F.col("v") * 3.6, 3).alias("speed_kmh"), F.round("x", 3).alias("x_m"), F.round("y", 3).alias("y_m"))
+def channels(samples: DataFrame, forces: DataFrame | None = None) -> DataFrame:
+    """Columns of a lap's samples for export; ``altitude``, ``lat`` and ``lon`` too where the samples have them, and the g of ``forces`` (rec, t, lat_g, long_g) at their times."""
+    also = [c for c in ("altitude", "lat", "lon") if c in samples.columns]
+    if forces is not None:
+        samples = interp_join(forces, samples, REC, "t", ["long_g", "lat_g"]) if "long_g" not in samples.columns else samples
+    g = [F.round(c, 4).alias(n) for c, n in (("long_g", "g_long"), ("lat_g", "g_lat")) if c in samples.columns]
+    return samples.select(*LAP, F.round("t", 3).alias("time_s"), F.round("elapsed", 3).alias("elapsed_s"), F.round("dist", 3).alias("distance_m"), F.round(F.col("v") * 3.6, 3).alias("speed_kmh"), F.round("x", 3).alias("x_m"), F.round("y", 3).alias("y_m"), *also, *g)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import CONFIG
 from . import laps as lp
 from .house import along, interp_join, united
 
@@ -118,9 +117,3 @@ def pit_brackets(measured: DataFrame, least_s: float = 120.0) -> DataFrame:
 
 def same_line(a: Column, b: Column) -> Column:
     return sum((F.when(F.abs(a[c] - b[c]) < 1e-6, 0).otherwise(1) for c in ("x1", "y1", "x2", "y2")), F.lit(0)) == 0
-
-
-def gap_free(samples: DataFrame) -> DataFrame:
-    """Samples of laps without a step that is too long."""
-    bad = samples.where(F.col("dt") > CONFIG.dropout_s).select(*LAP).distinct()
-    return samples.join(bad, LAP, "left_anti")

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import clock_text
 from .house import along
+from .trace import moving_time, path_distance
 
 REC = ["rec"]
 
@@ -114,6 +116,40 @@ def totals(trace: DataFrame) -> DataFrame:
     return trace.groupBy(*REC).agg(F.count("*").alias("fixes"), F.round(F.max("t") - F.min("t"), 3).alias("duration_s"), F.round(F.max("odo") - F.min("odo"), 3).alias("driven_m"), F.max("v").alias("vmax_mps"))
 
 
+def headlines(trace: DataFrame, clock: DataFrame) -> DataFrame:
+    """(rec, duration_s, moving_s, distance_m, start_clock, end_clock) of recordings; ``clock`` (rec, ms) are the fixes' wall-clock times."""
+    span = clock.where("ms > 0").groupBy(*REC).agg(F.min("ms").alias("_a"), F.max("ms").alias("_b"))
+    whole = trace.groupBy(*REC).agg(F.round(F.max("t") - F.min("t"), 3).alias("duration_s"))
+    both = whole.join(moving_time(trace), REC).join(path_distance(trace), REC).join(span, REC, "left")
+    return both.select("rec", "duration_s", "moving_s", F.col("path_m").alias("distance_m"), clock_text(F.col("_a")).alias("start_clock"), clock_text(F.col("_b")).alias("end_clock"))
+
+
+def lap_stats(samples: DataFrame, laps: DataFrame, forces: DataFrame, brakes: DataFrame, coasts: DataFrame) -> DataFrame:
+    """(rec, lap_id, lap_s, vmax_kmh, vmin_kmh, mean_kmh, lateral_g, braking_g, brake_s, brake_n, coast_s, coast_share) of laps.
+
+    ``forces`` (rec, lap_id, lat_g, long_g) are the samples of a force series in each lap, null where there are none;
+    a lap without events has sums of 0.
+    """
+    key = ["rec", "lap_id"]
+    v = samples.groupBy(*key).agg(F.max("v").alias("_hi"), F.min("v").alias("_lo"), F.max("dist").alias("_d"))
+    g = forces.groupBy(*key).agg(F.max(F.abs("lat_g")).alias("_lat"), F.greatest(F.max(-F.col("long_g")), F.lit(0.0)).alias("_brake"))
+    b = brakes.groupBy(*key).agg(F.sum("seconds").alias("_bs"), F.count("*").alias("_bn"))
+    c = coasts.groupBy(*key).agg(F.sum("seconds").alias("_cs"))
+    all_ = laps.select(*key, "lap_s").join(v, key).join(g, key, "left").join(b, key, "left").join(c, key, "left")
+    none = lambda x, zero=0.0: F.coalesce(x, F.lit(zero))
+    return all_.select(
+        *key, "lap_s", (F.col("_hi") * 3.6).alias("vmax_kmh"), (F.col("_lo") * 3.6).alias("vmin_kmh"), F.try_divide(F.col("_d") * 3.6, F.col("lap_s")).alias("mean_kmh"), F.col("_lat").alias("lateral_g"), F.col("_brake").alias("braking_g"),
+        none(F.col("_bs")).alias("brake_s"), F.coalesce("_bn", F.lit(0)).alias("brake_n"), none(F.col("_cs")).alias("coast_s"), F.try_divide(none(F.col("_cs")), F.col("lap_s")).alias("coast_share"),
+    )
+
+
+def tops(stats: DataFrame, coasts: DataFrame) -> DataFrame:
+    """(rec, vmax_kmh, vmax_lap, longest_coast_s): a recording's top speed and the first lap that has it, and its longest coast (0 without any)."""
+    top = stats.groupBy(*REC).agg(F.min(F.struct((-F.col("vmax_kmh")).alias("v"), "lap_id")).alias("p"))
+    longest = coasts.groupBy(*REC).agg(F.max("seconds").alias("s"))
+    return top.join(longest, REC, "left").select("rec", (-F.col("p.v")).alias("vmax_kmh"), F.col("p.lap_id").alias("vmax_lap"), F.coalesce("s", F.lit(0.0)).alias("longest_coast_s"))
+
+
 def lap_speeds(laps: DataFrame) -> DataFrame:
     return laps.select("rec", "lap_id", F.round(F.col("v_max") * 3.6, 3).alias("vmax_kmh"), F.round(F.col("v_min") * 3.6, 3).alias("vmin_kmh"), F.round(F.col("dist_m") / F.col("lap_s") * 3.6, 3).alias("mean_kmh"))
 

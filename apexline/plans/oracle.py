@@ -75,8 +75,24 @@ h as (select *, t - lag(t) over w as a, lead(t) over w - t as b, lag(v) over w a
 slope as (select *, case when a is null then (vb - v) / b when b is null then (v - va) / a else (a * a * vb + (b * b - a * a) * v - b * b * va) / (a * b * (a + b)) end as s from h),
 gs as (select rec, seq, t, v, odo, least(greatest(s / 9.80665::double, -2.0), 2.0) as long_g from slope),
 theta as (select rec, round(least(greatest(coalesce(quantile_cont(case when long_g < -0.05 and v > 4 then -long_g end, 0.25), 0.16), 0.16), 0.30), 6)::double as theta from gs group by rec)"""
-LATERAL = LONG_G + """,
-lat as (select *, case when (odo * 100)::bigint % 38850 between 10000 and 19424 or (odo * 100)::bigint % 38850 >= 29425 then v * v / 30.0::double / 9.80665::double else 0.0::double end as lat_g from gs),
+
+
+def step(c: str, w: str = "w") -> str:
+    """Change from the row before to the one after, halved inside."""
+    return f"case when lag({c}) over {w} is null then lead({c}) over {w} - {c} when lead({c}) over {w} is null then {c} - lag({c}) over {w} else (lead({c}) over {w} - lag({c}) over {w}) / 2 end"
+
+
+FORCES = f""",
+f0 as (select rec, seq, t, v, median(x) over w as mx, median(y) over w as my from trace window w as (partition by rec order by seq rows between 2 preceding and 2 following)),
+f1 as (select *, avg(mx) over w as sx, avg(my) over w as sy, avg(v) over (partition by rec order by seq rows between 4 preceding and 4 following) as sp from f0 window w as (partition by rec order by seq rows between 5 preceding and 5 following)),
+f2 as (select *, {step('t')} as ft, {step('sx')} as gx, {step('sy')} as gy, {step('sp')} as gsp from f1 window w as (partition by rec order by seq)),
+f3 as (select *, atan2(gy / ft, gx / ft) as psi from f2),
+f4 as (select *, psi - lag(psi) over w as sd, first_value(psi) over w as psi0 from f3 window w as (partition by rec order by seq)),
+f5 as (select *, psi0 + sum(coalesce(case when sd - 2 * pi() * floor((sd + pi()) / (2 * pi())) = -pi() and sd > 0 then pi() else sd - 2 * pi() * floor((sd + pi()) / (2 * pi())) end, 0.0)) over (partition by rec order by seq) as turned from f4),
+f6 as (select *, avg(turned) over (partition by rec order by seq rows between 5 preceding and 5 following) as hd from f5),
+forces as (select rec, seq, t, coalesce(hd, 0) as heading, coalesce(least(greatest(sp * (({step('hd')}) / ft) / 9.80665::double, -3.0), 3.0), 0.0) as lat_g, coalesce(least(greatest(gsp / ft / 9.80665::double, -2.0), 2.0), 0.0) as long_g from f6 window w as (partition by rec order by seq))"""
+LATERAL = LONG_G + FORCES + """,
+lat as (select gs.*, forces.lat_g from gs join forces using (rec, seq)),
 env as (select rec, round(greatest(coalesce(quantile_cont(case when v > 4 then sqrt(lat_g ** 2 + long_g ** 2) end, 0.98), 0.3), 0.3), 4)::double as envelope_g from lat group by rec)"""
 HISTORY = """
 hist as (select o_orderkey as fingerprint, o_orderpriority as track, strftime(o_orderdate, '%Y-%m-%d') as date, o_totalprice as best,
@@ -442,4 +458,29 @@ ORACLE: dict[str, str] = {
       select rec, case when rec % 4 = 0 then 2 when rec % 2 = 0 then 1 else 0 end::bigint as version0, round(50.005::double + case when rec % 4 = 0 then 500 when rec % 2 = 0 then 10 else 0 end, 3) as x0,
         case when rec % 4 = 0 then 1 else 0 end::bigint as version1, round(50.005::double + case when rec % 4 = 0 then 10 else 0 end, 3) as x1, 0::bigint as version2, 50.005::double as x2 from r""",
     "global_frame": f"with {PLACES} select place, round(lat, 7) as lat, round(lon, 7) as lon, round(diag, 3) as alt from places",
+    "gps_forces": f"with {TRACE}{FORCES} select rec, seq, round(lat_g, 5) + 0.0::double as lat_g, round(long_g, 5) + 0.0::double as long_g from forces",
+    "gg_cloud": f"with {LAPS}{LATERAL[len(TRACE):]}, inw as (select lat.*, count(*) over (partition by lat.rec) as n from lat join valid v on v.rec = lat.rec and lat.t >= v.t_start and lat.t < v.t_finish) select rec, round(t, 3) as t, round(lat_g, 4) + 0.0::double as lat_g, round(long_g, 4) + 0.0::double as long_g from (select *, row_number() over (partition by rec order by t) - 1 as i from inw) where i % ceil(n / 4000.0)::bigint = 0",
+    "corner_grip": f"with {STATS}{LATERAL[len(TRACE):]}" + at("fat", "vs", "lap_id, dist", "lat", ("lat_g", "long_g"), "rec", "t") + ", m as (select w.rec, w.lap_id, w.cid, median(sqrt(f.lat_g ** 2 + f.long_g ** 2)) as g from win w join fat f on f.rec = w.rec and f.lap_id = w.lap_id and f.dist between enter and exit group by all) select w.rec, w.lap_id, w.cid, round(coalesce(least(g / envelope_g, 1.1::double), 0.0), 4) as grip from win w left join m using (rec, lap_id, cid) join env using (rec)",
+    "delta_curves": f"with {GRID}" + at("cv", "asked", "i") + ", b as (select cv.rec, i, dist as x_m, elapsed as e from cv join best using (rec, lap_id)) select cv.rec, cv.lap_id, cast(cv.i as integer) as i, round(x_m, 4) as x_m, round(elapsed, 4) as x_s, round(v * 3.6, 4) as speed_kmh, round(elapsed - e, 4) + 0.0::double as delta_s from cv join b on b.rec = cv.rec and b.i = cv.i",
+    "last_deltas": f"with {LAPS}, e as (select rec, lap_id, max(elapsed) as e from vs group by all) select e.rec, e.lap_id, round(e.e - b.e, 4) + 0.0::double as delta_s from e join best using (rec) join e b on b.rec = e.rec and b.lap_id = best.lap_id",
+    "delta_at_time": f"with {LAPS}, onl as (select t.rec, t.seq, t.t, v.lap_id from trace t left join valid v on v.rec = t.rec and t.t >= v.t_start and t.t < v.t_finish), oq as (select rec, lap_id, t, seq from onl where lap_id is not null)" + at("da", "oq", "seq", y=("dist",), x="t") + """, dk as (select da.rec, da.dist / z.total * bz.total as bd, da.seq, da.lap_id, da.t, da.dist as own, da.t - f.t0 as el from da join totals_ z using (rec, lap_id) join (select rec, lap_id, min(t) as t0 from vs group by all) f using (rec, lap_id) join best using (rec) join totals_ bz on bz.rec = da.rec and bz.lap_id = best.lap_id),
+      bv as (select vs.rec, dist as bd, elapsed from vs join best using (rec, lap_id))""" + at("db", "dk", "seq, lap_id, own, el", "bv", ("elapsed",), "rec", "bd") + " select rec, seq, lap_id, round(own, 5) as dist, round(el, 3) as elapsed, round(el - elapsed, 4) + 0.0::double as delta_s from db union all select rec, seq, null, null, null, null from onl where lap_id is null",
+    "ideal_delta_to_best": f"with {IDEAL} select d.rec, cast(d.i as integer) as i, round(d.i / 399.0::double * total, 3) as x_m, round(ideal_s - g.elapsed, 4) + 0.0::double as delta_s from ideal d join best using (rec) join grid g on g.rec = d.rec and g.lap_id = best.lap_id and g.i = d.i join totals_ z on z.rec = d.rec and z.lap_id = best.lap_id",
+    "corner_markers": f"with {STATS}, mk as (select rec, lap_id, enter as dist, cid, 0 as e from cstats union all select rec, lap_id, apex, cid, 1 from cstats)" + at("mat", "mk", "cid, e", y=("t", "x", "y")) + " select rec, lap_id, cid, round(max(t) filter (e = 0), 3) as t_enter, round(max(x) filter (e = 1), 3) + 0.0::double as x, round(max(y) filter (e = 1), 3) + 0.0::double as y from mat group by rec, lap_id, cid",
+    "lap_stats": f"""with {BRAKES}{FORCES}, sv as (select rec, lap_id, max(v) * 3.6 as hi, min(v) * 3.6 as lo, max(dist) as d from vs group by all), sg as (select v.rec, v.lap_id, max(abs(lat_g)) as lat, greatest(max(-long_g), 0) as br from valid v join forces f on f.rec = v.rec and f.t >= v.t_start and f.t < v.t_finish group by all),
+      sb as (select rec, lap_id, sum(seconds) as bs, count(*) as bn from brakes group by all), sc as (select rec, lap_id, sum(seconds) as cs from coasts group by all)
+      select v.rec, v.lap_id, lap_s, round(hi, 4) as vmax_kmh, round(lo, 4) as vmin_kmh, round(d * 3.6 / lap_s, 4) as mean_kmh, round(lat, 4) as lateral_g, round(br, 4) + 0.0::double as braking_g, round(coalesce(bs, 0), 4) as brake_s, round(coalesce(cs, 0), 4) as coast_s, round(coalesce(cs, 0) / lap_s, 4) as coast_share, coalesce(bn, 0) as brake_n
+      from valid v join sv using (rec, lap_id) left join sg using (rec, lap_id) left join sb using (rec, lap_id) left join sc using (rec, lap_id)""",
+    "session_tops": f"with {BRAKES}, m as (select rec, lap_id, max(v) * 3.6 as v from vs group by all) select m.rec, round(max(v), 4) as vmax_kmh, min(lap_id) filter (v = (select max(v) from m b where b.rec = m.rec)) as vmax_lap, round(coalesce((select max(seconds) from coasts c where c.rec = m.rec), 0), 4) as longest_coast_s from m group by m.rec",
+    "session_headlines": f"with {TRACE}{STEPS.format(t='trace')}, c as (select user_id // 25 as rec, min(epoch_ms(ts)) as a, max(epoch_ms(ts)) as b from events group by 1) select s.rec, round(max(t) - min(t), 3) as duration_s, round(coalesce(sum(dt) filter (dt > 0 and dt <= 1 and v0 >= 4), 0), 3) as moving_s, round(sum(sqrt((x - x0) ** 2 + (y - y0) ** 2)), 3) as distance_m, any_value(printf('%02d:%02d', a // 3600000 % 24, a // 60000 % 60)) as start_clock, any_value(printf('%02d:%02d', b // 3600000 % 24, b // 60000 % 60)) as end_clock from steps s join c on c.rec = s.rec group by s.rec",
+    "lap_channels_forces": f"with {LAPS}{FORCES}" + at("ch", "vs", "lap_id, dist, v", "forces", ("long_g", "lat_g"), "rec", "t") + " select rec, lap_id, round(t, 3) as time_s, round(long_g, 4) + 0.0::double as g_long, round(lat_g, 4) + 0.0::double as g_lat from ch",
+    "library_entries": "with " + SPLITS.replace(LAPS, laps("clean", CLEAN)) + """, th as (select rec, round(case when count(*) = count(b) then sum(b) end, 4) as theoretical from (select rec, sector, min(split_s) filter (split_s > 0) as b from splits group by all) group by rec),
+      q as (select rec, rec = 1 or round(count(*) filter (v > 3 and (fix < 3 or dop > 10)) / count(*) filter (v > 3)::double, 6) >= 0.08 as degraded from trace group by rec)
+      select q.rec, printf('GX%04d', q.rec) as fingerprint, printf('GX01%04d', q.rec) as stem, 'Track ' || (q.rec % 3) as track, '2024-01-01' as date, (select count(*) from valid v where v.rec = q.rec) as lap_count, best.lap_s as best, theoretical, q.rec % 2 = 0 as verified, degraded, coalesce((select max_dt > 0.35 from valid v where v.rec = q.rec and v.lap_id = best.lap_id), false) as dropout
+      from q left join best using (rec) left join th using (rec)""",
+    "library_search": f"with {HISTORY} select fingerprint, date, case when fingerprint % 7 > 0 then best end as best, cast(row_number() over (order by case when fingerprint % 7 > 0 then best end desc nulls last, fingerprint) as integer) as place from hist where track = '1-URGENT' and lower(track || ' ' || date) like '%1995-01%'",
+    "laps_table": f"with {STATS}{SPLITS[len(LAPS):]}, en as (select rec, lap_id, arg_min(v, dist) * 3.6 as e from vs group by all), sp as (select rec, lap_id, count(*) as n, max(split_s) filter (sector = 0) as s1 from splits group by all) select v.rec, v.lap_id, v.lap_id + 1 as lap, lap_s, dist_m, round(e, 3) as entry_kmh, case when max_dt > 0.35 then 'dropout' else '' end as flag, cast(sp.n as integer) as sectors, round(s1, 3) as s1, round(c.time_s, 3) as c1_s, round(c.v_apex * 3.6, 3) as c1_kmh from valid v join en using (rec, lap_id) left join sp using (rec, lap_id) left join cstats c on c.rec = v.rec and c.lap_id = v.lap_id and c.cid = 1",
+    "share_card": f"with {IDEAL}, b as (select c.rec, min(c.lap_s) as best_s from cand c where not dropout group by c.rec) select b.rec, best_s, round(best_s - round(ideal_s, 4), 4) + 0.0::double as to_ideal_s, case when b.rec % 2 = 0 then 'verified' else 'provisional' end as stamp from b left join ideal d on d.rec = b.rec and d.i = 399",
+    "suggested_sector": f"with {LAPS}, o as (select vs.rec, vs.x, vs.y, row_number() over w - 1 as i, count(*) over (partition by vs.rec) as n, lead(x, 5) over w - lag(x, 5) over w as hx, lead(y, 5) over w - lag(y, 5) over w as hy from vs join best using (rec, lap_id) window w as (partition by vs.rec order by t)), m as (select *, sqrt(hx * hx + hy * hy) as k from o where i = floor((n - 1) * 0.75)) select rec, round(x + hy / k * 15, 4) as x1, round(y - hx / k * 15, 4) as y1, round(x - hy / k * 15, 4) as x2, round(y + hx / k * 15, 4) as y2 from m",
+    "transponder_offset": f"with {LAPS}, r as (select rec, lap_id + 7 as lap_no, floor(lap_s * 50) / 50 as ref_s from valid where floor(lap_s * 50) / 50 <= 72), s as (select v.rec, s.shift, corr(lap_s, ref_s) as r, count(*) as k from valid v, range(0, 41) s(shift), r where lap_s <= 72 and r.rec = v.rec and r.lap_no = v.lap_id + s.shift group by all), n as (select rec, count(*) as n from valid group by rec) select rec, cast(shift as integer) as shift, round(r, 6) as r from (select s.*, row_number() over (partition by s.rec order by r desc, shift) as q from s join n using (rec) where k >= greatest(5, 0.7 * n) and not isnan(r)) where q = 1",
 }

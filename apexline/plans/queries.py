@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars
-from ..operators import coaching, corners, delta, driving, gapfill, imu, laps, library, lines, pace, projection, shape, versions
+from ..operators import coaching, corners, delta, driving, gapfill, house, imu, laps, library, lines, pace, projection, shape, versions
 from ..operators import trace as tr
 from ..operators.house import united
 from ..sources import fixtures, gpmf, mp4, recordings
@@ -413,9 +413,24 @@ def grip_utilization(spark, d):
 
 
 def _lateral(s: Session) -> DataFrame:
-    """A lateral g for the tests: the arcs' by speed and radius, none on the straights."""
-    on_arc = F.pmod((F.col("odo") * 100).cast("long"), F.lit(fixtures.LAP_CM)).between(10_000, 19_424) | (F.pmod((F.col("odo") * 100).cast("long"), F.lit(fixtures.LAP_CM)) >= 29_425)
-    return s.g_trace.withColumn("lat_g", F.when(on_arc, F.col("v") * F.col("v") / 30.0 / 9.80665).otherwise(0.0))
+    """The trace with its longitudinal g, and the lateral g of its motion."""
+    return s.g_trace.join(imu.gps_g(s.trace).select("rec", "seq", "lat_g"), ["rec", "seq"])
+
+
+@query
+def gg_cloud(spark, d):
+    """Points of the friction circle: the fixes of valid laps, at most 4,000 of a recording, evenly taken."""
+    s = session(spark, d)
+    inside = lines.in_windows(_lateral(s).select("rec", "t", "lat_g", "long_g"), s.laps)
+    return driving.g_cloud(inside).select("rec", F.round("t", 3).alias("t"), F.round("lat_g", 4).alias("lat_g"), F.round("long_g", 4).alias("long_g"))
+
+
+@query
+def corner_grip(spark, d):
+    s = session(spark, d)
+    forces = _lateral(s)
+    own = house.interp_join(forces.select("rec", "t", "lat_g", "long_g"), s.lap_facts, ["rec"], "t", ["lat_g", "long_g"])
+    return coaching.corner_grip(own, s.windows, driving.grip_envelope(forces))
 
 
 @query
@@ -831,3 +846,136 @@ def global_frame(spark, d):
     at = scalars.local_xy(F.col("lat"), F.col("lon"), F.col("diag"), F.lit(45.05), F.lit(7.05))
     lat, lon, alt = scalars.global_of(*at, F.lit(45.05), F.lit(7.05))
     return p.select("place", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"), F.round(alt, 3).alias("alt"))
+
+
+# Curves, tables and cards
+
+
+@query
+def delta_curves(spark, d):
+    """Speed and time against the best lap, over its distance and over a lap's own time."""
+    s = session(spark, d)
+    c = delta.curves(laps.fraction_grid(s.valid_samples, ys=("elapsed", "v")), s.best)
+    return c.select("rec", "lap_id", "i", *[F.round(x, 4).alias(x) for x in ("x_m", "x_s", "speed_kmh", "delta_s")])
+
+
+@query
+def last_deltas(spark, d):
+    s = session(spark, d)
+    c = delta.curves(laps.fraction_grid(s.valid_samples, ys=("elapsed", "v")), s.best)
+    return delta.last_deltas(c).select("rec", "lap_id", F.round("delta_s", 4).alias("delta_s"))
+
+
+@query
+def delta_at_time(spark, d):
+    """How far behind the best lap each fix is."""
+    s = session(spark, d)
+    at = delta.at_time(s.trace.select("rec", "t", "seq"), s.valid_samples, s.best, s.laps)
+    return at.select("rec", "seq", "lap_id", F.round("dist", 5).alias("dist"), F.round("elapsed", 3).alias("elapsed"), F.round("delta_s", 4).alias("delta_s"))
+
+
+@query
+def ideal_delta_to_best(spark, d):
+    s = gated_session(spark, d)
+    return delta.ideal_to_best(s.clean_grid, s.best).select("rec", "i", F.round("x_m", 3).alias("x_m"), F.round("delta_s", 4).alias("delta_s"))
+
+
+@query
+def corner_markers(spark, d):
+    s = session(spark, d)
+    return corners.markers(s.lap_facts, s.corner_stats).select("rec", "lap_id", "cid", *[F.round(c, 3).alias(c) for c in ("t_enter", "x", "y")])
+
+
+def _lap_stats(s: Session) -> tuple[DataFrame, DataFrame]:
+    forces = laps.lap_at(imu.gps_g(s.trace).select("rec", "t", "lat_g", "long_g"), s.laps).where("lap_id is not null")
+    coasts = materialised(driving.lap_coasts(s.lap_g, s.thresholds), "coasts")
+    return pace.lap_stats(s.lap_facts, s.valid, forces, s.brakes, coasts), coasts
+
+
+@query
+def lap_stats(spark, d):
+    stats, _ = _lap_stats(session(spark, d))
+    return stats.select("rec", "lap_id", "lap_s", *[F.round(c, 4).alias(c) for c in ("vmax_kmh", "vmin_kmh", "mean_kmh", "lateral_g", "braking_g", "brake_s", "coast_s", "coast_share")], "brake_n")
+
+
+@query
+def session_tops(spark, d):
+    stats, coasts = _lap_stats(session(spark, d))
+    return pace.tops(stats, coasts).select("rec", F.round("vmax_kmh", 4).alias("vmax_kmh"), "vmax_lap", F.round("longest_coast_s", 4).alias("longest_coast_s"))
+
+
+@query
+def session_headlines(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    clock = e.select(F.expr(f"user_id div {fixtures.USERS}").alias("rec"), F.unix_millis(F.col("ts").cast("timestamp_ltz")).alias("ms"))
+    return pace.headlines(fixtures.trace(spark, d), clock)
+
+
+@query
+def lap_channels_forces(spark, d):
+    """Channels with the forces of the motion at the samples' times."""
+    s = session(spark, d)
+    c = laps.channels(s.valid_samples, imu.gps_g(s.trace).select("rec", "t", "lat_g", "long_g"))
+    return c.select("rec", "lap_id", "time_s", "g_long", "g_lat")
+
+
+@query
+def library_entries(spark, d):
+    """A library's entry for each recording."""
+    s = gated_session(spark, d)
+    rec = F.col("rec")
+    facts = s.recordings.select("rec", F.format_string("/card/DCIM/GX01%04d.MP4", rec).alias("path"), F.concat(F.lit("Track "), rec % 3).alias("track"), F.lit("2024-01-01").alias("date"), (rec % 2 == 0).alias("verified"))
+    quality = tr.timing_quality(tr.gate_fraction(fixtures.trace(spark, d)), F.col("rec") == 1)
+    e = library.entries(laps.with_dropout(s.valid), s.best, laps.theoretical(_splits(s)), quality, facts)
+    return e.drop("paths")
+
+
+@query
+def library_search(spark, d):
+    """Entries of January 1995 with an urgent track, by their best, those without one last."""
+    h = fixtures.history(spark, d).withColumn("best", F.when(F.col("fingerprint") % 7 > 0, F.col("best")))
+    found = library.matching(h, " 1995-01 ", "1-URGENT")
+    return found.select("fingerprint", "date", "best", F.row_number().over(Window.partitionBy("track").orderBy(library.blanks_last("best", True), "fingerprint")).alias("place"))
+
+
+@query
+def laps_export(spark, d):
+    """The laps of each recording as lines of a CSV file, with its summary."""
+    s = session(spark, d)
+    table = coaching.laps_table(laps.with_dropout(s.valid), s.lap_facts, _splits(s), s.corner_stats)
+    return coaching.csv_lines(table, laps.theoretical(_splits(s)), laps.rolling_best(s.samples, s.laps))
+
+
+@query
+def laps_table(spark, d):
+    s = session(spark, d)
+    t = coaching.laps_table(laps.with_dropout(s.valid), s.lap_facts, _splits(s), s.corner_stats)
+    first = F.get("corners", 0)
+    return t.select("rec", "lap_id", "lap", "lap_s", "dist_m", F.round("entry_kmh", 3).alias("entry_kmh"), "flag", F.size("splits").alias("sectors"), F.round(F.get("splits", 0), 3).alias("s1"), F.round(first["time_s"], 3).alias("c1_s"), F.round(first["apex_kmh"], 3).alias("c1_kmh"))
+
+
+@query
+def share_card(spark, d):
+    s = gated_session(spark, d)
+    card = coaching.share_card(laps.clean(s.laps), delta.ideal_total(s.clean_grid), F.col("rec") % 2 == 0)
+    return card.select("rec", "best_s", "to_ideal_s", "stamp")
+
+
+@query
+def suggested_sector(spark, d):
+    s = session(spark, d)
+    return lines.suggested_sectors(s.valid_samples, s.best, 2).select("rec", *[F.round(f"line.{c}", 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def transponder_offset(spark, d):
+    """Where a transponder's list, which began seven laps earlier, agrees with the measured laps."""
+    v = session(spark, d).valid.select("rec", "lap_id", "lap_s")
+    listed = v.select("rec", (F.col("lap_id") + 7).alias("lap_no"), (F.floor(F.col("lap_s") * 50) / 50).alias("ref_s"))
+    return pace.offset(v, listed, 40).select("rec", "shift", F.round("r", 6).alias("r"))
+
+
+@query
+def report_page(spark, d):
+    """Each recording's laps as a page."""
+    return coaching.html_report(laps.lap_table(session(spark, d).laps).select("rec", "lap_id", "lap_s"), "Laps").select("rec", F.length("html").alias("letters"))
