@@ -34,11 +34,12 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.exec
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Writes inside hand few rows at once to Python; the session's settings are as before afterwards."""
+    """Writes inside hand few rows at once to Python, or as few as the session says; its settings are as before afterwards."""
     before = {k: spark.conf.get(k) for k in BATCH}
     try:
         for k, v in BATCH.items():
-            spark.conf.set(k, v)
+            if not (before[k].isdigit() and 0 < int(before[k]) < int(v)):
+                spark.conf.set(k, v)
         yield
     finally:
         for k, v in before.items():

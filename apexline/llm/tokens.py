@@ -193,12 +193,13 @@ class Encoder:
     any other file go through the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import os
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.remembered = remembered
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -218,8 +219,8 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _known(self, keys: list[bytes], memo: dict[bytes, bytes], make) -> list[bytes]:
-        """What ``make`` gives for each key, remembered in ``memo`` until that has REMEMBERED."""
-        if len(memo) > REMEMBERED:
+        """What ``make`` gives for each key, remembered in ``memo`` until that has more than it may."""
+        if len(memo) > self.remembered:
             memo.clear()
         out = list(map(memo.get, keys))
         for i, ids in enumerate(out):
@@ -286,11 +287,14 @@ class Encoder:
         return flat[place + np.arange(len(place))], np.diff(np.append(0, ends)[text_first])
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write the ids of all documents, ``end_id`` after each, to ``path`` in ascending ``doc_id`` order."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK, remembered: int = REMEMBERED) -> None:
+    """Write the ids of all documents, ``end_id`` after each, to ``path`` in ascending ``doc_id`` order.
+
+    Smaller ``chunk`` (bytes of text worked on at once) and ``remembered`` (pieces) take less memory and more time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = Encoder(tokenizer, remembered), TaskContext.get().partitionId()
         segment, before, doc_ids, n_tokens, held, size = 0, 0, [], [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -300,7 +304,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, do
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["part", "segment", "first", "doc_ids", "n_tokens", "n_ids", "payload"])
 
         for batch in batches:
-            for lo, to, data, offsets in W.chunks(batch.column(1), size=CHUNK):
+            for lo, to, data, offsets in W.chunks(batch.column(1), size=chunk):
                 found, counts = encoder(data, offsets)
                 # The end id after each document's own.
                 own, ids = np.arange(len(found)) + np.repeat(np.arange(to - lo), counts), np.full(len(found) + to - lo, end_id, "<u4")
@@ -365,8 +369,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def report(docs: DataFrame, tokenizer: str | None = None, chunk: int = CHUNK, remembered: int = REMEMBERED) -> DataFrame:
     """Write all documents' ids to the shared folder and tell, from the file, where each document's ids stand."""
     path = new_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer or default_tokenizer())
+    write_tokens(docs, path, tokenizer or default_tokenizer(), chunk=chunk, remembered=remembered)
     return read_tokens(docs.sparkSession, path, ids=False)

@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from apexline.llm import decontaminate, language, mixing, neardup, tokens
-from apexline.llm.shared import BATCH, kept
+from apexline.llm.shared import kept
+
+#: Rows and bytes that a Python worker gets at once: executors keep buffers of this size from stage to stage.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "2097152"}
 
 
 def settled(spark: SparkSession) -> None:
@@ -46,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's ids stand in the file; a null or empty text is the end id alone."""
     settled(spark)
-    return tokens.report(docs)
+    return tokens.report(docs, chunk=1 << 18, remembered=50_000)
 
 
 STAGES = [("language", known_language), ("near-duplicates", one_of_each), ("benchmark", without_benchmark), ("mix", mix), ("token ids", token_ids)]
