@@ -115,3 +115,21 @@ def clock_text(ms: Column) -> Column:
     """HH:MM in UTC of milliseconds since 1970; null where unknown (0 or less)."""
     minutes = F.floor(ms / 60_000).cast("long") % 1440
     return F.when(ms > 0, F.format_string("%02d:%02d", F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int")))
+
+
+def line_to_global(line: Column, lat0: Column, lon0: Column) -> Column:
+    """A timing line's ends as (lat1, lon1, lat2, lon2): the form that outlasts a recording's own frame."""
+    ends = [global_of(line[f"x{i}"], line[f"y{i}"], F.lit(0.0), lat0, lon0) for i in (1, 2)]
+    return F.struct(*[v.alias(f"{n}{i}") for i, (lat, lon, _) in enumerate(ends, 1) for n, v in (("lat", lat), ("lon", lon))])
+
+
+def line_to_local(line: Column, lat0: Column, lon0: Column) -> Column:
+    """The inverse of :func:`line_to_global`, in the frame at (lat0, lon0)."""
+    ends = [local_xy(line[f"lat{i}"], line[f"lon{i}"], F.lit(0.0), lat0, lon0) for i in (1, 2)]
+    return F.struct(*[v.alias(f"{n}{i}") for i, (east, north, _) in enumerate(ends, 1) for n, v in (("x", east), ("y", north))])
+
+
+def instant_ms(text: Column) -> Column:
+    """Milliseconds since 1970 of a written time, in UTC unless it names another zone; null for what is no time."""
+    named = text.rlike(r"(Z|[+-]\d{2}:?\d{2})\s*$")
+    return F.unix_millis(F.try_to_timestamp(F.when(named, F.trim(text)).otherwise(F.concat(F.trim(text), F.lit("Z")))))

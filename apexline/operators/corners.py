@@ -124,6 +124,12 @@ def against(stats_: DataFrame, base: DataFrame) -> DataFrame:
     return stats_.join(own, ["rec", "cid"], "left").withColumns({"delta_s": F.round(F.col("time_s") - F.col("_t"), 4), "apex_delta": F.col("v_apex") - F.col("_v")}).drop("_t", "_v")
 
 
+def against_reference(stats_: DataFrame, reference: DataFrame) -> DataFrame:
+    """``stats_`` with ``delta_s`` and ``apex_delta`` against a lap of another recording, whose corners are ``reference`` (cid, time_s, v_apex); null where it has none."""
+    own = reference.select("cid", F.col("time_s").alias("_t"), F.col("v_apex").alias("_v"))
+    return stats_.join(own, "cid", "left").withColumns({"delta_s": F.round(F.col("time_s") - F.col("_t"), 4), "apex_delta": F.col("v_apex") - F.col("_v")}).drop("_t", "_v")
+
+
 def phases(samples: DataFrame, windows: DataFrame, points: int = 64) -> DataFrame:
     """(rec, lap_id, cid, phase, time_s): entry, middle and exit of each corner, by thirds of its window: the integral of 1 / v on ``points`` places."""
     width = F.col("exit") - F.col("enter")

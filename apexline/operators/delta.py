@@ -29,6 +29,11 @@ def curves(grid: DataFrame, baseline: DataFrame) -> DataFrame:
     return both.select(*LAP, "i", "x_m", F.col("elapsed").alias("x_s"), (F.col("v") * 3.6).alias("speed_kmh"), (F.col("elapsed") - F.col("_e")).alias("delta_s"))
 
 
+def speed_at(asked: DataFrame, curves_: DataFrame) -> DataFrame:
+    """``asked`` (rec, lap_id, x_m) with the speed of the lap's own curve at that place of the axis, clamped at its ends."""
+    return interp_join(curves_, asked, LAP, "x_m", ["speed_kmh"])
+
+
 def last_deltas(curves_: DataFrame) -> DataFrame:
     """(rec, lap_id, delta_s) at the finish: what the lap took longer."""
     return curves_.groupBy(*LAP).agg(F.max_by("delta_s", "i").alias("delta_s"))

@@ -161,6 +161,12 @@ def g_series(flat: DataFrame, gps: DataFrame, fit: DataFrame, chapters: DataFram
     return both.select("rec", "k", "t", pick(lat, LAT_CLIP, "lat_g"), pick(long, LONG_CLIP, "long_g"), F.when(known, "imu").otherwise("gps").alias("origin"))
 
 
+def check_text(merged: DataFrame) -> DataFrame:
+    """(rec, text): what a recording's check (:func:`merged_fits`) says, in a line."""
+    said = F.format_string("%s: lateral r %+.2f, longitudinal r %+.2f over %d samples", F.when(F.col("ok"), "IMU agrees with GPS").otherwise("IMU disagrees with GPS"), "r_lat", "r_long", "n")
+    return merged.select("rec", said.alias("text"))
+
+
 def peaks(series: DataFrame) -> DataFrame:
     """(rec, lateral_g, braking_g): the largest of each."""
     return series.groupBy(*REC).agg(F.max(F.abs("lat_g")).alias("lateral_g"), F.greatest(F.max(-F.col("long_g")), F.lit(0.0)).alias("braking_g"))

@@ -93,6 +93,39 @@ def lap_samples(trace: DataFrame, crossings: DataFrame) -> DataFrame:
     )
 
 
+def swept(trace: DataFrame, line: Column) -> DataFrame:
+    """:func:`lap_samples` of the crossings of ``line`` (a struct of each fix's recording), found and cut in one sweep by recording.
+
+    A crossing is a step's own two rows: the finish of the lap before and the start of its
+    own.  All windows are by recording, or by recording and lap, so a trace that is dealt by recording isn't dealt anew.
+    """
+    w = along(REC, "seq")
+    cols = ["t", "odo", "v", "x", "y"]
+    s = trace.select("rec", "seq", *[F.col(c).cast("double").alias(c) for c in cols], line.alias("_line")).withColumns({f"{c}0": F.lag(c).over(w) for c in cols})
+    hit, r = crosses(F.col("x0"), F.col("y0"), F.col("x"), F.col("y"), F.col("_line"))
+    s = s.withColumns({"_hit": F.coalesce(hit, F.lit(False)), "_at": F.round(F.col("t0") + (F.col("t") - F.col("t0")) * r, 3)})
+    s = s.withColumn("_g", F.sum(F.col("_hit").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.max("_g").over(Window.partitionBy(*REC)))
+    share = (F.col("_at") - F.col("t0")) / (F.col("t") - F.col("t0"))
+    cut = [F.col("_at").alias("t"), *[(F.col(f"{c}0") + (F.col(c) - F.col(f"{c}0")) * share).alias(c) for c in cols[1:]]]
+    row = lambda lap, kind, values: F.struct(lap.alias("lap_id"), F.lit(kind).alias("kind"), *values)
+    fix = row(F.col("_g") - 1, 1, [F.col(c) for c in cols])
+    rows = F.when(F.col("_hit"), F.array(row(F.col("_g") - 2, 2, cut), row(F.col("_g") - 1, 0, cut), fix)).otherwise(F.array(fix))
+    whole = s.select("rec", "_all", F.explode(rows).alias("r")).select("rec", "_all", "r.*").where("lap_id >= 0 and lap_id <= _all - 2")
+    order = along(LAP, "t", "kind")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    return whole.select(
+        "rec", "lap_id", "t", (F.col("t") - F.first("t").over(run)).alias("elapsed"), (F.col("odo") - F.first("odo").over(run)).alias("dist"),
+        "v", "x", "y", (F.col("t") - F.lag("t").over(order)).alias("dt"), (F.col("kind") == 1).alias("inner"),
+    )
+
+
+def facts(samples: DataFrame) -> DataFrame:
+    """What :func:`laps` says of laps, from their samples: one grouping."""
+    inner = lambda c: F.when(F.col("inner"), F.col(c))
+    a = samples.groupBy(*LAP).agg(F.min("t").alias("t_start"), F.max("t").alias("t_finish"), F.count_if("inner").alias("n"), F.max("dist").alias("d"), F.max("dt").alias("m"), F.max(inner("v")).alias("v_max"), F.min(inner("v")).alias("v_min"))
+    return a.select(*LAP, "t_start", "t_finish", F.round(F.col("t_finish") - F.col("t_start"), 3).alias("lap_s"), (F.col("n") + 2).alias("samples"), F.round("d", 3).alias("dist_m"), F.round("m", 3).alias("max_dt"), "v_max", "v_min")
+
+
 def valid(laps_: DataFrame) -> DataFrame:
     """Laps with enough samples and time, in the band of the median time, and then of the median distance of those."""
     enough = laps_.where((F.col("samples") >= CONFIG.lap_samples_min) & (F.col("lap_s") >= CONFIG.lap_time_min_s))

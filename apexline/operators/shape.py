@@ -35,6 +35,14 @@ def loop(points: DataFrame, keys: list[str], order: str, n: int = LOOP) -> DataF
     return interp_join(line, grid, keys, "s", ["x", "y"]).select(*keys, "i", "x", "y")
 
 
+def resampled(points: DataFrame, keys: list[str], order: str, n: int = 400) -> DataFrame:
+    """(keys, i, s, x, y): ``n`` points of even spacing on an open line, its ends among them; a line without length stays at its place."""
+    line = arc_length(points, keys, order)
+    total = line.groupBy(*keys).agg(F.max("s").alias("_t"))
+    grid = total.select(*keys, "_t", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select(*keys, (F.col("_t") * F.col("i") / (n - 1)).alias("s"), "i")
+    return interp_join(line, grid, keys, "s", ["x", "y"]).select(*keys, "i", "s", "x", "y")
+
+
 def fit_loops(loops: DataFrame, reference: DataFrame, n: int = LOOP) -> DataFrame:
     """(rec, shift, way, scale, turn, mirror, dx, dy, rms): the similarity that lays each loop (rec, i, x, y) on ``reference`` (i, x, y).
 
@@ -224,6 +232,13 @@ def refined(loops: DataFrame, reference: DataFrame, fits: DataFrame, rounds: int
     return rows.mapInPandas(run, f"rec {kind}, scale double, turn double, mirror boolean, dx double, dy double, rms0 double, rms double, coverage double, round int")
 
 
+def segment_values(points: DataFrame, keys: list[str], order: str, value: str, t: str = "t") -> DataFrame:
+    """``points`` with ``segment``: the mean of ``value`` at both ends of the step to each, null at the first and over steps that take too long."""
+    w = along(keys, order)
+    step = F.col(t) - F.lag(t).over(w)
+    return points.withColumn("segment", F.when(step <= CONFIG.dropout_s, (F.col(value) + F.lag(value).over(w)) / 2))
+
+
 def polylines(bucketed: DataFrame, order: str = "seq") -> DataFrame:
     """(rec, run, bucket, points): unbroken runs of a bucket as lines for a map; nothing is drawn at bucket -1 (unknown)."""
     w = along(REC, order)

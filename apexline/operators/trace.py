@@ -80,6 +80,17 @@ def true_clock(fixes: DataFrame) -> DataFrame:
     return timed.withColumn("t", F.max("_t").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_t")
 
 
+def clock_used(fixes: DataFrame) -> DataFrame:
+    """(rec, fixes, on_clock, used, first_ms, last_ms): how many fixes lie in runs of the receiver's clock, whether any do, and its first and last time."""
+    w = along(REC, "seq")
+    step = (F.col("ts_ms") - F.lag("ts_ms").over(w)) / 1000.0
+    joined = F.coalesce((F.col("ts_ms") > 0) & (F.lag("ts_ms").over(w) > 0) & (step >= CONFIG.clock_min_s) & (step <= CONFIG.clock_max_s), F.lit(False))
+    marked = fixes.withColumn("_j", joined).withColumn("_on", F.col("_j") | F.coalesce(F.lead("_j").over(w), F.lit(False)))
+    known = F.when(F.col("ts_ms") > 0, F.col("ts_ms"))
+    a = marked.groupBy(*REC).agg(F.count("*").alias("fixes"), F.count_if("_on").alias("on_clock"), F.min(known).alias("first_ms"), F.max(known).alias("last_ms"))
+    return a.select("rec", "fixes", "on_clock", (F.col("on_clock") > 0).alias("used"), "first_ms", "last_ms")
+
+
 def steps(trace: DataFrame) -> DataFrame:
     """``trace`` with the time since the fix before, and that one's values."""
     w = along(REC, "seq")

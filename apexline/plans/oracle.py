@@ -483,4 +483,21 @@ ORACLE: dict[str, str] = {
     "share_card": f"with {IDEAL}, b as (select c.rec, min(c.lap_s) as best_s from cand c where not dropout group by c.rec) select b.rec, best_s, round(best_s - round(ideal_s, 4), 4) + 0.0::double as to_ideal_s, case when b.rec % 2 = 0 then 'verified' else 'provisional' end as stamp from b left join ideal d on d.rec = b.rec and d.i = 399",
     "suggested_sector": f"with {LAPS}, o as (select vs.rec, vs.x, vs.y, row_number() over w - 1 as i, count(*) over (partition by vs.rec) as n, lead(x, 5) over w - lag(x, 5) over w as hx, lead(y, 5) over w - lag(y, 5) over w as hy from vs join best using (rec, lap_id) window w as (partition by vs.rec order by t)), m as (select *, sqrt(hx * hx + hy * hy) as k from o where i = floor((n - 1) * 0.75)) select rec, round(x + hy / k * 15, 4) as x1, round(y - hx / k * 15, 4) as y1, round(x - hy / k * 15, 4) as x2, round(y + hx / k * 15, 4) as y2 from m",
     "transponder_offset": f"with {LAPS}, r as (select rec, lap_id + 7 as lap_no, floor(lap_s * 50) / 50 as ref_s from valid where floor(lap_s * 50) / 50 <= 72), s as (select v.rec, s.shift, corr(lap_s, ref_s) as r, count(*) as k from valid v, range(0, 41) s(shift), r where lap_s <= 72 and r.rec = v.rec and r.lap_no = v.lap_id + s.shift group by all), n as (select rec, count(*) as n from valid group by rec) select rec, cast(shift as integer) as shift, round(r, 6) as r from (select s.*, row_number() over (partition by s.rec order by r desc, shift) as q from s join n using (rec) where k >= greatest(5, 0.7 * n) and not isnan(r)) where q = 1",
+    "resampled_lines": f"with {LAPS}, rb as (select vs.rec, vs.t, vs.x, vs.y, coalesce(sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2), 0) as d from vs join best using (rec, lap_id) window w as (partition by vs.rec order by t)), rl as (select rec, x, y, sum(d) over (partition by rec order by t) as s from rb), rq as (select rec, m * i / 399 as s, i from (select rec, max(s) as m from rl group by rec), range(0, 400) u(i))" + at("rs", "rq", "i", "rl", ("x", "y"), "rec", "s") + " select rec, cast(i as integer) as i, round(s, 3) as s, round(x, 3) + 0.0::double as x, round(y, 3) + 0.0::double as y from rs",
+    "peak_start_line": f"""with {TRACE}, o as (select *, coalesce(lag(x, 5) over w, x) as xa, coalesce(lag(y, 5) over w, y) as ya, coalesce(lead(x, 5) over w, x) as xb, coalesce(lead(y, 5) over w, y) as yb, row_number() over (partition by rec order by v desc, seq) as q from trace window w as (partition by rec order by seq)),
+      m as (select *, xb - xa as hx, yb - ya as hy, sqrt((xb - xa) ** 2 + (yb - ya) ** 2) as k from o where q = 1)
+      select rec, round(x + hy / k * 15, 4) as x1, round(y - hx / k * 15, 4) as y1, round(x - hy / k * 15, 4) as x2, round(y + hx / k * 15, 4) as y2 from m""",
+    "clock_used": f"with {CLEAN}, f as (select rec, seq, case when seq % 97 = 0 then 0 else seq * 100 + 1 end as ts from clean), j as (select *, coalesce(ts > 0 and lag(ts) over w > 0 and (ts - lag(ts) over w) / 1000.0::double between 0.02 and 0.4, false) as j from f window w as (partition by rec order by seq)), k as (select *, j or coalesce(lead(j) over (partition by rec order by seq), false) as o from j) select rec, count(*) as fixes, count(*) filter (o) as on_clock, count(*) filter (o) > 0 as used, min(ts) filter (ts > 0) as first_ms, max(ts) filter (ts > 0) as last_ms from k group by rec",
+    "restored_lines": f"with {TRACE} select distinct rec, round(50.005::double + case when rec % 2 = 0 then 10 else 0 end, 3) as x1, rec % 2 = 1 as reverted from trace",
+    "gap_reconstruct": f"""with {CLEAN}, s as (select *, t - lag(t) over w as dt, lag(t) over w as t0, lag(x) over w as xa, lag(y) over w as ya, lag(x, 2) over w as xp, lag(y, 2) over w as yp, lead(x) over w as xn, lead(y) over w as yn from clean window w as (partition by rec order by seq)),
+      u as (select rec, median(dt) as u from s where dt > 0 and dt < 1 group by rec),
+      g as (select s.*, greatest(cast(round_even(dt / u, 0) as integer) - 1, 1) as m, coalesce(xp, xa) as px, coalesce(yp, ya) as py, coalesce(xn, x) as nx, coalesce(yn, y) as ny from s join u using (rec) where dt > 0.35),
+      j as (select *, j / (m + 1)::double as f from (select *, unnest(range(1, m + 1)) as j from g))
+      select rec, seq, cast(j as integer) as j, round(t0 + dt * f, 3) as t, round(0.5 * (2 * xa + (x - px) * f + (2 * px - 5 * xa + 4 * x - nx) * f ** 2 + (3 * xa - px - 3 * x + nx) * f ** 3), 6) + 0.0::double as x,
+        round(0.5 * (2 * ya + (y - py) * f + (2 * py - 5 * ya + 4 * y - ny) * f ** 2 + (3 * ya - py - 3 * y + ny) * f ** 3), 6) + 0.0::double as y, case when m <= 3 then 'curve' else 'long curve' end as fill from j""",
+    "corner_deltas_reference": f"with {STATS} select c.rec, c.lap_id, c.cid, round(c.time_s - b.time_s, 4) + 0.0::double as delta_s, round(c.v_apex - b.v_apex, 4) + 0.0::double as apex_delta from cstats c left join (select s.* from cstats s join best using (rec, lap_id) where s.rec = 0) b on b.cid = c.cid where c.rec <> 0",
+    "segment_speeds": f"with {CLEAN}{STEPS.format(t='clean')} select rec, seq, round(case when dt <= 0.35 then (v + v0) / 2 end, 4) as segment from steps",
+    "speeds_at": f"with {GRID}" + at("cv", "asked", "i") + ", b as (select cv.rec, i, dist as x_m from cv join best using (rec, lap_id)), sc as (select cv.rec, cv.lap_id, b.x_m, cv.v * 3.6 as speed_kmh from cv join b on b.rec = cv.rec and b.i = cv.i), sl as (select rec, max(x_m) as length from b group by rec), sk as (select v.rec, v.lap_id, length * k / 10 as x_m, k from valid v join sl using (rec), range(0, 11) u(k))" + at("sx", "sk", "k", "sc", ("speed_kmh",), "rec, lap_id", "x_m") + " select rec, lap_id, cast(k as integer) as k, round(speed_kmh, 3) as speed_kmh from sx",
 }
+
+ORACLE["lines_latlon"] = ORACLE["median_start_line"].replace(", 4)", ", 2)")

@@ -592,7 +592,7 @@ def loop_fit_refined(spark, d):
 @query
 def gap_reconstruct(spark, d):
     t = tr.gated(fixtures.trace(spark, d))
-    return shape.filled(t).where("not measured").select("rec", "seq", "j", F.round("t", 3).alias("t"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "fill")
+    return shape.filled(t).where("not measured").select("rec", "seq", "j", F.round("t", 3).alias("t"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "fill")
 
 
 def _holed(spark, d) -> DataFrame:
@@ -979,3 +979,62 @@ def transponder_offset(spark, d):
 def report_page(spark, d):
     """Each recording's laps as a page."""
     return coaching.html_report(laps.lap_table(session(spark, d).laps).select("rec", "lap_id", "lap_s"), "Laps").select("rec", F.length("html").alias("letters"))
+
+
+@query
+def resampled_lines(spark, d):
+    """Each recording's best lap as 400 points of even spacing."""
+    s = session(spark, d)
+    own = s.samples.join(s.best.select("rec", "lap_id"), ["rec", "lap_id"], "left_semi")
+    return shape.resampled(own, ["rec"], "t").select("rec", "i", *[F.round(c, 3).alias(c) for c in ("s", "x", "y")])
+
+
+@query
+def lines_latlon(spark, d):
+    """Start lines in latitude and longitude, and back: what a saved line is when it is loaded."""
+    at = (F.lit(50.0), F.lit(8.0))
+    world = lines.median_line(fixtures.trace(spark, d)).select("rec", scalars.line_to_global(F.col("line"), *at).alias("w"))
+    back = world.select("rec", scalars.line_to_local(F.col("w"), *at).alias("b"))
+    return back.select("rec", *[F.round(f"b.{c}", 2).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def clock_used(spark, d):
+    t = fixtures.trace(spark, d)
+    fixes = tr.gated(t).select("rec", "seq", F.when(F.col("seq") % 97 == 0, 0).otherwise(F.col("seq") * 100 + 1).cast("long").alias("ts_ms"))
+    return tr.clock_used(fixes)
+
+
+@query
+def restored_lines(spark, d):
+    """Saved lines, ten metres on, are taken; those that were saved for another track aren't."""
+    t = materialised(fixtures.trace(spark, d), "trace")
+    now = t.select("rec").distinct().withColumn("line", F.struct(*[F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), LINE, strict=True)]))
+    by = F.when(F.col("rec") % 2 == 0, 10.0).otherwise(500.0)
+    saved = now.select("rec", F.struct(*[(F.col(f"line.{c}") + (by if c[0] == "x" else 0.0)).alias(c) for c in ("x1", "y1", "x2", "y2")]).alias("line"))
+    return lines.restored(t, saved, now).select("rec", F.round("line.x1", 3).alias("x1"), "reverted")
+
+
+@query
+def corner_deltas_reference(spark, d):
+    """Corners of all recordings against those of the best lap of recording 0, as of a reference that was loaded."""
+    s = session(spark, d)
+    other = s.corner_stats.join(s.best.where("rec = 0").select("rec", "lap_id"), ["rec", "lap_id"], "left_semi")
+    at = corners.against_reference(s.corner_stats.where("rec <> 0"), other)
+    return at.select("rec", "lap_id", "cid", "delta_s", F.round("apex_delta", 4).alias("apex_delta"))
+
+
+@query
+def segment_speeds(spark, d):
+    """Mean speeds of the steps of a trace with dropouts, none over a dropout."""
+    t = shape.segment_values(tr.gated(fixtures.trace(spark, d)), ["rec"], "seq", "v")
+    return t.select("rec", "seq", F.round("segment", 4).alias("segment"))
+
+
+@query
+def speeds_at(spark, d):
+    """Each valid lap's speed at every tenth of the best lap's distance."""
+    s = session(spark, d)
+    c = delta.curves(laps.fraction_grid(s.valid_samples, ys=("elapsed", "v")), s.best)
+    asked = s.valid.select("rec", "lap_id").join(s.lengths, "rec").select("rec", "lap_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.struct(i.alias("k"), (F.col("length") * i / 10).alias("x_m")))).alias("p")).select("rec", "lap_id", "p.x_m", "p.k")
+    return delta.speed_at(asked, c).select("rec", "lap_id", "k", F.round("speed_kmh", 3).alias("speed_kmh"))

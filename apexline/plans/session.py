@@ -21,9 +21,9 @@ def _line(ends: tuple[float, float, float, float]):
 class Session:
     """Lazy frames over all recordings of ``trace`` (rec, seq, t, v, odo, dop, fix, x, y, lap_no).
 
-    Nothing is computed until a frame is used; each is keyed by ``rec``, so any
-    number of recordings is one plan.  What the corner reports read many times
-    is written as a table once.
+    Nothing is computed until a frame is asked for; each is keyed by ``rec``, so any
+    number of recordings is one plan.  What is read many times, the samples of laps
+    before all, is written as a table once.
     """
 
     trace: DataFrame
@@ -54,11 +54,13 @@ class Session:
 
     @cached_property
     def samples(self) -> DataFrame:
-        return laps.lap_samples(self.trace, self.crossings)
+        """Samples of complete laps, swept once and kept as a table."""
+        return materialised(laps.swept(self.trace, _line(self.line)), "samples")
 
     @cached_property
     def laps(self) -> DataFrame:
-        return laps.laps(self.trace, self.crossings)
+        """Facts of complete laps, a small table."""
+        return materialised(laps.facts(self.samples), "laps")
 
     @cached_property
     def valid(self) -> DataFrame:

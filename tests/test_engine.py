@@ -31,7 +31,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["quality_gate_fraction", "gap_runs", "dropout_gaps", "true_clock_runs", "lap_crossings", "lap_table", "lap_at_time", "sector_splits", "delta_grid", "otsu_threshold", "brake_islands", "grip_envelope", "track_summary", "track_match", "fingerprint"])
+@pytest.mark.parametrize("name", ["quality_gate_fraction", "gap_runs", "dropout_gaps", "true_clock_runs", "lap_crossings", "lap_table", "lap_at_time", "sector_splits", "delta_grid", "otsu_threshold", "brake_islands", "grip_envelope", "track_summary", "track_match", "fingerprint", "corner_detect", "corner_times_drifted", "segment_times", "brake_events_merged", "brake_consistency", "reasons", "gap_fills", "gps_forces", "delta_at_time", "lap_stats", "camera_payloads", "recut_laps"])
 def test_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apexline.functions import scalars
-from apexline.operators import imu, laps, versions
+from apexline.operators import coaching, imu, laps, library, versions
 from apexline.sources import gpmf, mp4, recordings, stores
 from apexline.sources.tables import materialised
 from apexline.streaming import gauge
@@ -181,6 +181,30 @@ def test_local_and_global_are_inverse(spark):
     assert all((r.a, r.b, r.c) == (pytest.approx(r.lat, abs=1e-9), pytest.approx(r.lon, abs=1e-9), pytest.approx(r.alt, abs=1e-4)) for r in back)
 
 
+def test_tracks_are_found_across_the_date_line_and_at_the_poles(spark):
+    places = spark.createDataFrame([("line", 10.0, 179.9999, 500.0), ("pole", 89.9999, 10.0, 500.0), ("far", 10.0, 179.9, 500.0), ("none", None, 1.0, 500.0)], "place string, lat double, lon double, diag double")
+    known = spark.createDataFrame([("a", 10.0, -179.9999, 600.0), ("b", 89.9999, -170.0, 600.0)], "track string, k_lat double, k_lon double, k_diag double")
+    assert {(r.place, r.track) for r in library.same_track(places, known).collect()} == {("line", "a"), ("pole", "b")}
+
+
+def test_texts_and_pages(spark):
+    d = spark.createDataFrame([("first", 60.0, None), ("beat", 59.5, 60.25), ("none", 61.0, 60.0)], "m string, b double, p double")
+    assert [r[0] for r in d.select(coaching.pb_text(d.m, d.b, d.p)).collect()] == ["First time on this track", "New best by 0.750 s", None]
+    table = spark.createDataFrame([(1, "a<b", 2.5), (1, "c&d", None)], "rec int, name string, v double")
+    page = coaching.html_report(table, "T").first().html
+    assert page.count("<tr>") == 3 and "a&lt;b" in page and "c&amp;d" in page and "—" in page
+    assert [r[0] for r in spark.createDataFrame([(0,), (-5,), (86_399_000,), (90_000,)], "ms long").select(scalars.clock_text(F.col("ms"))).collect()] == [None, None, "23:59", "00:01"]
+
+
+def test_blanks_come_last_both_ways(spark):
+    d = spark.createDataFrame([("a", 2.0), ("b", None), ("c", float("nan")), ("d", 1.0)], "k string, v double")
+    for down, want in ((False, ["d", "a"]), (True, ["a", "d"])):
+        got = [r.k for r in d.orderBy(library.blanks_last("v", down), "k").collect()]
+        assert got == [*want, "b", "c"]
+    e = spark.createDataFrame([("Mid Track", "2024-05-01"), ("Other", "2023-01-01"), (None, "2024-05-02")], "track string, date string")
+    assert library.matching(e, " 2024-05").count() == 2 and library.matching(e, "mid").count() == 1 and library.matching(e, "", "Other").count() == 1
+
+
 # The gauge
 
 
