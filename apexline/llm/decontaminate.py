@@ -198,7 +198,7 @@ def _matcher(shared, text_at: int):
     return task
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, name: str = "found", group_bytes: int = 16 << 20) -> tuple[DataFrame, str]:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, name: str = "found", group_bytes: int = 4 << 20) -> tuple[DataFrame, str]:
     """``docs`` and a struct column (its name is the second result): ``n_words``, ``hits`` (positions of hit words), ``items``."""
     name = fresh(docs, name)
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null and t != ''")
@@ -214,7 +214,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     if groups == 1:
         return made[0], name
     k1, k2, hits, ids = (fresh(docs, c) for c in ("k1", "k2", "hits", "ids"))
-    key = {k1: F.xxhash64(*docs.columns), k2: F.sha2(F.coalesce(text, F.lit("")), 256)}
+    # Maps have no hash of their own.
+    hashed = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields]
+    key = {k1: F.xxhash64(*hashed), k2: F.sha2(F.coalesce(text, F.lit("")), 256)}
     hit = None
     for df in made:
         own = df.where(F.size(f"{name}.hits") > 0).withColumns(key).select(k1, k2, F.col(f"{name}.hits").alias(hits), F.col(f"{name}.items").alias(ids))

@@ -197,7 +197,7 @@ def _cut_windows(window: int):
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
 
 
-def _remove(window: int, keep_text: bool):
+def _remove(window: int, keep_text: bool, name: str):
     """The words of each text that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +217,7 @@ def _remove(window: int, keep_text: bool):
                     column.append(value)
             arrays = [pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.string()), pa.array(made[3], pa.binary()).cast(pa.string())]
             struct = pa.StructArray.from_arrays(arrays, names=["n_words", "n_removed", "kept_sha256", "kept_text"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], struct], names=[*batch.schema.names[3:], "result"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], struct], names=[*batch.schema.names[3:], name])
 
     return run
 
@@ -278,7 +278,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = _compressed(keyed, text).join(repeats.toDF(k1, k2, a, b), [k1, k2], "left").select(text, a, b, *rest)
     fields = {f.name: f for f in docs.schema.fields}
     schema = T.StructType([*[fields[c] for c in rest], T.StructField(name, RESULT)])
-    return joined.mapInArrow(lean(_remove(window, keep_text)), schema), name
+    return joined.mapInArrow(lean(_remove(window, keep_text, name)), schema), name
 
 
 def report(docs: DataFrame, window: int = 35) -> DataFrame:

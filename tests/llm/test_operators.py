@@ -66,7 +66,7 @@ def test_decontaminate(spark, docs, pairs, empty):
     assert decontaminate.report(docs, bench.where("false")).where("contaminated").count() == 0
     assert decontaminate.clean(docs, bench).columns == docs.columns
     # In groups of a small benchmark, and with columns of the names used inside.
-    odd = docs.withColumns({"found": F.lit(1), "k1": F.lit(2)})
+    odd = docs.withColumns({"found": F.lit(1), "k1": F.lit(2), "m": F.create_map(F.lit("a"), F.lit(1))})
     found, name = decontaminate.decontaminate(odd, bench, group_bytes=150)
     want = {(d, n, h, k) for d, n, h, k, *_ in decontaminate.brute_force(pairs, items)}
     assert {(r.doc_id, r[name].n_words, len(r[name].hits), len(r[name].items)) for r in found.collect()} == want
@@ -80,8 +80,8 @@ def test_repeats(docs, pairs, empty, monkeypatch, many):
 
 
 def test_repeats_keeps_columns(docs):
-    found, name = repeats.remove_repeats(docs.withColumn("repeats", F.lit(1)), keep_text=True)
-    assert set(found.columns) == {"doc_id", "lang", "source", "n_chars", "repeats", name}
+    found, name = repeats.remove_repeats(docs.withColumns({"repeats": F.lit(1), "result": F.lit(2)}), keep_text=True)
+    assert set(found.columns) == {"doc_id", "lang", "source", "n_chars", "repeats", "result", name}
     assert found.where("doc_id = 6").select(f"{name}.kept_text").first()[0] == "one two"
 
 
