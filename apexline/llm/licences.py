@@ -12,8 +12,11 @@ wrapped over lines or stand inside longer ones, and whole licence texts
 (``bodies``).  A window is laid wherever a bigram that a template has once stands
 in its place.  A coefficient of ``least`` needs least / (2 - least) of the template's
 bigrams, so texts with fewer of them, or without any of the few words that so many
-bigrams can't do without, are pruned first.  Of overlapping windows of a template the best one counts, and none that a matching line or the text
-as a whole overlaps.
+bigrams can't do without, are pruned first.
+
+One place has one licence: a segment counts for the template that it matches best (the last by
+name of equal ones), of windows that overlap the best counts (the first of equals), and a window
+doesn't count over a line that matches its template, or any other as well as the window does.
 
 The templates are a parameter and part of the plan, so they are bounded:
 ``MOST_WORDS`` words in all.  All happens in a document's row; nothing is
@@ -42,6 +45,7 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "reserved": "All rights reserved.",
@@ -124,7 +128,6 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
     table = F.array(*[F.struct(F.lit(k).alias("licence"), F.array(*map(F.lit, b)).alias("b")) for k, b in own.items()])
     fewest, most = least / (2 - least) * min(map(len, own.values())), (2 - least) / least * max(map(len, own.values()))
     share = least / (2 - least) - 1e-9
-    places = F.expr("cast(array() as array<struct<bad double, at int>>)")
     words = lambda s: F.filter(F.split(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
     run = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     dice = lambda s, b: F.size(F.array_intersect(s, b)) * F.lit(2.0) / (F.size(s) + F.size(b))
@@ -137,44 +140,75 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
     staged = staged.withColumn(pairs, F.when(F.col(some), run(F.col(all_words))))
     staged = staged.withColumn(hits, F.array_distinct(_in(pairs, {b for _, t in laid for b in bigrams(t)}, "filter")))
 
-    def match(s: Column) -> Column:
-        near = F.filter(table, lambda t: (F.size(s) * (2 - least) >= F.size(t["b"]) * least) & (F.size(t["b"]) * (2 - least) >= F.size(s) * least))
-        scored = F.transform(near, lambda t: F.struct(t["licence"].alias("licence"), dice(s, t["b"]).alias("dice")))
-        return F.filter(scored, lambda x: x["dice"] >= least)
-
-    def segments(lines: Column) -> Column:
-        """Matches of the lines, and of the whole text if it has several."""
-        every = F.concat(F.transform(lines, words), F.when(F.size(lines) > 1, F.array(F.col(all_words))).otherwise(F.array().cast("array<array<string>>")))
-        cut = F.filter(every, lambda w: F.size(w) - 1 >= max(1.0, fewest))
-        sets = F.filter(F.transform(cut, lambda w: F.array_distinct(run(w))), lambda s: F.size(s) <= most)
-        return F.flatten(F.transform(sets, match))
-
-    def covered(x, t):
-        """Whether a line over the window's place, or the whole text, matches the same template."""
-        ends = lambda ls, k: F.aggregate(F.slice(ls, F.lit(1), k), F.lit(0), lambda n, v: n + F.size(v))
-        met = lambda ls: F.filter(ls, lambda v, k: (ends(ls, k) < x["at"] + t["m"]) & (ends(ls, k) + F.size(v) > x["at"]))
-        like = lambda v: dice(F.array_distinct(run(v)), t["b"]) >= least
-        return t["lined"] & let(F.transform(F.split(whole, "\n"), words), lambda ls: F.exists(met(ls), like) | like(F.col(all_words)))
-
-    def found(t):
+    pick = "struct<dice: double, licence: string>"
+    at_most = lambda s, t: (F.size(s) * (2 - least) >= F.size(t["b"]) * least) & (F.size(t["b"]) * (2 - least) >= F.size(s) * least)
+
+    def best(s: Column) -> Column:
+        """The template that a set of bigrams matches best, the last by name of equal ones; null without any."""
+        scored = F.transform(F.filter(table, lambda t: at_most(s, t)), lambda t: F.struct(dice(s, t["b"]).alias("dice"), t["licence"].alias("licence")))
+        return F.array_max(F.filter(scored, lambda x: x["dice"] >= least))
+
+    def segment(w: Column) -> Column:
+        """The bigrams of a segment's words; none of one that is too short to match."""
+        return F.when(F.size(w) - 1 >= max(1.0, fewest), F.array_distinct(run(w))).otherwise(F.array().cast("array<string>"))
+
+    def judged(w: Column) -> Column:
+        return let(segment(w), lambda s: F.when((F.size(s) > 0) & (F.size(s) <= most), best(s)).otherwise(F.lit(None).cast(pick)))
+
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    spot = "struct<at: int, end: int, bad: double, licence: string>"
+
+    def windows(t: Column, lines: Column) -> Column:
+        """Places of the whole text that match a template, but for those over a line that matches it or matches another as well."""
         p = F.col(pairs)
         at = F.filter(F.transform(p, lambda x, i: i - F.get(t["o"], F.array_position(t["a"], x).cast("int"))), lambda i: i.isNotNull())
         starts = F.array_distinct(F.transform(at, lambda i: F.greatest(i, F.lit(0))))
-        scored = F.transform(starts, lambda i: F.struct((-dice(F.array_distinct(F.slice(p, i + 1, t["m"] - 1)), t["b"])).alias("bad"), i.alias("at")))
-        good = F.array_sort(F.filter(scored, lambda x: x["bad"] <= -least))
-        apart = F.aggregate(good, places, lambda got, x: F.when(F.exists(got, lambda y: F.abs(y["at"] - x["at"]) < t["m"]), got).otherwise(F.concat(got, F.array(x))))
-        return F.transform(F.filter(apart, lambda x: ~covered(x, t)), lambda x: F.struct(t["licence"].alias("licence"), (-x["bad"]).alias("dice")))
-
-    def tier(chosen) -> Column:
+        scored = F.transform(starts, lambda i: F.struct(i.alias("at"), (i + t["m"]).alias("end"), (-dice(F.array_distinct(F.slice(p, i + 1, t["m"] - 1)), t["b"])).alias("bad"), t["licence"].alias("licence")))
+        good = F.filter(scored, lambda x: x["bad"] <= -least)
+        like = lambda s: at_most(s, t) & (dice(s, t["b"]) >= least)
+
+        def covered(x: Column) -> Column:
+            first = F.get(lines["of"], x["at"])
+            n = F.get(lines["of"], F.least(x["end"], F.size(lines["of"])) - 1) - first + 1
+            own = F.exists(F.slice(lines["sets"], first + 1, n), like) | like(lines["whole"])
+            return (t["lined"] & own) | F.exists(F.slice(lines["best"], first + 1, n), lambda b: F.coalesce(b["dice"] >= -x["bad"], F.lit(False)))
+
+        return F.filter(good, lambda x: ~covered(x))
+
+    def apart(found: Column) -> Column:
+        """Of windows that overlap, the best, the first of equals.  Those that overlap in a chain are decided together, so a notice that is repeated takes time in proportion."""
+        chains = F.aggregate(F.array_sort(found), F.expr(f"cast(array() as array<array<{spot}>>)"), lambda got, x: F.when(last(last(got))["end"] > x["at"], F.concat(F.slice(got, F.lit(1), F.greatest(F.size(got) - 1, F.lit(0))), F.array(F.concat(last(got), F.array(x))))).otherwise(F.concat(got, F.array(F.array(x)))))
+        order = lambda chain: F.array_sort(F.transform(chain, lambda x: F.struct(x["bad"].alias("bad"), x["at"].alias("at"), x["end"].alias("end"), x["licence"].alias("licence"))))
+        kept_ = lambda chain: F.aggregate(order(chain), F.expr("cast(array() as array<struct<bad: double, at: int, end: int, licence: string>>)"), lambda got, x: F.when(F.exists(got, lambda y: (y["at"] < x["end"]) & (x["at"] < y["end"])), got).otherwise(F.concat(got, F.array(x))))
+        return F.transform(F.flatten(F.transform(chains, lambda c: F.when(F.size(c) > 1, kept_(c)).otherwise(order(c)))), lambda x: F.struct(x["licence"].alias("licence"), (-x["bad"]).alias("dice")))
+
+    def near(chosen) -> Column:
+        """The templates that the text has enough bigrams of."""
         sets = [bigrams(t) for _, t in chosen]
-        if not sets:
-            return nothing
         enough = lambda t: (F.size(hits) >= F.size(t["b"]) * share) & (F.size(F.array_intersect(t["b"], F.col(hits))) >= F.size(t["b"]) * share)
-        near = F.filter(_window_table(chosen, set(given.values())), enough)
-        return F.when(F.size(hits) >= min(map(len, sets)) * share, F.flatten(F.transform(near, found))).otherwise(nothing)
+        table_ = _window_table(chosen, set(given.values()))
+        return F.when(F.size(hits) >= min(map(len, sets)) * share, F.filter(table_, enough)).otherwise(F.filter(table_, lambda t: F.lit(False)))
+
+    tiers = [t for far in (False, True) if (t := [x for x in laid if (len(bigrams(x[1])) > LONG) == far])]
+
+    def all_of(words_: Column) -> Column:
+        """Matches of the lines, of the whole text if it has several, and of windows."""
+        bests = F.transform(words_, judged)
+        whole_best = F.when(F.size(words_) > 1, judged(F.col(all_words)))
+
+        def with_best(b: Column) -> Column:
+            said = F.transform(F.filter(F.concat(b["lines"], F.array(b["whole"])), lambda x: x.isNotNull()), lambda x: F.struct(x["licence"].alias("licence"), x["dice"].alias("dice")))
+            # A line's number for each word; bigrams of lines that may match.
+            facts = F.struct(F.flatten(F.transform(words_, lambda w, k: F.transform(w, lambda _: k))).alias("of"), F.transform(words_, segment).alias("sets"), segment(F.col(all_words)).alias("whole"), b["lines"].alias("best"))
+
+            def in_tier(ts: Column) -> Column:
+                return F.when(F.size(ts) > 0, let(facts, lambda c: F.flatten(F.transform(ts, lambda t: windows(t, c))))).otherwise(F.expr(f"cast(array() as array<{spot}>)"))
+
+            return F.concat(said, apart(F.concat(*[let(near(chosen), in_tier) for chosen in tiers])))
+
+        return let(F.struct(bests.alias("lines"), whole_best.alias("whole")), with_best)
 
-    short, long_ = ([x for x in laid if (len(bigrams(x[1])) > LONG) == far] for far in (False, True))
-    result = F.when(F.col(some), F.concat(let(F.split(whole, "\n"), segments), tier(short), tier(long_))).otherwise(nothing)
+    result = F.when(F.col(some), let(F.transform(F.split(whole, "\n"), words), all_of)).otherwise(nothing)
     return staged.withColumn(name, result).select(*docs.columns, name), name
 
 
@@ -190,19 +224,20 @@ def sql() -> str:
     table = ", ".join(f"('{k}', [{', '.join(repr(x) for x in bigrams(t))}])" for k, t in TEMPLATES.items())
     return f"""
     with templates(licence, b) as (values {table}),
-    segments as (
-      select doc_id, unnest(case when contains(text, chr(10)) then list_append(string_split(text, chr(10)), text) else [text] end) as s
-      from documents where text is not null),
+    rows as (select row_number() over () as r, doc_id, text from documents),
+    parts as (select r, case when contains(text, chr(10)) then list_append(string_split(text, chr(10)), text) else [text] end as p from rows where text is not null),
+    segments as (select r, unnest(range(len(p))) as k, unnest(p) as s from parts),
     cut as (
-      select doc_id, list_filter(string_split(regexp_replace(translate(s, '{UPPER}', '{SMALL}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from segments),
+      select r, k, list_filter(string_split(regexp_replace(translate(s, '{UPPER}', '{SMALL}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from segments),
     sets as (
-      select doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as s from cut where len(w) > 1),
+      select r, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as s from cut where len(w) > 1),
     scored as (
-      select doc_id, licence, 2.0::double * len(list_intersect(s, b)) / (len(s) + len(b)) as dice from sets, templates
+      select r, k, licence, 2.0::double * len(list_intersect(s, b)) / (len(s) + len(b)) as dice from sets, templates
       where len(s) * 1.2 >= len(b) * 0.8 and len(b) * 1.2 >= len(s) * 0.8),
+    chosen as (select * from scored where dice >= 0.8 qualify row_number() over (partition by r, k order by dice desc, licence desc) = 1),
     hits as (
-      select doc_id, count(*)::bigint as n_matches, array_to_string(list_sort(list(distinct licence)), ',') as licences, round(max(dice), 6) as best_dice
-      from scored where dice >= 0.8 group by doc_id)
+      select r, count(*)::bigint as n_matches, array_to_string(list_sort(list(distinct licence)), ',') as licences, round(max(dice), 6) as best_dice
+      from chosen group by r)
     select d.doc_id, coalesce(n_matches, 0)::bigint as n_matches, coalesce(licences, '') as licences, coalesce(best_dice, 0.0)::double as best_dice
-    from documents d left join hits using (doc_id)
+    from rows d left join hits using (r)
     """

@@ -365,6 +365,25 @@ def test_licence_windows(spark):
     assert [(rows[i].n_matches, rows[i].licences) for i in range(len(cases))] == [c[1:] for c in cases]
 
 
+def test_licences_one_place_has_one_licence(spark):
+    """Neighbouring licences aren't mistaken for each other, in a line, wrapped, or inside a longer one."""
+    own, other = licences.TEMPLATES["CC-BY-SA-4.0"], licences.TEMPLATES["CC-BY-4.0"]
+    texts = [own, other, f"x y {own} z " + "a b c d e f g " * 5, f"x y {other} z " + "a b c d e f g " * 5, own.replace("Creative ", "Creative\n"), f"{own}\n{other}\n{own}"]
+    rows = {r.doc_id: (r.n_matches, r.licences) for r in licences.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows == {0: (1, "CC-BY-SA-4.0"), 1: (1, "CC-BY-4.0"), 2: (1, "CC-BY-SA-4.0"), 3: (1, "CC-BY-4.0"), 4: (1, "CC-BY-SA-4.0"), 5: (4, "CC-BY-4.0,CC-BY-SA-4.0")}  # its lines, and the whole
+
+
+def test_licences_repeated_thousands_of_times(spark):
+    """Notices inside one line, on lines of their own, and wrapped: time in proportion, not with the square."""
+    import time
+
+    n = 10_000
+    texts = ["foo All rights reserved bar. " * n, "All rights reserved.\n" * n, "a b All rights\nreserved c d " * n]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    began = time.perf_counter()
+    assert {(r.doc_id, r.n_matches, r.licences) for r in licences.report(d).collect()} == {(i, n, "reserved") for i in range(3)} and time.perf_counter() - began < 90
+
+
 def test_surrogates(spark, docs, empty):
     import re
 
