@@ -432,8 +432,8 @@ ORACLE: dict[str, str] = {
     "brake_points": f"with {POINTS} select rec, lap_id, cid, round(onset, 3) as onset, round(peak, 3) as peak_g, round(optimal, 3) as optimal, round(optimal - onset, 3) as metres_later, round(commit_, 3) as commit from points",
     "brake_consistency": f"with {POINTS}, o as (select p.*, onset * length / total as o from points p join okl using (rec, lap_id) join totals_ using (rec, lap_id) join length_ using (rec)) select rec, cid, count(*) as n, round(median(o), 3) as median_m, round(stddev_samp(o), 4) as sigma_m, round(max(o) - min(o), 3) as span_m, round(median(commit_) * 100, 3) as commit_pct, round(median(optimal - onset), 3) as later_m from o group by all",
     "reasons": f"with {REASONS} select rec, cast(rank as integer) as rank, cid, reason, round(loss, 4) as loss_s, round(case when reason = 'none' then 0 else loss * s end, 4) as contribution_s, round(apex, 4) as apex, round(brake, 4) as brake, round(coast, 4) as coast, round(line, 4) as line, round(p0, 4) + 0.0::double as entry_s, round(p1, 4) + 0.0::double as apex_s, round(p2, 4) + 0.0::double as exit_s from why",
-    "gap_fills": f"with {FILLS} select f.rec, f.lap_id, f.i, missing, round(dt, 3) as dt, round(chord, 3) as chord_m, round(fill_m, 3) as fill_m, round(error, 3) as error_m, source, donor from fill_len f join gp using (rec, lap_id, i)",
-    "gap_fill_points": f"with {FILLS} select rec, lap_id, i, j, round(t, 3) as t, round(x, 3) + 0.0::double as x, round(y, 3) + 0.0::double as y, source from fills where j > 0 and j < n",
+    "gap_fills": f"with {FILLS} select f.rec, f.lap_id, cast(f.i as integer) as i, missing, round(dt, 3) as dt, round(chord, 3) as chord_m, round(fill_m, 3) as fill_m, round(error, 3) as error_m, source, donor from fill_len f join gp using (rec, lap_id, i)",
+    "gap_fill_points": f"with {FILLS} select rec, lap_id, cast(i as integer) as i, cast(j as integer) as j, round(t, 3) as t, round(x, 3) + 0.0::double as x, round(y, 3) + 0.0::double as y, source from fills where j > 0 and j < n",
     "gap_fills_from_reference": f"with {ALONE} select rec, source, count(*) as gaps, round(sum(fill_m), 2) as fill_m, round(max(error), 3) as worst_m from fill_len group by all",
     "drawn_laps": f"with {FILLS} select rec, lap_id, 'measured' as source, count(*) as points from pt group by rec, lap_id union all select rec, lap_id, source, count(*) from fills where j > 0 and j < n group by rec, lap_id, source",
     "gg_hull": f"""with recursive {LATERAL}, q as (select distinct rec, cast(round(lat_g * 10000) as bigint) as x, cast(round(long_g * 10000) as bigint) as y from lat),
@@ -498,6 +498,10 @@ ORACLE: dict[str, str] = {
     "corner_deltas_reference": f"with {STATS} select c.rec, c.lap_id, c.cid, round(c.time_s - b.time_s, 4) + 0.0::double as delta_s, round(c.v_apex - b.v_apex, 4) + 0.0::double as apex_delta from cstats c left join (select s.* from cstats s join best using (rec, lap_id) where s.rec = 0) b on b.cid = c.cid where c.rec <> 0",
     "segment_speeds": f"with {CLEAN}{STEPS.format(t='clean')} select rec, seq, round(case when dt <= 0.35 then (v + v0) / 2 end, 4) as segment from steps",
     "speeds_at": f"with {GRID}" + at("cv", "asked", "i") + ", b as (select cv.rec, i, dist as x_m from cv join best using (rec, lap_id)), sc as (select cv.rec, cv.lap_id, b.x_m, cv.v * 3.6 as speed_kmh from cv join b on b.rec = cv.rec and b.i = cv.i), sl as (select rec, max(x_m) as length from b group by rec), sk as (select v.rec, v.lap_id, length * k / 10 as x_m, k from valid v join sl using (rec), range(0, 11) u(k))" + at("sx", "sk", "k", "sc", ("speed_kmh",), "rec, lap_id", "x_m") + " select rec, lap_id, cast(k as integer) as k, round(speed_kmh, 3) as speed_kmh from sx",
+    "trace_jitter": f"""with {TRACE}, a as (select rec, seq, x, y, x - avg(x) over w as rx, y - avg(y) over w as ry from trace window w as (partition by rec order by seq rows between 20 preceding and 20 following)),
+      b as (select *, rx - avg(rx) over n as qx, ry - avg(ry) over n as qy, atan2(y - lag(y) over w, x - lag(x) over w) as h from a window n as (partition by rec order by seq rows between 4 preceding and 4 following), w as (partition by rec order by seq)),
+      c as (select *, h - lag(h) over (partition by rec order by seq) as d from b), e as (select *, degrees(atan2(sin(d), cos(d))) as t from c), f as (select *, t - lag(t) over (partition by rec order by seq) as q from e)
+      select rec, round(sqrt(var_pop(qx) + var_pop(qy)), 4) as across_m, round(stddev_pop(q), 3) as heading_deg from f group by rec""",
 }
 
 ORACLE["lines_latlon"] = ORACLE["median_start_line"].replace(", 4)", ", 2)")
