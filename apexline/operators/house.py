@@ -24,20 +24,31 @@ def united(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def known_before(value: str, keys: Keys, *order: str) -> Column:
+    """The last value that isn't null, up to a row."""
+    return F.last(value, ignorenulls=True).over(along(keys, *order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def known_after(value: str, keys: Keys, *order: str) -> Column:
+    """The first value that isn't null, from a row on.
+
+    It is looked for backwards: a frame that ends at the last row is gone through anew for each row.
+    """
+    back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+
+
 def interp_join(samples: DataFrame, grid: DataFrame, keys: Keys, x: str, ys: list[str]) -> DataFrame:
     """``grid`` with ``ys`` of ``samples`` interpolated at ``x``, clamped at both ends.
 
-    Samples and grid are united and swept once in order of ``x``, so the cost is
-    a sort of each key's rows; a grid row of a key without samples gets nulls.
+    Samples and grid are united and swept in order of ``x``, there and back, so the cost is
+    two sorts of each key's rows; a grid row of a key without samples gets nulls.
     """
     extra = [c for c in grid.columns if c not in (*keys, x)]
     point = F.struct(F.col(x).alias("_at"), *[F.col(y).alias(y) for y in ys])
     known = samples.where(F.col(x).isNotNull()).select(*keys, x, *[F.lit(None).cast(grid.schema[c].dataType).alias(c) for c in extra], F.lit(0).alias("_g"), point.alias("_p"))
     asked = grid.select(*keys, x, *extra, F.lit(1).alias("_g"), F.lit(None).cast(known.schema["_p"].dataType).alias("_p"))
-    w = along(keys, x, "_g")
-    both = united(known, asked)
-    both = both.withColumn("_a", F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_b", F.first("_p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_g = 1")
+    both = united(known, asked).withColumns({"_a": known_before("_p", keys, x, "_g"), "_b": known_after("_p", keys, x, "_g")}).where("_g = 1")
     share = (F.col(x) - F.col("_a._at")) / (F.col("_b._at") - F.col("_a._at"))
 
     def value(y: str) -> Column:

@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import CONFIG
-from .house import along, boxcar, interp_join, moving_median, uniform_gradient, united, unwrap
+from .house import along, boxcar, interp_join, known_after, known_before, moving_median, uniform_gradient, united, unwrap
 
 REC = ["rec"]
 #: Widths of the smoothing in samples, and the limits of both axes.
@@ -102,8 +101,7 @@ def in_chapters(series: DataFrame, chapters: DataFrame) -> DataFrame:
     extra = [c for c in series.columns if c not in ("rec", "t")]
     starts = chapters.select("rec", F.col("offset").cast("double").alias("t"), F.lit(0).alias("_k"), "chapter", *[F.lit(None).cast(series.schema[c].dataType).alias(c) for c in extra])
     both = united(starts, series.select("rec", F.col("t").cast("double").alias("t"), F.lit(1).alias("_k"), F.lit(None).cast(chapters.schema["chapter"].dataType).alias("chapter"), *extra))
-    w = along(REC, "t", "_k")
-    now = F.coalesce(F.last("chapter", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("chapter", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    now = F.coalesce(known_before("chapter", REC, "t", "_k"), known_after("chapter", REC, "t", "_k"))
     return both.withColumn("chapter", now).where("_k = 1").select("rec", "t", *extra, "chapter")
 
 
@@ -180,8 +178,7 @@ def g_at(times: DataFrame, series: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast(known.schema["_p"].dataType)
     asked = times.select("rec", "t", F.lit(1).alias("_k"), nothing.alias("_p"), *extra)
     both = united(known.select("*", *[F.lit(None).cast(times.schema[c].dataType).alias(c) for c in extra]), asked)
-    w = Window.partitionBy(*REC).orderBy("t", "_k")
-    both = both.withColumns({"_a": F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first("_p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("_k = 1")
+    both = both.withColumns({"_a": known_before("_p", REC, "t", "_k"), "_b": known_after("_p", REC, "t", "_k")}).where("_k = 1")
     later = F.col("_a").isNull() | (F.col("_b.t") - F.col("t") <= F.col("t") - F.col("_a.t"))
     near = F.when(later & F.col("_b").isNotNull(), F.col("_b")).otherwise(F.col("_a"))
     return both.withColumn("_n", near).select("rec", "t", *extra, "_n.lat_g", "_n.long_g", F.sqrt(F.col("_n.lat_g") ** 2 + F.col("_n.long_g") ** 2).alias("total_g"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import laps as lp
-from .house import along, interp_join, united
+from .house import along, interp_join, known_after, known_before, united
 
 REC, LAP = ["rec"], ["rec", "lap_id"]
 #: Half lengths of proposed lines, how far ahead headings look, and widenings tried.
@@ -85,8 +85,7 @@ def index_at(times: DataFrame, trace: DataFrame) -> DataFrame:
     extra = [c for c in times.columns if c not in ("rec", "t")]
     known = trace.select("rec", "t", F.lit(1).alias("_k"), F.col("seq").alias("_s"), *[F.lit(None).cast(times.schema[c].dataType).alias(c) for c in extra])
     both = united(known, times.select("rec", "t", F.lit(0).alias("_k"), F.lit(None).cast("long").alias("_s"), *extra))
-    w = Window.partitionBy(*REC).orderBy("t", "_k")
-    both = both.withColumns({"_b": F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), "_a": F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))}).where("_k = 0")
+    both = both.withColumns({"_b": known_after("_s", REC, "t", "_k"), "_a": known_before("_s", REC, "t", "_k")}).where("_k = 0")
     return both.select("rec", "t", *extra, F.coalesce("_b", "_a").alias("seq"))
 
 
@@ -111,8 +110,8 @@ def completions(measured: DataFrame) -> DataFrame:
 def pit_brackets(measured: DataFrame, least_s: float = 120.0) -> DataFrame:
     """``measured`` with the nearest lap before and after that takes ``least_s`` or more, as in a pit."""
     stop = F.when(F.col("ref_s") >= least_s, F.col("lap_no"))
-    w = along(REC, "lap_no")
-    return measured.withColumns({"pit_before": F.last(stop, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "pit_after": F.first(stop, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    w = lambda *order: Window.partitionBy(*REC).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return measured.withColumns({"pit_before": F.last(stop, ignorenulls=True).over(w("lap_no")), "pit_after": F.last(stop, ignorenulls=True).over(w(F.desc("lap_no")))})
 
 
 def same_line(a: Column, b: Column) -> Column:

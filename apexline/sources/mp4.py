@@ -24,7 +24,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.window import Window
+
+from ..operators.house import known_after, known_before, united
 
 #: Fixed values of the format: what a metadata track is called, and its samples' format.
 HANDLER, FORMAT = b"meta", b"gpmd"
@@ -257,8 +258,7 @@ def seek(times: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("path",))
     known = spans.select(*keys, F.col("t_out").alias("t"), F.lit(0).alias("_k"), mark.alias("_p"), *[F.lit(None).cast(times.schema[c].dataType).alias(c) for c in extra])
     asked = times.select(*keys, "t", F.lit(1).alias("_k"), F.lit(None).cast(known.schema["_p"].dataType).alias("_p"), *extra)
     # A payload that ends at t is past: times stand after ends that equal them.
-    w = Window.partitionBy(*keys).orderBy("t", "_k")
-    both = known.unionByName(asked).withColumns({"_b": F.first("_p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), "_a": F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))}).where("_k = 1")
+    both = united(known, asked).withColumns({"_b": known_after("_p", list(keys), "t", "_k"), "_a": known_before("_p", list(keys), "t", "_k")}).where("_k = 1")
     p = F.coalesce("_b", "_a")
     return both.select(*keys, "t", *extra, *[p[c].alias(c) for c in ("n", "t_in", "t_out")], F.col("_b").isNull().alias("at_end"))
 
