@@ -907,7 +907,7 @@ def session_tops(spark, d):
 @query
 def session_headlines(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
-    clock = e.select(F.expr(f"user_id div {fixtures.USERS}").alias("rec"), F.unix_millis(F.col("ts").cast("timestamp_ltz")).alias("ms"))
+    clock = e.select(F.expr(f"user_id div {fixtures.USERS}").alias("rec"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("ms"))
     return pace.headlines(fixtures.trace(spark, d), clock)
 
 
