@@ -88,7 +88,7 @@ def fixes(payloads: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     raw = payloads.select(F.col("rec").cast("string").alias("rec"), F.col("chapter").cast("int").alias("chapter"), F.col("t_in").cast("double").alias("t_in"), F.col("t_out").cast("double").alias("t_out"), "payload")
-    named = F.unix_millis(F.try_to_timestamp("utc", F.lit("yyMMddHHmmss.SSS")))
+    named = F.unix_millis(F.try_to_timestamp(F.concat("utc", F.lit("Z")), F.lit("yyMMddHHmmss.SSSX")))
     return raw.mapInArrow(run, FIXES).withColumn("ts_ms", F.coalesce("ts_ms", named)).drop("utc")
 
 

@@ -68,6 +68,22 @@ def test_tables_of_samples_that_are_malformed():
             pass
 
 
+def test_times_of_gps5_payloads_are_in_utc_whatever_the_zone(spark):
+    body = b"240131235959.250".ljust(16, b"\0")
+    said = b"GPSU" + b"U" + bytes([16]) + struct.pack(">H", 1) + body
+    whole = gpmf.nested("DEVC", gpmf.nested("STRM", said + gpmf.packed("SCAL", "l", np.array([1] * 5)) + gpmf.packed("GPS5", "l", np.array([[45, 7, 100, 10, 11]]))))
+    p = spark.createDataFrame([("r", 1, 0.0, 1.0, bytearray(whole))], "rec string, chapter int, t_in double, t_out double, payload binary")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r.ts_ms for r in gpmf.fixes(p).collect()] == [1_706_745_599_250]
+            d = spark.createDataFrame([("2024-01-31 23:59:59.25",), ("2024-01-31T23:59:59.25+01:00",), ("never",)], "t string")
+            assert [r[0] for r in d.select(scalars.instant_ms(F.col("t"))).collect()] == [1_706_745_599_250, 1_706_741_999_250, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_seek_is_clamped(spark):
     spans = spark.createDataFrame([("a", 0, 1.0, 2.0), ("a", 1, 2.0, 3.0), ("a", 2, 4.0, 5.0)], "path string, n int, t_in double, t_out double")
     times = spark.createDataFrame([("a", t) for t in (-5.0, 1.0, 1.9, 2.0, 3.0, 3.5, 4.9, 5.0, 9.0)], "path string, t double")
