@@ -26,7 +26,8 @@ gave away stands without one.
    the form is widened by a character (an IPv4 address becomes any address), so
    that the loop ends with distinct surrogates, whatever their number.
 
-The key is a secret: without it the map can't be rebuilt.  Only documents with
+The key is a secret: without it the map can't be rebuilt.  Plans have it as a scalar
+subquery over a row of its own, so it isn't in what they print or log.  Only documents with
 entities are shuffled; an entity that very many documents share is joined, not
 gathered.  Every pattern starts at a word's begin and is bounded, so the time is
 linear in a text's length.
@@ -38,7 +39,7 @@ are kept.  More IPv4 addresses than leave a free one in all of IPv4 are an error
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -193,12 +194,16 @@ def _written(x: Column | str) -> Column:
     return F.when(F.col("kind") == "ip", octets).when(F.col("checked"), right).when(F.col("kind") == "iban", check).otherwise(F.concat("head", plain, "tail"))
 
 
-def _permuted(key: str) -> Column:
-    """Places ``x`` moved by the permutation of the entity's form and draw."""
+def _secret(spark: SparkSession, key: str) -> Column:
+    return spark.createDataFrame([(key,)], "secret string").scalar()
+
+
+def _permuted() -> Column:
+    """Places ``x`` moved by the permutation of the key in column ``secret`` and the entity's form and draw."""
 
     def step(x: Column, r: Column) -> Column:
         others = F.array_join(F.transform(F.filter(x, lambda v, i: i % 2 != r % 2), lambda v: v.cast("string")), ",")
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.col("form"), F.col("draw").cast("string"), r.cast("string"), others), 256)
+        digest = F.sha2(F.concat_ws("|", "secret", F.col("form"), F.col("draw").cast("string"), r.cast("string"), others), 256)
         return let(digest, lambda h: F.transform(x, lambda v, i: F.when(i % 2 == r % 2, F.pmod(v + F.xxhash64(h, i), F.get("size", i).cast("long")).cast("int")).otherwise(v)))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.col("x"), step)
@@ -209,7 +214,7 @@ def _strayed(unrouted: Column) -> Column:
     return (F.col("kind") == "ip") & ~unrouted & F.col("surrogate").rlike(RANGES)
 
 
-def _dealt(asks: DataFrame, entities: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+def _dealt(asks: DataFrame, entities: DataFrame, taken: DataFrame, secret: Column) -> DataFrame:
     """``asks``, whose draw failed, with whether their form is ``crowded``, and a ``free`` value of it for as many as there are."""
     crowd = _spelled(entities).groupBy("form").agg(F.count("*").alias("n"), F.min_by(F.struct("kind", "canon", "gender", "draw", "wide"), "canon").alias("e"))
     crowd = crowd.join(_spelled(asks).select("form").distinct(), "form", "left_semi").select("form", "n", "e.*")
@@ -220,7 +225,7 @@ def _dealt(asks: DataFrame, entities: DataFrame, taken: DataFrame, key: str) ->
     values = chunks.withColumn("v", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("space"), (F.col("chunk") + 1) * CHUNK) - 1)))
     values = values.withColumn("x", F.expr("zip_with(size, below, (s, b) -> cast((v div b) % s as int))")).select("form", "kind", _written("x").alias("surrogate"))
     values = values.where(~_strayed(F.get(F.split("form", r"\|"), 1) != ""))
-    rank = lambda df, by: df.withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy(F.xxhash64(F.lit(key), by), by)))
+    rank = lambda df, by: df.withColumn("secret", secret).withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy(F.xxhash64("secret", by), by))).drop("secret")
     free = rank(values.join(taken, ["kind", "surrogate"], "left_anti"), "surrogate").select("form", "rank", F.col("surrogate").alias("free"))
     asked = _spelled(asks).select(*asks.columns, "form").join(crowd.select("form", F.lit(True).alias("crowded")), "form", "left")
     return rank(asked, "canon").join(free, ["form", "rank"], "left").select(*asks.columns, F.coalesce("crowded", F.lit(False)).alias("crowded"), "free")
@@ -232,9 +237,9 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     entities = kept(entities.select("kind", "canon", "gender").withColumns({"draw": F.lit(0), "wide": F.lit(0)}), "entities")
     real = entities.select("kind", F.col("canon").alias("surrogate"))
     open_, settled = entities.withColumn("free", F.lit(None).cast("string")), None
-    turn = 0
+    turn, secret = 0, _secret(entities.sparkSession, key)
     while True:
-        drawn = _spelled(open_).withColumn("surrogate", F.coalesce("free", _written(_permuted(key)))).select("kind", "canon", "gender", "draw", "wide", "surrogate")
+        drawn = _spelled(open_).withColumn("secret", secret).withColumn("surrogate", F.coalesce("free", _written(_permuted()))).select("kind", "canon", "gender", "draw", "wide", "surrogate")
         drawn = kept(drawn, "drawn")
         taken = real if settled is None else real.unionByName(settled.select("kind", "surrogate"))
         one = drawn.where(~_strayed(F.col("canon").rlike(RANGES))).groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
@@ -247,7 +252,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         if asks.isEmpty():
             return settled
         if turn == 0:
-            asks = kept(_dealt(asks, entities, taken.unionByName(fine.select("kind", "surrogate")), key), "dealt")
+            asks = kept(_dealt(asks, entities, taken.unionByName(fine.select("kind", "surrogate")), secret), "dealt")
             widened = F.col("crowded") & F.col("free").isNull()
         else:
             asks = asks.withColumn("free", F.lit(None).cast("string"))

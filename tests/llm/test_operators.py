@@ -436,6 +436,14 @@ def test_surrogates_keep_script_check_digit_and_range(spark):
         assert t.startswith(title) and re.fullmatch(given, a.lower()) and re.fullmatch(surname, b.lower()) and a[0].isupper() and a != t.split()[1]
 
 
+def test_surrogates_key_is_not_in_plans(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(surrogates, "kept", lambda df, name, real=surrogates.kept: plans.append(df._jdf.queryExecution().toString()) or real(df, name))
+    d = spark.createDataFrame([(1, "Mrs. Anna Berg, ann.b@mail.example.org, 8.8.8.8")], "doc_id long, text string")
+    assert surrogates.report(d, "a very secret key").first().n_entities == 4
+    assert any("drawn" in p or "secret" in p for p in plans) and not any("a very secret key" in p for p in plans)
+
+
 def test_surrogates_types(spark):
     """One line of each type; a name that a title gave away is replaced where it stands alone, too."""
     texts = {
