@@ -272,6 +272,18 @@ whole1 as (select rec, min(lap_id) as lap_id from pt where not exists (select 1
 cl as (select rec, i as k, x, y, coalesce(sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2), 0) as dd from pt join whole1 using (rec, lap_id) where i % 2 = 0 window w as (partition by rec order by i))""" + _fills("ag", "select rec, true as ref, -1 as donor, k, x, y, sum(dd) over (partition by rec order by k) as s, count(*) over (partition by rec) as n from cl", "true")
 
 
+LOOPS = LAPS + """,
+lp0 as (select vs.rec, vs.t as o, vs.x, vs.y from vs join best using (rec, lap_id)),
+lp1 as (select * from lp0 union all select rec, (select max(o) + 1 from lp0 z where z.rec = f.rec), f.x, f.y from (select *, row_number() over (partition by rec order by o) as q from lp0) f where q = 1),
+lp2 as (select *, coalesce(sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2), 0) as d from lp1 window w as (partition by rec order by o)),
+lp3 as (select rec, x, y, sum(d) over (partition by rec order by o) as s from lp2),
+lp4 as (select rec, m / 512 * i as s, i from (select rec, max(s) as m from lp3 group by rec), range(0, 512) u(i))""" + at("loops_", "lp4", "i", "lp3", ("x", "y"), "rec", "s") + """,
+lt as (select l.rec, way, shift, l.x, l.y, r.x as u, r.y as v from loops_ l, (values (1), (-1)) w(way), range(0, 512) h(shift) join loops_ r on r.rec = 0 and r.i = ((way * l.i + shift) % 512 + 512) % 512),
+lm as (select rec, way, shift, avg(x) as mx, avg(y) as my, avg(u) as mu, avg(v) as mv, avg(x * x) as xx, avg(y * y) as yy, avg(u * u) as uu, avg(v * v) as vv, avg(x * u) as xu, avg(x * v) as xv, avg(y * u) as yu, avg(y * v) as yv from lt group by all),
+ls as (select *, xx - mx * mx + yy - my * my as spread, uu - mu * mu + vv - mv * mv as aim, hand, xu - mx * mu + hand * (yv - my * mv) as c, xv - mx * mv - hand * (yu - my * mu) as s from lm, (values (1), (-1)) g(hand)),
+lfit as (select * from (select *, sqrt(greatest(aim - (c * c + s * s) / spread, 0)) as rms, sqrt(c * c + s * s) / spread as scale, row_number() over (partition by rec order by sqrt(greatest(aim - (c * c + s * s) / spread, 0)), shift, way) as q from ls) where q = 1)"""
+
+
 ORACLE: dict[str, str] = {
     "quality_gate_fraction": f"with {TRACE} select rec, count(*) as fixes, count(*) filter (v > 3 and (fix < 3 or dop > 10)) as dropped, round(count(*) filter (v > 3 and (fix < 3 or dop > 10)) / count(*) filter (v > 3)::double, 6) as fraction from trace group by rec",
     "timing_quality": f"with {TRACE}, f as (select rec, round(count(*) filter (v > 3 and (fix < 3 or dop > 10)) / count(*) filter (v > 3)::double, 6) as fraction from trace group by rec) select rec, fraction, rec = 1 or fraction >= 0.08 as degraded, case when rec = 1 and fraction >= 0.08 then 'media clock, weak GPS' when rec = 1 then 'media clock' when fraction >= 0.08 then 'weak GPS' else 'good' end as summary from f",
@@ -502,6 +514,21 @@ ORACLE: dict[str, str] = {
       b as (select *, rx - avg(rx) over n as qx, ry - avg(ry) over n as qy, atan2(y - lag(y) over w, x - lag(x) over w) as h from a window n as (partition by rec order by seq rows between 4 preceding and 4 following), w as (partition by rec order by seq)),
       c as (select *, h - lag(h) over (partition by rec order by seq) as d from b), e as (select *, degrees(atan2(sin(d), cos(d))) as t from c), f as (select *, t - lag(t) over (partition by rec order by seq) as q from e)
       select rec, round(sqrt(var_pop(qx) + var_pop(qy)), 4) as across_m, round(stddev_pop(q), 3) as heading_deg from f group by rec""",
+    "loop_fit": f"with {LOOPS} select rec, cast(shift as integer) as shift, way, hand = -1 as mirror, round(scale, 4) as scale, round(rms, 3) as rms from lfit",
+    "fitted_start_line": f"""with {TRACE}, o as (select *, lag(x) over w as x0, lag(y) over w as y0, lag(t) over w as t0, lag(odo) over w as odo0, coalesce(lag(x, 5) over w, x) as xa, coalesce(lag(y, 5) over w, y) as ya, coalesce(lead(x, 5) over w, x) as xb, coalesce(lead(y, 5) over w, y) as yb, row_number() over (partition by rec order by v desc, seq) as q, count(*) over (partition by rec) as n from trace window w as (partition by rec order by seq)),
+      m as (select *, xb - xa as hx, yb - ya as hy, sqrt((xb - xa) ** 2 + (yb - ya) ** 2) as k from o where q = 1 and n >= 11),
+      l as (select rec, try, f, x + hy / k * 15 * f as x1, y - hx / k * 15 * f as y1, x - hy / k * 15 * f as x2, y + hx / k * 15 * f as y2 from m, (values (0, 1.0::double), (1, 1.15::double), (2, 1.3::double), (3, 1.5::double)) w(try, f)),
+      s as (select o.rec, try, seq, o.t, o.t0, o.odo, o.odo0, (l.x2 - l.x1) * (o.y0 - l.y1) - (l.y2 - l.y1) * (o.x0 - l.x1) as a, (l.x2 - l.x1) * (o.y - l.y1) - (l.y2 - l.y1) * (o.x - l.x1) as b,
+        (o.x - o.x0) * (l.y1 - o.y0) - (o.y - o.y0) * (l.x1 - o.x0) as c, (o.x - o.x0) * (l.y2 - o.y0) - (o.y - o.y0) * (l.x2 - o.x0) as d from o join l using (rec)),
+      h as (select *, round(t0 + (t - t0) * (abs(a) / (abs(a) + abs(b))), 3) as tc from s where a * b < 0 and c * d < 0),
+      g as (select *, odo0 + (odo - odo0) * ((tc - t0) / (t - t0)) as oc from h),
+      p as (select rec, try, lead(seq) over w - seq + 2 as samples, round(lead(tc) over w - tc, 3) as lap_s, round(lead(oc) over w - oc, 3) as dist_m from g window w as (partition by rec, try order by seq)),
+      e as (select *, median(lap_s) over (partition by rec, try) as ml from p where lap_s is not null and samples >= 20 and lap_s >= 5),
+      b2 as (select *, median(dist_m) over (partition by rec, try) as md from e where lap_s between 0.5::double * ml and 1.6::double * ml),
+      n as (select rec, try, count(*) as laps from b2 where dist_m between 0.9::double * md and 1.1::double * md group by all),
+      r as (select l.*, coalesce(laps, 0) as laps, max(coalesce(laps, 0)) filter (l.try = 0) over (partition by l.rec) as base from l left join n using (rec, try))
+      select rec, f as factor, laps, round(x1, 4) as x1, round(y1, 4) as y1, round(x2, 4) as x2, round(y2, 4) as y2 from (select *, row_number() over (partition by rec order by case when try > 0 then 0 else 1 end, try) as z from r where try = 0 or laps > base) where z = 1""",
+    "report_page": f"with {LAPS} select rec, cast(length('<!doctype html><title>Laps</title><table><tr><th>lap_id</th><th>lap_s</th></tr>') + 1 + sum(length('<tr><td>' || lap_id || '</td><td>' || lap_s || '</td></tr>')) + count(*) - 1 + length('</table>') as integer) as letters from valid group by rec",
 }
 
 ORACLE["lines_latlon"] = ORACLE["median_start_line"].replace(", 4)", ", 2)")
