@@ -529,6 +529,7 @@ ORACLE: dict[str, str] = {
       r as (select l.*, coalesce(laps, 0) as laps, max(coalesce(laps, 0)) filter (l.try = 0) over (partition by l.rec) as base from l left join n using (rec, try))
       select rec, f as factor, laps, round(x1, 4) as x1, round(y1, 4) as y1, round(x2, 4) as x2, round(y2, 4) as y2 from (select *, row_number() over (partition by rec order by case when try > 0 then 0 else 1 end, try) as z from r where try = 0 or laps > base) where z = 1""",
     "report_page": f"with {LAPS} select rec, cast(length('<!doctype html><title>Laps</title><table><tr><th>lap_id</th><th>lap_s</th></tr>') + 1 + sum(length('<tr><td>' || lap_id || '</td><td>' || lap_s || '</td></tr>')) + count(*) - 1 + length('</table>') as integer) as letters from valid group by rec",
+    "opportunities": f"with {REASONS} select rec, cast(rank as integer) as rank, cid, round(loss, 5) as loss_s, reason from why where round(loss, 2) > 0",
 }
 
 ORACLE["lines_latlon"] = ORACLE["median_start_line"].replace(", 4)", ", 2)")

@@ -360,7 +360,14 @@ def corner_deltas(spark, d):
 
 @query
 def opportunities(spark, d):
-    return session(spark, d).coaching().select("rec", "rank", "cid", F.round("loss_s", 4).alias("loss_s"), "reason", "text")
+    """Where laps lose most to the best one, and the reason; those that would show as no loss are left out."""
+    c = coaching.shown(session(spark, d).coaching())
+    return c.select("rec", "rank", "cid", F.round("loss_s", 5).alias("loss_s"), "reason")
+
+
+@query
+def coaching_sentences(spark, d):
+    return session(spark, d).coaching().select("rec", "rank", "cid", "text")
 
 
 # Driving
