@@ -195,7 +195,9 @@ def _written(x: Column | str) -> Column:
 
 
 def _secret(spark: SparkSession, key: str) -> Column:
-    return spark.createDataFrame([(key,)], "secret string").scalar()
+    """The key as a subquery over a local table, which no Python worker has to read."""
+    row = spark._jsparkSession.createDataset([key], spark._jvm.org.apache.spark.sql.Encoders.STRING()).toDF()
+    return DataFrame(row, spark).scalar()
 
 
 def _permuted() -> Column:
