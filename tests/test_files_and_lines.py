@@ -302,3 +302,16 @@ def test_each_chapters_mounting_is_recovered(spark):
     assert alone.r_lat < 0.9
     whole = imu.merged_fits(fit).first()
     assert whole.ok and whole.n == sum(r.n for r in fit.collect())
+
+
+def test_tracks_at_shared_spots(spark, monkeypatch):
+    """Many places and tracks at a few spots: all their pairs, and the last of equally near tracks; spots alone are compared."""
+    near, compared = library._near, []
+    monkeypatch.setattr(library, "_near", lambda a, b: compared.append((a.count(), b.count())) or near(a, b))
+    places = spark.range(2000).selectExpr("id as place", "45 + id % 4 / 1000.0D as lat", "7.0D as lon", "500.0D + id % 2 as diag")
+    known = spark.range(600).selectExpr("format_string('t%03d', id) as track", "45 + id % 3 / 1000.0D as k_lat", "7.0D as k_lon", "600.0D as k_diag")
+    pairs = library.same_track(places, known)
+    assert pairs.count() == 2000 * 600 and pairs.select("place", "track").distinct().count() == 2000 * 600
+    got = {r.place: (r.track, r.distance_m) for r in library.detect(places, known).collect()}
+    assert len(got) == 2000 and got[0] == ("t597", 0.0) and got[1] == ("t598", 0.0) and got[2] == ("t599", 0.0) and got[3][0] == "t599"
+    assert compared == [(4, 3), (4, 3)]
