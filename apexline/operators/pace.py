@@ -182,5 +182,7 @@ def offset(measured: DataFrame, reference: DataFrame, most: int = 400) -> DataFr
     shifted = measured.where("lap_s <= 72").select("rec", "lap_s", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("shift"), "lap_id").withColumn("lap_no", F.col("lap_id") + F.col("shift"))
     both = shifted.join(reference.where("ref_s <= 72"), ["rec", "lap_no"])
     n = measured.groupBy(*REC).agg(F.count("*").alias("laps"))
-    fit = both.groupBy("rec", "shift").agg(F.corr("lap_s", "ref_s").alias("r"), F.count("*").alias("k")).join(n, REC).where(F.col("k") >= F.greatest(F.lit(5), 0.7 * F.col("laps")))
+    # F.corr divides by the spreads, which fails where all times of a shift are alike; such a shift has no correlation and can't win.
+    spread = F.sqrt(F.var_pop("lap_s") * F.var_pop("ref_s"))
+    fit = both.groupBy("rec", "shift").agg(F.try_divide(F.covar_pop("lap_s", "ref_s"), spread).alias("r"), F.count("*").alias("k")).join(n, REC).where((F.col("k") >= F.greatest(F.lit(5), 0.7 * F.col("laps"))) & F.col("r").isNotNull())
     return fit.groupBy(*REC).agg(F.max(F.struct("r", (-F.col("shift")).alias("s"))).alias("b")).select("rec", (-F.col("b.s")).alias("shift"), "b.r")

@@ -93,3 +93,13 @@ def test_theil_sen_of_many_laps(spark):
     rows = [(1, i, float(v)) for i, v in enumerate(y)] + [(2, i, 60.0) for i in range(5)] + [(3, i, None if i == 2 else 60.0 + i) for i in range(8)]
     got = {g.rec: (g.n, g.slope) for g in pace.theil_sen(spark.createDataFrame(rows, "rec long, lap_id long, lap_s double")).collect()}
     assert got[1] == (20_000, 0.002) and got[2] == (5, None) and got[3] == (7, 1.0)
+
+
+def test_offset_of_laps_that_are_all_alike(spark):
+    """Times without spread have no correlation: such a list has no offset, and others keep theirs."""
+    alike = [(1, i, 60.0) for i in range(12)]
+    varied = [(2, i, 60.0 + (i * i * 7 % 11) / 10) for i in range(12)]
+    measured = spark.createDataFrame(alike + varied, "rec long, lap_id long, lap_s double")
+    listed = spark.createDataFrame([(r, i + 3, s) for r, i, s in alike + varied], "rec long, lap_no long, ref_s double")
+    got = pace.offset(measured, listed, 6).collect()
+    assert [(r.rec, r.shift, round(r.r, 9)) for r in got] == [(2, 3, 1.0)]
