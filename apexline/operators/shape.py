@@ -43,34 +43,63 @@ def resampled(points: DataFrame, keys: list[str], order: str, n: int = 400) -> D
     return interp_join(line, grid, keys, "s", ["x", "y"]).select(*keys, "i", "s", "x", "y")
 
 
+def rings(points: DataFrame, *keys: str) -> DataFrame:
+    """(keys, px, py): the loops (keys, i, x, y) as two short arrays in order of i."""
+    return points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("_p")).select(*keys, F.col("_p.x").alias("px"), F.col("_p.y").alias("py"))
+
+
+def with_reference(own: DataFrame, reference: DataFrame) -> DataFrame:
+    """``own`` and the reference's arrays (qx, qy) beside each row; it is one loop of a fixed number of points, so it may be broadcast."""
+    one = rings(reference.withColumn("_one", F.lit(1)), "_one").select(F.col("px").alias("qx"), F.col("py").alias("qy"))
+    return own.crossJoin(F.broadcast(one))
+
+
+def similarities(px: np.ndarray, py: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> tuple | None:
+    """(shift, way, scale, turn, mirror, dx, dy, rms) of the best of all starts and both ways round; None for a loop without extent.
+
+    A similarity's best fit has a closed form in means of products.  Those of one loop alone are the same for
+    all tries, and those of both are taken with all shifted copies of the reference at once.
+    """
+    n = len(px)
+    at = np.arange(n)
+    mx, my, mu, mv = px.mean(), py.mean(), qx.mean(), qy.mean()
+    spread, aim = np.mean(px * px) - mx * mx + np.mean(py * py) - my * my, np.mean(qx * qx) - mu * mu + np.mean(qy * qy) - mv * mv
+    if not spread > 0:
+        return None
+    tries = []
+    for way in (1, -1):
+        i = (way * at + at[:, None]) % n
+        u, v = qx[i], qy[i]
+        xu, xv, yu, yv = u @ px / n - mx * mu, v @ px / n - mx * mv, u @ py / n - my * mu, v @ py / n - my * mv
+        for hand in (1.0, -1.0):
+            c, s = xu + hand * yv, xv - hand * yu
+            size = np.sqrt(c * c + s * s)
+            left = np.sqrt(np.maximum(aim - size * size / spread, 0.0))
+            k = int(np.argmin(left))
+            tries.append((float(left[k]), k, way, hand < 0, float(size[k] / spread), float(np.arctan2(s[k], c[k])), hand))
+    rms, shift, way, mirror, scale, turn, hand = min(tries)
+    dx = mu - scale * (np.cos(turn) * mx - np.sin(turn) * hand * my)
+    dy = mv - scale * (np.sin(turn) * mx + np.cos(turn) * hand * my)
+    return shift, way, scale, turn, mirror, float(dx), float(dy), rms
+
+
 def fit_loops(loops: DataFrame, reference: DataFrame, n: int = LOOP) -> DataFrame:
     """(rec, shift, way, scale, turn, mirror, dx, dy, rms): the similarity that lays each loop (rec, i, x, y) on ``reference`` (i, x, y).
 
-    Every start point and both ways round are tried.  A similarity's best fit has
-    a closed form in sums of products, so all tries are one aggregation over an
-    equi-join on the point's number; of both hands the one with the lower residual counts.
-    ``reference`` is one loop of ``n`` points.
+    Every start point, both ways round and both hands are tried.  A recording is one row of two short arrays,
+    so what is shuffled is the loops' points, once; the tries are made where the row is.
+    ``reference`` is one loop of ``n`` points; a loop of another number has no fit.
     """
-    tries = loops.select("rec", F.col("i").alias("j"), "x", "y").withColumn("way", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    tries = tries.withColumn("i", F.pmod(F.col("way") * F.col("j") + F.col("shift"), F.lit(n)))
-    both = tries.join(reference.select("i", F.col("x").alias("u"), F.col("y").alias("v")), "i")
-    mean = {c: F.avg(c).alias(f"m{c}") for c in "xyuv"}
-    prod = {a + b: F.avg(F.col(a) * F.col(b)).alias(a + b) for a, b in ("xx", "yy", "uu", "vv", "xu", "xv", "yu", "yv")}
-    m = both.groupBy("rec", "way", "shift").agg(*mean.values(), *prod.values())
-    cov = lambda a, b: F.col(a + b) - F.col(f"m{a}") * F.col(f"m{b}")
-    spread, aim = cov("x", "x") + cov("y", "y"), cov("u", "u") + cov("v", "v")
-    hands = []
-    for hand in (1.0, -1.0):
-        c, s = cov("x", "u") + hand * cov("y", "v"), cov("x", "v") - hand * cov("y", "u")
-        size = F.sqrt(c * c + s * s)
-        hands.append(F.struct((aim - size * size / spread).alias("left"), F.lit(hand < 0).alias("mirror"), (size / spread).alias("scale"), F.atan2(s, c).alias("turn")))
-    m = m.where(spread > 0).withColumn("h", F.array_min(F.array(*hands)))
-    hand = F.when(F.col("h.mirror"), -1.0).otherwise(1.0)
-    cos, sin = F.cos("h.turn"), F.sin("h.turn")
-    dx = F.col("mu") - F.col("h.scale") * (cos * F.col("mx") - sin * hand * F.col("my"))
-    dy = F.col("mv") - F.col("h.scale") * (sin * F.col("mx") + cos * hand * F.col("my"))
-    row = F.struct(F.sqrt(F.greatest("h.left", F.lit(0.0))).alias("rms"), "shift", "way", F.col("h.scale").alias("scale"), F.col("h.turn").alias("turn"), F.col("h.mirror").alias("mirror"), dx.alias("dx"), dy.alias("dy"))
-    return m.groupBy(*REC).agg(F.min(row).alias("b")).select("rec", "b.shift", "b.way", "b.scale", "b.turn", "b.mirror", "b.dx", "b.dy", "b.rms")
+    rows = with_reference(rings(loops, "rec"), reference).where((F.size("px") == n) & (F.size("qx") == n))
+    kind = loops.schema["rec"].dataType.simpleString()
+    names = ["rec", "shift", "way", "scale", "turn", "mirror", "dx", "dy", "rms"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fits = [(r.rec, similarities(*(np.asarray(a, float) for a in (r.px, r.py, r.qx, r.qy)))) for r in batch.itertuples(index=False)]
+            yield pd.DataFrame([(rec, *fit) for rec, fit in fits if fit], columns=names)
+
+    return rows.mapInPandas(run, f"rec {kind}, shift int, way int, scale double, turn double, mirror boolean, dx double, dy double, rms double")
 
 
 def laid(points: DataFrame, fits: DataFrame) -> DataFrame:
@@ -212,10 +241,7 @@ def refined(loops: DataFrame, reference: DataFrame, fits: DataFrame, rounds: int
     it is never above ``rms0``, that of the fit as given.  ``coverage`` is the share within ``near_m``.  A loop has as
     many points as :func:`loop` gives, so a recording is one row of two short arrays.
     """
-    ring = lambda rows, *by: rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("_p"))
-    ref = ring(reference.withColumn("_one", F.lit(1)), "_one").select("_one", F.col("_p.x").alias("qx"), F.col("_p.y").alias("qy"))
-    own = ring(loops, "rec").select("rec", F.col("_p.x").alias("px"), F.col("_p.y").alias("py"), F.lit(1).alias("_one"))
-    rows = own.join(ref, "_one").drop("_one").join(fits.select("rec", "scale", "turn", "mirror", "dx", "dy"), "rec")
+    rows = with_reference(rings(loops, "rec"), reference).join(fits.select("rec", "scale", "turn", "mirror", "dx", "dy"), "rec")
     kind = loops.schema["rec"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

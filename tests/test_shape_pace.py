@@ -103,3 +103,31 @@ def test_offset_of_laps_that_are_all_alike(spark):
     listed = spark.createDataFrame([(r, i + 3, s) for r, i, s in alike + varied], "rec long, lap_no long, ref_s double")
     got = pace.offset(measured, listed, 6).collect()
     assert [(r.rec, r.shift, round(r.r, 9)) for r in got] == [(2, 3, 1.0)]
+
+
+def test_loop_fits_are_those_of_every_try(spark):
+    """Against least squares for each start, way and hand; points aren't multiplied by tries in Spark, and a loop without extent has no fit."""
+    r = np.random.default_rng(5)
+    n = 12
+    q = r.normal(size=n) + 1j * r.normal(size=n)
+    own = {rec: r.normal(size=n) + 1j * r.normal(size=n) for rec in range(4)} | {9: np.full(n, 1 + 1j)}
+    loops = spark.createDataFrame([(rec, i, float(z.real), float(z.imag)) for rec, p in own.items() for i, z in enumerate(p)], "rec long, i int, x double, y double")
+    fits = shape.fit_loops(loops, spark.createDataFrame([(i, float(z.real), float(z.imag)) for i, z in enumerate(q)], "i int, x double, y double"), n)
+    assert "Generate" not in fits._jdf.queryExecution().optimizedPlan().toString()
+    got = {f.rec: f for f in fits.collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for rec, f in got.items():
+        tries = []
+        for shift in range(n):
+            for way in (1, -1):
+                aim = q[(way * np.arange(n) + shift) % n]
+                for mirror in (False, True):
+                    p = np.conj(own[rec]) if mirror else own[rec]
+                    a = np.stack([p, np.ones(n)], axis=1)
+                    left = aim - a @ np.linalg.lstsq(a, aim, rcond=None)[0]
+                    tries.append((np.sqrt(np.mean(np.abs(left) ** 2)), shift, way, mirror))
+        rms, *what = min(tries)
+        assert [f.shift, f.way, f.mirror] == what and f.rms == pytest.approx(rms)
+        p = np.conj(own[rec]) if f.mirror else own[rec]
+        laid = f.scale * np.exp(1j * f.turn) * p + f.dx + 1j * f.dy
+        assert np.sqrt(np.mean(np.abs(laid - q[(f.way * np.arange(n) + f.shift) % n]) ** 2)) == pytest.approx(rms)
