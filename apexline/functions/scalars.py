@@ -12,6 +12,18 @@ R_EQUATOR, R_POLE = 6_378_000.0, 6_357_000.0
 MPH = 0.621371
 
 
+def rounded(value: Column | str, places: int) -> Column:
+    """A double to so many places, halves away from zero, as SQL engines do: what is rounded is the scaled double.
+
+    Spark's own round() takes the shortest decimal that means the double, so it decides halves otherwise: a crossing
+    at 20.6505 s, or a distance of 1.0545 m, is a half that lies a bit above or below as a double.
+    """
+    x = (F.col(value) if isinstance(value, str) else value) * float(10**places)
+    whole = F.rint(x)
+    off = x - whole
+    return F.when((off == 0.5) & (x > 0), whole + 1).when((off == -0.5) & (x < 0), whole - 1).otherwise(whole) / float(10**places) + 0.0
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.sin((b - a) / 2) ** 2 + F.cos(a) * F.cos(b) * F.sin(F.radians(lon2 - lon1) / 2) ** 2
@@ -44,12 +56,19 @@ def local_xy(lat: Column, lon: Column, alt: Column, lat0: Column, lon0: Column)
 
 
 def crosses(x0: Column, y0: Column, x1: Column, y1: Column, line: Column) -> tuple[Column, Column]:
-    """Whether a step straddles the segment ``line`` (x1, y1, x2, y2) strictly on both sides, and at what share of the step."""
+    """Whether a step straddles the segment ``line`` (x1, y1, x2, y2) strictly on both sides, and at what share of the step.
+
+    The share is the distance to the line by the step's own way across it, by the line's unit direction,
+    so that no length of the line is in it: across a line x = c it is (c - x0) / (x1 - x0), to the last bit.
+    """
     side = lambda ax, ay, bx, by, px, py: (bx - ax) * (py - ay) - (by - ay) * (px - ax)
     lx0, ly0, lx1, ly1 = (line[c] for c in ("x1", "y1", "x2", "y2"))
     a, b = side(lx0, ly0, lx1, ly1, x0, y0), side(lx0, ly0, lx1, ly1, x1, y1)
     c, d = side(x0, y0, x1, y1, lx0, ly0), side(x0, y0, x1, y1, lx1, ly1)
-    return (a * b < 0) & (c * d < 0), F.abs(a) / (F.abs(a) + F.abs(b))
+    hit = (a * b < 0) & (c * d < 0)
+    length = F.sqrt((lx1 - lx0) * (lx1 - lx0) + (ly1 - ly0) * (ly1 - ly0))
+    ux, uy = (lx1 - lx0) / length, (ly1 - ly0) / length
+    return hit, F.when(hit, (uy * (lx0 - x0) - ux * (ly0 - y0)) / (uy * (x1 - x0) - ux * (y1 - y0)))
 
 
 def speed(mps: Column, unit: str = "kmh") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CONFIG
-from ..functions.scalars import saturate
+from ..functions.scalars import rounded, saturate
 from .house import united
 from .pace import median_lap
 
@@ -95,7 +95,7 @@ def attributed(stats: DataFrame, evidence_: DataFrame, losses: DataFrame, best:
     """
     own = stats.join(best.select(*LAP), LAP, "left_semi").select("rec", "cid", F.col("time_s").alias("_b"))
     n = stats.select(*LAP).distinct().groupBy(*REC).agg(F.count("*").alias("laps")).where(F.col("laps") >= least)
-    loss = stats.join(n, REC, "left_semi").join(own, ["rec", "cid"]).groupBy("rec", "cid").agg(F.round(F.median(F.col("time_s") - F.col("_b")), 6).alias("loss_s"), F.stddev_samp("time_s").alias("line")).where(F.col("loss_s") > NO_LOSS)
+    loss = stats.join(n, REC, "left_semi").join(own, ["rec", "cid"]).groupBy("rec", "cid").agg(rounded(F.median(F.col("time_s") - F.col("_b")), 6).alias("loss_s"), F.stddev_samp("time_s").alias("line")).where(F.col("loss_s") > NO_LOSS)
     parts = losses.join(typical.select(*LAP), LAP, "left_semi").groupBy("rec", "cid").agg(*[F.sum(F.when(F.col("phase") == i, F.col("loss_s"))).alias(f"{p}_s") for i, p in enumerate(PHASES)])
     both = loss.join(evidence_, ["rec", "cid"], "left").join(parts, ["rec", "cid"], "left").na.fill(0.0, [*HALVES, *[f"{p}_s" for p in PHASES]])
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy(*REC).orderBy(F.desc("loss_s"), "cid")))
@@ -105,7 +105,7 @@ def attributed(stats: DataFrame, evidence_: DataFrame, losses: DataFrame, best:
 
 def shown(rows: DataFrame) -> DataFrame:
     """Without those that would show as no loss at all."""
-    return rows.where(F.round("loss_s", 2) > 0)
+    return rows.where(rounded("loss_s", 2) > 0)
 
 
 def brake_hint(metres_later: Column) -> Column:
@@ -115,7 +115,7 @@ def brake_hint(metres_later: Column) -> Column:
 def corner_report(corners: DataFrame) -> DataFrame:
     """(rec, cid, n, best_s, median_s, sigma_s, loss_s, apex_kmh, score) over laps."""
     a = corners.groupBy("rec", "cid").agg(F.count("time_s").alias("n"), F.min("time_s").alias("b"), F.median("time_s").alias("m"), F.stddev_samp("time_s").alias("s"), F.median("v_apex").alias("v"))
-    return a.select("rec", "cid", "n", F.round("b", 4).alias("best_s"), F.round("m", 4).alias("median_s"), F.round("s", 4).alias("sigma_s"), F.round(F.col("m") - F.col("b"), 4).alias("loss_s"), F.round(F.col("v") * 3.6, 3).alias("apex_kmh"), F.round(F.coalesce(F.col("s") * (F.col("m") - F.col("b")), F.lit(0.0)), 6).alias("score"))
+    return a.select("rec", "cid", "n", rounded("b", 4).alias("best_s"), rounded("m", 4).alias("median_s"), rounded("s", 4).alias("sigma_s"), rounded(F.col("m") - F.col("b"), 4).alias("loss_s"), rounded(F.col("v") * 3.6, 3).alias("apex_kmh"), rounded(F.coalesce(F.col("s") * (F.col("m") - F.col("b")), F.lit(0.0)), 6).alias("score"))
 
 
 def corner_bests(corners: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def corner_grip(samples: DataFrame, corners: DataFrame, envelope: DataFrame) ->
     met = samples.join(corners.select(*CORNER, "enter", "exit"), LAP).where((F.col("dist") >= F.col("enter")) & (F.col("dist") <= F.col("exit")))
     g = met.groupBy(*CORNER).agg(F.median(F.sqrt(F.col("lat_g") ** 2 + F.col("long_g") ** 2)).alias("g"))
     out = corners.select(*CORNER).join(g, CORNER, "left").join(envelope, REC)
-    return out.select(*CORNER, F.round(F.coalesce(F.least(F.col("g") / F.col("envelope_g"), F.lit(1.1)), F.lit(0.0)), 4).alias("grip"))
+    return out.select(*CORNER, rounded(F.coalesce(F.least(F.col("g") / F.col("envelope_g"), F.lit(1.1)), F.lit(0.0)), 4).alias("grip"))
 
 
 def laps_table(laps: DataFrame, samples: DataFrame, splits: DataFrame, stats: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def csv_lines(table: DataFrame, theoretical: DataFrame, rolling: DataFrame) -> D
 def share_card(laps: DataFrame, ideal: DataFrame, trusted: Column) -> DataFrame:
     """(rec, best_s, to_ideal_s, stamp): what a card shows; the stamp tells of times that aren't to be trusted."""
     b = laps.groupBy(*REC).agg(F.min("lap_s").alias("best_s"))
-    return b.join(ideal, REC, "left").select("rec", "best_s", F.round(F.col("best_s") - F.col("ideal_s"), 4).alias("to_ideal_s"), F.when(trusted, "verified").otherwise("provisional").alias("stamp"))
+    return b.join(ideal, REC, "left").select("rec", "best_s", rounded(F.col("best_s") - F.col("ideal_s"), 4).alias("to_ideal_s"), F.when(trusted, "verified").otherwise("provisional").alias("stamp"))
 
 
 def typical(laps: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CONFIG
+from ..functions.scalars import rounded
 from .house import along, boxcar_by, gradient, interp_join, islands, runs, united, unwrap
 
 REC, LAP = ["rec"], ["rec", "lap_id"]
@@ -49,8 +50,8 @@ def otsu(values: DataFrame, value: str = "kappa", bins: int = CONFIG.otsu_bins)
     h = hist.withColumn("m", mid).withColumns({"w0": F.sum("n").over(w), "s0": F.sum(F.col("n") * F.col("m")).over(w), "w": F.sum("n").over(all_), "s": F.sum(F.col("n") * F.col("m")).over(all_)})
     w1 = F.col("w") - F.col("w0")
     var = F.col("w0") * w1 * (F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / w1) ** 2
-    best = h.where((F.col("w0") > 0) & (w1 > 0)).groupBy(*REC).agg(F.min(F.struct((-F.round(var, 6)).alias("v"), "b", "m")).alias("x"))
-    return best.select("rec", F.col("x.b").alias("bin"), F.round(F.pow(F.lit(10.0), F.col("x.m")), 8).alias("threshold"))
+    best = h.where((F.col("w0") > 0) & (w1 > 0)).groupBy(*REC).agg(F.min(F.struct((-rounded(var, 6)).alias("v"), "b", "m")).alias("x"))
+    return best.select("rec", F.col("x.b").alias("bin"), rounded(F.pow(F.lit(10.0), F.col("x.m")), 8).alias("threshold"))
 
 
 def detect(profile: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def detect(profile: DataFrame, thresholds: DataFrame) -> DataFrame:
     cells = merged.select("rec", "g", "i0", F.explode(F.sequence("i0", "i1")).alias("i")).join(p.select("rec", "i", "s_m", "kappa", "_area"), ["rec", "i"])
     whole = cells.groupBy("rec", "g").agg(F.abs(F.degrees(F.sum(F.when(F.col("i") > F.col("i0"), F.col("_area")).otherwise(0.0)))).alias("turn_deg"), (F.sum(k * F.col("s_m")) / F.sum(k)).alias("apex"))
     kept = merged.join(whole, ["rec", "g"]).where((F.col("exit") - F.col("enter") >= CONFIG.corner_min_m) & (F.col("turn_deg") >= CONFIG.corner_min_deg))
-    return kept.select("rec", F.row_number().over(along(REC, "enter")).alias("cid"), F.round("enter", 3).alias("enter"), F.round("exit", 3).alias("exit"), F.round("apex", 3).alias("apex"), "direction", F.round("turn_deg", 3).alias("turn_deg"))
+    return kept.select("rec", F.row_number().over(along(REC, "enter")).alias("cid"), rounded("enter", 3).alias("enter"), rounded("exit", 3).alias("exit"), rounded("apex", 3).alias("apex"), "direction", rounded("turn_deg", 3).alias("turn_deg"))
 
 
 def segments(samples: DataFrame, windows: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def segments(samples: DataFrame, windows: DataFrame) -> DataFrame:
     grid = edges.select(*LAP, F.posexplode(F.concat(F.array(F.lit(0.0)), flat, F.array("total"))).alias("part", "dist"))
     at = interp_join(samples, grid.select(*LAP, "dist", "part"), LAP, "dist", ["elapsed"])
     nxt = at.withColumn("next", F.lead("elapsed").over(along(LAP, "part"))).where("next is not null")
-    return nxt.select(*LAP, "part", F.when(F.col("part") % 2 == 1, F.expr("(part + 1) div 2")).alias("cid"), F.round(F.col("next") - F.col("elapsed"), 4).alias("time_s"))
+    return nxt.select(*LAP, "part", F.when(F.col("part") % 2 == 1, F.expr("(part + 1) div 2")).alias("cid"), rounded(F.col("next") - F.col("elapsed"), 4).alias("time_s"))
 
 
 def stats(samples: DataFrame, windows: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def stats(samples: DataFrame, windows: DataFrame) -> DataFrame:
     inside = both.withColumn("_c", F.last("_c", ignorenulls=True).over(along(LAP, "dist", "_k").rowsBetween(Window.unboundedPreceding, 0))).where((F.col("_k") == 1) & (F.col("dist") <= F.col("_c.exit")))
     low = inside.groupBy(*LAP, F.col("_c.cid").alias("cid")).agg(F.min(F.struct("v", "dist")).alias("low"))
     out = windows.join(pair, [*LAP, "cid"]).join(low, [*LAP, "cid"], "left")
-    return out.select(*LAP, "cid", F.round(F.col("elapsed1") - F.col("elapsed0"), 4).alias("time_s"), "enter", "exit", F.coalesce("low.dist", middle).alias("apex"), F.col("v0").alias("v_enter"), F.col("v1").alias("v_exit"), F.coalesce("low.v", "v2").alias("v_apex"))
+    return out.select(*LAP, "cid", rounded(F.col("elapsed1") - F.col("elapsed0"), 4).alias("time_s"), "enter", "exit", F.coalesce("low.dist", middle).alias("apex"), F.col("v0").alias("v_enter"), F.col("v1").alias("v_exit"), F.coalesce("low.v", "v2").alias("v_apex"))
 
 
 def markers(samples: DataFrame, stats_: DataFrame) -> DataFrame:
@@ -121,13 +122,13 @@ def markers(samples: DataFrame, stats_: DataFrame) -> DataFrame:
 def against(stats_: DataFrame, base: DataFrame) -> DataFrame:
     """``stats_`` with ``delta_s`` and ``apex_delta`` against the laps ``base`` (rec, lap_id): a recording's best, or a reference lap of each."""
     own = stats_.join(base.select(*LAP), LAP, "left_semi").select("rec", "cid", F.col("time_s").alias("_t"), F.col("v_apex").alias("_v"))
-    return stats_.join(own, ["rec", "cid"], "left").withColumns({"delta_s": F.round(F.col("time_s") - F.col("_t"), 4), "apex_delta": F.col("v_apex") - F.col("_v")}).drop("_t", "_v")
+    return stats_.join(own, ["rec", "cid"], "left").withColumns({"delta_s": rounded(F.col("time_s") - F.col("_t"), 4), "apex_delta": F.col("v_apex") - F.col("_v")}).drop("_t", "_v")
 
 
 def against_reference(stats_: DataFrame, reference: DataFrame) -> DataFrame:
     """``stats_`` with ``delta_s`` and ``apex_delta`` against a lap of another recording, whose corners are ``reference`` (cid, time_s, v_apex); null where it has none."""
     own = reference.select("cid", F.col("time_s").alias("_t"), F.col("v_apex").alias("_v"))
-    return stats_.join(own, "cid", "left").withColumns({"delta_s": F.round(F.col("time_s") - F.col("_t"), 4), "apex_delta": F.col("v_apex") - F.col("_v")}).drop("_t", "_v")
+    return stats_.join(own, "cid", "left").withColumns({"delta_s": rounded(F.col("time_s") - F.col("_t"), 4), "apex_delta": F.col("v_apex") - F.col("_v")}).drop("_t", "_v")
 
 
 def phases(samples: DataFrame, windows: DataFrame, points: int = 64) -> DataFrame:
@@ -154,13 +155,13 @@ def phase_matrix(losses: DataFrame) -> DataFrame:
     """(rec, cid, phase, loss_s, share): median loss to the best lap, and its share of all that is lost in the recording."""
     m = losses.groupBy("rec", "cid", "phase").agg(F.median("loss_s").alias("loss"))
     lost = F.greatest("loss", F.lit(0.0))
-    return m.select("rec", "cid", "phase", F.round("loss", 4).alias("loss_s"), F.round(F.try_divide(lost, F.sum(lost).over(Window.partitionBy(*REC))), 4).alias("share"))
+    return m.select("rec", "cid", "phase", rounded("loss", 4).alias("loss_s"), rounded(F.try_divide(lost, F.sum(lost).over(Window.partitionBy(*REC))), 4).alias("share"))
 
 
 def phase_shares(losses: DataFrame) -> DataFrame:
     """(rec, entry_s, apex_s, exit_s): what is lost in each phase, all corners' positive median losses together."""
     m = losses.groupBy("rec", "cid", "phase").agg(F.greatest(F.median("loss_s"), F.lit(0.0)).alias("lost"))
-    return m.groupBy(*REC).agg(*[F.round(F.sum(F.when(F.col("phase") == p, F.col("lost"))), 4).alias(n) for p, n in enumerate(("entry_s", "apex_s", "exit_s"))])
+    return m.groupBy(*REC).agg(*[rounded(F.sum(F.when(F.col("phase") == p, F.col("lost"))), 4).alias(n) for p, n in enumerate(("entry_s", "apex_s", "exit_s"))])
 
 
 def straights(samples: DataFrame, segments_: DataFrame, stats_: DataFrame, best: DataFrame) -> DataFrame:
@@ -183,6 +184,6 @@ def straights(samples: DataFrame, segments_: DataFrame, stats_: DataFrame, best:
     name = F.when(F.col("k") == 0, F.concat(line, F.lit(" → C1"))).when(F.col("k") == last, F.format_string("C%d → S/F", "k")).otherwise(F.format_string("C%d → C%d", "k", F.col("k") + 1))
     gain = F.coalesce(F.greatest(-F.col("d"), F.lit(0.0)) * F.greatest(F.col("m") - F.col("b"), F.lit(0.0)), F.lit(0.0))
     return all_.select(
-        "rec", "k", name.alias("label"), F.when(F.col("k") == 0, last).otherwise(F.col("k")).alias("ring"), "n", F.round("b", 4).alias("best_s"), F.round("m", 5).alias("median_s"), F.round("s", 4).alias("sigma_s"),
-        F.round(F.col("tb") * 3.6, 3).alias("trap_best_kmh"), F.round(F.col("tm") * 3.6, 3).alias("trap_median_kmh"), F.round("d", 3).alias("exit_delta_kmh"), F.round(gain, 5).alias("leverage"),
+        "rec", "k", name.alias("label"), F.when(F.col("k") == 0, last).otherwise(F.col("k")).alias("ring"), "n", rounded("b", 4).alias("best_s"), rounded("m", 5).alias("median_s"), rounded("s", 4).alias("sigma_s"),
+        rounded(F.col("tb") * 3.6, 3).alias("trap_best_kmh"), rounded(F.col("tm") * 3.6, 3).alias("trap_median_kmh"), rounded("d", 3).alias("exit_delta_kmh"), rounded(gain, 5).alias("leverage"),
     )

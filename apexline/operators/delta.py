@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CONFIG
+from ..functions.scalars import rounded
 from .house import along, interp_join
 from .laps import lap_at
 
@@ -16,7 +17,7 @@ REC, LAP = ["rec"], ["rec", "lap_id"]
 def to_baseline(grid: DataFrame, baseline: DataFrame) -> DataFrame:
     """(rec, lap_id, i, delta_s): elapsed time less that of the recording's baseline lap (rec, lap_id)."""
     base = grid.join(baseline.select(*LAP), LAP, "left_semi").select("rec", "i", F.col("elapsed").alias("base"))
-    return grid.join(base, ["rec", "i"]).select(*LAP, "i", F.round(F.col("elapsed") - F.col("base"), 4).alias("delta_s"))
+    return grid.join(base, ["rec", "i"]).select(*LAP, "i", rounded(F.col("elapsed") - F.col("base"), 4).alias("delta_s"))
 
 
 def curves(grid: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def at_time(times: DataFrame, samples: DataFrame, baseline: DataFrame, laps_: Da
 def following(grid: DataFrame) -> DataFrame:
     """(rec, lap_id, i, delta_s): of each lap, what the next one takes longer."""
     nxt = grid.select("rec", (F.col("lap_id") - 1).alias("lap_id"), "i", F.col("elapsed").alias("next"))
-    return grid.join(nxt, [*LAP, "i"]).select(*LAP, "i", F.round(F.col("next") - F.col("elapsed"), 4).alias("delta_s"))
+    return grid.join(nxt, [*LAP, "i"]).select(*LAP, "i", rounded(F.col("next") - F.col("elapsed"), 4).alias("delta_s"))
 
 
 def ideal(grid: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def ideal(grid: DataFrame) -> DataFrame:
 
 
 def to_ideal(grid: DataFrame) -> DataFrame:
-    return grid.join(ideal(grid), ["rec", "i"]).select(*LAP, "i", F.round(F.col("elapsed") - F.col("ideal_s"), 4).alias("delta_s"))
+    return grid.join(ideal(grid), ["rec", "i"]).select(*LAP, "i", rounded(F.col("elapsed") - F.col("ideal_s"), 4).alias("delta_s"))
 
 
 def ideal_to_best(grid: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -79,16 +80,16 @@ def ideal_to_best(grid: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def ideal_total(grid: DataFrame, cells: int = CONFIG.grid) -> DataFrame:
-    return ideal(grid).where(F.col("i") == cells - 1).select("rec", F.round("ideal_s", 4).alias("ideal_s"))
+    return ideal(grid).where(F.col("i") == cells - 1).select("rec", rounded("ideal_s", 4).alias("ideal_s"))
 
 
 def ideal_gap(total: DataFrame, laps_: DataFrame) -> DataFrame:
     """(rec, best_s, ideal_s, gap_s): by how much the ideal lap beats the best one."""
     best = laps_.groupBy(*REC).agg(F.min("lap_s").alias("best_s"))
-    return best.join(total, REC).select("rec", "best_s", "ideal_s", F.round(F.col("best_s") - F.col("ideal_s"), 4).alias("gap_s"))
+    return best.join(total, REC).select("rec", "best_s", "ideal_s", rounded(F.col("best_s") - F.col("ideal_s"), 4).alias("gap_s"))
 
 
 def rebased(grid: DataFrame, reference: DataFrame) -> DataFrame:
     """Laps against a lap of another recording: ``reference`` (i, elapsed) is one lap on the same grid."""
     other = reference.select("i", F.col("elapsed").alias("base"))
-    return grid.join(other, "i").select(*LAP, "i", F.round(F.col("elapsed") - F.col("base"), 4).alias("delta_s"))
+    return grid.join(other, "i").select(*LAP, "i", rounded(F.col("elapsed") - F.col("base"), 4).alias("delta_s"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CONFIG
-from ..functions.scalars import buckets
+from ..functions.scalars import buckets, rounded
 from .house import along, boxcar, boxcar_by, interp_join, islands, runs
 from .trace import long_g
 
@@ -18,7 +18,7 @@ def brake_threshold(trace: DataFrame) -> DataFrame:
     """(rec, theta): a low quantile of the decelerations at speed, within bounds."""
     braking = (F.col("long_g") < -CONFIG.brake_decel_min) & (F.col("v") > CONFIG.brake_moving_mps)
     q = F.percentile(F.when(braking, -F.col("long_g")), CONFIG.brake_quantile)
-    return trace.groupBy(*REC).agg(F.round(F.least(F.greatest(F.coalesce(q, F.lit(CONFIG.brake_enter_min)), F.lit(CONFIG.brake_enter_min)), F.lit(CONFIG.brake_enter_max)), 6).alias("theta"))
+    return trace.groupBy(*REC).agg(rounded(F.least(F.greatest(F.coalesce(q, F.lit(CONFIG.brake_enter_min)), F.lit(CONFIG.brake_enter_min)), F.lit(CONFIG.brake_enter_max)), 6).alias("theta"))
 
 
 def brake_islands(trace: DataFrame, thresholds: DataFrame, value: str = "long_g") -> DataFrame:
@@ -29,7 +29,7 @@ def brake_islands(trace: DataFrame, thresholds: DataFrame, value: str = "long_g"
     t = trace.join(thresholds, REC)
     low = F.col(value) < -CONFIG.brake_release * F.col("theta")
     found = islands(t, REC, "seq", low).groupBy("rec", "island").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max(-F.col(value)).alias("peak"), F.min("odo").alias("d0"), F.max("odo").alias("d1"), F.max(F.col(value) < -F.col("theta")).alias("hit"))
-    return found.where("hit").select("rec", "island", F.round("t0", 3).alias("t0"), F.round("t1", 3).alias("t1"), F.round("peak", 4).alias("peak_g"), F.round("d0", 3).alias("d0"), F.round("d1", 3).alias("d1"))
+    return found.where("hit").select("rec", "island", rounded("t0", 3).alias("t0"), rounded("t1", 3).alias("t1"), rounded("peak", 4).alias("peak_g"), rounded("d0", 3).alias("d0"), rounded("d1", 3).alias("d1"))
 
 
 def lap_g(samples: DataFrame) -> DataFrame:
@@ -113,8 +113,8 @@ def coasting(trace: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(rec, island, t0, t1): spans at speed with neither brake nor throttle, that last."""
     t = trace.join(thresholds, REC)
     inside = (F.col("long_g") > -F.col("theta")) & (F.col("long_g") < -CONFIG.coast_g) & (F.col("v") > CONFIG.brake_moving_mps)
-    found = islands(t, REC, "seq", inside).groupBy("rec", "island").agg(F.round(F.min("t"), 3).alias("t0"), F.round(F.max("t"), 3).alias("t1"))
-    return found.where(F.round(F.col("t1") - F.col("t0"), 3) >= CONFIG.event_min_s)
+    found = islands(t, REC, "seq", inside).groupBy("rec", "island").agg(rounded(F.min("t"), 3).alias("t0"), rounded(F.max("t"), 3).alias("t1"))
+    return found.where(rounded(F.col("t1") - F.col("t0"), 3) >= CONFIG.event_min_s)
 
 
 def pedals(theta: Column, g: str = "long_g") -> Column:
@@ -127,12 +127,12 @@ def pedals(theta: Column, g: str = "long_g") -> Column:
 def grip_envelope(trace: DataFrame, lat: str = "lat_g", long: str = "long_g") -> DataFrame:
     """(rec, envelope_g): a high quantile of the total g at speed, with a floor."""
     total = F.when(F.col("v") > CONFIG.brake_moving_mps, F.sqrt(F.col(lat) ** 2 + F.col(long) ** 2))
-    return trace.groupBy(*REC).agg(F.round(F.greatest(F.coalesce(F.percentile(total, CONFIG.envelope_quantile), F.lit(CONFIG.envelope_floor)), F.lit(CONFIG.envelope_floor)), 4).alias("envelope_g"))
+    return trace.groupBy(*REC).agg(rounded(F.greatest(F.coalesce(F.percentile(total, CONFIG.envelope_quantile), F.lit(CONFIG.envelope_floor)), F.lit(CONFIG.envelope_floor)), 4).alias("envelope_g"))
 
 
 def grip_utilisation(trace: DataFrame, envelope: DataFrame, lat: str = "lat_g", long: str = "long_g") -> DataFrame:
     share = F.sqrt(F.col(lat) ** 2 + F.col(long) ** 2) / F.col("envelope_g")
-    return trace.join(envelope, REC).select("rec", "seq", F.round(F.least(share, F.lit(CONFIG.utilisation_max)), 4).alias("utilisation"))
+    return trace.join(envelope, REC).select("rec", "seq", rounded(F.least(share, F.lit(CONFIG.utilisation_max)), 4).alias("utilisation"))
 
 
 def max_decel(events: DataFrame) -> DataFrame:
@@ -163,8 +163,8 @@ def onset_spread(points: DataFrame, totals: DataFrame, lengths: DataFrame) -> Da
     """(rec, cid, n, median_m, sigma_m, span_m, commit_pct, later_m) over laps; onsets are scaled to the best lap's length."""
     p = points.join(totals.select(*LAP, "total"), LAP).join(lengths.select("rec", "length"), REC).withColumn("_o", F.col("onset") * F.col("length") / F.col("total"))
     return p.groupBy("rec", "cid").agg(
-        F.count("*").alias("n"), F.round(F.median("_o"), 3).alias("median_m"), F.round(F.stddev_samp("_o"), 4).alias("sigma_m"), F.round(F.max("_o") - F.min("_o"), 3).alias("span_m"),
-        F.round(F.median("commit") * 100, 3).alias("commit_pct"), F.round(F.median("metres_later"), 3).alias("later_m"),
+        F.count("*").alias("n"), rounded(F.median("_o"), 3).alias("median_m"), rounded(F.stddev_samp("_o"), 4).alias("sigma_m"), rounded(F.max("_o") - F.min("_o"), 3).alias("span_m"),
+        rounded(F.median("commit") * 100, 3).alias("commit_pct"), rounded(F.median("metres_later"), 3).alias("later_m"),
     )
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CONFIG
+from ..functions.scalars import rounded
 from .house import along, united
 from .shape import hermite
 
@@ -81,7 +82,7 @@ def matched(gaps_: DataFrame, donors_: DataFrame) -> DataFrame:
     near = both.where(d2 <= F.col("_off") ** 2).groupBy(*GAP, "chord", "ref", "donor").agg(*[F.min(F.when(F.col("e") == e, F.struct(d2.alias("d2"), "k", "s", "x", "y"))).alias(n) for e, n in ((0, "na"), (1, "nb"))])
     ratio = F.abs(F.col("nb.s") - F.col("na.s")) / F.greatest("chord", F.lit(1e-6))
     fits = near.where((F.col("na.k") != F.col("nb.k")) & ratio.between(SHORTEST, LONGEST)).withColumn("error", F.sqrt(F.greatest("na.d2", "nb.d2")))
-    best = fits.groupBy(*GAP).agg(F.min(F.struct("ref", F.round("error", 9).alias("_e"), "donor", "error", "na", "nb")).alias("b"))
+    best = fits.groupBy(*GAP).agg(F.min(F.struct("ref", rounded("error", 9).alias("_e"), "donor", "error", "na", "nb")).alias("b"))
     return best.select(*GAP, "b.ref", "b.donor", F.col("b.na.k").alias("ka"), F.col("b.nb.k").alias("kb"), F.struct("b.na.x", "b.na.y").alias("pa"), F.struct("b.nb.x", "b.nb.y").alias("pb"), "b.error")
 
 

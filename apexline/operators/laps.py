@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CONFIG
-from ..functions.scalars import crosses
+from ..functions.scalars import crosses, rounded
 from .house import along, interp_join, united
 
 REC, LAP = ["rec"], ["rec", "lap_id"]
@@ -24,7 +24,7 @@ def line_crossings(trace: DataFrame, lines: DataFrame) -> DataFrame:
     s = trace.join(lines, REC).withColumns({c + "0": F.lag(c).over(w) for c in ("x", "y", "t", "v")})
     hit, r = crosses(F.col("x0"), F.col("y0"), F.col("x"), F.col("y"), F.col("line"))
     at = lambda c: F.col(c + "0") + (F.col(c) - F.col(c + "0")) * r
-    return s.where(hit).select("rec", "seq", F.round(at("t"), 3).alias("t_cross"), at("x").alias("x"), at("y").alias("y"), at("v").alias("v"))
+    return s.where(hit).select("rec", "seq", rounded(at("t"), 3).alias("t_cross"), at("x").alias("x"), at("y").alias("y"), at("v").alias("v"))
 
 
 def sector_crossings(trace: DataFrame, starts: DataFrame, sectors: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def laps(trace: DataFrame, crossings: DataFrame) -> DataFrame:
     whole = crossings.select("rec", "lap_id", F.col("t_cross").alias("t_start"), F.lead("t_cross").over(w).alias("t_finish")).where("t_finish is not null")
     inner = lap_samples(trace, crossings).groupBy(*LAP).agg(F.count_if("inner").alias("n"), F.max("dist").alias("dist_m"), F.max("dt").alias("max_dt"), F.max(F.when(F.col("inner"), F.col("v"))).alias("v_max"), F.min(F.when(F.col("inner"), F.col("v"))).alias("v_min"))
     out = whole.join(inner, LAP)
-    return out.select(*LAP, "t_start", "t_finish", F.round(F.col("t_finish") - F.col("t_start"), 3).alias("lap_s"), (F.col("n") + 2).alias("samples"), F.round("dist_m", 3).alias("dist_m"), F.round("max_dt", 3).alias("max_dt"), "v_max", "v_min")
+    return out.select(*LAP, "t_start", "t_finish", rounded(F.col("t_finish") - F.col("t_start"), 3).alias("lap_s"), (F.col("n") + 2).alias("samples"), rounded("dist_m", 3).alias("dist_m"), rounded("max_dt", 3).alias("max_dt"), "v_max", "v_min")
 
 
 def lap_samples(trace: DataFrame, crossings: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def swept(trace: DataFrame, line: Column) -> DataFrame:
     cols = ["t", "odo", "v", "x", "y"]
     s = trace.select("rec", "seq", *[F.col(c).cast("double").alias(c) for c in cols], line.alias("_line")).withColumns({f"{c}0": F.lag(c).over(w) for c in cols})
     hit, r = crosses(F.col("x0"), F.col("y0"), F.col("x"), F.col("y"), F.col("_line"))
-    s = s.withColumns({"_hit": F.coalesce(hit, F.lit(False)), "_at": F.round(F.col("t0") + (F.col("t") - F.col("t0")) * r, 3)})
+    s = s.withColumns({"_hit": F.coalesce(hit, F.lit(False)), "_at": rounded(F.col("t0") + (F.col("t") - F.col("t0")) * r, 3)})
     s = s.withColumn("_g", F.sum(F.col("_hit").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.max("_g").over(Window.partitionBy(*REC)))
     share = (F.col("_at") - F.col("t0")) / (F.col("t") - F.col("t0"))
     cut = [F.col("_at").alias("t"), *[(F.col(f"{c}0") + (F.col(c) - F.col(f"{c}0")) * share).alias(c) for c in cols[1:]]]
@@ -123,7 +123,7 @@ def facts(samples: DataFrame) -> DataFrame:
     """What :func:`laps` says of laps, from their samples: one grouping."""
     inner = lambda c: F.when(F.col("inner"), F.col(c))
     a = samples.groupBy(*LAP).agg(F.min("t").alias("t_start"), F.max("t").alias("t_finish"), F.count_if("inner").alias("n"), F.max("dist").alias("d"), F.max("dt").alias("m"), F.max(inner("v")).alias("v_max"), F.min(inner("v")).alias("v_min"))
-    return a.select(*LAP, "t_start", "t_finish", F.round(F.col("t_finish") - F.col("t_start"), 3).alias("lap_s"), (F.col("n") + 2).alias("samples"), F.round("d", 3).alias("dist_m"), F.round("m", 3).alias("max_dt"), "v_max", "v_min")
+    return a.select(*LAP, "t_start", "t_finish", rounded(F.col("t_finish") - F.col("t_start"), 3).alias("lap_s"), (F.col("n") + 2).alias("samples"), rounded("d", 3).alias("dist_m"), rounded("m", 3).alias("max_dt"), "v_max", "v_min")
 
 
 def valid(laps_: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def best(laps_: DataFrame) -> DataFrame:
 
 def lap_table(laps_: DataFrame) -> DataFrame:
     """Valid laps with their distance from the best time."""
-    return valid(laps_).select(*LAP, "lap_s", "samples", "dist_m", F.round(F.col("lap_s") - F.min("lap_s").over(Window.partitionBy(*REC)), 3).alias("delta_s"))
+    return valid(laps_).select(*LAP, "lap_s", "samples", "dist_m", rounded(F.col("lap_s") - F.min("lap_s").over(Window.partitionBy(*REC)), 3).alias("delta_s"))
 
 
 def capped(laps_: DataFrame, most: int) -> DataFrame:
@@ -204,7 +204,7 @@ def splits(samples: DataFrame, sectors: DataFrame) -> DataFrame:
     at = interp_join(samples, grid, LAP, "dist", ["elapsed"])
     w = along(LAP, "dist", "edge")
     at = at.withColumns({"sector": F.row_number().over(w) - 1, "next": F.lead("elapsed").over(w)})
-    return at.where("next is not null").select(*LAP, "sector", F.round(F.col("next") - F.col("elapsed"), 4).alias("split_s"))
+    return at.where("next is not null").select(*LAP, "sector", rounded(F.col("next") - F.col("elapsed"), 4).alias("split_s"))
 
 
 def best_splits(splits_: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def theoretical(splits_: DataFrame) -> DataFrame:
     """The sum of the best splits; null unless every sector has one."""
     n = splits_.select("rec", "sector").distinct().groupBy("rec").agg(F.count("*").alias("n"))
     b = best_splits(splits_).groupBy("rec").agg(F.sum("best_s").alias("s"), F.count("*").alias("k"))
-    return n.join(b, REC, "left").select("rec", F.round(F.when(F.col("n") == F.col("k"), F.col("s")), 4).alias("theoretical_s"))
+    return n.join(b, REC, "left").select("rec", rounded(F.when(F.col("n") == F.col("k"), F.col("s")), 4).alias("theoretical_s"))
 
 
 def headed(samples: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def rolling_best(samples: DataFrame, laps_: DataFrame) -> DataFrame:
 
     (d_lo, t_lo), (d_hi, t_hi) = on("_", ""), on("", "__")
     loops = near.where(F.least(d_lo, d_hi) <= MATCH_M**2).groupBy(*REC).agg(F.min(F.when(d_lo <= d_hi, t_lo).otherwise(t_hi) - F.col("at")).alias("w"))
-    return best(laps_).join(loops, REC, "left").select("rec", F.round(F.least("lap_s", F.coalesce("w", "lap_s")), 4).alias("rolling_s"))
+    return best(laps_).join(loops, REC, "left").select("rec", rounded(F.least("lap_s", F.coalesce("w", "lap_s")), 4).alias("rolling_s"))
 
 
 def fraction_grid(samples: DataFrame, cells: int = CONFIG.grid, ys: tuple[str, ...] = ("elapsed",)) -> DataFrame:
@@ -288,5 +288,5 @@ def channels(samples: DataFrame, forces: DataFrame | None = None) -> DataFrame:
     also = [c for c in ("altitude", "lat", "lon") if c in samples.columns]
     if forces is not None:
         samples = interp_join(forces, samples, REC, "t", ["long_g", "lat_g"]) if "long_g" not in samples.columns else samples
-    g = [F.round(c, 4).alias(n) for c, n in (("long_g", "g_long"), ("lat_g", "g_lat")) if c in samples.columns]
-    return samples.select(*LAP, F.round("t", 3).alias("time_s"), F.round("elapsed", 3).alias("elapsed_s"), F.round("dist", 3).alias("distance_m"), F.round(F.col("v") * 3.6, 3).alias("speed_kmh"), F.round("x", 3).alias("x_m"), F.round("y", 3).alias("y_m"), *also, *g)
+    g = [rounded(c, 4).alias(n) for c, n in (("long_g", "g_long"), ("lat_g", "g_lat")) if c in samples.columns]
+    return samples.select(*LAP, rounded("t", 3).alias("time_s"), rounded("elapsed", 3).alias("elapsed_s"), rounded("dist", 3).alias("distance_m"), rounded(F.col("v") * 3.6, 3).alias("speed_kmh"), rounded("x", 3).alias("x_m"), rounded("y", 3).alias("y_m"), *also, *g)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import clock_text
+from ..functions.scalars import clock_text, rounded
 from .house import along
 from .trace import moving_time, path_distance
 
@@ -19,7 +19,7 @@ REC = ["rec"]
 
 def pace(laps: DataFrame) -> DataFrame:
     a = laps.groupBy(*REC).agg(F.count("*").alias("n"), F.min("lap_s").alias("best_s"), F.median("lap_s").alias("median_s"), F.stddev_samp("lap_s").alias("s"))
-    return a.select("rec", "n", "best_s", F.round("median_s", 4).alias("median_s"), F.round("s", 4).alias("sigma_s"), F.round(F.col("median_s") - F.col("best_s"), 4).alias("gap_s"), F.round(F.col("s") / F.col("median_s") * 100, 4).alias("cov_pct"))
+    return a.select("rec", "n", "best_s", rounded("median_s", 4).alias("median_s"), rounded("s", 4).alias("sigma_s"), rounded(F.col("median_s") - F.col("best_s"), 4).alias("gap_s"), rounded(F.col("s") / F.col("median_s") * 100, 4).alias("cov_pct"))
 
 
 def _pairs_up_to(y: np.ndarray, p: int, q: int) -> int:
@@ -80,14 +80,14 @@ def theil_sen(laps: DataFrame, least: int = 6) -> DataFrame:
         return pd.DataFrame({"rec": part["rec"].iloc[:1], "n": [len(y)], "slope": [median_slope(y) / 1000 if len(y) >= max(least, 2) else None]})
 
     found = timed.select("rec", "lap_id", F.col("lap_s").cast("double").alias("lap_s")).groupBy(*REC).applyInPandas(run, f"rec {kind}, n bigint, slope double")
-    return found.select("rec", "n", F.round("slope", 4).alias("slope"))
+    return found.select("rec", "n", rounded("slope", 4).alias("slope"))
 
 
 def race_pace(laps: DataFrame, width: int = 3) -> DataFrame:
     """The best mean of ``width`` laps in a row."""
     w = along(REC, "lap_id").rowsBetween(-(width - 1), 0)
     full = laps.withColumns({"m": F.avg("lap_s").over(w), "k": F.count("lap_s").over(w)}).where(F.col("k") == width)
-    return full.groupBy(*REC).agg(F.round(F.min("m"), 4).alias("race_pace_s"))
+    return full.groupBy(*REC).agg(rounded(F.min("m"), 4).alias("race_pace_s"))
 
 
 def within(laps: DataFrame, percent: float = 2.0) -> DataFrame:
@@ -113,13 +113,13 @@ def median_lap(laps: DataFrame) -> DataFrame:
 
 
 def totals(trace: DataFrame) -> DataFrame:
-    return trace.groupBy(*REC).agg(F.count("*").alias("fixes"), F.round(F.max("t") - F.min("t"), 3).alias("duration_s"), F.round(F.max("odo") - F.min("odo"), 3).alias("driven_m"), F.max("v").alias("vmax_mps"))
+    return trace.groupBy(*REC).agg(F.count("*").alias("fixes"), rounded(F.max("t") - F.min("t"), 3).alias("duration_s"), rounded(F.max("odo") - F.min("odo"), 3).alias("driven_m"), F.max("v").alias("vmax_mps"))
 
 
 def headlines(trace: DataFrame, clock: DataFrame) -> DataFrame:
     """(rec, duration_s, moving_s, distance_m, start_clock, end_clock) of recordings; ``clock`` (rec, ms) are the fixes' wall-clock times."""
     span = clock.where("ms > 0").groupBy(*REC).agg(F.min("ms").alias("_a"), F.max("ms").alias("_b"))
-    whole = trace.groupBy(*REC).agg(F.round(F.max("t") - F.min("t"), 3).alias("duration_s"))
+    whole = trace.groupBy(*REC).agg(rounded(F.max("t") - F.min("t"), 3).alias("duration_s"))
     both = whole.join(moving_time(trace), REC).join(path_distance(trace), REC).join(span, REC, "left")
     return both.select("rec", "duration_s", "moving_s", F.col("path_m").alias("distance_m"), clock_text(F.col("_a")).alias("start_clock"), clock_text(F.col("_b")).alias("end_clock"))
 
@@ -151,13 +151,13 @@ def tops(stats: DataFrame, coasts: DataFrame) -> DataFrame:
 
 
 def lap_speeds(laps: DataFrame) -> DataFrame:
-    return laps.select("rec", "lap_id", F.round(F.col("v_max") * 3.6, 3).alias("vmax_kmh"), F.round(F.col("v_min") * 3.6, 3).alias("vmin_kmh"), F.round(F.col("dist_m") / F.col("lap_s") * 3.6, 3).alias("mean_kmh"))
+    return laps.select("rec", "lap_id", rounded(F.col("v_max") * 3.6, 3).alias("vmax_kmh"), rounded(F.col("v_min") * 3.6, 3).alias("vmin_kmh"), rounded(F.col("dist_m") / F.col("lap_s") * 3.6, 3).alias("mean_kmh"))
 
 
 def spreads(times: DataFrame, part: str, value: str) -> DataFrame:
     """(rec, part, n, sigma, median, loss, score) over laps, for sectors or corners; those seen once are left out."""
     a = times.groupBy("rec", part).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("s"), F.median(value).alias("m"), F.min(value).alias("b")).where("n > 1")
-    return a.select("rec", part, "n", F.round("s", 4).alias("sigma_s"), F.round("m", 4).alias("median_s"), F.round(F.col("m") - F.col("b"), 4).alias("loss_s"), F.round(F.col("s") * (F.col("m") - F.col("b")), 6).alias("score"))
+    return a.select("rec", part, "n", rounded("s", 4).alias("sigma_s"), rounded("m", 4).alias("median_s"), rounded(F.col("m") - F.col("b"), 4).alias("loss_s"), rounded(F.col("s") * (F.col("m") - F.col("b")), 6).alias("score"))
 
 
 def ranked(spreads_: DataFrame, part: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CONFIG
+from ..functions.scalars import rounded
 from .house import along, runs, smooth
 
 REC = ["rec"]
@@ -30,7 +31,7 @@ def gate_fraction(trace: DataFrame) -> DataFrame:
     """(rec, fixes, dropped, fraction): the share of moving fixes that the gate drops."""
     moving = F.col("v") > CONFIG.moving_mps
     a = trace.groupBy(*REC).agg(F.count("*").alias("fixes"), F.count_if(moving & ~quality_ok()).alias("dropped"), F.count_if(moving).alias("moving"))
-    return a.select("rec", "fixes", "dropped", F.round(F.when(F.col("moving") > 0, F.col("dropped") / F.col("moving")).otherwise(0.0), 6).alias("fraction"))
+    return a.select("rec", "fixes", "dropped", rounded(F.when(F.col("moving") > 0, F.col("dropped") / F.col("moving")).otherwise(0.0), 6).alias("fraction"))
 
 
 def timing_quality(fractions: DataFrame, media_clock: Column) -> DataFrame:
@@ -113,7 +114,7 @@ def dropouts(trace: DataFrame) -> DataFrame:
     stepped = steps(trace)
     usual = stepped.where("dt > 0 and dt < 1").groupBy(*REC).agg(F.median("dt").alias("usual"))
     long_ = stepped.where(F.col("dt") > CONFIG.dropout_s).join(usual, REC)
-    return long_.select("rec", "seq", F.round(F.col("t") - F.col("dt"), 3).alias("t0"), F.round("t", 3).alias("t1"), F.greatest(F.bround(F.col("dt") / F.col("usual")) - 1, F.lit(1.0)).cast("long").alias("missing"))
+    return long_.select("rec", "seq", rounded(F.col("t") - F.col("dt"), 3).alias("t0"), rounded("t", 3).alias("t1"), F.greatest(F.bround(F.col("dt") / F.col("usual")) - 1, F.lit(1.0)).cast("long").alias("missing"))
 
 
 def odometer(trace: DataFrame) -> DataFrame:
@@ -127,19 +128,19 @@ def odometer(trace: DataFrame) -> DataFrame:
 
 def path_distance(trace: DataFrame) -> DataFrame:
     s = steps(trace)
-    return s.groupBy(*REC).agg(F.round(F.sum(F.sqrt((F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2)), 3).alias("path_m"))
+    return s.groupBy(*REC).agg(rounded(F.sum(F.sqrt((F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2)), 3).alias("path_m"))
 
 
 def moving_time(trace: DataFrame) -> DataFrame:
     """Time in steps of up to a second that begin at speed."""
     ok = (F.col("dt") > 0) & (F.col("dt") <= CONFIG.moving_gap_s) & (F.col("v0") >= CONFIG.moving_clock_mps)
-    return steps(trace).groupBy(*REC).agg(F.round(F.coalesce(F.sum(F.when(ok, F.col("dt"))), F.lit(0.0)), 3).alias("moving_s"))
+    return steps(trace).groupBy(*REC).agg(rounded(F.coalesce(F.sum(F.when(ok, F.col("dt"))), F.lit(0.0)), 3).alias("moving_s"))
 
 
 def bounds(trace: DataFrame) -> DataFrame:
     """The box of a trace and its centre."""
     a = trace.groupBy(*REC).agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))])
-    return a.withColumns({f"mid_{c}": F.round((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2, 6) for c in ("x", "y")})
+    return a.withColumns({f"mid_{c}": rounded((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2, 6) for c in ("x", "y")})
 
 
 def long_g(trace: DataFrame, keys: tuple[str, ...] = ("rec",), order: tuple[str, ...] = ("seq",)) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import laps as lp
+from ..functions.scalars import rounded
 from .house import along, united
 from .lines import same_line
 
@@ -95,4 +96,4 @@ def steps(history: DataFrame) -> DataFrame:
     mid = lambda c: (F.col(f"line.{c}1") + F.col(f"line.{c}2")) / 2
     w = along(REC, "version")
     h = history.withColumns({"_x": mid("x"), "_y": mid("y")})
-    return h.select("rec", "version", F.round(F.sqrt((F.col("_x") - F.lag("_x").over(w)) ** 2 + (F.col("_y") - F.lag("_y").over(w)) ** 2), 4).alias("moved_m"))
+    return h.select("rec", "version", rounded(F.sqrt((F.col("_x") - F.lag("_x").over(w)) ** 2 + (F.col("_y") - F.lag("_y").over(w)) ** 2), 4).alias("moved_m"))

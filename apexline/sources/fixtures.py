@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import rounded
 from . import gpmf, mp4
 from .tables import materialised, new_path
 
@@ -37,7 +38,7 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "rec", "seq", (F.col("seq") * 100 / 1000.0).alias("t"), (F.col("v_cms") / 100.0).alias("v"), (F.col("odo_cm") / 100.0).alias("odo"),
         (F.expr("k * 10 div 9") / 10.0).alias("dop"), F.when((F.col("event_type") == "error") & (F.col("k") < 10), 2).otherwise(3).alias("fix"),
-        F.round(x / 100, 6).alias("x"), F.round(y / 100, 6).alias("y"), F.expr(f"(odo_cm + {LAP_CM - LINE_CM}) div {LAP_CM}").alias("lap_no"),
+        rounded(x / 100, 6).alias("x"), rounded(y / 100, 6).alias("y"), F.expr(f"(odo_cm + {LAP_CM - LINE_CM}) div {LAP_CM}").alias("lap_no"),
     )
 
 

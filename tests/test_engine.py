@@ -143,3 +143,21 @@ def test_empty_trace(spark):
     c = laps.numbered(laps.line_crossings(t, line))
     assert laps.lap_table(laps.laps(t, c)).count() == 0
     assert tr.dropouts(t).count() == 0
+
+
+def test_halves_are_rounded_and_laps_cut_as_in_sql(spark):
+    """Steps of 3 m cross the line at half milliseconds, again and again: SQL's last bit decides, and so does ours."""
+    import duckdb
+
+    from apexline.functions.scalars import crosses, rounded
+
+    cm = [(i, a, s) for i, (a, s) in enumerate((5000 - k, s) for s in (100, 200, 285, 300) for k in range(0, s))]
+    d = spark.createDataFrame(cm, "i long, a long, s long").selectExpr("i", "i * 100 / 1000.0D as t0", "(i + 1) * 100 / 1000.0D as t", "a / 100.0D as x0", "(a + s) / 100.0D as x", "0.0D as y")
+    hit, share = crosses(F.col("x0"), F.col("y"), F.col("x"), F.col("y"), F.struct(*[F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), (50.005, -15.0, 50.005, 15.0), strict=True)]))
+    at = rounded(F.col("t0") + (F.col("t") - F.col("t0")) * share, 3)
+    got = [tuple(r) for r in d.where(hit).select("i", at.alias("at"), rounded(F.col("x0") * share, 4).alias("v"), rounded(-F.col("x0") * share, 4).alias("w")).orderBy("i").collect()]
+    rows_ = ", ".join(f"({i}, {a}, {s})" for i, a, s in cm)
+    want = duckdb.sql(f"with d as (select i, i * 100 / 1000.0::double as t0, (i + 1) * 100 / 1000.0::double as t, a / 100.0::double as x0, (a + s) / 100.0::double as x from (values {rows_}) v(i, a, s)), r as (select *, (50.005::double - x0) / (x - x0) as r from d where (x0 - 50.005) * (x - 50.005) < 0) select i, round(t0 + (t - t0) * r, 3), round(x0 * r, 4), round(-x0 * r, 4) from r order by i").fetchall()
+    assert len(got) > 800 and got == want
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (-0.0001,), (2.5,), (-2.5,), (3.5,)], "v double").select(rounded("v", 0)).collect()
+    assert [str(r[0]) for r in odd] == ["None", "nan", "inf", "0.0", "3.0", "-3.0", "4.0"]
