@@ -83,16 +83,24 @@ def smooth(value: str, keys: Keys, order: str, width: int) -> Column:
 
 
 def boxcar_by(rows: DataFrame, value: str, width: str, keys: Keys, order: str, name: str) -> DataFrame:
-    """``rows`` and :func:`smooth` of ``value`` over as many samples as the key's ``width`` says, from running sums that meet by row number."""
+    """``rows`` and :func:`smooth` of ``value`` over as many samples as the key's ``width`` says, from running sums.
+
+    A key's rows are laid side by side as an array, in which both ends of each window are looked up, so
+    rows that are dealt by key aren't dealt anew or joined; a key is a lap, of some hundred samples.
+    """
     w = along(keys, order)
-    rows = rows.withColumns({"_i": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "_s": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    lo = F.greatest(F.col("_i") - F.expr(f"{width} div 2") - 1, F.lit(0))
-    hi = F.least(F.col("_i") + F.expr(f"({width} - 1) div 2"), F.col("_n"))
-    rows = rows.withColumns({"_lo": lo.cast("int"), "_hi": hi.cast("int")})
-    sums = rows.select(*keys, F.col("_i").cast("int").alias("_at"), F.col("_s").alias("_v"))
-    met = rows.join(sums.withColumnsRenamed({"_at": "_hi", "_v": "_b"}), [*keys, "_hi"]).join(sums.withColumnsRenamed({"_at": "_lo", "_v": "_a"}), [*keys, "_lo"], "left")
-    mean = (F.col("_b") - F.coalesce("_a", F.lit(0.0))) / (F.col("_hi") - F.col("_lo"))
-    return met.withColumn(name, F.when((F.col("_n") >= F.col(width)) & (F.col(width) > 1), mean).otherwise(F.col(value))).drop("_i", "_n", "_s", "_lo", "_hi", "_a", "_b")
+    own = [c for c in rows.columns if c not in keys]
+    summed = rows.withColumns({"_i": F.row_number().over(w), "_s": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    laid = summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_s", *own))).alias("_r"))
+    n = F.size("_r")
+
+    def mean(e: Column) -> Column:
+        lo, hi = F.greatest(e["_i"] - F.shiftright(e[width], 1) - 1, F.lit(0)), F.least(e["_i"] + F.shiftright(e[width] - 1, 1), n)
+        before = F.coalesce(F.get(F.col("_r"), lo - 1)["_s"], F.lit(0.0))
+        return F.when((n >= e[width]) & (e[width] > 1), (F.get(F.col("_r"), hi - 1)["_s"] - before) / (hi - lo)).otherwise(e[value])
+
+    met = laid.select(*keys, F.explode(F.transform("_r", lambda e: F.struct(*[e[c].alias(c) for c in own], mean(e).alias(name)))).alias("_e"))
+    return met.select(*keys, "_e.*")
 
 
 def moving_median(value: str, keys: Keys, order: str, width: int = 5) -> Column:

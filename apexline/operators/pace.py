@@ -143,8 +143,13 @@ def lap_stats(samples: DataFrame, laps: DataFrame, forces: DataFrame, brakes: Da
     )
 
 
+def lap_vmax(samples: DataFrame) -> DataFrame:
+    """(rec, lap_id, vmax_kmh): the top speed of each lap."""
+    return samples.groupBy("rec", "lap_id").agg((F.max("v") * 3.6).alias("vmax_kmh"))
+
+
 def tops(stats: DataFrame, coasts: DataFrame) -> DataFrame:
-    """(rec, vmax_kmh, vmax_lap, longest_coast_s): a recording's top speed and the first lap that has it, and its longest coast (0 without any)."""
+    """(rec, vmax_kmh, vmax_lap, longest_coast_s), from laps (rec, lap_id, vmax_kmh): a recording's top speed and the first lap that has it, and its longest coast (0 without any)."""
     top = stats.groupBy(*REC).agg(F.min(F.struct((-F.col("vmax_kmh")).alias("v"), "lap_id")).alias("p"))
     longest = coasts.groupBy(*REC).agg(F.max("seconds").alias("s"))
     return top.join(longest, REC, "left").select("rec", (-F.col("p.v")).alias("vmax_kmh"), F.col("p.lap_id").alias("vmax_lap"), F.coalesce("s", F.lit(0.0)).alias("longest_coast_s"))

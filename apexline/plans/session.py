@@ -152,7 +152,8 @@ class Session:
 
     @cached_property
     def thresholds(self) -> DataFrame:
-        return driving.brake_threshold(self.g_trace)
+        """(rec, theta), a small table that brakes and coasts are both found with."""
+        return materialised(driving.brake_threshold(self.g_trace), "thresholds")
 
     def deltas(self) -> DataFrame:
         return delta.to_baseline(self.grid, self.best)

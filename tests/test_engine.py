@@ -161,3 +161,27 @@ def test_halves_are_rounded_and_laps_cut_as_in_sql(spark):
     assert len(got) > 800 and got == want
     odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (-0.0001,), (2.5,), (-2.5,), (3.5,)], "v double").select(rounded("v", 0)).collect()
     assert [str(r[0]) for r in odd] == ["None", "nan", "inf", "0.0", "3.0", "-3.0", "4.0"]
+
+
+def test_means_by_key_are_those_of_a_loop_without_a_join(spark):
+    """Windows as wide as each key says, laid over its own rows: nothing is joined or dealt anew."""
+    values = {k: [float((i * i * 7 + k) % 13) for i in range(n)] for k, n in ((1, 9), (2, 4), (3, 6), (4, 1))}
+    wide = {1: 4, 2: 5, 3: 1, 4: 1}
+    d = spark.createDataFrame([(k, 2 * i, v, wide[k]) for k, vs in values.items() for i, v in enumerate(vs)], "k int, o int, v double, w int")
+    made = house.boxcar_by(d, "v", "w", ["k"], "o", "m")
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.k, r.o): r.m for r in made.collect()}
+    for k, vs in values.items():
+        for i, v in enumerate(vs):
+            near = vs[max(i - wide[k] // 2, 0) : i + (wide[k] - 1) // 2 + 1]
+            assert got[k, 2 * i] == pytest.approx(sum(near) / len(near) if len(vs) >= wide[k] > 1 else v)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_session_tops_need_no_brakes(spark, monkeypatch):
+    """Top speeds and coasts are made without corners and brake events."""
+    from apexline.operators import driving
+
+    monkeypatch.setattr(driving, "brake_events", None)
+    monkeypatch.setattr(corners, "detect", None)
+    assert QUERIES["session_tops"](spark, SF).count() > 0
