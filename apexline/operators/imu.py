@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..sources.tables import materialised
 from .house import along, boxcar, interp_join, known_after, known_before, moving_median, uniform_gradient, united, unwrap
 
 REC = ["rec"]
@@ -71,6 +72,8 @@ def horizontal(imu: DataFrame, keys: list[str] = REC) -> DataFrame:
     world = rotated_back("q", *[F.col(c) - CONFIG.g * F.col(f"g{c}") for c in "yxz"])
     down = rotated_back("q", F.col("gy"), F.col("gx"), F.col("gz"))
     both = both.select(*keys, "t", *[a.alias(f"a{c}") for a, c in zip(world, "xyz", strict=True)], *[a.alias(f"d{c}") for a, c in zip(down, "xyz", strict=True)])
+    # Read for the mean and for the axes: as a table, or the streams would meet twice.
+    both = materialised(both, "world")
     mean = both.groupBy(*keys).agg(*[F.avg(f"d{c}").alias(f"m{c}") for c in "xyz"])
     size = F.sqrt(F.col("mx") ** 2 + F.col("my") ** 2 + F.col("mz") ** 2)
     mean = mean.select(*keys, *[(F.col(f"m{c}") / size).alias(f"m{c}") for c in "xyz"])
@@ -114,6 +117,7 @@ def fitted(flat: DataFrame, gps: DataFrame, keys: list[str] = REC) -> DataFrame:
     """
     at = interp_join(flat, gps.where(F.col("v") > CONFIG.brake_moving_mps).select(*keys, "t", "lat_g", "long_g", "heading"), keys, "t", ["h1", "h2"]).where("h1 is not null and h2 is not null")
     at = at.withColumns({"_e": F.col("long_g") * F.cos("heading") - F.col("lat_g") * F.sin("heading"), "_n": F.col("long_g") * F.sin("heading") + F.col("lat_g") * F.cos("heading")})
+    at = materialised(at, "met")
     hands = at.withColumn("hand", F.explode(F.array(F.lit(1.0), F.lit(-1.0)))).withColumns({"_p": F.col("h1") / CONFIG.g, "_q": F.col("h2") * F.col("hand") / CONFIG.g})
     sums = hands.groupBy(*keys, "hand").agg(F.count("*").alias("n"), F.sum(F.col("_p") * F.col("_e") + F.col("_q") * F.col("_n")).alias("_c"), F.sum(F.col("_p") * F.col("_n") - F.col("_q") * F.col("_e")).alias("_s"))
     size = F.sqrt(F.col("_c") ** 2 + F.col("_s") ** 2)

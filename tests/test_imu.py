@@ -53,3 +53,10 @@ def test_mounting_is_recovered(spark, with_imu):
     if with_imu:
         f = fit.first()
         assert f.ok and f.r_lat > 0.99 and f.r_long > 0.9
+
+
+def test_streams_meet_once(spark):
+    """The joined streams are read twice, for gravity's mean and for the axes, so they are a table and not made twice."""
+    rows = [(1, i / 10, s, w, x, y, z) for i in range(8) for s, w, x, y, z in (("ACCL", None, 1.0, 2.0, 9.8), ("GRAV", None, 0.0, 0.0, 1.0), ("CORI", 1.0, 0.0, 0.0, 0.0))]
+    flat = imu.horizontal(spark.createDataFrame(rows, "rec int, t double, stream string, w double, x double, y double, z double"))
+    assert "Union" not in flat._jdf.queryExecution().optimizedPlan().toString() and flat.count() == 8
