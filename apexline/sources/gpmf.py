@@ -37,6 +37,21 @@ def items(data: bytes) -> Iterator[tuple[str, str, int, int, bytes]]:
         at = end + -end % 4
 
 
+def _numbers(kinds: str, size: int, n: int, body: bytes) -> np.ndarray | None:
+    """The rows of ``n`` elements of these number types; None if the types don't make up an element's size."""
+    kinds = "".join(c for c in kinds if c in NUMBERS)
+    if not n or not kinds:
+        return None
+    if len(set(kinds)) == 1:
+        one = np.dtype(NUMBERS[kinds[0]])
+        return np.frombuffer(body, one, n * len(kinds)).reshape(n, len(kinds)).astype(float) if one.itemsize * len(kinds) == size else None
+    row = np.dtype([(str(i), NUMBERS[c]) for i, c in enumerate(kinds)])
+    if row.itemsize != size:
+        return None
+    table = np.frombuffer(body, row, n)
+    return np.stack([table[c].astype(float) for c in row.names], axis=1)
+
+
 def streams(data: bytes) -> Iterator[tuple[str, np.ndarray, dict]]:
     """(key, scaled rows of numbers, what the stream says besides) of each known stream."""
     for _, kind, _, _, inner in items(data):
@@ -57,10 +72,8 @@ def streams(data: bytes) -> Iterator[tuple[str, np.ndarray, dict]]:
                     said["scale"] = np.frombuffer(body, NUMBERS[k]).astype(float)
                 elif name in (*MOTION, "GPS5", "GPS9"):
                     kinds = said.get("types", "") if k == "?" else k * (size // max(1, np.dtype(NUMBERS.get(k, "u1")).itemsize))
-                    row = np.dtype([(str(i), NUMBERS[c]) for i, c in enumerate(kinds) if c in NUMBERS])
-                    if n and row.itemsize == size and row.names:
-                        table = np.frombuffer(body, row, n)
-                        values = np.stack([table[c].astype(float) for c in row.names], axis=1)
+                    values = _numbers(kinds, size, n, body)
+                    if values is not None:
                         scale = said.get("scale", np.ones(1))
                         yield name, values / (scale if len(scale) in (1, values.shape[1]) else 1), said
 
@@ -70,22 +83,37 @@ def fixes(payloads: DataFrame) -> DataFrame:
 
     GPS9 fixes carry their own time and quality; the fixes of a GPS5 payload all
     get the time that it names (null without one), and their quality is unknown (-1).
+    A batch's columns are put together from its streams' tables, not fix by fix.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64()}[t]) for n, t in (c.split() for c in FIXES.split(", "))])
         for batch in batches:
-            rows = []
-            for rec, chapter, a, b, data in zip(*(batch.column(c).to_pylist() for c in ("rec", "chapter", "t_in", "t_out", "payload")), strict=True):
+            heads, tables, texts = [], [], []
+            for row, data in enumerate(batch.column("payload").to_pylist()):
                 for key, v, said in streams(data or b""):
                     n, width = v.shape
-                    for i in range(n) if key == "GPS9" and width >= 7 else ():
-                        ms = int(DAYS_FROM_MS + v[i, 5] * 86_400_000 + v[i, 6] * 1000)
-                        rows.append((rec, chapter, i, n, a + (b - a) * i / n, *v[i, :5], ms, None, v[i, 7] if width > 7 else -1.0, int(v[i, 8]) if width > 8 else -1))
-                    for i in range(n) if key == "GPS5" and width >= 5 else ():
-                        rows.append((rec, chapter, i, n, a + (b - a) * i / n, *v[i, :5], None, said.get("utc"), -1.0, -1))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    if n and (key == "GPS9" and width >= 7 or key == "GPS5" and width >= 5):
+                        # Place, speeds, day, second, dop and fix; a GPS5 fix has no day and second, what isn't known is -1.
+                        full = np.full((n, 9), -1.0)
+                        own = min(width, 9) if key == "GPS9" else 5
+                        full[:, :own] = v[:, :own]
+                        heads.append((row, n, key == "GPS9"))
+                        tables.append(full)
+                        texts.append(None if key == "GPS9" else said.get("utc"))
+            if not heads:
+                continue
+            rows, counts, timed = (np.array(c) for c in zip(*heads, strict=True))
+            v, n, at = np.concatenate(tables), np.repeat(counts, counts), np.repeat(rows, counts)
+            k = np.arange(len(v)) - np.repeat(np.cumsum(counts) - counts, counts)
+            a, b = (batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("t_in", "t_out"))
+            known, ms = np.repeat(timed, counts), np.zeros(len(v))
+            ms[known] = DAYS_FROM_MS + v[known, 5] * 86_400_000 + v[known, 6] * 1000
+            columns = [
+                *[batch.column(c).take(pa.array(at)) for c in ("rec", "chapter")], pa.array(k, pa.int32()), pa.array(n, pa.int32()), pa.array(a + (b - a) * k / n), *[pa.array(np.ascontiguousarray(v[:, i])) for i in range(5)],
+                pa.array(ms.astype(np.int64), mask=~known), pa.array(texts, pa.string()).take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(np.ascontiguousarray(v[:, 7])), pa.array(v[:, 8].astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     raw = payloads.select(F.col("rec").cast("string").alias("rec"), F.col("chapter").cast("int").alias("chapter"), F.col("t_in").cast("double").alias("t_in"), F.col("t_out").cast("double").alias("t_out"), "payload")
     named = F.unix_millis(F.try_to_timestamp(F.concat("utc", F.lit("Z")), F.lit("yyMMddHHmmss.SSSX")))

@@ -164,12 +164,17 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def table(files: DataFrame) -> DataFrame:
     """(path, n, offset, size, t_in, t_out): the samples of the metadata tracks of ``files`` (path), read on the executors."""
-    return files.select("path").where("path is not null").distinct().mapInArrow(_indexed, "path string, n int, offset long, size long, t_in double, t_out double")
+    return _dealt(files.select("path").where("path is not null")).distinct().mapInArrow(_indexed, "path string, n int, offset long, size long, t_in double, t_out double")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by path into as many parts as shuffles have: paths are short, and by their bytes few tasks would open all files."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
 def payloads(files: DataFrame) -> DataFrame:
     """(path, n, t_in, t_out, payload) of ``files`` (path)."""
-    slots = table(files).groupBy("path", F.floor(F.col("offset") / SLOT).alias("slot")).agg(F.collect_list(F.struct("offset", "size", "n", "t_in", "t_out")).alias("rows"))
+    slots = _dealt(table(files)).groupBy("path", F.floor(F.col("offset") / SLOT).alias("slot")).agg(F.collect_list(F.struct("offset", "size", "n", "t_in", "t_out")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -315,3 +315,33 @@ def test_tracks_at_shared_spots(spark, monkeypatch):
     got = {r.place: (r.track, r.distance_m) for r in library.detect(places, known).collect()}
     assert len(got) == 2000 and got[0] == ("t597", 0.0) and got[1] == ("t598", 0.0) and got[2] == ("t599", 0.0) and got[3][0] == "t599"
     assert compared == [(4, 3), (4, 3)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_camera_files_of_more_than_ten_thousand_recordings(spark, tmp_path):
+    import duckdb
+
+    from apexline.plans.oracle import ORACLE
+    from apexline.plans.queries import QUERIES
+
+    c = duckdb.connect()
+    c.sql(f"copy (select event_id + 1000 * k as event_id, ts, user_id + 250000 * k as user_id, event_type, value, props from '/root/testdata/sf0.001/events.parquet', range(0, 2) t(k)) to '{tmp_path}/events.parquet'")
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    for name in ("camera_payloads", "camera_seek"):
+        df, want = QUERIES[name](spark, str(tmp_path)), c.sql(ORACLE[name])
+        got = sorted(map(tuple, df.select(*want.columns).collect()))
+        assert {r[want.columns.index("rec")] for r in got} == {0, 10_000}, name
+        assert got == sorted(want.fetchall()), name
+
+
+def test_fixes_of_payloads_of_both_kinds_in_one_batch(spark):
+    nine = gpmf.packed("SCAL", "l", np.array([10, 10, 1, 1, 1, 1, 1000, 100, 1])) + gpmf.packed("GPS9", "l", np.array([[500, 70, 1, 2, 3, 1, 1500, 250, 3], [510, 71, 4, 5, 6, 1, 2500, 250, 2]]))
+    five = gpmf.packed("SCAL", "l", np.array([10])) + gpmf.packed("GPS5", "l", np.array([[500, 70, 10, 20, 30]]))
+    held = [gpmf.nested("DEVC", gpmf.nested("STRM", s)) for s in (nine, five)]
+    rows = [("a", 1, 0.0, 1.0, held[0]), ("a", 1, 1.0, 2.0, None), ("b", 2, 2.0, 3.0, held[1])]
+    got = sorted(map(tuple, gpmf.fixes(spark.createDataFrame(rows, "rec string, chapter int, t_in double, t_out double, payload binary").coalesce(1)).collect()))
+    day = 946_684_800_000 + 86_400_000
+    assert got == [
+        ("a", 1, 0, 2, 0.0, 50.0, 7.0, 1.0, 2.0, 3.0, day + 1500, 2.5, 3), ("a", 1, 1, 2, 0.5, 51.0, 7.1, 4.0, 5.0, 6.0, day + 2500, 2.5, 2),
+        ("b", 2, 0, 1, 2.0, 50.0, 7.0, 1.0, 2.0, 3.0, None, -1.0, -1),
+    ]
