@@ -31,6 +31,7 @@ table gives an empty file.  No text is cut.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
@@ -184,6 +185,25 @@ _SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}
 _BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
+_loaded: dict[tuple, object] = {}
+
+
+def _library(path: str):
+    """The tokenizer of a file, read once by a process.
+
+    Version 0.23 of the library keeps a cache of each tokenizer that a thread has used until the thread
+    ends: a worker that read the file anew for each task grew by some 4 MB a task.
+    """
+    from tokenizers import Tokenizer
+
+    found = os.stat(path)
+    key = (path, found.st_mtime_ns, found.st_size)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Tokenizer.from_file(path)
+    return _loaded[key]
+
+
 class Encoder:
     """Ids of UTF-8 texts, equal to the library's ``encode(text, add_special_tokens=False)``.
 
@@ -194,13 +214,9 @@ class Encoder:
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        import os
-
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.remembered = remembered
-        self.library = Tokenizer.from_file(path)
+        self.library = _library(path)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()

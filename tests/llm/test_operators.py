@@ -130,6 +130,31 @@ def test_payloads():
         assert (tokens.decode(p, len(a), 1000, 2100) == a[1000:2100]).all()
 
 
+def test_a_worker_does_not_grow_by_its_token_tasks():
+    import subprocess
+    import sys
+
+    code = """
+import ctypes, gc, re
+import numpy as np
+from apexline.llm import tokens
+
+def held(task):
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    data = np.frombuffer(" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}ab{chr(97 + task)}" for i in range(9000)).encode(), np.uint8)
+    encoder(data, np.array([0, len(data)]))
+    del encoder, data
+    gc.collect()
+    ctypes.CDLL(None).malloc_trim(0)
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+grown = [held(task) for task in range(14)]
+print(grown[-1] - grown[3])
+"""
+    grown = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 8, f"{grown} MB in ten tasks"
+
+
 def test_tokens(docs, pairs, empty):
     import zlib
 
