@@ -185,3 +185,26 @@ def test_session_tops_need_no_brakes(spark, monkeypatch):
     monkeypatch.setattr(driving, "brake_events", None)
     monkeypatch.setattr(corners, "detect", None)
     assert QUERIES["session_tops"](spark, SF).count() > 0
+
+
+@pytest.fixture(scope="module")
+def regrouped(tmp_path_factory):
+    """sf0.1's events of recording 0, and of three copies' recordings whose laps begin at half milliseconds."""
+    import duckdb
+
+    folder = str(tmp_path_factory.mktemp("regrouped"))
+    source = "read_parquet('/root/testdata/sf0.1/events.parquet')"
+    duckdb.sql(f"select * from {source} where user_id < 25 union all select * replace (event_id + 100000 as event_id, user_id + 1501 as user_id) from {source} where (user_id + 1501) // 25 in (98, 106, 116)").write_parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["brake_events_merged", "brake_points", "corner_bests", "corner_deltas", "corner_deltas_reference", "corner_detect", "corner_markers", "corner_projection", "corner_projection_drifted", "corner_report", "corner_spreads", "corner_stats"])
+def test_laps_that_begin_at_half_milliseconds_have_the_corners_of_the_sql(spark, regrouped, name):
+    import duckdb
+
+    df, c = QUERIES[name](spark, regrouped), duckdb.connect()
+    c.sql(f"create view events as select * from '{regrouped}/events.parquet'")
+    cols = sorted(df.columns)
+    want = sorted(c.sql(ORACLE[name]).select(*[f'"{x}"' for x in cols]).fetchall(), key=str)
+    assert want and rows(df, *cols) == want
