@@ -208,3 +208,26 @@ def test_laps_that_begin_at_half_milliseconds_have_the_corners_of_the_sql(spark,
     cols = sorted(df.columns)
     want = sorted(c.sql(ORACLE[name]).select(*[f'"{x}"' for x in cols]).fetchall(), key=str)
     assert want and rows(df, *cols) == want
+
+
+@pytest.fixture(scope="module")
+def lengthened(tmp_path_factory):
+    """Four recordings of sf0.1 with all events six times, so that speeds stay for six samples and recordings are six times as long."""
+    import duckdb
+
+    folder = str(tmp_path_factory.mktemp("lengthened"))
+    source = "read_parquet('/root/testdata/sf0.1/events.parquet')"
+    duckdb.sql(f"select * exclude k replace (event_id + 100000 * k as event_id) from {source}, range(0, 6) r(k) where user_id // 25 in (0, 1, 20, 51)").write_parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["brake_events_merged", "brake_points", "corner_bests", "corner_deltas", "corner_deltas_reference", "corner_detect", "corner_markers", "corner_projection", "corner_projection_drifted", "corner_report", "corner_spreads", "corner_stats"])
+def test_long_recordings_have_the_corners_of_the_sql(spark, lengthened, name):
+    import duckdb
+
+    df, c = QUERIES[name](spark, lengthened), duckdb.connect()
+    c.sql(f"create view events as select * from '{lengthened}/events.parquet'")
+    cols = sorted(df.columns)
+    want = sorted(c.sql(ORACLE[name]).select(*[f'"{x}"' for x in cols]).fetchall(), key=str)
+    assert want and rows(df, *cols) == want
