@@ -317,6 +317,30 @@ def test_tracks_at_shared_spots(spark, monkeypatch):
     assert compared == [(4, 3), (4, 3)]
 
 
+def test_pairs_at_shared_spots_come_from_lists(spark):
+    """Joins give a track once for each list of places near it, not once for each place; repeated rows, nulls and more columns stay."""
+
+    def joined(node):
+        name = node.nodeName()
+        below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+        return max([node.metrics().apply("numOutputRows").value() if "Join" in name else 0, *map(joined, below)])
+
+    places = spark.range(400).selectExpr("id as place", "45 + id % 4 / 1000.0D as lat", "7.0D as lon", "500.0D + id % 2 as diag", "id * 2 as twice")
+    known = spark.range(150).selectExpr("format_string('t%03d', id) as track", "45 + id % 3 / 1000.0D as k_lat", "7.0D as k_lon", "600.0D as k_diag")
+    pairs = library.same_track(places, known)
+    assert len(pairs.collect()) == 400 * 150
+    assert joined(pairs._jdf.queryExecution().executedPlan()) <= 150 * 4
+    few = places.where("place < 50")
+    few = few.union(few.where("place < 10")).union(spark.sql("select null, 45.0D, 7.0D, 500.0D, 5L")).union(spark.sql("select 99L, null, 7.0D, 500.0D, 5L")).union(spark.sql("select 98L, 45.0D, -0.0D, 500.0D, 5L"))
+    tracks = known.where("track < 't009'").union(known.where("track < 't002'")).union(spark.sql("select 'zero', 45.0D, 0.0D, 600.0D")).union(spark.sql("select null, 45.0D, 7.0D, 600.0D"))
+    want = sorted(map(str, few.join(tracks, (F.abs(F.col("lat") - F.col("k_lat")) < 0.005) & (F.col("lon") == F.col("k_lon"))).select("place", "track", "twice", "lat", "k_lat").collect()))
+    whole = pairs.columns
+    for most, salts in ((4096, 4), (7, 3), (1, 1)):
+        got = library.same_track(few, tracks, most, salts)
+        assert sorted(got.columns) == sorted(whole) == sorted({*places.columns, *known.columns, "distance_m", "ratio"})
+        assert sorted(map(str, got.select("place", "track", "twice", "lat", "k_lat").collect())) == want, (most, salts)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
 def test_camera_files_of_more_than_ten_thousand_recordings(spark, tmp_path):
     import duckdb
