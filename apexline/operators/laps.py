best_rolling_lap meets laps in blocks of samples instead of dealing pairs

Symptom: best_rolling_lap shuffled 84 MB written and 84 MB read for 100,000 events in the profiler, 677 MB at six times that size.
Evidence: at six times, 5.1 million exploded pairs were dealt by sample number for the join (169 MB) and 4.4 million met pairs again by anchor with 14 columns (374 MB); the samples were dealt over for the middle and for the count of the next lap.
Fix: a sample of the first lap joins the one block of sample numbers that it can meet, the anchor's columns travel in the sweep that finds its middle, neighbours are laid beside a sample after it is dealt, and of the pairs only those no neighbour is nearer than go on to the pick, which needs no exchange.
Effect: at 1 GB of input CPU 978 -> 475 s, shuffle 7.48 -> 1.08 GB, spill 0.00 -> 0.00 GB, read 0.32 -> 0.19 GB, longest task 12 -> 10 s, most memory of a task 440 -> 269 MB; at 6 GB of input CPU 3753 -> 1312 s, shuffle 47.93 -> 6.51 GB, spill 0.00 -> 0.00 GB, read 2.03 -> 1.26 GB, longest task 21 -> 28 s, most memory of a task 839 -> 839 MB; with hot keys, at 1 GB of input CPU 949 -> 475 s, shuffle 7.64 -> 1.10 GB, spill 0.00 -> 0.00 GB, read 0.36 -> 0.21 GB, longest task 13 -> 14 s, most memory of a task 537 -> 537 MB.

@@ -239,28 +239,32 @@ def rolling_best(samples: DataFrame, laps_: DataFrame) -> DataFrame:
 
     Both laps are valid and without dropouts.  A sample of the first meets those of the second that are
     within AROUND samples of its share of the distance, of like direction; the nearest is refined on
-    the steps beside it, and must be within MATCH_M metres.  They meet by sample number: an equi-join.
+    the steps beside it, and must be within MATCH_M metres.  They meet in blocks of sample numbers that are as wide as
+    what a sample meets, so it is an equi-join in which one of the first is in one block, and one of the second in two.
     """
     ok = clean(laps_).select(*LAP)
     s = headed(samples.join(ok, LAP, "left_semi")).where("n >= 2")
-    w = along(LAP, "i")
-    beside = {f"{c}{k}": f(c).over(w) for c in ("x", "y", "t") for k, f in (("_", F.lag), ("__", F.lead))}
-    second = s.withColumns(beside)
-    # The first sample of the second lap at or beyond an anchor's share: a sweep.
-    nxt = s.select("rec", (F.col("lap_id") - 1).alias("lap_id"), "share", F.lit(0).alias("k"), F.lit(None).cast("int").alias("a"))
-    both = united(nxt, s.select(*LAP, "share", F.lit(-1).alias("k"), F.col("i").alias("a")))
-    before = F.count_if(F.col("k") == 0).over(along(LAP, "share", "k").rowsBetween(Window.unboundedPreceding, 0))
-    centre = both.withColumn("c", before).where("k = -1").select(*LAP, F.col("a").alias("i"), "c")
-    many = s.groupBy(*LAP).agg(F.count("*").alias("m")).select("rec", (F.col("lap_id") - 1).alias("lap_id"), "m")
-    anchors = s.join(centre, [*LAP, "i"]).join(many, LAP)
-    half = F.greatest(F.lit(AROUND), F.floor(F.col("m") * AROUND_SHARE)).cast("int")
-    middle = F.least(F.col("c"), F.col("m") - 1).cast("int")
-    anchors = anchors.withColumn("j", F.explode(F.sequence(F.greatest(middle - half, F.lit(0)), F.least(middle + half, F.col("m").cast("int") - 1))))
-    anchors = anchors.select(*LAP, "i", "j", F.col("t").alias("at"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("hx").alias("ahx"), F.col("hy").alias("ahy"))
-    other = second.select("rec", (F.col("lap_id") - 1).alias("lap_id"), F.col("i").alias("j"), "x", "y", "t", "hx", "hy", *beside)
-    met = anchors.join(other, [*LAP, "j"]).where(F.col("ahx") * F.col("hx") + F.col("ahy") * F.col("hy") >= MATCH_COS)
-    d2 = (F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2
-    near = met.groupBy(*LAP, "i").agg(F.min(F.struct(d2.alias("d2"), "j", "at", "ax", "ay", "x", "y", "t", *beside)).alias("p")).select("rec", "p.*")
+    half = lambda n: F.greatest(F.lit(AROUND), F.floor(F.col(n) * AROUND_SHARE)).cast("int")
+    # The steps beside what a sample meets are in its block too.
+    block = lambda i, n: F.floor(i / (2 * half(n) + 3)).cast("int")
+    # The first sample of the second lap at or beyond an anchor's share: a sweep of the second lap, for which each sample is one of its own (k 0) and the next lap's anchor (k -1).
+    roles = F.explode(F.array(F.struct((F.col("lap_id") + 1).alias("second"), F.lit(-1).alias("k")), F.struct(F.col("lap_id").alias("second"), F.lit(0).alias("k"))))
+    own = [F.when(F.col("_r.k") == -1, F.col(c)).alias(n) for c, n in (("i", "i"), ("t", "at"), ("x", "ax"), ("y", "ay"), ("hx", "ahx"), ("hy", "ahy"))]
+    both = s.select("*", roles.alias("_r")).select("rec", F.col("_r.second").alias("lap_id"), F.col("_r.k").alias("k"), "share", *own)
+    later = F.count_if(F.col("k") == 0)
+    both = both.withColumns({"c": later.over(along(LAP, "share", "k").rowsBetween(Window.unboundedPreceding, 0)), "m": later.over(Window.partitionBy(*LAP))})
+    anchors = both.where("k = -1 and m > 0").withColumn("middle", F.least(F.col("c"), F.col("m") - 1).cast("int"))
+    anchors = anchors.select(*LAP, "i", "middle", half("m").alias("half"), block(F.col("middle"), "m").alias("block"), "at", "ax", "ay", "ahx", "ahy")
+    first, last = F.greatest(F.col("i") - half("n") - 1, F.lit(0)), F.least(F.col("i") + half("n") + 1, F.col("n") - 1)
+    other = s.select(*LAP, F.col("i").alias("j"), "x", "y", "t", "hx", "hy", F.explode(F.sequence(block(first, "n"), block(last, "n"))).alias("block"))
+    w = along([*LAP, "block"], "j")
+    # Dealt by block before its steps are laid beside it, or they would be shuffled with it.
+    other = other.repartition(*LAP, "block").withColumns({f"{c}{k}": f(c).over(w) for c in ("x", "y", "t", "hx", "hy") for k, f in (("_", F.lag), ("__", F.lead))})
+    meets = lambda j, k: (F.abs(j - F.col("middle")) <= F.col("half")) & (F.col("ahx") * F.col(f"hx{k}") + F.col("ahy") * F.col(f"hy{k}") >= MATCH_COS)
+    d2 = lambda k: (F.col(f"x{k}") - F.col("ax")) ** 2 + (F.col(f"y{k}") - F.col("ay")) ** 2
+    # The nearest is among those that no neighbour which is met too is nearer than: only these few are sorted.
+    passed = lambda step, k: F.coalesce(meets(F.col("j") + step, k) & (d2(k) < d2("")), F.lit(False))
+    met = anchors.join(other, [*LAP, "block"]).where(meets(F.col("j"), "") & ~passed(-1, "_") & ~passed(1, "__"))
 
     def on(a: str, b: str) -> tuple[Column, Column]:
         """(squared distance, time) of the anchor's foot on the step from the point with suffix ``a`` to that with ``b``."""
@@ -271,7 +275,9 @@ def rolling_best(samples: DataFrame, laps_: DataFrame) -> DataFrame:
         return (at("x", a) + u * vx - F.col("ax")) ** 2 + (at("y", a) + u * vy - F.col("ay")) ** 2, at("t", a) + u * (at("t", b) - at("t", a))
 
     (d_lo, t_lo), (d_hi, t_hi) = on("_", ""), on("", "__")
-    loops = near.where(F.least(d_lo, d_hi) <= MATCH_M**2).groupBy(*REC).agg(F.min(F.when(d_lo <= d_hi, t_lo).otherwise(t_hi) - F.col("at")).alias("w"))
+    feet = met.select(*LAP, "block", "i", d2("").alias("d2"), "j", F.least(d_lo, d_hi).alias("off"), (F.when(d_lo <= d_hi, t_lo).otherwise(t_hi) - F.col("at")).alias("loop"))
+    near = feet.groupBy(*LAP, "block", "i").agg(F.min(F.struct("d2", "j", "off", "loop")).alias("p"))
+    loops = near.where(F.col("p.off") <= MATCH_M**2).groupBy(*REC).agg(F.min("p.loop").alias("w"))
     return best(laps_).join(loops, REC, "left").select("rec", rounded(F.least("lap_s", F.coalesce("w", "lap_s")), 4).alias("rolling_s"))
 
 

@@ -187,6 +187,85 @@ def test_session_tops_need_no_brakes(spark, monkeypatch):
     assert QUERIES["session_tops"](spark, SF).count() > 0
 
 
+def _rolling_loop(rows_, laps_, best):
+    """:func:`laps.rolling_best` of one recording in plain loops; rows (lap, t, dist, x, y)."""
+    lap = {}
+    for n in laps_:
+        p = sorted((r[1:] for r in rows_ if r[0] == n), key=lambda r: r[:2])
+        top, made = max(r[1] for r in p), []
+        for i, (t, d, x, y) in enumerate(p):
+            (ax, ay), (bx, by) = (p[max(i - 1, 0)][2:], p[min(i + 1, len(p) - 1)][2:])
+            half = 2 if 0 < i < len(p) - 1 else 1
+            known = None not in (ax, ay, bx, by)
+            gx, gy = ((bx - ax) / half, (by - ay) / half) if known else (0.0, 0.0)
+            size = math.hypot(gx, gy)
+            made.append((t, x, y, gx / size if size else 0.0, gy / size if size else 0.0, d / top))
+        lap[n] = made
+    found = []
+    for n, own in lap.items():
+        other = lap.get(n + 1)
+        if not other:
+            continue
+        m = len(other)
+        half = max(5, math.floor(m * 0.02))
+        for t, x, y, hx, hy, share in own:
+            middle = min(sum(o[5] < share for o in other), m - 1)
+            near = [(-1 if None in (o[1], o[2], x, y) else (o[1] - x) ** 2 + (o[2] - y) ** 2, j) for j, o in enumerate(other) if abs(j - middle) <= half and hx * o[3] + hy * o[4] >= 0.5]
+            if not near or min(near)[0] < 0:
+                continue
+            j, feet = min(near)[1], []
+            for a, b in ((max(j - 1, 0), j), (j, min(j + 1, m - 1))):
+                if None in (*other[a][1:3], *other[b][1:3]):
+                    continue
+                vx, vy = other[b][1] - other[a][1], other[b][2] - other[a][2]
+                l2 = vx * vx + vy * vy
+                u = min(max(((x - other[a][1]) * vx + (y - other[a][2]) * vy) / l2, 0.0), 1.0) if l2 > 0 else 0.0
+                feet.append(((other[a][1] + u * vx - x) ** 2 + (other[a][2] + u * vy - y) ** 2, other[a][0] + u * (other[b][0] - other[a][0])))
+            off, at = min(feet, key=lambda f: f[0], default=(math.inf, 0.0))
+            if off <= 9:
+                found.append(at - t)
+    return round(min([best, *found]), 4)
+
+
+def test_rolling_laps_are_those_of_a_loop_and_no_pair_is_dealt(spark):
+    """Short and long laps, standing still, a lap that is missing, rows that come twice, places that aren't known and recordings without a key; plain samples are dealt, not pairs by sample number."""
+    import random
+    import re
+
+    deal, samples, facts, want = random.Random(5), [], [], {}
+    for rec, sizes in enumerate([(120, 131, 90, 140), (700, 650), (30, 25, 28, 33), (40,), (60, 70), (80, 85)]):
+        t, rows_ = 0.0, []
+        for n, size in enumerate(sizes):
+            paces = [deal.choice((0.0, 1.0, 1.0, 2.0)) for _ in range(size)] + [1.0]
+            done = 0.0
+            for p in paces:
+                a = 2 * math.pi * done / sum(paces)
+                rows_.append((n, round(t, 1), done, 60 * math.cos(a) + deal.uniform(-2, 2), 40 * math.sin(2 * a) + deal.uniform(-2, 2)))
+                t, done = t + deal.choice((0.1, 0.1, 0.2)), done + p
+        if rec == 2:
+            rows_ = [r for r in rows_ if r[0] != 1]
+        if rec == 4:
+            rows_ = [r for r in rows_ for _ in range(2)]
+        if rec == 5:
+            rows_ = [(*r[:3], None, r[4]) if i % 50 == 7 else r for i, r in enumerate(rows_)]
+        samples += [(rec, *r) for r in rows_]
+        known = sorted({r[0] for r in rows_})
+        facts += [(rec, n, 1000.0 + n, 99, 500.0, 0.2) for n in known]
+        want[rec] = _rolling_loop(rows_, known, 1000.0)
+    samples += [(None, *r[1:]) for r in samples if r[0] == 0]
+    d = spark.createDataFrame(samples, "rec int, lap_id long, t double, dist double, x double, y double")
+    l = spark.createDataFrame(facts + [(None, *f[1:]) for f in facts if f[0] == 0], "rec int, lap_id long, lap_s double, samples long, dist_m double, max_dt double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = laps.rolling_best(d, l)
+        assert not re.search(r"hashpartitioning\([^)]*\b[ij]#", made._jdf.queryExecution().executedPlan().toString())
+        got = {r.rec: r.rolling_s for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.pop(None, 1000.0) == 1000.0
+    assert got == pytest.approx(want) and sum(v < 1000 for v in want.values()) == 5
+
+
 @pytest.fixture(scope="module")
 def regrouped(tmp_path_factory):
     """sf0.1's events of recording 0, and of three copies' recordings whose laps begin at half milliseconds."""
